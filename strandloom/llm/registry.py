@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, langid, simhash
 from .common import table
 
 QUERIES = {
+    "op1_language_mixture": lambda spark, sf: langid.query(spark, table(spark, sf, "documents")),
+    "op4_simhash_near_dedup": lambda spark, sf: simhash.query(spark, table(spark, sf, "documents")),
     "op5_exact_dedup": lambda spark, sf: exact_dedup.query(spark, table(spark, sf, "documents")),
 }
 
