@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, simhash
+from . import exact_dedup, langid, lm_score, reshard, secrets, simhash
 from .common import table
 
 QUERIES = {
+    "op8_secret_links": lambda spark, sf: secrets.query(spark, table(spark, sf, "documents")),
+    "op9_cross_entropy_difference": lm_score.query,
+    "op10_min_cost_reshard": lambda spark, sf: reshard.query(spark, table(spark, sf, "documents")),
     "op1_language_mixture": lambda spark, sf: langid.query(spark, table(spark, sf, "documents")),
     "op4_simhash_near_dedup": lambda spark, sf: simhash.query(spark, table(spark, sf, "documents")),
     "op5_exact_dedup": lambda spark, sf: exact_dedup.query(spark, table(spark, sf, "documents")),
