@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, lm_score, reshard, secrets, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, simhash
 from .common import table
 
 QUERIES = {
+    "op3_crf_main_text": lambda spark, sf: html_extract.query(spark, table(spark, sf, "pages")),
+    "op7_minhash_containment": decontaminate.query,
     "op8_secret_links": lambda spark, sf: secrets.query(spark, table(spark, sf, "documents")),
     "op9_cross_entropy_difference": lm_score.query,
     "op10_min_cost_reshard": lambda spark, sf: reshard.query(spark, table(spark, sf, "documents")),
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_minhash_containment": decontaminate.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
