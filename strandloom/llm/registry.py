@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, sentence_pieces, simhash
 from .common import table
 
 QUERIES = {
+    "op6_gumbel_top_k_pieces": lambda spark, sf: sentence_pieces.query(spark, table(spark, sf, "documents")),
     "op3_crf_main_text": lambda spark, sf: html_extract.query(spark, table(spark, sf, "pages")),
     "op7_minhash_containment": decontaminate.query,
     "op8_secret_links": lambda spark, sf: secrets.query(spark, table(spark, sf, "documents")),
