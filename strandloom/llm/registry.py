@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, sentence_pieces, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, sentence_pieces, simhash, tool_calls
 from .common import table
 
 QUERIES = {
+    "op2_tool_call_links": lambda spark, sf: tool_calls.query(spark, table(spark, sf, "conversations")),
     "op6_gumbel_top_k_pieces": lambda spark, sf: sentence_pieces.query(spark, table(spark, sf, "documents")),
     "op3_crf_main_text": lambda spark, sf: html_extract.query(spark, table(spark, sf, "pages")),
     "op7_minhash_containment": decontaminate.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_tool_call_links": tool_calls.ORACLE,
     "op7_minhash_containment": decontaminate.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
