@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .common import drop_ids, materialise
 from .components import components
+from .decontaminate import shingles, words
 
 BITS = 64
 #: Buckets of up to this many distinct fingerprints are compared pair by pair, larger ones through midpoints.
@@ -84,35 +85,37 @@ def ball(radius: int) -> np.ndarray:
 
 
 def links(fps: DataFrame, radius: int, small: int = SMALL_BUCKET) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints ``fps`` (fp): a graph whose components are those of "differ in at most radius bits".
+    """Edges (family, a, b) over distinct fingerprints ``fps`` (family, fp, weight): a graph whose components in a family are those of "differ in at most radius bits".
 
     Members of small buckets are compared; those of large ones meet at midpoints, and each midpoint links all that
-    reach it to the first of them. Nothing is capped.
+    reach it to the weightiest of them (of equal ones the first). Nothing is capped.
     """
     if radius % 2:
         raise ValueError("midpoints need an even radius")
     masks = covering_masks(radius)
-    keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("v", "key"))
-    many = materialise(keys.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    member = materialise(keys.join(many, ["v", "key"]), "members")
+    bucket = ["family", "v", "key"]
+    keys = fps.select("family", "fp", "weight", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("v", "key"))
+    many = materialise(keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    member = materialise(keys.join(many, bucket), "members")
 
     near = member.where(F.col("n") <= small)
-    left, right = (near.select("v", "key", F.col("fp").alias(c)) for c in ("a", "b"))
+    left, right = (near.select(*bucket, F.col("fp").alias(c)) for c in ("a", "b"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    direct = left.join(right, ["v", "key"]).where((F.col("a") < F.col("b")) & (apart <= radius)).select("a", "b").distinct()
+    direct = left.join(right, bucket).where((F.col("a") < F.col("b")) & (apart <= radius)).select("family", "a", "b").distinct()
 
-    words = ball(radius // 2)
+    near_words = ball(radius // 2)
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 64):
-                x = batch["fp"].to_numpy()[at : at + 64].view(np.uint64)
-                yield pd.DataFrame({"a": np.repeat(x, len(words)).view(np.int64), "mid": (x[:, None] ^ words[None, :]).ravel().view(np.int64)})
-
-    hot = member.where(F.col("n") > small).select("fp").distinct().mapInPandas(probes, "a long, mid long")
-    # a midpoint that one fingerprint alone reaches links nothing; the others link all that reach them to the first
-    shared = hot.groupBy("mid").agg(F.min("a").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    through = hot.join(shared, "mid").where("a != first").select(F.col("first").alias("a"), F.col("a").alias("b"))
+                part = batch.iloc[at : at + 64]
+                x = part["fp"].to_numpy().view(np.uint64)
+                yield pd.DataFrame({"family": np.repeat(part["family"].to_numpy(), len(near_words)), "a": np.repeat(x, len(near_words)).view(np.int64), "weight": np.repeat(part["weight"].to_numpy(), len(near_words)), "mid": (x[:, None] ^ near_words[None, :]).ravel().view(np.int64)})
+
+    hot = member.where(F.col("n") > small).select("family", "fp", "weight").distinct().mapInPandas(probes, "family int, a long, weight long, mid long")
+    # a midpoint that one fingerprint alone reaches links nothing
+    shared = hot.groupBy("family", "mid").agg(F.max(F.struct("weight", F.bitwise_not("a").alias("low"), "a"))["a"].alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    through = hot.join(shared, ["family", "mid"]).where("a != first").select("family", F.col("first").alias("a"), F.col("a").alias("b"))
     return direct.unionByName(through)
 
 
@@ -128,7 +131,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     """
     seen = materialise(fingerprints(docs, width), "fingerprints")
     unique = materialise(seen.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "unique")
-    root = components(links(unique.select("fp"), radius), "a", "b")
+    one = unique.select(F.lit(0).alias("family"), "fp", F.lit(1).cast("long").alias("weight"))
+    root = components(links(one, radius), "a", "b")
     joined = unique.join(root, unique["fp"] == root["node"])
     lowest = joined.groupBy("root").agg(F.min("first_id").alias("low_id"))
     moved = joined.join(lowest, "root").select("fp", F.col("low_id").alias("component_id"))
@@ -136,10 +140,65 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     return seen.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one document, the one of the smallest doc_id, of each component."""
-    found = near_duplicates(docs, width, radius)
-    return drop_ids(docs, found.where(F.col("doc_id") != F.col("component_id")))
+FAMILIES = 4
+
+
+def word_sketches(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
+    """doc_id, family, fp: ``families`` independent fingerprints of the set of a document's words."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = np.zeros((len(b), families), np.uint64)
+            for i, text in enumerate(b["text"]):
+                words = {*(text or "").encode().lower().split()}
+                h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+                for f in range(families):
+                    found[i, f] = fingerprint(h)
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+                    h ^= h >> np.uint64(29)
+                    h *= np.uint64(0xBF58476D1CE4E5B9)
+                    h ^= h >> np.uint64(32)
+            yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), families), "family": np.tile(np.arange(families, dtype=np.int32), len(b)), "fp": found.ravel().view(np.int64)})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return texts.mapInPandas(each, "doc_id long, family int, fp long")
+
+
+def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 4, families: int = FAMILIES) -> DataFrame:
+    """Verified links (a, b) between documents: Jaccard similarity of the sets of ``width``-word shingles at ``threshold`` or over.
+
+    A few changed words change a document's word set little, so candidates are documents whose fingerprints of word
+    sets lie within ``radius`` in one of several independent families; covering hashing finds all of these. Links are
+    made towards a group's most typical document (whose fingerprints are the most frequent), not between all members,
+    so that a large group of copies costs a few links a member. Documents without words, or without an id, link to
+    nothing; rows that repeat an id are one document.
+    """
+    long = materialise(word_sketches(docs, families).distinct(), "sketches")
+    frequent = long.groupBy("family", "fp").agg(F.count(F.lit(1)).alias("n"))
+    typical = long.join(materialise(frequent, "frequent"), ["family", "fp"]).groupBy("doc_id").agg(F.sum("n").alias("typical"))
+    ranked = materialise(long.join(typical, "doc_id"), "ranked")
+    best = F.max(F.struct("typical", (-F.col("doc_id")).alias("low"), "doc_id"))
+    centre = materialise(ranked.groupBy("family", "fp").agg(best.alias("m")).select("family", "fp", F.col("m.doc_id").alias("centre"), F.col("m.typical").alias("weight")), "centres")
+    alike = ranked.join(centre.select("family", "fp", "centre"), ["family", "fp"]).select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+    to = lambda c: centre.select("family", F.col("fp").alias(c), F.col("centre").alias(f"{c}_doc"))
+    close = links(centre.select("family", "fp", "weight"), radius).join(to("a"), ["family", "a"]).join(to("b"), ["family", "b"]).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    pairs = alike.unionByName(close).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+
+    ids = materialise(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "pair-ids")
+    few = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
+    # the filter is on the words: one on the shingles would be pushed below and evaluate them for every word
+    sets = materialise(few.where("size(w) > 0").select("doc_id", F.array_distinct(shingles(F.col("w"), width)).alias("s")), "shingle-sets")
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document, the one of the smallest doc_id, of each group that verified links connect; columns unchanged."""
+    root = components(similar(docs, width, threshold), "a", "b")
+    low = root.groupBy("root").agg(F.min("node").alias("low"))
+    return drop_ids(docs, root.join(low, "root").where("node != low").select(F.col("node").alias("doc_id")))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
