@@ -1,13 +1,13 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-A short item inside a long document has a tiny Jaccard similarity to it, which MinHash can't see. So items are
-partitioned by size (powers of two of their distinct shingles), and for each partition documents are looked at in
-windows of two blocks, a block being as long as the partition's largest item: every passage of an item's length lies
-whole in some window, and the sizes of item and window are within a factor of about four whatever the document's
-length. A window and an item that agree in any of the MinHash values are a candidate; candidates are verified by the
-exact containment of the item's distinct shingles in the whole document.
-
-Native: only DataFrame functions. The permutation i of a 64-bit shingle hash is an exclusive or with a mask, so the
+A short item inside a long document has a tiny Jaccard similarity to it, which comparing two MinHash sketches can't
+see. Containment MinHash sketches the small set alone: the minimum of an item's shingles under each permutation is a
+random shingle of the item, and the share of these that a document holds estimates how much of the item it contains,
+whatever the document's length. Items are partitioned by size (powers of two of their distinct shingles): the sketch
+grows with the partition up to a bound, and a document too small to hold the threshold's share of a partition's
+smallest item isn't compared with it. Candidates are verified by the exact containment of all distinct shingles.
+
+Native: only DataFrame functions. Permutation i of a 64-bit shingle hash is an exclusive or with a mask, so the
 minimum under i is the shingle nearest to the mask.
 """
 
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_ids, materialise, table
 
-WIDTH, THRESHOLD, PERMUTATIONS = 5, 0.8, 48
-#: Item signatures and matched pairs are broadcast up to this many rows, by count; beyond it they are joined by shuffle.
+WIDTH, THRESHOLD, PERMUTATIONS = 5, 0.8, 64
+#: A candidate has this share of the sketch: half the threshold, far below what chance takes from a true containment.
+SHARE = 0.4
+#: Sketches and candidate ids are broadcast up to this many rows, by count; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -45,8 +47,17 @@ def masks(n: int, seed: int = 7) -> list[int]:
     return [int(((int(a) << 56) | int(b)) - ((1 << 64) if a >= 128 else 0)) for a, b in zip(top, low)]
 
 
-def sketch(h: Column, n: int) -> list[Column]:
-    return [F.min(h.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks(n))]
+def sketches(item: DataFrame, permutations: int) -> DataFrame:
+    """item_id, n, lowest size of the partition, size of the sketch, and a row for each of its shingles.
+
+    A partition of items of up to 2^level shingles has min(2^level, permutations) permutations.
+    """
+    one = item.select("item_id", "n", "level", F.explode("s").alias("h"))
+    nearest = [F.min(F.struct(F.col("h").bitwiseXOR(F.lit(m)).alias("d"), F.col("h").alias("h")))["h"] for m in masks(permutations)]
+    mins = one.groupBy("item_id", "n", "level").agg(F.array(*nearest).alias("mins"))
+    used = F.least(F.lit(permutations), F.pow(F.lit(2.0), F.col("level")).cast("int"))
+    kept = mins.select("item_id", "n", "level", F.array_distinct(F.slice("mins", 1, used)).alias("sketch"))
+    return kept.select("item_id", (F.floor(F.pow(F.lit(2.0), F.col("level") - 1)) + F.when(F.col("level") > 0, 1).otherwise(0)).cast("int").alias("lowest"), F.size("sketch").alias("size"), F.explode("sketch").alias("h"))
 
 
 def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS) -> DataFrame:
@@ -56,33 +67,16 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
     An item of fewer words than ``width`` is one shingle, found only in documents of just these words. Documents that
     repeat an id are one document. No documents or no items give no rows. Other columns are ignored.
     """
-    item = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.array_distinct(shingles(F.col("w"), width)).alias("s")).where("size(s) > 0")
+    item = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0").select("item_id", F.array_distinct(shingles(F.col("w"), width)).alias("s"))
     item = materialise(item.select("item_id", "s", F.size("s").alias("n"), F.ceil(F.log2(F.size("s"))).cast("int").alias("level")), "items")
-    signature = item.select("item_id", "level", F.explode("s").alias("h")).groupBy("item_id", "level").agg(*sketch(F.col("h"), permutations))
-    unpivot = lambda df, keys: df.select(*keys, F.posexplode(F.array(*[F.col(f"m{i}") for i in range(permutations)])).alias("perm", "value"))
-    wanted = materialise(unpivot(signature, ["item_id", "level"]), "item-signatures")
-    levels = sorted(r["level"] for r in item.select("level").distinct().collect())  # at most log2 of the longest item
-    if not levels:
-        return item.select(F.lit(0).cast("long").alias("doc_id"), "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n").cast("long").alias("n_found"), F.lit(0.0).alias("containment")).limit(0)
-    small = wanted.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(wanted) if small else wanted
+    wanted = materialise(sketches(item, permutations), "sketches")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     texts = docs.select("doc_id", words(F.col("text").cast("string")).alias("w"))
-    runs = texts.select("doc_id", F.posexplode(shingles(F.col("w"), width)).alias("at", "h"))
-    # minima of the blocks of the smallest partition; a larger partition's blocks are unions of them
-    base = levels[0]
-    block = runs.groupBy("doc_id", F.shiftright("at", base).alias("block")).agg(*sketch(F.col("h"), permutations))
-    if len(levels) > 1:
-        block = materialise(block, "blocks")
-    mins = [F.min(f"m{i}").alias(f"m{i}") for i in range(permutations)]
-    pairs = None
-    for level in levels:
-        larger = block if level == base else block.groupBy("doc_id", F.shiftright("block", level - base).alias("block")).agg(*mins)
-        # window w is blocks w and w+1: a window's minimum is one of its blocks', so blocks are looked up by themselves
-        # first, and only hits need the window's other half
-        hits = unpivot(larger, ["doc_id", "block"]).join(wanted.where(F.col("level") == level), ["perm", "value"]).select("doc_id", "item_id").distinct()
-        pairs = hits if pairs is None else pairs.unionByName(hits)
-    pairs = materialise(pairs.distinct(), "candidates")
+    runs = texts.select("doc_id", F.greatest(F.size("w") - width + 1, F.lit(1)).alias("room"), F.explode(shingles(F.col("w"), width)).alias("h"))
+    hits = runs.join(wanted, "h").where(F.col("room") >= F.ceil(F.col("lowest") * threshold)).select("doc_id", "item_id", "size", "h").distinct()
+    pairs = hits.groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.col("size") * SHARE)
+    pairs = materialise(pairs.select("doc_id", "item_id"), "candidates")
 
     # the exact check reads the documents once more, for the candidates alone
     ids = materialise(pairs.select(F.col("doc_id").alias("_id")).distinct(), "candidate-ids")
