@@ -20,3 +20,6 @@ def register(name: str, sql: str | None = None):
         return f
 
     return put
+from . import queries_cohort  # noqa: E402,F401
+from . import queries_patterns  # noqa: E402,F401
+from . import queries_streams  # noqa: E402,F401
