@@ -143,12 +143,10 @@ def features(page: list[Block]) -> list[list[str]]:
         low = b.text[:40].lower()
         if low.startswith(STARTS):
             f.append("rights")
-        if i == 0:
-            f.append("first")
-        if i == n - 1:
-            f.append("last")
-        if not tags & {"nav", "footer", "header", "aside", "form", "menu"}:
-            f.append("plain")
+        apart = bool(tags & {"nav", "footer", "header", "aside", "form", "menu"})
+        f.append("apart" if apart else "inside" if tags & {"article", "main"} else "loose")
+        if not b.names and not apart:
+            f.append("unnamed" + (" inside" if tags & {"article", "main"} else ""))
         found.append(f)
     return found
 
@@ -185,7 +183,7 @@ class Crf:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 60, rate: float = 0.5, l2: float = 1e-3) -> Crf:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, rate: float = 0.5, l2: float = 1e-3) -> Crf:
     """Maximises the conditional likelihood of the labels by gradient steps with per-weight rates (AdaGrad)."""
     seqs = [([], y) if not b else (features(b), y) for b, y in pages]
     index: dict[str, int] = {}
@@ -193,15 +191,15 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 60, rate: fl
         for row in f:
             for x in row:
                 index.setdefault(x, len(index))
-    data = [([np.array([index[x] for x in row]) for row in f], np.array(y)) for f, y in seqs if f]
+    data = [(np.array([index[x] for row in f for x in row]), np.array([len(row) for row in f]), np.array(y)) for f, y in seqs if f]
     size = 2 * len(index)
     w, grads = np.zeros(size + 6), np.full(size + 6, 1e-6)
     for _ in range(rounds):
         g = -l2 * len(data) * w
         weight, pair, first = w[:size].reshape(-1, 2), w[size : size + 4].reshape(2, 2), w[size + 4 :]
         gw, gp, gf = g[:size].reshape(-1, 2), g[size : size + 4].reshape(2, 2), g[size + 4 :]
-        for rows, y in data:
-            s = np.array([weight[r].sum(axis=0) for r in rows])
+        for flat, counts, y in data:
+            s = np.add.reduceat(weight[flat], np.cumsum(counts) - counts)
             n = len(s)
             fwd, bwd = np.empty((n, 2)), np.zeros((n, 2))
             fwd[0] = s[0] + first
@@ -211,22 +209,19 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 60, rate: fl
                 nxt = bwd[t + 1] + s[t + 1]
                 bwd[t] = np.logaddexp(pair[:, 0] + nxt[0], pair[:, 1] + nxt[1])
             z = np.logaddexp(*fwd[-1])
-            p = np.exp(fwd + bwd - z)
-            for t, r in enumerate(rows):
-                gw[r] -= p[t]
-                gw[r, y[t]] += 1
-            gf -= p[0]
-            gf[y[0]] += 1
+            off = np.eye(2)[y] - np.exp(fwd + bwd - z)
+            for k in (0, 1):
+                gw[:, k] += np.bincount(flat, np.repeat(off[:, k], counts), len(index))
+            gf += off[0]
             if n > 1:
-                both = np.exp(fwd[:-1, :, None] + pair[None] + (s[1:] + bwd[1:])[:, None, :] - z)
-                gp -= both.sum(axis=0)
+                gp -= np.exp(fwd[:-1, :, None] + pair[None] + (s[1:] + bwd[1:])[:, None, :] - z).sum(axis=0)
                 np.add.at(gp, (y[:-1], y[1:]), 1)
         grads += g * g
         w += rate * g / np.sqrt(grads)
     return Crf(index, w[:size].reshape(-1, 2).copy(), w[size : size + 4].reshape(2, 2).copy(), w[size + 4 :].copy())
 
 
-def layouts(n: int = 160, seed: int = 11) -> list[tuple[str, list[int]]]:
+def layouts(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Generated training pages and the label of each of their blocks, over varied layouts.
 
     The words are drawn anew for every page, so that the model can only learn tags, names and shapes.
@@ -268,7 +263,7 @@ def layouts(n: int = 160, seed: int = 11) -> list[tuple[str, list[int]]]:
             if kind == 1:
                 return box("aside", pick("", named("sidebar", "related", "widget")))
             if kind == 2:
-                return box("div", named("sidebar", "side-bar", "related", "related-posts", "widget", "share", "social", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "pagination", "tags"))
+                return box("div", named("sidebar", "side-bar", "related", "related-posts", "widget", "share", "social", "newsletter", "newsletter-signup", "subscribe", "breadcrumb", "breadcrumbs", "pagination", "tags"))
             if kind == 3:
                 return box(pick("div", "section"), named("cookie", "cookie-notice", "cookies", "consent", "notice", "gdpr", "popup", "modal", "alert"))
             if kind == 4:
@@ -286,11 +281,11 @@ def layouts(n: int = 160, seed: int = 11) -> list[tuple[str, list[int]]]:
 
         def main() -> str:
             inside = [put(pick("<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>"), sentence(1, 14), 1)] if rng.random() < 0.9 else []
-            for _ in range(rng.integers(1, 12)):
+            for _ in range(rng.integers(1, pick(3, 12, 12))):
                 kind = rng.integers(12)
                 text = sentence(1, 90) if kind < 9 else sentence(1, 12)
                 inside.append(put(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p>{}</p>", "<p><b>{}<br>", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<p>{} </p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>")[kind], text, 1))
-                if rng.random() < 0.06:
+                if rng.random() < 0.1:
                     inside.append(junk())
             if rng.random() < 0.1:
                 inside.append(comments())
@@ -298,17 +293,18 @@ def layouts(n: int = 160, seed: int = 11) -> list[tuple[str, list[int]]]:
             return f"<{frame[0]}{frame[1]}>" + "".join(inside) + f"</{frame[0]}>"
 
         top = []
-        if rng.random() < 0.4:
+        bare = rng.random() < 0.15  # nothing but the article
+        if not bare and rng.random() < 0.4:
             name = pick("header", "header", "div")
             top.append(f"<{name}{named('header', 'site-header', 'masthead', 'top') if name == 'div' else ''}>" + put(pick("<a href='/'>{}</a>", "<div>{}</div>", "<h1>{}</h1>", "<p>{}</p>"), words(1, 5), 0) + f"</{name}>")
-        if rng.random() < 0.8:
+        if not bare and rng.random() < 0.8:
             top.append(menu("nav"))
-        top += [junk() for _ in range(rng.integers(0, 4))]
+        top += [junk() for _ in range(0 if bare else rng.integers(0, 4))]
         body = main()
-        end = [junk() for _ in range(rng.integers(0, 3))]
-        if rng.random() < 0.3:
+        end = [junk() for _ in range(0 if bare else rng.integers(0, 3))]
+        if not bare and rng.random() < 0.3:
             end.append(comments())
-        if rng.random() < 0.85:
+        if not bare and rng.random() < 0.85:
             name = pick("footer", "footer", "footer", "div")
             end.append(f"<{name}{named('footer', 'site-footer', 'copyright', 'bottom') if name == 'div' else ''}>" + put(pick("{}", "<p>{}</p>"), pick("&copy; ", "", "Copyright ") + sentence(), 0) + f"</{name}>")
         pages.append(("<html><head><title>t</title></head><body>" + "".join(top) + body + "".join(end) + pick("</body></html>", ""), y))
