@@ -75,8 +75,10 @@ def filter_documents(documents: DataFrame, policy: str = "empty", at_least: int
         return documents.where(n >= at_least)
     kind = documents.schema[column].dataType.elementType
     unknown = F.array(F.struct(*[F.lit("9999-01-01" if f.name == "t" else "unknown" if f.name == "code" else None).cast(f.dataType).alias(f.name) for f in kind.fields]))
-    out = documents.withColumn(column, F.when(n < at_least, unknown).otherwise(F.col(column)))
-    return out.withColumn("label", F.when(n < at_least, "unknown").otherwise(F.col("label"))) if "label" in documents.columns else out
+    short = {column: F.when(n < at_least, unknown).otherwise(F.col(column))}
+    if "label" in documents.columns:
+        short["label"] = F.when(n < at_least, "unknown").otherwise(F.col("label"))
+    return documents.withColumns(short)
 
 
 def running_counts(events: DataFrame, order: list[str], doc: str = "doc_id") -> DataFrame:

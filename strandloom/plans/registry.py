@@ -23,3 +23,4 @@ def register(name: str, sql: str | None = None):
 from . import queries_cohort  # noqa: E402,F401
 from . import queries_patterns  # noqa: E402,F401
 from . import queries_streams  # noqa: E402,F401
+from . import queries_frames  # noqa: E402,F401
