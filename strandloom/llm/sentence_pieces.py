@@ -7,9 +7,10 @@ replacement. Perturbed A* finds them without listing paths: a partial path's pri
 its completions, drawn top-down; the best child inherits its parent's maximum, so a popped entry runs straight down
 to a full path, and the siblings it passes are the new entries of the queue.
 
-All this is done on exp(-value), where Gumbel maxima are minima of exponential variables: an edge of probability p
-draws x = E / p, the smallest x of a node is taken, and a sibling's x, given that the node's minimum is m, is
-x - min(x) + m. The sibling's value is then phi - log of that, phi being the log-probability of the path so far.
+All this is done on exp(-value), where Gumbel maxima are minima of exponential variables. Which edge of a node has
+the minimum is independent of how small it is, so one uniform number picks it by the edges' probabilities; and given
+the minimum m, the variable of a sibling of probability p is m + E / p, because waiting has no memory. Its value is
+phi - log of that, phi being the log-probability of the path so far.
 
 Pieces never span the start of a space run, so a text's lattice is a chain of small ones, which repeat. They are built
 once and kept; walks run over all chunks of many texts at once. Noise is a hash of row key, round, place and edge: a
@@ -32,7 +33,7 @@ SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+(?![^{SPACE}])|{SPACE}+(?=\n)|\n")
 SAMPLES, THETA, SEED = 3, 1.0, 1
 SLICE_CHARS = 400_000
-CACHE = 100_000  # lattices that a worker keeps; beyond it starts anew
+CACHE = 120_000  # lattices that a worker keeps; beyond it starts anew
 #: Siblings at nodes below this log-probability phi are left out: one of them reaches a value over -10 with probability
 #: e**(phi + 10), under 1e-15, and the k best values of a text lie far above.
 LOWEST = -45.0
@@ -56,10 +57,18 @@ class Vocabulary:
         self.byte_weight = -theta * math.log(n + 10)
         if any(SPACE in p.lstrip(SPACE) for p in self.weight):
             raise ValueError("a piece spans the start of a space run")
-        self.known = []  # for each length the pieces' hashes in order, their ids and weights
-        for size in range(1, self.longest + 1):
-            of = sorted((int(hashes(codes([p]))[0][-1]), i, w) for p, (i, w) in self.weight.items() if len(p) == size)
-            self.known.append(tuple(np.array([x[j] for x in of], t) for j, t in enumerate((np.uint64, np.int64, np.float64))))
+        # for each length the hashes, in order, of all beginnings of pieces, with the piece's id (-1: only a beginning) and weight
+        starts: list[dict[int, tuple[int, float]]] = [{} for _ in range(self.longest)]
+        for p, piece in self.weight.items():
+            for n, h in enumerate(hashes(codes([p]))[0].tolist()):
+                if n + 1 == len(p):
+                    starts[n][h] = piece
+                else:
+                    starts[n].setdefault(h, (-1, 0.0))
+        self.known = []
+        for at in starts:
+            h = np.array(sorted(at), np.uint64)
+            self.known.append((h, np.array([at[x][0] for x in h.tolist()], np.int64), np.array([at[x][1] for x in h.tolist()])))
         self.clear()
         # decoding: the bytes of each id; a piece's space sign is a space
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -73,12 +82,13 @@ class Vocabulary:
 
     def clear(self) -> None:
         """Forget all lattices."""
+        self.room: dict[str, np.ndarray] = {}
         self.place: dict[str, int] = {}  # of a chunk in the arrays by chunk
         self.names: list[str] = []
         self.node0 = self.size = np.empty(0, np.int64)
         self.count = self.first = np.empty(0, np.int64)  # by node, a chunk's last node has no edges
-        self.to = self.piece = np.empty(0, np.int64)  # by edge: target in the chunk, piece (or -1 - place of a character without one)
-        self.q = self.odds = np.empty(0)  # log-probability of the edge at its node, and 1 / its probability
+        self.to = self.piece = self.owner = np.empty(0, np.int64)  # by edge: target in the chunk, piece (or -1 - place of a character without one), node
+        self.q = self.upto = np.empty(0)  # log-probability of the edge at its node, and the sum of probabilities up to it
 
     def add(self, chunks: list[str]) -> None:
         """Build the lattices of new ``chunks``, all at once."""
@@ -87,28 +97,32 @@ class Vocabulary:
         sums = np.concatenate([np.zeros(1, np.uint64), sums])
         ends = np.repeat(np.cumsum(size), size)
         at = np.arange(len(code))
-        ids, weights = np.full((len(code), self.longest), -1, np.int64), np.zeros((len(code), self.longest))
+        fits, found = at, []  # characters where some piece goes on to length n; (character, length, piece, weight) of the edges
         for n, (known, piece, weight) in enumerate(self.known, 1):
-            fits = np.flatnonzero(at + n <= ends)
-            if len(fits) and len(known):
-                h = (sums[fits + n] - sums[fits]) * down[fits]
-                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[k] == h
-                ids[fits[hit], n - 1], weights[fits[hit], n - 1] = piece[k[hit]], weight[k[hit]]
-        there = ids >= 0
-        bare = np.flatnonzero(~there[:, 0])
-        there[bare, 0] = True
-        weights[bare, 0] = self.byte_weight * (1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF))
-        ids[bare, 0] = -1 - (at - (ends - np.repeat(size, size)))[bare]
-        node, step = np.nonzero(there)
-        w, piece = weights[node, step], ids[node, step]
+            fits = fits[fits + n <= ends[fits]]
+            h = (sums[fits + n] - sums[fits]) * down[fits]
+            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = np.flatnonzero(known[k] == h)
+            fits, k = fits[hit], k[hit]
+            whole = np.flatnonzero(piece[k] >= 0)
+            found.append((fits[whole], np.full(len(whole), n), piece[k[whole]], weight[k[whole]]))
+            if n == 1:
+                bare = np.ones(len(code), bool)
+                bare[fits[whole]] = False
+                bare = np.flatnonzero(bare)
+                size_in_bytes = 1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)
+                found.append((bare, np.ones(len(bare), np.int64), -1 - (at - (ends - np.repeat(size, size)))[bare], self.byte_weight * size_in_bytes))
+        found.reverse()  # longest first: mostly the likeliest, which spares the walk steps
+        node, step, piece, w = (np.concatenate([f[i] for f in found]) for i in range(4))
+        order = np.argsort(node, kind="stable")
+        node, step, piece, w = node[order], step[order], piece[order], w[order]
         # nodes of the new chunks, ends included: the sum over all ways on from each, from the ends backwards
         node0 = np.cumsum(size + 1) - size - 1
         shift = np.repeat(np.arange(len(chunks)), size)
         count = np.zeros(len(code) + len(chunks), np.int64)
-        count[at + shift] = there.sum(axis=1)
+        count[at + shift] = np.bincount(node, minlength=len(code))
         first = np.cumsum(count) - count
-        to = node + shift[node] + step + 1
+        to = node + shift[node] + step
         beta = np.zeros(len(count))
         last, by_size = node0 + size, np.argsort(-size, kind="stable")
         longer = np.searchsorted(-size[by_size], -np.arange(1, size.max() + 1), side="right") if len(size) else []
@@ -120,15 +134,27 @@ class Vocabulary:
             top = np.maximum.reduceat(v, starts)
             beta[x] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count[x])), starts))
         q = w + beta[to] - beta[node + shift[node]]
+        p = np.exp(q)
+        upto = np.cumsum(p)
+        upto -= np.repeat((upto - p)[first[count > 0]], count[count > 0])
+        upto[(first + count - 1)[count > 0]] = 2.0  # the last takes what rounding leaves
         for c in chunks:
             self.place[c] = len(self.place)
         self.names += chunks
         old_nodes, old_edges = len(self.count), len(self.to)
-        cat = lambda a, b: np.concatenate([a, b])
-        self.node0, self.size = cat(self.node0, node0 + old_nodes), cat(self.size, size)
-        self.count, self.first = cat(self.count, count), cat(self.first, first + old_edges)
-        self.to, self.piece = cat(self.to, to - node0[shift[node]]), cat(self.piece, piece)
-        self.q, self.odds = cat(self.q, q), cat(self.odds, np.exp(-q))
+        new = {"node0": node0 + old_nodes, "size": size, "count": count, "first": first + old_edges, "owner": node + shift[node] + old_nodes, "to": to - node0[shift[node]], "piece": piece, "q": q, "upto": upto}
+        for name, x in new.items():
+            self.extend(name, x)
+
+    def extend(self, name: str, new: np.ndarray) -> None:
+        """Append to an array; room for it doubles, so that little is copied."""
+        old, room = len(getattr(self, name)), self.room.get(name)
+        if room is None or old + len(new) > len(room):
+            self.room[name] = np.empty(2 * (old + len(new)), new.dtype)
+            self.room[name][:old] = getattr(self, name)
+            room = self.room[name]
+        room[old : old + len(new)] = new
+        setattr(self, name, room[: old + len(new)])
 
     def lattices(self, parts: list[list[str]]) -> np.ndarray:
         """Places of the chunks of ``parts``, one after the other."""
@@ -199,7 +225,7 @@ class Batch:
         self.place = np.arange(len(self.text)) - self.first_chunk[self.text]
         self.kind = v.lattices(parts)
         self.node0, self.size, self.first, self.count = v.node0, v.size, v.first, v.count
-        self.to, self.piece, self.q, self.odds = v.to, v.piece, v.q, v.odds
+        self.to, self.piece, self.owner, self.q, self.upto = v.to, v.piece, v.owner, v.q, v.upto
 
     def walk(self, round_: int, chunk: np.ndarray, node: np.ndarray, step: np.ndarray) -> list[tuple]:
         """Run from ``node`` of each ``chunk`` to its end. For every node passed: chunk, step, chosen edge, and whether it had others."""
@@ -210,12 +236,12 @@ class Batch:
             chosen = first.copy()
             open_ = np.flatnonzero(count > 1)
             if len(open_):
-                edge, x = self.draw(round_, chunk[open_], step[open_], first[open_], count[open_])
-                starts = np.cumsum(count[open_]) - count[open_]
-                hit = np.flatnonzero(x == np.repeat(np.minimum.reduceat(x, starts), count[open_]))
-                if len(hit) > len(open_):  # of equal values the first edge
-                    hit = hit[np.unique(np.searchsorted(starts, hit, side="right"), return_index=True)[1]]
-                chosen[open_] = edge[hit]
+                u = uniform(self.seeds(round_, chunk[open_], step[open_]))
+                edge, more = chosen[open_], np.arange(len(open_))
+                while len(more):  # a node's likeliest edges mostly come first, so most stop at once
+                    more = more[u[more] >= self.upto[edge[more]]]
+                    edge[more] += 1
+                chosen[open_] = edge
             seen.append((chunk, step, chosen, count > 1))
             node, step = self.to[chosen], step + 1
             on = np.flatnonzero(node < self.size[kind])
@@ -226,17 +252,10 @@ class Batch:
         node = self.node0[kind] + node
         return self.first[node], self.count[node]
 
-    def draw(self, round_: int, chunk: np.ndarray, step: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of the nodes, one node after the other, and the variable x that each draws: a function of key, round and place alone."""
-        place = self.place[chunk].astype(np.uint64) << np.uint64(20)
-        place += step.astype(np.uint64) << np.uint64(6)
-        place += np.uint64(round_ << 56)
-        seed = self.keys[self.text[chunk]] ^ place * np.uint64(0x2545F4914F6CDD1D)
-        nth = ranges(np.zeros(len(count), np.int64), count)
-        edge = np.repeat(first, count) + nth
-        x = np.log(uniform(np.repeat(seed, count) + nth.astype(np.uint64)))
-        x *= -self.odds[edge]
-        return edge, x
+    def seeds(self, round_: int, chunk: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """A number for each place of each text: a function of key, round and place alone."""
+        place = (self.place[chunk] << 20) + (step << 6) + (round_ << 56)
+        return self.keys[self.text[chunk]] ^ place.view(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
 
     def samples(self, k: int) -> tuple[list[list[tuple]], np.ndarray]:
         """For each text its samples (chunk order edges, log-probability, perturbed value), best first, and the bound: the next best perturbed value."""
@@ -328,21 +347,18 @@ class Batch:
         """The edges not taken at the forks that ``path`` passed for the first time, with their perturbed values."""
         at = path["fresh"]
         chunk, step, chosen = path["chunk"][at], path["step"][at], path["edge"][at]
-        # the node of an edge is where its first sibling starts
-        node = np.searchsorted(self.first, chosen, side="right") - 1
+        node = self.owner[chosen]
         first, count = self.first[node], self.count[node]
-        edge, x = self.draw(round_, chunk, step, first, count)
+        nth = ranges(np.zeros(len(at), np.int64), count)
         own = np.repeat(np.arange(len(at)), count)
-        taken = edge == chosen[own]
-        least = np.empty(len(at))
-        least[own[taken]] = x[taken]
-        other = np.flatnonzero(~taken)
-        own = own[other]
+        edge = first[own] + nth
+        other = np.flatnonzero(edge != chosen[own])
+        own, nth, edge = own[other], nth[other], edge[other]
         text = self.text[chunk[own]]
         phi = path["before"][at][own]
-        with np.errstate(divide="ignore"):
-            value = phi - np.log(x[other] - least[own] + np.exp(np.minimum(phi - path["value"][text], 700)))
-        return {"text": text, "value": value, "phi": phi + self.q[edge[other]], "parent": np.full(len(other), round_), "at": at[own], "edge": edge[other]}
+        wait = -np.log(uniform(self.seeds(round_, chunk, step)[own] + (nth + 1).astype(np.uint64))) * np.exp(-self.q[edge])
+        value = phi - np.log(wait + np.exp(np.minimum(phi - path["value"][text], 700)))
+        return {"text": text, "value": value, "phi": phi + self.q[edge], "parent": np.full(len(edge), round_), "at": at[own], "edge": edge}
 
     def ids(self, path: dict) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids along the paths of ``path['texts']`` and how many each text has."""
