@@ -99,8 +99,10 @@ def links(fps: DataFrame, radius: int, small: int = SMALL_BUCKET) -> DataFrame:
 
     near = member.where(F.col("n") <= small)
     left, right = (near.select(*bucket, F.col("fp").alias(c)) for c in ("a", "b"))
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    direct = left.join(right, bucket).where((F.col("a") < F.col("b")) & (apart <= radius)).select("family", "a", "b").distinct()
+    # a pair that meets in several tables is linked in the first of them alone (if that bucket is large, by midpoints)
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    direct = left.join(right, bucket).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & (first == F.col("v"))).select("family", "a", "b")
 
     near_words = ball(radius // 2)
 
