@@ -102,4 +102,4 @@ def cross_validated_auc(df: DataFrame, features: list[str], label: str, folds: i
     x = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
     judge = BinaryClassificationEvaluator(labelCol=label)
     cv = CrossValidator(estimator=LogisticRegression(featuresCol="_x", labelCol=label), estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=seed)
-    return cv.fit(x).avgMetrics[0]
+    return float(cv.fit(x).avgMetrics[0])
