@@ -1,0 +1,28 @@
+"""Queries over whole tables, against the SQL of their cut twins with the cut taken out."""
+
+import pytest
+
+from strandloom.plans import queries_patterns, registry
+from test_queries import SF, duck, plain  # noqa: F401
+
+
+def same(spark, duck, name, sql, sf=SF):  # noqa: F811
+    got, want = registry.QUERIES[name](spark, sf), duck.sql(sql)
+    cols = sorted(got.columns)
+    at = [want.columns.index(c) for c in cols]
+    a = sorted(repr([plain(r[c]) for c in cols]) for r in got.collect())
+    b = sorted(repr([plain(r[i]) for i in at]) for r in want.fetchall())
+    assert a == b
+
+
+@pytest.mark.parametrize("name", sorted(queries_patterns.WHOLE))
+def test_whole_sequences(spark, duck, name):  # noqa: F811
+    cut = f"WHERE pos <= {queries_patterns.FIRST}"
+    assert cut in registry.ORACLES[name]
+    same(spark, duck, f"{name}_whole", registry.ORACLES[name].replace(cut, ""))
+
+
+def test_whole_subsequences(spark):
+    length = {r.doc_id: r.lcs_length for r in registry.QUERIES["lcs_pair_length_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.length for r in registry.QUERIES["lcs_pair_string"](spark, SF).collect()}
+    assert got == length and max(got.values()) > queries_patterns.FIRST
