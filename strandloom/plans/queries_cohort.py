@@ -74,14 +74,36 @@ def labelled(spark, sf):
 
 @register("range_partition_scan", "SELECT CAST(floor((o_custkey - 1) / 150) AS INT) AS part, count(*) AS n, min(o_custkey) AS low, max(o_custkey) AS high FROM orders WHERE o_custkey >= 1 AND o_custkey < 1501 GROUP BY 1")
 def ranges(spark, sf):
-    return cohort.in_ranges(table(spark, sf, "orders"), "o_custkey", 1, 1501, 10).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"))
+    return _ranges(table(spark, sf, "orders"), 1, 1501)
+
+
+def _ranges(orders, low, high):
+    return cohort.in_ranges(orders, "o_custkey", low, high, 10).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"))
+
+
+@register("range_partition_scan_whole")
+def all_ranges(spark, sf):
+    """All orders, in ten ranges between the table's smallest and largest customer; the SQL of range_partition_scan reads [1, 1501)."""
+    orders = table(spark, sf, "orders")
+    low, high = orders.agg(F.min("o_custkey"), F.max("o_custkey")).first()  # one row
+    return _ranges(orders, 0, 1) if low is None else _ranges(orders, low, high + 1)
 
 
 @register("theta_group_leaders", """WITH s AS (SELECT l_orderkey, l_suppkey % 7 AS entity, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS attrs FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1, 2),
   k AS (SELECT entity, array_to_string(attrs, ',') AS id, attrs FROM s GROUP BY ALL)
   SELECT a.entity, a.id, arg_min(b.id, lpad(CAST(100 - len(b.attrs) AS VARCHAR), 3, '0') || b.id) AS leader FROM k a JOIN k b ON a.entity = b.entity AND list_has_all(b.attrs, a.attrs) GROUP BY 1, 2""")
 def leaders(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_orderkey <= 2000").groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("entity")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("attrs"))
+    return _leaders(table(spark, sf, "lineitem").where("l_orderkey <= 2000"))
+
+
+@register("theta_group_leaders_whole")
+def all_leaders(spark, sf):
+    """All orders; the SQL of theta_group_leaders stops at order 2000."""
+    return _leaders(table(spark, sf, "lineitem"))
+
+
+def _leaders(lineitem):
+    rows = lineitem.groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("entity")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("attrs"))
     kinds = rows.select("entity", "attrs").distinct().withColumn("id", F.array_join("attrs", ",")).withColumn("key", F.struct("entity", "id"))
     return cohort.group_by_subset(kinds, "key", "entity", "attrs").select("key.entity", "key.id", F.col("leader.id").alias("leader"))
 

@@ -316,12 +316,15 @@ def min_max(spark, sf):
     return x.select("s_suppkey", F.round("s_acctbal_scaled", 9).alias("s_acctbal_scaled"))
 
 
+#: The SQL of the hierarchy queries stops at this customer, so they do too; each has a twin over all customers, see ``ALL_CUSTOMERS``.
+LAST = 300
 EDGES = "edges AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer WHERE c_custkey <= 300 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region)"
 
 
-def _edges(spark, sf):
+def _edges(spark, sf, last=LAST):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    a = table(spark, sf, "customer").where("c_custkey <= 300").select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
+    c = table(spark, sf, "customer")
+    a = (c if last is None else c.where(F.col("c_custkey") <= last)).select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
     b = table(spark, sf, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent"))
     return a.union(b).union(table(spark, sf, "region").select(name("r", "r_regionkey").alias("child"), F.lit("root").alias("parent")))
 
@@ -330,30 +333,36 @@ UP = f"WITH RECURSIVE {EDGES}, nodes AS (SELECT child AS n FROM edges UNION SELE
 
 
 @register("hierarchy_closure", UP + " SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2")
-def closure(spark, sf):
-    return terminology.closure(_edges(spark, sf))
+def closure(spark, sf, last=LAST):
+    return terminology.closure(_edges(spark, sf, last))
 
 
 @register("hierarchy_leaves", UP + " SELECT ancestor AS node, count(*) AS n_leaves FROM up WHERE node NOT IN (SELECT parent FROM edges) GROUP BY 1")
-def leaves(spark, sf):
-    e = _edges(spark, sf)
+def leaves(spark, sf, last=LAST):
+    e = _edges(spark, sf, last)
     return terminology.leaves(terminology.closure(e), e).groupBy("node").agg(F.count(F.lit(1)).alias("n_leaves"))
 
 
 @register("hierarchy_siblings", f"WITH {EDGES} SELECT child AS node, count(*) OVER (PARTITION BY parent) - 1 AS n_siblings FROM edges")
-def siblings(spark, sf):
-    return terminology.siblings(_edges(spark, sf))
+def siblings(spark, sf, last=LAST):
+    return terminology.siblings(_edges(spark, sf, last))
 
 
 @register("hierarchy_descendants", UP + " SELECT DISTINCT node FROM up WHERE ancestor IN ('r1', 'n3')")
-def descendants(spark, sf):
-    return terminology.descendants(terminology.closure(_edges(spark, sf)), spark.createDataFrame([("r1",), ("n3",)], "node string"))
+def descendants(spark, sf, last=LAST):
+    return terminology.descendants(terminology.closure(_edges(spark, sf, last)), spark.createDataFrame([("r1",), ("n3",)], "node string"))
 
 
 @register("class_propagation", f"WITH {EDGES}, s AS (SELECT 'r' || r_regionkey AS node, r_name AS class FROM region WHERE r_regionkey < 3), n1 AS (SELECT child AS node, class FROM edges JOIN s ON parent = node), n2 AS (SELECT child AS node, class FROM edges JOIN n1 ON parent = node) SELECT node, class, 0 AS level FROM s UNION ALL SELECT node, class, 1 FROM n1 UNION ALL SELECT node, class, 2 FROM n2")
-def propagate(spark, sf):
+def propagate(spark, sf, last=LAST):
     seed = table(spark, sf, "region").where("r_regionkey < 3").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("class"))
-    return terminology.propagate(seed, _edges(spark, sf).select(F.col("parent").alias("src"), F.col("child").alias("dst")), 2)
+    return terminology.propagate(seed, _edges(spark, sf, last).select(F.col("parent").alias("src"), F.col("child").alias("dst")), 2)
+
+
+#: The same queries over all customers, registered as NAME_whole. They have no SQL of their own.
+ALL_CUSTOMERS = {"hierarchy_closure": closure, "hierarchy_leaves": leaves, "hierarchy_siblings": siblings, "hierarchy_descendants": descendants, "class_propagation": propagate}
+for _name, _query in ALL_CUSTOMERS.items():
+    register(f"{_name}_whole")(partial(_query, last=None))
 
 
 @register("preferred_name", "SELECT p_size AS concept, arg_min(p_name, CASE p_brand WHEN 'Brand#11' THEN '1' WHEN 'Brand#22' THEN '2' ELSE '3' END || p_name) AS name, len(list(DISTINCT p_brand)) AS n_kinds FROM part GROUP BY 1")

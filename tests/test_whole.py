@@ -1,5 +1,8 @@
 """Queries over whole tables, against the SQL of their cut twins with the cut taken out."""
 
+from pathlib import Path
+
+import duckdb
 import pytest
 
 from strandloom.plans import queries_patterns, registry
@@ -26,3 +29,29 @@ def test_whole_subsequences(spark):
     length = {r.doc_id: r.lcs_length for r in registry.QUERIES["lcs_pair_length_whole"](spark, SF).collect()}
     got = {r.doc_id: r.length for r in registry.QUERIES["lcs_pair_string"](spark, SF).collect()}
     assert got == length and max(got.values()) > queries_patterns.FIRST
+
+
+#: The smallest tables that the cuts take something from.
+LARGER = "/root/testdata/sf0.01"
+ID_CUTS = dict.fromkeys(queries_patterns.ALL_CUSTOMERS, f"WHERE c_custkey <= {queries_patterns.LAST}") | {"theta_group_leaders": "WHERE l_orderkey <= 2000"}
+
+
+@pytest.fixture(scope="module")
+def larger():
+    c = duckdb.connect()
+    c.sql("SET timezone='UTC'")
+    for p in Path(LARGER).glob("*.parquet"):
+        c.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(ID_CUTS))
+def test_all_ids(spark, larger, name):
+    assert ID_CUTS[name] in registry.ORACLES[name]
+    same(spark, larger, f"{name}_whole", registry.ORACLES[name].replace(ID_CUTS[name], ""), LARGER)
+
+
+def test_all_ranges(spark, larger):
+    sql = "SELECT CAST(floor((o_custkey - lo) / ceil((hi - lo + 1) / 10)) AS INT) AS part, count(*) AS n, min(o_custkey) AS low, max(o_custkey) AS high FROM orders, (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders) GROUP BY 1"
+    same(spark, larger, "range_partition_scan_whole", sql, LARGER)
+    assert sum(r.n for r in registry.QUERIES["range_partition_scan_whole"](spark, LARGER).collect()) == larger.sql("SELECT count(*) FROM orders").fetchall()[0][0]
