@@ -165,11 +165,67 @@ def word_sketches(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
     return texts.mapInPandas(each, "doc_id long, family int, fp long")
 
 
+#: MinHash buckets: a pair of similarity J shares one with probability 1 - (1 - J^ROWS)^BANDS, 0.9999 at 0.8, wherever its texts differ.
+BANDS, ROWS = 24, 5
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash signature of the shingles ``hashes``; equal sets have equal keys."""
+    rng = np.random.default_rng(11)
+    odd, flip = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        h = (hashes[at : at + 4096, None] ^ flip) * (odd | np.uint64(1))
+        least = np.minimum(least, ((h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
+    key = (least.reshape(BANDS, ROWS) * (odd | np.uint64(1)).reshape(BANDS, ROWS)).sum(axis=1, dtype=np.uint64)
+    key = (key ^ key >> np.uint64(30)) * np.uint64(0x94D049BB133111EB) + np.arange(BANDS, dtype=np.uint64)
+    return (key ^ key >> np.uint64(31)).view(np.int64)
+
+
+def buckets(docs: DataFrame, width: int) -> DataFrame:
+    """bucket and doc_id: the MinHash buckets of the set of a document's ``width``-word shingles; no words, no buckets."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, keys = [], []
+            for k, text in zip(b["doc_id"], b["text"]):
+                h = shingle_hashes((text or "").lower(), width)
+                if len(h):
+                    ids.append(k)
+                    keys.append(band_keys(h))
+            yield pd.DataFrame({"bucket": np.concatenate(keys) if keys else np.empty(0, np.int64), "doc_id": np.repeat(np.array(ids, np.int64), BANDS)})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return texts.mapInPandas(each, "bucket long, doc_id long")
+
+
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` (bucket, doc_id) whose bucket has other documents too, with their number ``n``."""
+    one = materialise(rows.distinct(), "bucket-rows")
+    many = materialise(one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    return materialise(one.join(many, "bucket"), "bucket-members")
+
+
+def to_centres(member: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each document of ``member`` with the document of its bucket that is in the fullest buckets."""
+    ranked = member.join(member.groupBy("doc_id").agg(F.sum("n").alias("typical")), "doc_id")
+    best = F.max(F.struct("typical", (-F.col("doc_id")).alias("low"), "doc_id"))["doc_id"]
+    return member.join(materialise(ranked.groupBy("bucket").agg(best.alias("a")), "bucket-centres"), "bucket").select("a", F.col("doc_id").alias("b"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (doc_id, s) have Jaccard similarity ``threshold`` or over."""
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
 def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 4, families: int = FAMILIES) -> DataFrame:
     """Verified links (a, b) between documents: Jaccard similarity of the sets of ``width``-word shingles at ``threshold`` or over.
 
     A few changed words change a document's word set little, so candidates are documents whose fingerprints of word
-    sets lie within ``radius`` in one of several independent families; covering hashing finds all of these. Links are
+    sets lie within ``radius`` in one of several independent families; covering hashing finds all of these. Cut or
+    added passages change it more, so documents that share a MinHash bucket are candidates as well. Links are
     made towards a group's most typical document (whose fingerprints are the most frequent), not between all members,
     so that a large group of copies costs a few links a member. Documents without words, or without an id, link to
     nothing; rows that repeat an id are one document.
@@ -183,16 +239,15 @@ def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int
     alike = ranked.join(centre.select("family", "fp", "centre"), ["family", "fp"]).select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
     to = lambda c: centre.select("family", F.col("fp").alias(c), F.col("centre").alias(f"{c}_doc"))
     close = links(centre.select("family", "fp", "weight"), radius).join(to("a"), ["family", "a"]).join(to("b"), ["family", "b"]).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
-    pairs = alike.unionByName(close).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    member = shared_buckets(buckets(docs, width))
+    pairs = alike.unionByName(close).unionByName(to_centres(member)).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
 
     ids = materialise(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "pair-ids")
     few = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
     # the filter is on the words: one on the shingles would be pushed below and evaluate them for every word
     sets = materialise(few.where("size(w) > 0").select("doc_id", F.array_distinct(shingles(F.col("w"), width)).alias("s")), "shingle-sets")
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return verified(pairs, sets, threshold)
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
