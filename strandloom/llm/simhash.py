@@ -206,6 +206,37 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return materialise(one.join(many, "bucket"), "bucket-members")
 
 
+#: Documents of a bucket that are compared with all its others in the first round of ``settled``, and how the bound grows.
+FIRST_CENTRES, GROWTH = 8, 8
+
+
+def settled(member: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``found`` and further links, so that no similar pair of a bucket of ``member`` (bucket, doc_id, n) is left in two components.
+
+    A bucket's documents have ranks by hash, from 0 to its size. In a round those below a bound are compared with the
+    bucket's others that links don't connect them with yet and that are not too much larger or smaller, and are done; the bound
+    grows until no bucket holds documents of two components. A group of copies is one component after the first links
+    and costs nothing here.
+    """
+    size = sets.select("doc_id", F.size("s").alias("size")).groupBy("doc_id").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    rank = F.pmod(F.xxhash64("bucket", "doc_id"), F.col("n")).alias("rank")
+    left = member.join(size, "doc_id").select("bucket", "doc_id", "low", "high", rank)
+    bound = FIRST_CENTRES
+    while True:
+        root = components(found, "a", "b").withColumnRenamed("node", "doc_id")
+        placed = materialise(left.join(root, "doc_id", "left").withColumn("part", F.coalesce("root", "doc_id")).drop("root"), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
+        open_ = materialise(placed.join(mixed, "bucket"), "open")
+        if not open_.take(1):
+            return found
+        x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "low", "high", "rank", "part"))) for side in "ab")
+        met = x.where(F.col("rank_a") < bound).join(y, "bucket").where((F.col("part_a") != F.col("part_b")) & (F.struct("rank_a", "doc_id_a") < F.struct("rank_b", "doc_id_b")) & (F.col("high_a") >= threshold * F.col("low_b")) & (F.col("high_b") >= threshold * F.col("low_a")))
+        pairs = materialise(met.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "open-pairs")
+        found = materialise(found.unionByName(verified(pairs, sets, threshold)), "links")
+        left = open_.where(F.col("rank") >= bound).drop("part")
+        bound *= GROWTH
+
+
 def to_centres(member: DataFrame) -> DataFrame:
     """Pairs (a, b) of each document of ``member`` with the document of its bucket that is in the fullest buckets."""
     ranked = member.join(member.groupBy("doc_id").agg(F.sum("n").alias("typical")), "doc_id")
@@ -225,9 +256,11 @@ def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int
 
     A few changed words change a document's word set little, so candidates are documents whose fingerprints of word
     sets lie within ``radius`` in one of several independent families; covering hashing finds all of these. Cut or
-    added passages change it more, so documents that share a MinHash bucket are candidates as well. Links are
+    added passages change it more, so documents that share a MinHash bucket are candidates as well. Links are first
     made towards a group's most typical document (whose fingerprints are the most frequent), not between all members,
-    so that a large group of copies costs a few links a member. Documents without words, or without an id, link to
+    so that a large group of copies costs a few links a member; the documents of a fingerprint or MinHash bucket that
+    are not connected then are compared with each other (``settled``), so the components are those of all its similar
+    pairs. Documents without words, or without an id, link to
     nothing; rows that repeat an id are one document.
     """
     long = materialise(word_sketches(docs, families).distinct(), "sketches")
@@ -239,7 +272,7 @@ def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int
     alike = ranked.join(centre.select("family", "fp", "centre"), ["family", "fp"]).select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
     to = lambda c: centre.select("family", F.col("fp").alias(c), F.col("centre").alias(f"{c}_doc"))
     close = links(centre.select("family", "fp", "weight"), radius).join(to("a"), ["family", "a"]).join(to("b"), ["family", "b"]).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
-    member = shared_buckets(buckets(docs, width))
+    member = shared_buckets(buckets(docs, width).unionByName(long.select(F.xxhash64("family", "fp").alias("bucket"), "doc_id")))
     pairs = alike.unionByName(close).unionByName(to_centres(member)).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
 
@@ -247,7 +280,7 @@ def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int
     few = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
     # the filter is on the words: one on the shingles would be pushed below and evaluate them for every word
     sets = materialise(few.where("size(w) > 0").select("doc_id", F.array_distinct(shingles(F.col("w"), width)).alias("s")), "shingle-sets")
-    return verified(pairs, sets, threshold)
+    return settled(member, materialise(verified(pairs, sets, threshold), "links"), sets, threshold)
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
