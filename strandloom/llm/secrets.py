@@ -27,9 +27,10 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
 # Weak parts: what they look like, and what must be in reach.
 KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
-IDENTIFIER = re.compile(r"""\b(?:access_?key_?id|client_?id|account_?(?:id|name)|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.I | re.A)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|account_?(?:id|name)|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.I | re.A)
 ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}|\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b)""", re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# a "=" before it ends a name (NAME=value); a run that a "=" follows is a name or part of a longer string, but for padding
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 #: Farthest that complementary parts may lie apart, in code points.
 REACH = 200
 #: Bits a character that an opaque string must have on average, besides a digit and letters of both cases.
