@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local session, as in tests, gets a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -37,10 +39,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose key is in ``ids``.
+def text_key(text: Column) -> Column:
+    """MD5 of a text as 16 bytes; null counts as empty. It tells rows apart where ids are null or repeat."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
-    ``ids`` is written first, so the planner broadcasts it only while its measured size is below the session's threshold and sort-merges beyond it.
+
+def drop_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text has its key in ``gone`` (key); columns unchanged, whatever the ids.
+
+    ``gone`` is written first, so the planner broadcasts it only while its measured size is below the session's threshold and sort-merges beyond it.
+    """
+    gone = materialise(gone.select(F.col("key").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, text_key(docs["text"]) == gone["_gone"], "left_anti")
+
+
+def one_of_each(docs: DataFrame, key: Column, doubles: DataFrame) -> DataFrame:
+    """``docs`` with one row for each ``key`` that is in ``doubles`` (key), all rows of others; columns unchanged.
+
+    The row of the smallest doc_id stays, null ids last; of rows alike in that the one whose JSON sorts first. The
+    rows of a key are reduced before they are shuffled, so one key may hold any share of them.
     """
-    gone = materialise(ids.select(F.col(key).alias("_gone")).where(F.col(key).isNotNull()).distinct(), "gone")
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    doubles = materialise(doubles.select(F.col("key").alias("_double")).distinct(), "doubles")
+    if not doubles.take(1):
+        return docs
+    marked = docs.withColumn("_key", key)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(row, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.to_json(row)))
+    several = marked.join(doubles, marked["_key"] == doubles["_double"], "left_semi").groupBy("_key").agg(first.alias("_row")).select("_row.*")
+    return marked.join(doubles, marked["_key"] == doubles["_double"], "left_anti").drop("_key").unionByName(several)

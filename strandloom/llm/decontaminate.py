@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialise, table
+from .common import drop_texts, materialise, table, text_key
 
 WIDTH, THRESHOLD, PERMUTATIONS = 5, 0.8, 64
 #: A candidate has this share of the sketch: half the threshold, far below what chance takes from a true containment.
@@ -64,15 +64,18 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
     """doc_id, item_id, n_shingles (distinct, of the item), n_found (of them in the document), containment; pairs at ``threshold`` or over.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Null and empty texts have no shingles and match nothing.
-    An item of fewer words than ``width`` is one shingle, found only in documents of just these words. Documents that
-    repeat an id are one document. No documents or no items give no rows. Other columns are ignored.
+    An item of fewer words than ``width`` is one shingle, found only in documents of just these words. Rows that repeat
+    an item_id are one item, of all their shingles; rows that repeat a doc_id are one document. Rows without an id are
+    left out, of either table (``clean`` does see documents without one). No documents or no items give no rows. Other
+    columns are ignored.
     """
-    item = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0").select("item_id", F.array_distinct(shingles(F.col("w"), width)).alias("s"))
+    rows = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0").select("item_id", F.explode(shingles(F.col("w"), width)).alias("h")).distinct()
+    item = rows.groupBy("item_id").agg(F.collect_list("h").alias("s"))  # distinct shingles of one item
     item = materialise(item.select("item_id", "s", F.size("s").alias("n"), F.ceil(F.log2(F.size("s"))).cast("int").alias("level")), "items")
     wanted = materialise(sketches(item, permutations), "sketches")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
-    texts = docs.select("doc_id", words(F.col("text").cast("string")).alias("w"))
+    texts = docs.where("doc_id is not null").select("doc_id", words(F.col("text").cast("string")).alias("w"))
     runs = texts.select("doc_id", F.greatest(F.size("w") - width + 1, F.lit(1)).alias("room"), F.explode(shingles(F.col("w"), width)).alias("h"))
     hits = runs.join(wanted, "h").where(F.col("room") >= F.ceil(F.col("lowest") * threshold)).select("doc_id", "item_id", "size", "h").distinct()
     pairs = hits.groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.col("size") * SHARE)
@@ -89,8 +92,9 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item; columns unchanged."""
-    return drop_ids(docs, contained(docs, items))
+    """``docs`` without the rows whose text contains an item; columns unchanged. A row goes by its text, whether its id is null or repeats."""
+    texts = docs.select(text_key(F.col("text")).alias("doc_id"), "text")
+    return drop_texts(docs, contained(texts, items).select(F.col("doc_id").alias("key")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids, fresh_path, materialise, shuffle_partitions
+from .common import fresh_path, materialise, one_of_each, shuffle_partitions
 
 
 def normalised(text: Column) -> Column:
@@ -53,13 +53,8 @@ class DigestIndex:
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
 
 
-def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Deduplicate ``docs`` (doc_id, text, ...) against ``index`` and append its new digests.
-
-    Returns one row per input row, dropped ones too: doc_id, keep_id, group_size (equal rows in this batch), kept,
-    text_sha256. The row that stays is the one the index already has, else the smallest doc_id of the batch. Null
-    texts count as empty. Rows that repeat a doc_id and text are one document: they share ``kept``. Null ids are kept
-    only in groups without any other id. An empty batch gives no rows. Other columns are ignored.
+def resolve(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame]:
+    """Digests of the rows of ``docs`` (doc_id, digest), and of the texts that occur more than once or that the index knew: digest, keep_id, n, was. Appends the new digests.
 
     Hot digests: groups are counted with partial aggregation, and the only join that carries every row has a plain
     shuffle on both sides, which adaptive execution splits.
@@ -68,9 +63,21 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     groups = materialise(seen.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "groups")
     old = index.rows().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("was"))
     resolved = groups.hint("merge").join(old, "digest", "left").select("digest", F.when(F.col("was"), F.col("old_id")).otherwise(F.col("first_id")).alias("keep_id"), "n", F.coalesce("was", F.lit(False)).alias("was"))
-    shared = materialise(resolved.where("n > 1 or was").select("digest", "keep_id", "n"), "shared")
+    shared = materialise(resolved.where("n > 1 or was"), "shared")
     index.append(groups.select("digest", F.col("first_id").alias("keep_id")))
-    found = seen.join(shared, "digest", "left")
+    return seen, shared
+
+
+def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """Deduplicate ``docs`` (doc_id, text, ...) against ``index`` and append its new digests.
+
+    Returns one row per input row, dropped ones too: doc_id, keep_id, group_size (equal rows in this batch), kept,
+    text_sha256. The row that stays is the one the index already has, else the smallest doc_id of the batch. Null
+    texts count as empty. Rows that repeat a doc_id and text are one document: they share ``kept``. Null ids are kept
+    only in groups without any other id. An empty batch gives no rows. Other columns are ignored.
+    """
+    seen, shared = resolve(docs, index)
+    found = seen.join(shared.select("digest", "keep_id", "n"), "digest", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",
@@ -82,9 +89,19 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """``docs`` without the rows that repeat an earlier text; columns unchanged."""
+    """``docs`` with one row of each text that ``index`` did not have; columns unchanged.
+
+    Of rows of equal texts the one of the smallest doc_id stays, null ids last; of rows that repeat an id and a text
+    just one. Rows that repeat an id with different texts are different documents.
+    """
     index = index or DigestIndex(docs.sparkSession, fresh_path(docs.sparkSession, "digest-index"))
-    return drop_ids(docs, ingest(docs, index).where("not kept"))
+    seen, shared = resolve(docs, index)
+    rows = docs.withColumn("_digest", digest(F.col("text")))
+    known = seen.join(shared.select("digest", "keep_id", "was"), "digest")
+    gone = materialise(known.where(F.col("was") | ~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_gone")).distinct(), "gone")
+    left = rows.join(gone, (rows["_digest"] == gone["_gone"]) & rows["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti").drop("_digest")
+    again = known.where(~F.col("was") & F.col("keep_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("digest").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return one_of_each(left, digest(F.col("text")), again)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

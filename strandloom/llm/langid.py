@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_ids
+from .common import drop_texts, text_key
 
 BUCKETS = 1 << 15
-#: At most this many documents of a language are learned from: those of the smallest xxhash64 of their id.
+#: At most this many documents of a language are learned from: those of the smallest xxhash64 of their id and text.
 TRAIN_DOCS = 1000
-STEPS = 8
+#: EM ends for a document when a step moves no proportion by more than TOLERANCE, or after STEPS.
+TOLERANCE, STEPS = 1e-3, 200
 UNKNOWN = "und"
 
 
@@ -72,10 +73,11 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.5 * per_language / n)).otherwise(share)
-    u = F.xxhash64("doc_id")
-    few = labelled.where(F.pmod(u, F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text", u.alias("u"), F.xxhash64("text").alias("t"))
-    edge = few.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("u", "t"))).alias("all")).select("lang", F.col("all")[F.least(F.size("all"), F.lit(per_language)) - 1].alias("last"))
-    few = few.join(F.broadcast(edge), "lang").where(F.struct("u", "t") <= F.col("last"))  # one row a language
+    u = F.xxhash64("doc_id", "text")
+    # rows alike in id and text count once, however many there are: the share bounds the others
+    few = labelled.where(F.pmod(u, F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text", u.alias("u")).dropDuplicates(["lang", "u"])
+    edge = few.groupBy("lang").agg(F.array_sort(F.collect_list("u")).alias("all")).select("lang", F.col("all")[F.least(F.size("all"), F.lit(per_language)) - 1].alias("last"))
+    few = few.join(F.broadcast(edge), "lang").where(F.col("u") <= F.col("last"))  # one row a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -98,10 +100,22 @@ def em(like: np.ndarray, doc: np.ndarray, n_words: np.ndarray, use: np.ndarray)
     """Proportions (documents x languages) and log-likelihoods; ``use`` tells which languages each document's mixture has."""
     starts = np.concatenate([[0], np.cumsum(n_words)[:-1]])
     share = use / use.sum(axis=1, keepdims=True)
-    for _ in range(STEPS):
-        r = like * share[doc]
+    # documents still moving, and their words
+    left, words, own, first = np.arange(len(share)), like, doc, starts
+    for step in range(STEPS):
+        now = share[left]
+        r = words * now[own]
         r /= r.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(r, starts, axis=0) / n_words[:, None]
+        new = np.add.reduceat(r, first, axis=0) / n_words[left][:, None]
+        share[left] = new
+        moving = np.abs(new - now).max(axis=1) > TOLERANCE
+        if not moving.any():
+            break
+        if moving.mean() < 0.7:
+            words = words[moving[own]]
+            left = left[moving]
+            own = np.repeat(np.arange(len(left)), n_words[left])
+            first = np.concatenate([[0], np.cumsum(n_words[left])[:-1]])
     total = np.log((like * share[doc]).sum(axis=1))
     return share, np.add.reduceat(total, starts)
 
@@ -167,5 +181,9 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those in no language (``und``); columns unchanged. Mixed documents stay."""
-    return drop_ids(docs, predict(docs, train(learnable(docs))).where(F.col("lang_pred") == UNKNOWN))
+    """``docs`` without those in no language (``und``); columns unchanged. Mixed documents stay.
+
+    A row goes by its text alone: null and empty texts go, whether ids are null or repeat.
+    """
+    texts = docs.select(text_key(F.col("text")).alias("doc_id"), "text")
+    return drop_texts(docs, predict(texts, train(learnable(docs))).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("key")))

@@ -36,6 +36,21 @@ def test_cut_and_lengthened_copies(spark):
     assert len(want) > 150 and got == want
 
 
+def test_large_group_costs_a_few_links_a_member(spark):
+    """600 copies of one text, a few words changed in each: one group, and far fewer links than pairs."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 5)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.similar(df).count() < 600 * 60
+    assert [r.doc_id for r in simhash.deduplicate(df).collect()] == [0]
+
+
 def test_no_pair_of_a_group_stays_uncompared(spark):
     """One bucket of 60 groups of four; the link to a centre holds for its own group alone."""
     rng = random.Random(8)
@@ -51,8 +66,8 @@ def test_no_pair_of_a_group_stays_uncompared(spark):
         for b in range(a):
             if part[a] != part[b] and same(a, b):
                 part = [part[b] if p == part[a] else p for p in part]
-    s = spark.createDataFrame(list(enumerate(sets)), "doc_id long, s array<long>")
-    member = s.select(F.lit(1).cast("long").alias("bucket"), "doc_id", F.lit(n).cast("long").alias("n"))
+    s = spark.createDataFrame(list(enumerate(sets)), "row long, s array<long>")
+    member = s.select(F.lit(1).cast("long").alias("bucket"), "row", F.lit(n).cast("long").alias("n"))
     to_first = simhash.verified(simhash.to_centres(member).where("a != b"), s, 0.8)
     root = {r.node: r.root for r in components(simhash.settled(member, to_first, s, 0.8), "a", "b").collect()}
     got = [root.get(i, i) for i in range(n)]
