@@ -20,9 +20,11 @@ task that is run again, or batches cut elsewhere, give the same samples.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,25 @@ SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+(?![^{SPACE}])|{SPACE}+(?=\n)|\n")
 SAMPLES, THETA, SEED = 3, 1.0, 1
 SLICE_CHARS = 400_000
-CACHE = 120_000  # lattices that a worker keeps; beyond it starts anew
+CACHE = 180_000  # lattices that a worker keeps (about 150 MB); beyond it, the half that was used most
 #: Siblings at nodes below this log-probability phi are left out: one of them reaches a value over -10 with probability
 #: e**(phi + 10), under 1e-15, and the k best values of a text lie far above.
 LOWEST = -45.0
 
 
+class Places(dict):
+    """Numbers chunks as they are first asked for; ``new`` has those whose lattices are still to be built."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model file, their log-weights, and bytes for what has no piece."""
 
@@ -83,13 +98,35 @@ class Vocabulary:
     def clear(self) -> None:
         """Forget all lattices."""
         self.room: dict[str, np.ndarray] = {}
-        self.place: dict[str, int] = {}  # of a chunk in the arrays by chunk
+        self.place = Places()  # of a chunk in the arrays by chunk
         self.names: list[str] = []
-        self.node0 = self.size = np.empty(0, np.int64)
-        self.count = self.first = np.empty(0, np.int64)  # by node, a chunk's last node has no edges
-        self.to = self.piece = self.owner = np.empty(0, np.int64)  # by edge: target in the chunk, piece (or -1 - place of a character without one), node
+        self.node0 = self.uses = np.empty(0, np.int64)  # by chunk: its first node, and how often it was asked for
+        # by node: number of edges (none at a chunk's last node) and the first of them
+        self.count, self.first = np.empty(0, np.int32), np.empty(0, np.int32)
+        # by edge: node it leads to, piece (or -1 - place of a character without one), node it starts from
+        self.to = self.piece = self.owner = np.empty(0, np.int32)
         self.q = self.upto = np.empty(0)  # log-probability of the edge at its node, and the sum of probabilities up to it
 
+    def trim(self) -> None:
+        """Keep the half of the lattices that was used most; what they were used counts half from now on."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 2])
+        ends = np.append(self.node0[1:], len(self.count))
+        sizes = (ends - self.node0)[keep]
+        nodes = ranges(self.node0[keep], sizes)
+        shift = np.repeat(self.node0[keep] - (np.cumsum(sizes) - sizes), sizes)  # how far each kept node moves
+        counts = self.count[nodes].astype(np.int64)
+        edges = ranges(self.first[nodes].astype(np.int64), counts)
+        moved = np.repeat(shift, counts)
+        old = {"count": counts, "first": np.cumsum(counts) - counts, "to": self.to[edges] - moved, "owner": self.owner[edges] - moved, "piece": self.piece[edges], "q": self.q[edges], "upto": self.upto[edges]}
+        names, uses = [self.names[i] for i in keep.tolist()], self.uses[keep] // 2
+        self.clear()
+        for n, c in enumerate(names):
+            self.place[c] = n
+        self.place.new.clear()
+        self.names = names
+        for name, x in (old | {"node0": np.cumsum(sizes) - sizes, "uses": uses}).items():
+            self.extend(name, x)
+
     def add(self, chunks: list[str]) -> None:
         """Build the lattices of new ``chunks``, all at once."""
         code, size = codes(chunks), np.array([len(c) for c in chunks], np.int64)
@@ -138,19 +175,17 @@ class Vocabulary:
         upto = np.cumsum(p)
         upto -= np.repeat((upto - p)[first[count > 0]], count[count > 0])
         upto[(first + count - 1)[count > 0]] = 2.0  # the last takes what rounding leaves
-        for c in chunks:
-            self.place[c] = len(self.place)
         self.names += chunks
         old_nodes, old_edges = len(self.count), len(self.to)
-        new = {"node0": node0 + old_nodes, "size": size, "count": count, "first": first + old_edges, "owner": node + shift[node] + old_nodes, "to": to - node0[shift[node]], "piece": piece, "q": q, "upto": upto}
+        new = {"node0": node0 + old_nodes, "uses": np.zeros(len(chunks), np.int64), "count": count, "first": first + old_edges, "owner": node + shift[node] + old_nodes, "to": to + old_nodes, "piece": piece, "q": q, "upto": upto}
         for name, x in new.items():
             self.extend(name, x)
 
     def extend(self, name: str, new: np.ndarray) -> None:
-        """Append to an array; room for it doubles, so that little is copied."""
+        """Append to an array; its room grows by half, so that little is copied."""
         old, room = len(getattr(self, name)), self.room.get(name)
         if room is None or old + len(new) > len(room):
-            self.room[name] = np.empty(2 * (old + len(new)), new.dtype)
+            self.room[name] = np.empty(3 * (old + len(new)) // 2, getattr(self, name).dtype)
             self.room[name][:old] = getattr(self, name)
             room = self.room[name]
         room[old : old + len(new)] = new
@@ -159,12 +194,13 @@ class Vocabulary:
     def lattices(self, parts: list[list[str]]) -> np.ndarray:
         """Places of the chunks of ``parts``, one after the other."""
         if len(self.place) > CACHE:
-            self.clear()
-        new = {c for p in parts for c in p if c not in self.place}
-        if new:
-            self.add(sorted(new))
-        place = self.place
-        return np.array([place[c] for p in parts for c in p], np.int64)
+            self.trim()
+        kind = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        if self.place.new:
+            self.add(self.place.new)
+            self.place.new = []
+        self.uses += np.bincount(kind, minlength=len(self.uses))
+        return kind
 
     def byte_ids(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -224,17 +260,15 @@ class Batch:
         self.text = np.repeat(np.arange(len(texts)), self.n_chunks)
         self.place = np.arange(len(self.text)) - self.first_chunk[self.text]
         self.kind = v.lattices(parts)
-        self.node0, self.size, self.first, self.count = v.node0, v.size, v.first, v.count
+        self.node0, self.first, self.count = v.node0, v.first, v.count
         self.to, self.piece, self.owner, self.q, self.upto = v.to, v.piece, v.owner, v.q, v.upto
 
     def walk(self, round_: int, chunk: np.ndarray, node: np.ndarray, step: np.ndarray) -> list[tuple]:
         """Run from ``node`` of each ``chunk`` to its end. For every node passed: chunk, step, chosen edge, and whether it had others."""
         seen = []
         while len(chunk):
-            kind = self.kind[chunk]
-            first, count = self.at(kind, node)
-            chosen = first.copy()
-            open_ = np.flatnonzero(count > 1)
+            chosen, forked = self.first[node].astype(np.int64), self.count[node] > 1
+            open_ = np.flatnonzero(forked)
             if len(open_):
                 u = uniform(self.seeds(round_, chunk[open_], step[open_]))
                 edge, more = chosen[open_], np.arange(len(open_))
@@ -242,20 +276,16 @@ class Batch:
                     more = more[u[more] >= self.upto[edge[more]]]
                     edge[more] += 1
                 chosen[open_] = edge
-            seen.append((chunk, step, chosen, count > 1))
+            seen.append((chunk, step, chosen, forked))
             node, step = self.to[chosen], step + 1
-            on = np.flatnonzero(node < self.size[kind])
+            on = np.flatnonzero(self.count[node])
             chunk, node, step = chunk[on], node[on], step[on]
         return seen
 
-    def at(self, kind: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        node = self.node0[kind] + node
-        return self.first[node], self.count[node]
-
     def seeds(self, round_: int, chunk: np.ndarray, step: np.ndarray) -> np.ndarray:
-        """A number for each place of each text: a function of key, round and place alone."""
-        place = (self.place[chunk] << 20) + (step << 6) + (round_ << 56)
-        return self.keys[self.text[chunk]] ^ place.view(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        """A number for each place of each text: a function of key, round and place alone, whatever their sizes."""
+        place = self.place[chunk].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return self.keys[self.text[chunk]] ^ (place + np.uint64(round_ * 0xA0761D6478BD642F & (1 << 64) - 1))
 
     def samples(self, k: int) -> tuple[list[list[tuple]], np.ndarray]:
         """For each text its samples (chunk order edges, log-probability, perturbed value), best first, and the bound: the next best perturbed value."""
@@ -311,15 +341,15 @@ class Batch:
             old_edge += [p["edge"][idx], live["edge"][mine]]
             c = p["chunk"][branch]
             node = self.to[live["edge"][mine]]
-            on = node < self.size[self.kind[c]]
+            on = self.count[node] > 0
             later = self.first_chunk[t] + self.n_chunks[t] - c - 1
             more = ranges(c + 1, later)
             chunk0 += [c[on], more]
-            node0 += [node[on], np.zeros(len(more), np.int64)]
+            node0 += [node[on], self.node0[self.kind[more]]]
             step0 += [p["step"][branch][on] + 1, np.zeros(len(more), np.int64)]
         if round_ == 0:
             every = np.arange(len(self.kind))
-            chunk0, node0, step0 = [every], [np.zeros(len(every), np.int64)], [np.zeros(len(every), np.int64)]
+            chunk0, node0, step0 = [every], [self.node0[self.kind]], [np.zeros(len(every), np.int64)]
         join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
         seen = self.walk(round_, join(chunk0), join(node0), join(step0))
         new_chunk, new_step, new_edge, forked = (join([s[i] for s in seen]) for i in range(4))
@@ -348,7 +378,7 @@ class Batch:
         at = path["fresh"]
         chunk, step, chosen = path["chunk"][at], path["step"][at], path["edge"][at]
         node = self.owner[chosen]
-        first, count = self.first[node], self.count[node]
+        first, count = self.first[node].astype(np.int64), self.count[node].astype(np.int64)
         nth = ranges(np.zeros(len(at), np.int64), count)
         own = np.repeat(np.arange(len(at)), count)
         edge = first[own] + nth
@@ -441,8 +471,9 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def default_path() -> str:
-    return "/opt/tokenizers/piece_bpe_32k.model"
+    """The vocabulary file of the queries: ``STRANDLOOM_PIECES`` in the driver's environment, else a public one of 32,000 pieces."""
+    return os.environ.get("STRANDLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
-def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return encode(docs, default_path())
+def query(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
+    return encode(docs, path or default_path())

@@ -285,38 +285,84 @@ def test_articles_of_the_pages_table(spark):
         assert html_extract.main_text(r.html, model) == "\n".join(p for p in parts if p)
 
 
+def segmentations(word):
+    """Every segmentation of a word with its log-probability: pieces looked up one by one, weights by Zipf's law over the merge ranks."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.default_path())
+    n = model.get_piece_size()
+    plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    scores = sorted({model.get_score(i) for i in plain}, reverse=True)
+    weight = {model.id_to_piece(i): (i, -math.log(scores.index(model.get_score(i)) + 10)) for i in plain if model.id_to_piece(i) in word}
+
+    def rest(at):
+        if at == len(word):
+            yield (), 0.0
+        for end in range(at + 1, len(word) + 1):
+            if word[at:end] in weight:
+                i, w = weight[word[at:end]]
+                for ids, total in rest(end):
+                    yield (i, *ids), w + total
+
+    every = dict(rest(0))
+    z = math.log(sum(map(math.exp, every.values())))
+    return {ids: w - z for ids, w in every.items()}
+
+
 def test_sampling_without_replacement():
     v = sentence_pieces.vocabulary(sentence_pieces.default_path())
-    v.lattices([["▁hello"]])
-    k = v.place["▁hello"]
-
-    def paths(i):
-        if i == 5 + 1:
-            yield (), 0.0
-            return
-        at = v.node0[k] + i
-        for e in range(v.first[at], v.first[at] + v.count[at]):
-            for rest, lp in paths(int(v.to[e])):
-                yield (int(v.piece[e]), *rest), lp + v.q[e]
-
-    every = dict(paths(0))
-    assert math.isclose(sum(map(math.exp, every.values())), 1)
-    n = 20_000
-    got = sentence_pieces.sample_batch(v, ["hello"] * n, np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64), 2)
+    every = segmentations("▁hello")
+    assert len(every) > 10
+    n, k = 20_000, 2
+    got = sentence_pieces.sample_batch(v, ["hello"] * n, np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64), k)
     at = np.concatenate([[0], np.cumsum(got["size"])])
-    seen = defaultdict(dict)
+    seen, values = defaultdict(dict), defaultdict(dict)
+    estimate, square = Counter(), Counter()
     for i, (r, s) in enumerate(zip(got["row"], got["sample"])):
-        seen[r][s] = tuple(got["ids"][at[i] : at[i + 1]].tolist())
-        assert math.isclose(got["log_prob"][i], every[seen[r][s]], abs_tol=1e-9)
+        ids = seen[r][s] = tuple(got["ids"][at[i] : at[i + 1]].tolist())
+        values[r][s] = got["perturbed"][i]
+        assert math.isclose(got["log_prob"][i], every[ids], abs_tol=1e-9) and 0 < got["inclusion"][i] <= 1
+        # the reciprocal of the inclusion score estimates 1 for each segmentation without bias
+        estimate[ids] += 1 / got["inclusion"][i]
+        square[ids] += 1 / got["inclusion"][i] ** 2
+    assert all(x[0] != x[1] for x in seen.values()) and all(x[0] >= x[1] for x in values.values())
     pairs = Counter((x[0], x[1]) for x in seen.values())
-    top = sorted(every, key=every.get)[-3:]
+    top = sorted(every, key=every.get)[-4:]
     for a in top:
+        assert abs(estimate[a] / n - 1) < 5 * math.sqrt(square[a]) / n
         for b in top:
             if a != b:
                 want = math.exp(every[a] + every[b]) / (1 - math.exp(every[a]))
                 assert abs(pairs[a, b] / n - want) < 5 * math.sqrt(want / n)
 
 
+def test_inclusion_is_one_when_nothing_is_left_out():
+    v = sentence_pieces.vocabulary(sentence_pieces.default_path())
+    every = segmentations("▁it")
+    got = sentence_pieces.sample_batch(v, ["it"], np.array([5], np.uint64), len(every) + 3)
+    at = np.concatenate([[0], np.cumsum(got["size"])])
+    assert {tuple(got["ids"][at[i] : at[i + 1]].tolist()) for i in range(len(at) - 1)} == set(every)
+    assert (got["inclusion"] == 1).all()
+
+
+def test_lattices_are_kept_and_forgotten(monkeypatch):
+    """Samples don't depend on what a worker has kept; a very long word is a lattice like any other."""
+    path = sentence_pieces.default_path()
+    texts = ["some words and others", "x" * 20_000, "些" * 3000 + "y" * 17_000, "words that others had", "and some more words"] * 3
+    keys = np.arange(len(texts)).astype(np.uint64)
+    whole = sentence_pieces.sample_batch(sentence_pieces.Vocabulary(path), texts, keys, 2)
+    monkeypatch.setattr(sentence_pieces, "CACHE", 6)
+    v = sentence_pieces.Vocabulary(path)
+    at = np.concatenate([[0], np.cumsum(whole["size"])])
+    for i, t in enumerate(texts):
+        alone = sentence_pieces.sample_batch(v, [t], keys[i : i + 1], 2)
+        rows = np.flatnonzero(whole["row"] == i)
+        assert alone["ids"].tolist() == [x for j in rows for x in whole["ids"][at[j] : at[j + 1]].tolist()]
+        assert np.allclose(alone["log_prob"], whole["log_prob"][rows]) and np.allclose(alone["inclusion"], whole["inclusion"][rows])
+        assert v.decode(alone["ids"][: alone["size"][0]]) == t
+    assert len(v.place) <= 6 + 5
+
+
 def test_samples_do_not_depend_on_batches():
     v = sentence_pieces.vocabulary(sentence_pieces.default_path())
     texts = ["one two  three", "", "zażółć gęślą\njaźń", "▁ literal ▁", "😀 tab\t"]
