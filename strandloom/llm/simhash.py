@@ -12,12 +12,14 @@ and meets its neighbours there. That is linear in the number of fingerprints and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_texts, materialise, one_of_each, shuffle_partitions, text_key
@@ -205,35 +207,47 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return materialise(rows.join(many, "bucket"), "bucket-members")
 
 
-#: Members of a bucket that are compared with all its others in the first round of ``settled``, and how the bound grows.
-FIRST_CENTRES, GROWTH = 8, 8
+#: Words of 64 bits in the parity sketch of a set.
+PARITY = 16
+
+
+def parities(s: str) -> Column:
+    """A sketch of the set in column ``s`` (array of hashes): each hash flips one of 64 x PARITY bits.
+
+    Sets that differ in d hashes differ in at most d bits, so pairs too far apart are told without a look at the sets,
+    and no similar pair is lost.
+    """
+    flip = lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 8), F.lit(64)).cast("int")))
+    word = lambda w: F.aggregate(F.filter(s, lambda h: F.pmod(h, F.lit(PARITY)) == w), F.lit(0).cast("long"), flip)
+    return F.array(*[word(w) for w in range(PARITY)])
 
 
 def settled(member: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``found`` and further links, so that no similar pair of a bucket of ``member`` (bucket, row, n) is left in two components.
+    """``found`` and further links, so that no similar pair of a bucket of ``member`` (bucket, row) is left in two components.
 
-    A bucket's members have ranks by hash, from 0 to its size. In a round those below a bound are compared with the
-    bucket's others that links don't connect them with yet and that are not too much larger or smaller, and are done; the bound
-    grows until no bucket holds members of two components. A group of copies is one component after the first links
-    and costs nothing here.
+    Rows of buckets that still hold several components are joined by prefixes: two sets of a similarity of at least
+    ``threshold`` share one of their rarest shingles, of each as many as it may lack in the other and one more. Passages
+    that many texts share are not among the rarest, so they bring no pairs together. Only pairs of two components whose
+    sizes and parity sketches allow the similarity are compared; a group of copies is one component by now.
     """
-    size = sets.select("row", F.size("s").alias("size"))
-    rank = F.pmod(F.xxhash64("bucket", "row"), F.col("n")).alias("rank")
-    left = member.join(size, "row").select("bucket", "row", "size", rank)
-    bound = FIRST_CENTRES
-    while True:
-        root = components(found, "a", "b").withColumnRenamed("node", "row")
-        placed = materialise(left.join(root, "row", "left").withColumn("part", F.coalesce("root", "row")).drop("root"), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-        open_ = materialise(placed.join(mixed, "bucket"), "open")
-        if not open_.take(1):
-            return found
-        x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "size", "rank", "part"))) for side in "ab")
-        met = x.where(F.col("rank_a") < bound).join(y, "bucket").where((F.col("part_a") != F.col("part_b")) & (F.struct("rank_a", "row_a") < F.struct("rank_b", "row_b")) & (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a")))
-        pairs = materialise(met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct(), "open-pairs")
-        found = materialise(found.unionByName(verified(pairs, sets, threshold)), "links")
-        left = open_.where(F.col("rank") >= bound).drop("part")
-        bound *= GROWTH
+    root = components(found, "a", "b").withColumnRenamed("node", "row")
+    placed = materialise(member.select("bucket", "row").join(root, "row", "left").select("bucket", "row", F.coalesce("root", "row").alias("part")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
+    open_ = materialise(placed.join(mixed, "bucket").select("row", "part").distinct().join(sets, "row").select("row", "part", "s"), "open")
+    sketch = materialise(open_.select("row", "part", F.size("s").alias("size"), parities("s").alias("bits")), "parities")
+    each = open_.select("row", F.size("s").alias("size"), "part", F.explode("s").alias("h"))
+    many = materialise(each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("h", "df"), "shared-shingles")
+    # shingles of one component alone bring nothing together: they count among the rarest but need no place in the join
+    common = each.join(many, "h").groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    room = F.col("size") - F.ceil(F.col("size") * threshold) + 1 - (F.col("size") - F.size("hs"))
+    rarest = common.where(room > 0).select("row", F.explode(F.slice("hs", 1, room.cast("int"))).alias("x")).select("row", F.col("x.h").alias("h"))
+    prefix = materialise(rarest.join(sketch, "row"), "prefixes")
+    x, y = (prefix.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("row", "part", "size", "bits"))) for side in "ab")
+    apart = reduce(add, [F.bit_count(F.col("bits_a")[w].bitwiseXOR(F.col("bits_b")[w])) for w in range(PARITY)])
+    most = (F.col("size_a") + F.col("size_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    met = x.join(y, "h").where((F.col("part_a") < F.col("part_b")) & (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a")) & (apart <= most))
+    pairs = materialise(met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct(), "open-pairs")
+    return found.unionByName(verified(pairs, sets, threshold))
 
 
 def to_centres(member: DataFrame) -> DataFrame:
@@ -276,8 +290,8 @@ def similar(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int
     A few changed words change a text's word set little, so candidates are texts whose fingerprints of word sets lie
     within ``radius``, found by covering. Cut or added passages change it more, so texts that share a MinHash bucket of
     their shingles are candidates as well. In each bucket of either kind members are first compared with one of them
-    alone, which is linear in its size; members of a MinHash bucket that are not connected then are compared with each
-    other (``settled``). So not every similar pair gets a link, but the components are those of all similar pairs that
+    alone, which is linear in its size; members of a MinHash bucket that are not connected then meet by their rarest
+    shingles (``settled``). So not every similar pair gets a link, but the components are those of all similar pairs that
     share a MinHash bucket (0.9999 of those at 0.8, more above). Texts without words link to nothing; equal texts are
     one, of the smallest doc_id; texts without an id have null there.
     """
