@@ -68,21 +68,6 @@ def match_positions(pattern: Column, a: Column) -> Column:
     return F.filter(F.transform(head, follow), lambda m: F.size(m) == F.size(pattern))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table per item of ``a``, kept in the JVM."""
-    zero = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(now: Column, j: Column) -> Column:
-            same = F.get(b, j) == x
-            best = F.when(same, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(now, -1)))
-            return F.concat(now, F.array(best))
-
-        return F.aggregate(F.filter(F.sequence(F.lit(0), F.size(b)), lambda j: j < F.size(b)), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(a, zero, row), -1)
-
-
 def common_prefix_length(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     same = lambda i: a.substr(F.lit(1), i) == b.substr(F.lit(1), i)

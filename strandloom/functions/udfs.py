@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +36,61 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else lcs_items(list(x), list(y)) for x, y in zip(a, b)])
 
 
-@F.pandas_udf(STRINGS)
-def lcs_many(sequences: pd.Series) -> pd.Series:
-    """Common subsequence of several sequences, folded pair by pair from the shortest: small sets only."""
+def lcs_size(a: list, b: list) -> int:
+    """Length of a longest common subsequence: a row of the table is one integer, a bit an item of ``b``."""
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        same = row & at.get(x, 0)
+        row = (row + same | row - same) & full
+    return len(b) - row.bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else lcs_size(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
+
+
+#: Cells that the table of ``lcs_many`` may have.
+CELLS = 500_000
+
+
+def lcs_of_all(rows: list[list]) -> list:
+    """A longest sequence that is a subsequence of every one of ``rows``: the table over all of them at once.
+
+    It has a cell for each combination of positions, so it is for a few short sequences; more cells than ``CELLS`` raise.
+    """
+    if not rows or not all(rows):
+        return []
+    cells = 1
+    for r in rows:
+        cells *= len(r) + 1
+    if cells > CELLS:
+        raise ValueError(f"{cells} cells")
+    best: dict[tuple, int] = {}
+    places = list(product(*[range(len(r) - 1, -1, -1) for r in rows]))
+    for at in places:
+        if len({r[i] for r, i in zip(rows, at)}) == 1:
+            best[at] = best.get(tuple(i + 1 for i in at), 0) + 1
+        else:
+            best[at] = max(best.get((*at[:k], at[k] + 1, *at[k + 1 :]), 0) for k in range(len(at)))
+    at, out = (0,) * len(rows), []
+    while best.get(at, 0):
+        if len({r[i] for r, i in zip(rows, at)}) == 1:
+            out.append(rows[0][at[0]])
+            at = tuple(i + 1 for i in at)
+        else:
+            at = next(b for k in range(len(at)) if best.get(b := (*at[:k], at[k] + 1, *at[k + 1 :]), 0) == best[at])
+    return out
 
-    def fold(rows):
-        rows = sorted((list(r) for r in rows), key=lambda r: (len(r), r))
-        out = rows[0] if rows else []
-        for r in rows[1:]:
-            out = lcs_items(out, r)
-        return out
 
-    return pd.Series([None if s is None else fold(s) for s in sequences])
+@F.pandas_udf(STRINGS)
+def lcs_many(sequences: pd.Series) -> pd.Series:
+    """Longest common subsequence of several sequences (a few short ones, see ``lcs_of_all``)."""
+    return pd.Series([None if s is None else lcs_of_all([list(r) for r in s]) for s in sequences])
 
 
 def weighted_edits(s, t, delete: float, insert: float, change: float) -> float:

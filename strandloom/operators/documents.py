@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.predicates import Predicate
+from ..state import numbered
 
 
 def build(events: DataFrame, order: list[str], doc: str = "doc_id") -> DataFrame:
@@ -88,20 +89,15 @@ def running_counts(events: DataFrame, order: list[str], doc: str = "doc_id") ->
 
 
 def vocabulary(tokens: DataFrame, token: str, size: int | None = None) -> DataFrame:
-    """token, n and index from 1: the most frequent first, of equal ones by token.
-
-    The ranking needs one order over the token types; there are far fewer of these than tokens.
-    """
+    """token, n and index from 1: the most frequent first, of equal ones by token. With ``size`` only the first so many, found by a distributed top-n."""
     counts = tokens.groupBy(F.col(token).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("index", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
-    return ranked.where(F.col("index") <= size) if size else ranked
+    order = [F.desc("n"), F.col("token")]
+    if size:
+        return counts.orderBy(*order).limit(size).withColumn("index", F.row_number().over(Window.orderBy(*order)))  # ``size`` rows
+    return numbered(counts, order, start=1).withColumn("index", F.col("index").cast("int"))
 
 
 def unroll(visits: DataFrame, column: str = "visits") -> DataFrame:
-    """One row per choice of a code from each visit, the codes joined by a space: successive explodes over array<array<string>>."""
-    out = visits.withColumn("_left", F.col(column)).withColumn("sentence", F.lit(""))
-    while out.where(F.size("_left") > 0).take(1):
-        first = F.when(F.size("_left") > 0, F.get("_left", F.lit(0))).otherwise(F.array(F.lit("")))
-        rest = F.slice("_left", 2, F.greatest(F.size("_left") - 1, F.lit(0)))
-        out = out.withColumn("_pick", F.explode(first)).withColumn("sentence", F.trim(F.concat_ws(" ", "sentence", "_pick"))).withColumn("_left", rest).drop("_pick")
-    return out.drop("_left")
+    """One row per choice of a code from each visit, the codes joined by a space, over array<array<string>>; an empty visit adds nothing."""
+    add = lambda done, visit: F.flatten(F.transform(done, lambda s: F.transform(F.when(F.size(visit) > 0, visit).otherwise(F.array(F.lit(""))), lambda c: F.trim(F.concat_ws(" ", s, c)))))
+    return visits.withColumn("sentence", F.explode(F.aggregate(F.col(column), F.array(F.lit("")), add)))

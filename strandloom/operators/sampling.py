@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..state import numbered, written
+from . import stats
+
 
 def hashed(key: Column, seed: int = 53) -> Column:
     """A portable pseudo-random order: md5 of key and seed."""
@@ -32,10 +35,14 @@ def round_robin(df: DataFrame, group: str, n: int, order: list[Column]) -> DataF
 
 
 def one_per_interval(df: DataFrame, value: str, intervals: int, key: str, seed: int = 53) -> DataFrame:
-    """The values in order cut in equal intervals; of each the row whose hash is smallest. ``df`` is a bounded set of scores."""
-    cut = df.withColumn("interval", F.ntile(intervals).over(Window.orderBy(value, key)))
-    w = Window.partitionBy("interval").orderBy(hashed(F.col(key), seed))
-    return cut.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The values in order cut in ``intervals`` parts of equal count (the first take the remainder); of each the row whose hash is smallest."""
+    n = df.count()
+    size, more = divmod(n, intervals)
+    at = F.col("_at")
+    first = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / max(size, 1)))
+    cut = numbered(df, [value, key], "_at").withColumn("interval", (first + 1).cast("int")).drop("_at")
+    row = F.struct(*[F.col(f"`{c}`") for c in cut.columns])
+    return cut.groupBy("interval").agg(F.min_by(row, hashed(F.col(key), seed)).alias("_r")).select("_r.*")
 
 
 def split(df: DataFrame, label: str, ratios: list[float], key: str, seed: int = 53) -> DataFrame:
@@ -55,22 +62,35 @@ def split(df: DataFrame, label: str, ratios: list[float], key: str, seed: int =
 
 def interval(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """mean, median, sample std, and the values at index int(p n) of the sorted ones (no interpolation)."""
-    got = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.array_sort(F.collect_list(value)).alias("_s"))
-    at = lambda p: F.get("_s", F.least((F.size("_s") * p).cast("int"), F.size("_s") - 1))
-    return got.select(*keys, "mean", "median", "std", at(low).alias("low"), at(high).alias("high"))
+    got = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    mid = stats.quantiles(df, keys, F.col(value), {"median": 0.5}).drop("n_values")
+    ends = stats.quantiles(df, keys, F.col(value), {"low": low, "high": high}, interpolate=False).drop("n_values")
+    return got.join(mid, keys, "left").join(ends, keys, "left").select(*keys, "mean", "median", "std", "low", "high")
 
 
 def weighted_pick(df: DataFrame, weight: str, order: str, points: list[float]) -> DataFrame:
-    """For each point in [0, 1) the row in which the running share of the weights passes it (bounded tables)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = df.withColumn("_hi", F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy())).withColumn("_lo", F.col("_hi") - F.col(weight) / F.sum(weight).over(Window.partitionBy()))
-    return runs.withColumn("point", F.explode(F.array(*[F.lit(p) for p in points]))).where((F.col("point") >= F.col("_lo")) & (F.col("point") < F.col("_hi"))).drop("_lo", "_hi")
+    """For each point in [0, 1) the row in which the running share of the weights passes it.
+
+    Rows are summed by ranges of the order; the running sum over the ranges (a row a task) tells each range its start.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    runs = written(dealt.withColumn("_run", F.sum(weight).over(w)), "runs")
+    sums = runs.groupBy("_part").agg(F.max("_run").alias("s")).orderBy("_part").collect()  # a row a task
+    total, starts, at = sum(r["s"] for r in sums), [], 0.0
+    for r in sums:
+        starts.append((r["_part"], float(at)))
+        at += r["s"]
+    first = F.broadcast(spark.createDataFrame(starts, "_part int, _start double"))
+    shares = runs.join(first, "_part").withColumn("_hi", (F.col("_start") + F.col("_run")) / F.lit(float(total))).withColumn("_lo", F.col("_hi") - F.col(weight) / F.lit(float(total)))
+    found = shares.withColumn("point", F.explode(F.array(*[F.lit(p) for p in points]))).where((F.col("point") >= F.col("_lo")) & (F.col("point") < F.col("_hi")))
+    return found.drop("_lo", "_hi", "_part", "_run", "_start")
 
 
 def draws(ids: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """n draws with replacement: hashed indices joined with the rows' numbers."""
     spark = ids.sparkSession
     total = ids.count()
-    numbered = ids.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
     picks = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_i"))
-    return picks.join(numbered, "_i").drop("_i")
+    return picks.join(numbered(ids, [key], "_i"), "_i").drop("_i")

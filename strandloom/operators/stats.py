@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column, shares: dict[str, float], interpolate: bool = True) -> DataFrame:
+    """Per group the exact quantiles of ``value`` (nulls left out) by name, and n_values.
+
+    Rows are counted by value before anything is ordered, so a group's window sees its distinct values alone. Between
+    two places a quantile is interpolated; without ``interpolate`` it is the value at index int(share * n).
+    """
+    counts = df.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*(keys or [F.lit(1)]))
+    run = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    first_past = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_v")))
+    out = []
+    for name, p in shares.items():
+        at = F.round((F.col("_n") - int(interpolate)) * F.lit(float(p)), 9)  # a share such as 0.975 is not exact
+        low = first_past(F.least(F.floor(at), F.col("_n") - 1))
+        if interpolate:
+            part = F.max(at - F.floor(at))
+            low = low + (first_past(F.ceil(at)) - low) * part
+        out.append(low.alias(name))
+    return run.groupBy(*keys).agg(*out, F.max("_n").alias("n_values"))
 
 
 def with_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``df`` with its group's size, median and median absolute deviation: two aggregations joined back on the keys."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"), F.count(value).alias("n_values"))
-    near = df.join(med, keys)
-    mad = near.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    """``df`` with its group's size, median and median absolute deviation, joined back on the keys."""
+    near = df.join(quantiles(df, keys, F.col(value), {"med": 0.5}), keys)
+    mad = quantiles(near, keys, F.abs(F.col(value) - F.col("med")), {"mad": 0.5}).drop("n_values")
     return near.join(mad, keys)
 
 
@@ -21,7 +42,8 @@ def modified_z(value: Column, med: Column, mad: Column) -> Column:
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """mean, median, population std, min, max and count."""
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n_sample"))
+    plain = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n_sample"))
+    return plain.join(quantiles(df, keys, F.col(value), {"median": 0.5}).drop("n_values"), keys, "left")
 
 
 def lab_stats(df: DataFrame, keys: list[str], value: str, threshold: float = 2.5, more_than: int = 5) -> DataFrame:
@@ -33,9 +55,10 @@ def lab_stats(df: DataFrame, keys: list[str], value: str, threshold: float = 2.5
 
 def double_mad_outliers(df: DataFrame, keys: list[str], value: str, threshold: float = 3.5) -> DataFrame:
     """Rows whose deviation over the MAD of their own side of the median is over the threshold."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"))
+    med = quantiles(df, keys, F.col(value), {"med": 0.5}).drop("n_values")
     x = df.join(med, keys).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    sides = x.groupBy(*keys).agg(F.median(F.when(F.col(value) <= F.col("med"), F.col("dev"))).alias("left_mad"), F.median(F.when(F.col(value) >= F.col("med"), F.col("dev"))).alias("right_mad"))
+    side = lambda c, name: quantiles(x, keys, F.when(c, F.col("dev")), {name: 0.5}).drop("n_values")
+    sides = side(F.col(value) <= F.col("med"), "left_mad").join(side(F.col(value) >= F.col("med"), "right_mad"), keys, "full")
     x = x.join(sides, keys)
     mad = F.when(F.col(value) <= F.col("med"), F.col("left_mad")).otherwise(F.col("right_mad"))
     return x.where((F.col("dev") > 0) & (F.lit(0.6745) * F.col("dev") / F.nullif(mad, F.lit(0.0)) > threshold))
@@ -44,7 +67,7 @@ def double_mad_outliers(df: DataFrame, keys: list[str], value: str, threshold: f
 def central(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
     """Rows inside the central share of their group, with its bounds."""
     low = (1 - share) / 2
-    bounds = df.groupBy(*keys).agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(1 - low)).alias("high"))
+    bounds = quantiles(df, keys, F.col(value), {"low": low, "high": 1 - low}).drop("n_values")
     return df.join(bounds, keys).where(F.col(value).between(F.col("low"), F.col("high")))
 
 

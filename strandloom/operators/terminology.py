@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 64) -> DataFrame:
-    """node, ancestor and depth (0 for itself) of an acyclic hierarchy, by a recursive query."""
-    view = f"edges_{uuid.uuid4().hex}"
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView(view)
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE nodes AS (SELECT c AS n FROM {view} UNION SELECT p FROM {view}),
-        up(node, ancestor, depth) AS (
-          SELECT n, n, 0 FROM nodes UNION ALL
-          SELECT up.node, e.p, up.depth + 1 FROM up JOIN {view} e ON up.ancestor = e.c WHERE up.depth < {depth})
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor"""
-    )
+from ..state import written
+
+
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """node, ancestor and depth (the shortest way up, 0 for itself) of an acyclic hierarchy of any depth and size.
+
+    Ways are doubled: a round joins those of up to 2^k steps with each other, so a chain of n nodes takes log2(n)
+    rounds. Each round is written, as it is read twice. A cycle raises.
+    """
+    e = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).dropna().distinct(), "edges")
+    ways, before = e.withColumn("depth", F.lit(1).cast("long")), None
+    while True:
+        n, steps, loops = ways.agg(F.count(F.lit(1)), F.sum("depth"), F.count(F.when(F.col("node") == F.col("ancestor"), 1))).first()  # one row
+        if loops:
+            raise ValueError("the hierarchy has a cycle")
+        if (n, steps) == before:
+            break
+        before = (n, steps)
+        on = ways.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
+        longer = ways.join(on, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        ways = written(ways.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "ways")
+    nodes = e.select("node").union(e.select("ancestor")).distinct()
+    return ways.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth"))).withColumn("depth", F.col("depth").cast("int"))
 
 
 def descendants(all_: DataFrame, roots: DataFrame, own: bool = True) -> DataFrame:

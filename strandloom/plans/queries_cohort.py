@@ -72,38 +72,20 @@ def labelled(spark, sf):
     return cohort.fill_labels(d, lab, "doc_id", "label")
 
 
-@register("range_partition_scan", "SELECT CAST(floor((o_custkey - 1) / 150) AS INT) AS part, count(*) AS n, min(o_custkey) AS low, max(o_custkey) AS high FROM orders WHERE o_custkey >= 1 AND o_custkey < 1501 GROUP BY 1")
+@register("range_partition_scan", "SELECT CAST(floor((o_custkey - lo) / ceil((hi - lo + 1) / 10)) AS INT) AS part, count(*) AS n, min(o_custkey) AS low, max(o_custkey) AS high FROM orders, (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders) GROUP BY 1")
 def ranges(spark, sf):
-    return _ranges(table(spark, sf, "orders"), 1, 1501)
-
-
-def _ranges(orders, low, high):
-    return cohort.in_ranges(orders, "o_custkey", low, high, 10).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"))
-
-
-@register("range_partition_scan_whole")
-def all_ranges(spark, sf):
-    """All orders, in ten ranges between the table's smallest and largest customer; the SQL of range_partition_scan reads [1, 1501)."""
+    """All orders, in ten ranges between the table's smallest and largest customer."""
     orders = table(spark, sf, "orders")
     low, high = orders.agg(F.min("o_custkey"), F.max("o_custkey")).first()  # one row
-    return _ranges(orders, 0, 1) if low is None else _ranges(orders, low, high + 1)
+    inside = cohort.in_ranges(orders, "o_custkey", low or 0, (high or 0) + 1, 10)
+    return inside.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"))
 
 
-@register("theta_group_leaders", """WITH s AS (SELECT l_orderkey, l_suppkey % 7 AS entity, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS attrs FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1, 2),
+@register("theta_group_leaders", """WITH s AS (SELECT l_orderkey, l_suppkey % 7 AS entity, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS attrs FROM lineitem GROUP BY 1, 2),
   k AS (SELECT entity, array_to_string(attrs, ',') AS id, attrs FROM s GROUP BY ALL)
   SELECT a.entity, a.id, arg_min(b.id, lpad(CAST(100 - len(b.attrs) AS VARCHAR), 3, '0') || b.id) AS leader FROM k a JOIN k b ON a.entity = b.entity AND list_has_all(b.attrs, a.attrs) GROUP BY 1, 2""")
 def leaders(spark, sf):
-    return _leaders(table(spark, sf, "lineitem").where("l_orderkey <= 2000"))
-
-
-@register("theta_group_leaders_whole")
-def all_leaders(spark, sf):
-    """All orders; the SQL of theta_group_leaders stops at order 2000."""
-    return _leaders(table(spark, sf, "lineitem"))
-
-
-def _leaders(lineitem):
-    rows = lineitem.groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("entity")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("attrs"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 7).alias("entity")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("attrs"))
     kinds = rows.select("entity", "attrs").distinct().withColumn("id", F.array_join("attrs", ",")).withColumn("key", F.struct("entity", "id"))
     return cohort.group_by_subset(kinds, "key", "entity", "attrs").select("key.entity", "key.id", F.col("leader.id").alias("leader"))
 
@@ -162,9 +144,10 @@ def complete(spark, sf):
 @register("slice_by_date", f"WITH {EV}, m AS (SELECT min(t) + CAST(floor((max(t) - min(t)) / 2) AS INT) AS mid FROM ev) SELECT doc_id, count(*) FILTER (WHERE t <= mid) AS n_prior, count(*) FILTER (WHERE t > mid) AS n_posterior FROM ev, m GROUP BY 1")
 def slice_date(spark, sf):
     e = events(spark, sf)
-    mid = e.agg(F.expr("date_add(min(t), cast(floor(datediff(max(t), min(t)) / 2) as int))").alias("mid"))
-    x = e.crossJoin(F.broadcast(mid))  # one row
-    return x.groupBy("doc_id").agg(F.sum((F.col("t") <= F.col("mid")).cast("long")).alias("n_prior"), F.sum((F.col("t") > F.col("mid")).cast("long")).alias("n_posterior"))
+    mid = e.agg(F.expr("date_add(min(t), cast(floor(datediff(max(t), min(t)) / 2) as int))")).first()[0]  # one row
+    n = lambda policy, inclusive: documents.slice_by_time(e, F.lit(mid), policy, inclusive).groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"n_{policy}"))
+    both = n("prior", True).join(n("posterior", False), "doc_id", "full")
+    return both.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_prior", "n_posterior")])
 
 
 @register("time_to_first_last", f"WITH {DX}, a AS (SELECT person_id, min(t) AS t0, max(t) AS t1, count(DISTINCT t) AS n_visits FROM dx GROUP BY 1), h AS (SELECT person_id, min(t) AS h0, max(t) AS h1 FROM dx WHERE code LIKE '10%' GROUP BY 1) SELECT person_id, h0 - t0 AS time_to_first, h1 - t0 AS time_to_last, t1 - t0 AS days_elapsed, n_visits FROM a JOIN h USING (person_id)")
@@ -241,8 +224,9 @@ def pivot(spark, sf):
 @register("cohort_summary", f"WITH {DX}, p AS (SELECT person_id, count(*) AS n, max(t) - min(t) AS span FROM dx GROUP BY 1) SELECT count(*) AS n_docs, round(avg(n), 6) AS mean_length, round(stddev_samp(n), 6) AS std_length, min(n) AS min_length, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3, max(n) AS max_length, round(avg(span), 6) AS mean_days, round(avg(span) / 365.0, 6) AS mean_years FROM p")
 def summary(spark, sf):
     p = diagnoses(spark, sf).groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), F.datediff(F.max("t"), F.min("t")).alias("span"))
-    q = lambda x: F.percentile("n", F.lit(x))
-    return p.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("mean_length"), F.round(F.stddev_samp("n"), 6).alias("std_length"), F.min("n").alias("min_length"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("n").alias("max_length"), F.round(F.avg("span"), 6).alias("mean_days"), F.round(F.avg("span") / 365.0, 6).alias("mean_years"))
+    q = stats.quantiles(p, [], F.col("n"), {"q1": 0.25, "q2": 0.5, "q3": 0.75}).drop("n_values")
+    rest = p.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("mean_length"), F.round(F.stddev_samp("n"), 6).alias("std_length"), F.min("n").alias("min_length"), F.max("n").alias("max_length"), F.round(F.avg("span"), 6).alias("mean_days"), F.round(F.avg("span") / 365.0, 6).alias("mean_years"))
+    return rest.crossJoin(F.broadcast(q))  # one row each
 
 
 @register("table_profile", "SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, count(DISTINCT quality) AS n_labels FROM labels")
@@ -274,7 +258,8 @@ def code_strings(spark, sf):
     return c.select("code", C.root_code(x).alias("root"), C.text_root(x).alias("text_root"), C.is_icd9(x).alias("icd9"), C.is_icd10(x).alias("icd10"), C.is_med_code(x).alias("med"), C.is_supplementary(x).alias("supplementary"), C.numerize(x).alias("number"), C.within(x, "140", "239").alias("neoplasm"))
 
 
-NDC = {"000074-1486-14": "00074148614", "051227-6159-**": "51227615900", "058734-0001-*1": "58734000101", "000854-6841-2": "00854684102", "057982-0110": "57982011000", "012579-*056": "12579005600", "057982-123-12": "57982012312", "057982-987-9": "57982098709", "17317-0932-01": "17317093201", "36987-3156-1": "36987315601", "24730-412-05": "24730041205", "0268-0103-10": "00268010310", "003475476541": "03475476541", "04458632698": "04458632698", "0054478962": None, "547668531244": None, "0054478962796": None, "0a79b2-c87-9": None, "si-lly-te-st": None, "just-a-rand-test-string": None}
+# The formats of drug codes, one case each (labeler-product-package digits, '*' for a digit left out, no dashes, and what is no code).
+NDC = {"000912-0345-67": "00912034567", "01234-567-8": "01234056708", "1234-5678-90": "01234567890", "12345-*67": "12345006700", "04321-9876": "04321987600", "54321-0012-*9": "54321001209", "10203040506": "10203040506", "010203040506": "10203040506", "210203040506": None, "102030405": None, "12a45-678-90": None, "a-b": None, "1-2-3-4": None, "": None}
 
 
 @register("ndc_normalize_vectors", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {repr(v) if v else 'NULL'})" for k, v in NDC.items()) + ") AS v(code, ndc)")
@@ -282,12 +267,12 @@ def ndc(spark, sf):
     return spark.createDataFrame([(k,) for k in NDC], "code string").select("code", C.ndc_normalize(F.col("code")).alias("ndc"))
 
 
-@register("null_and_number_tests", "WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN ' NaN ' WHEN 2 THEN 'x' || CAST(value AS VARCHAR) WHEN 3 THEN '2020-02-30' ELSE '2020-02-28' END AS s FROM events) SELECT sum((lower(trim(s)) IN ('', 'nan', 'null', 'none', 'n/a', 'na'))::INT) AS n_null, sum((TRY_CAST(s AS DATE) IS NOT NULL)::INT) AS n_date FROM v")
+@register("null_and_number_tests", "WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN ' NaN ' WHEN 2 THEN 'x' || CAST(value AS VARCHAR) WHEN 3 THEN '2020-02-30' ELSE '2020-02-28' END AS s FROM events) SELECT sum((lower(trim(s)) IN ('', 'nan', 'null', 'none', 'n/a', 'na'))::INT) AS n_null, sum((TRY_CAST(s AS DATE) IS NOT NULL)::INT) AS n_date, sum((TRY_CAST(s AS DOUBLE) IS NOT NULL)::INT) AS n_number FROM v")
 def tests(spark, sf):
     v = F.expr("CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN ' NaN ' WHEN 2 THEN concat('x', cast(value as string)) WHEN 3 THEN '2020-02-30' ELSE '2020-02-28' END")
     e = table(spark, sf, "events").select(v.alias("s"))
     n = lambda c: F.sum(c.cast("long"))
-    return e.agg(n(P.is_null_text(F.col("s"))).alias("n_null"), n(P.is_date(F.col("s"))).alias("n_date"))
+    return e.agg(n(P.is_null_text(F.col("s"))).alias("n_null"), n(P.is_date(F.col("s"))).alias("n_date"), n(P.is_number(F.col("s"))).alias("n_number"))
 
 
 @register("document_policies", f"WITH {DX}, p AS (SELECT person_id, count(*) AS n FROM dx WHERE code LIKE '1%' GROUP BY 1) SELECT count(*) AS n_nonempty, sum((n >= 10)::INT) AS n_min, sum((n < 10)::INT) AS n_unknown FROM p")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -13,9 +11,7 @@ from ..operators import documents, evaluate, features, labels, patterns, samplin
 from .registry import register
 from .tables import DX, EV, EV_POS, TOK, codes_of, diagnoses, events, table
 
-#: The SQL of thirteen queries below looks at a user's first events only, so they do too; each has a twin without the cut, see ``WHOLE``.
-FIRST = 40
-HEAD = EV_POS + f", p AS (SELECT doc_id, pos, code FROM pos WHERE pos <= {FIRST})"
+HEAD = EV_POS + ", p AS (SELECT doc_id, pos, code FROM pos)"
 GRAM2 = HEAD + ", g AS (SELECT doc_id, code AS a, lead(code) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM p)"
 
 
@@ -24,39 +20,39 @@ def _tokens(spark, sf):
 
 
 @register("ngram2_total", f"WITH {GRAM2} SELECT a || ' ' || b AS ngram, count(*) AS n, count(DISTINCT doc_id) AS df FROM g WHERE b IS NOT NULL GROUP BY 1")
-def ngram2(spark, sf, first=FIRST):
-    return patterns.count_ngrams(codes_of(spark, sf, first), 2, 2).select("ngram", "n", "df")
+def ngram2(spark, sf):
+    return patterns.count_ngrams(codes_of(spark, sf), 2, 2).select("ngram", "n", "df")
 
 
 @register("ngram2_partial", f"WITH {GRAM2} SELECT least(a, b) || ' ' || greatest(a, b) AS ngram, count(*) AS n, count(DISTINCT doc_id) AS df FROM g WHERE b IS NOT NULL GROUP BY 1")
-def ngram2_partial(spark, sf, first=FIRST):
-    return patterns.count_ngrams(codes_of(spark, sf, first), 2, 2, partial_order=True).select("ngram", "n", "df")
+def ngram2_partial(spark, sf):
+    return patterns.count_ngrams(codes_of(spark, sf), 2, 2, partial_order=True).select("ngram", "n", "df")
 
 
 GRAMS = HEAD + ", g AS (SELECT doc_id, code AS a, lead(code) OVER w AS b, lead(code, 2) OVER w AS c FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), u AS (SELECT doc_id, 1 AS length, a AS ngram FROM g UNION ALL SELECT doc_id, 2, a || ' ' || b FROM g WHERE b IS NOT NULL UNION ALL SELECT doc_id, 3, a || ' ' || b || ' ' || c FROM g WHERE c IS NOT NULL)"
 
 
 @register("ngram_top_per_length", f"WITH {GRAMS}, c AS (SELECT length, ngram, count(*) AS n, count(DISTINCT doc_id) AS df FROM u GROUP BY 1, 2) SELECT length, ngram, n, df, row_number() OVER (PARTITION BY length ORDER BY n DESC, ngram) AS rank FROM c QUALIFY rank <= 10")
-def ngram_top(spark, sf, first=FIRST):
-    return patterns.top_per(patterns.count_ngrams(codes_of(spark, sf, first), 1, 3), ["length"], "n", "ngram", 10)
+def ngram_top(spark, sf):
+    return patterns.top_per(patterns.count_ngrams(codes_of(spark, sf), 1, 3), ["length"], "n", "ngram", 10)
 
 
 @register("ngram_given_counts", f"WITH {GRAM2}, w(ngram) AS (VALUES ('click view'), ('view purchase'), ('no such')) SELECT w.ngram, count(g.a) AS n, count(DISTINCT g.doc_id) AS df FROM w LEFT JOIN g ON g.a || ' ' || g.b = w.ngram GROUP BY 1")
-def ngram_given(spark, sf, first=FIRST):
+def ngram_given(spark, sf):
     wanted = spark.createDataFrame([("click view",), ("view purchase",), ("no such",)], "ngram string")
-    return patterns.count_given(codes_of(spark, sf, first), wanted, 2)
+    return patterns.count_given(codes_of(spark, sf), wanted, 2)
 
 
 @register("ngram_local_global_ratio", f"WITH {GRAM2}, x AS (SELECT a || ' ' || b AS ngram, doc_id FROM g WHERE b IS NOT NULL) SELECT 2 AS length, ngram, count(*) FILTER (WHERE doc_id % 5 = 0) AS n_local, count(*) AS n_global, round(count(*) FILTER (WHERE doc_id % 5 = 0) / count(*), 9) AS ratio FROM x GROUP BY ngram")
-def ngram_ratio(spark, sf, first=FIRST):
-    docs = codes_of(spark, sf, first)
+def ngram_ratio(spark, sf):
+    docs = codes_of(spark, sf)
     local = patterns.count_ngrams(docs.where("doc_id % 5 = 0"), 2, 2)
     return patterns.compare_counts(local, patterns.count_ngrams(docs, 2, 2)).withColumn("ratio", F.round("ratio", 9))
 
 
 @register("cluster_ngram_tfidf", f"WITH {GRAM2}, c AS (SELECT doc_id % 4 AS cluster, a || ' ' || b AS ngram, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL), d AS (SELECT ngram, count(DISTINCT cluster) AS df FROM c GROUP BY 1), r AS (SELECT cluster, ngram, n * (ln((SELECT count(DISTINCT cluster) FROM c) / df) + 1) AS raw FROM c JOIN d USING (ngram)) SELECT cluster, ngram, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY cluster)), 6) AS tfidf FROM r")
-def cluster_tfidf(spark, sf, first=FIRST):
-    docs = codes_of(spark, sf, first).withColumn("cluster", F.col("doc_id") % 4)
+def cluster_tfidf(spark, sf):
+    docs = codes_of(spark, sf).withColumn("cluster", F.col("doc_id") % 4)
     counts = patterns.ngram_rows(docs, 2, 2).groupBy("cluster", "ngram").agg(F.count(F.lit(1)).alias("n"))
     return features.tfidf_l2(counts, "cluster", "ngram", "n").select("cluster", "ngram", F.round("tfidf", 6).alias("tfidf"))
 
@@ -79,47 +75,47 @@ LIKES = " UNION ALL ".join(f"SELECT doc_id, {i} AS pattern_id, {len(p)} AS len F
 FOUND = HEAD + f", s AS (SELECT doc_id, string_agg(',' || code || ',', '' ORDER BY pos) AS s FROM p GROUP BY 1), f AS ({LIKES})"
 
 
-def _found(spark, sf, first=FIRST):
-    return patterns.containing(codes_of(spark, sf, first), spark.createDataFrame(PATTERNS, "pattern_id int, pattern array<string>"))
+def _found(spark, sf):
+    return patterns.containing(codes_of(spark, sf), spark.createDataFrame(PATTERNS, "pattern_id int, pattern array<string>"))
 
 
 @register("subsequence_df", f"WITH {FOUND} SELECT pattern_id, count(*) AS df FROM f GROUP BY 1")
-def subsequence_df(spark, sf, first=FIRST):
-    return _found(spark, sf, first).groupBy("pattern_id").agg(F.countDistinct("doc_id").alias("df"))
+def subsequence_df(spark, sf):
+    return _found(spark, sf).groupBy("pattern_id").agg(F.countDistinct("doc_id").alias("df"))
 
 
 @register("pattern_contrast_ratio", f"WITH {FOUND}, c AS (SELECT pattern_id, doc_id % 3 AS label, count(*) AS n FROM f GROUP BY 1, 2) SELECT pattern_id, label, n, round(n / sum(n) OVER (PARTITION BY pattern_id), 9) AS ratio FROM c")
-def contrast(spark, sf, first=FIRST):
-    x = patterns.contrast(_found(spark, sf, first).withColumn("label", F.col("doc_id") % 3), "label")
+def contrast(spark, sf):
+    x = patterns.contrast(_found(spark, sf).withColumn("label", F.col("doc_id") % 3), "label")
     return x.withColumn("ratio", F.round("ratio", 9))
 
 
 @register("label_by_longest_pattern", f"WITH {FOUND} SELECT doc_id, coalesce((SELECT CAST(arg_min(pattern_id, (100 - len) * 100 + pattern_id) AS VARCHAR) FROM f WHERE f.doc_id = s.doc_id), 'No_Match') AS label FROM s")
-def longest(spark, sf, first=FIRST):
-    found = _found(spark, sf, first).withColumn("pattern_id", F.col("pattern_id").cast("string"))
-    return patterns.longest_pattern(codes_of(spark, sf, first), found)
+def longest(spark, sf):
+    found = _found(spark, sf).withColumn("pattern_id", F.col("pattern_id").cast("string"))
+    return patterns.longest_pattern(codes_of(spark, sf), found)
 
 
 @register("label_by_rarest_pattern", f"WITH {FOUND}, d AS (SELECT pattern_id, count(*) AS df FROM f GROUP BY 1) SELECT doc_id, coalesce((SELECT CAST(arg_min(pattern_id, df * 100 + pattern_id) AS VARCHAR) FROM f JOIN d USING (pattern_id) WHERE f.doc_id = s.doc_id), 'No_Match') AS label FROM s")
-def rarest(spark, sf, first=FIRST):
-    found = _found(spark, sf, first).withColumn("pattern_id", F.col("pattern_id").cast("string"))
-    return patterns.rarest_pattern(codes_of(spark, sf, first), found)
+def rarest(spark, sf):
+    found = _found(spark, sf).withColumn("pattern_id", F.col("pattern_id").cast("string"))
+    return patterns.rarest_pattern(codes_of(spark, sf), found)
 
 
 @register("permutation_merge", f"WITH {GRAMS.replace('u AS', 'u0 AS')}, t AS (SELECT DISTINCT doc_id, ngram, string_split(ngram, ' ') AS x FROM u0 WHERE length = 3) SELECT array_to_string(list_sort(x), ' ') AS canonical, count(DISTINCT doc_id) AS df, min(ngram) AS example FROM t GROUP BY 1")
-def permutations(spark, sf, first=FIRST):
-    g = patterns.ngram_rows(codes_of(spark, sf, first), 3, 3).distinct()
+def permutations(spark, sf):
+    g = patterns.ngram_rows(codes_of(spark, sf), 3, 3).distinct()
     return patterns.merge_permutations(g.withColumn("x", F.split("ngram", " ")), F.col("x"))
 
 
 @register("match_positions", f"WITH {HEAD} SELECT doc_id, CAST(count(*) AS INT) AS n_matches, CAST(min(pos) - 1 AS INT) AS first_at FROM p a WHERE code = 'signup' AND EXISTS (SELECT 1 FROM p b WHERE b.doc_id = a.doc_id AND b.pos > a.pos AND b.code = 'error') GROUP BY 1")
-def positions(spark, sf, first=FIRST):
-    d = codes_of(spark, sf, first).withColumn("m", S.match_positions(F.array(F.lit("signup"), F.lit("error")), F.col("codes")))
+def positions(spark, sf):
+    d = codes_of(spark, sf).withColumn("m", S.match_positions(F.array(F.lit("signup"), F.lit("error")), F.col("codes")))
     return d.where(F.size("m") > 0).select("doc_id", F.size("m").alias("n_matches"), F.get(F.get("m", F.lit(0)), F.lit(0)).cast("int").alias("first_at"))
 
 
-def _neighbours(spark, sf, first=FIRST):
-    a = codes_of(spark, sf, first)
+def _neighbours(spark, sf):
+    a = codes_of(spark, sf)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("codes").alias("other"))
     return a.join(b, "doc_id")
 
@@ -137,42 +133,22 @@ LCS_SQL = f"""WITH RECURSIVE {HEAD}, d AS (SELECT doc_id, list(code ORDER BY pos
 
 
 @register("lcs_pair_length", LCS_SQL)
-def lcs_length(spark, sf, first=FIRST):
-    return _neighbours(spark, sf, first).select("doc_id", S.lcs_length(F.col("codes"), F.col("other")).alias("lcs_length"))
+def lcs_length(spark, sf):
+    return _neighbours(spark, sf).select("doc_id", udfs.lcs_length("codes", "other").alias("lcs_length"))
 
 
 @register("lcs_pair_string")
 def lcs_string(spark, sf):
-    """The subsequences themselves, of whole sequences, runs collapsed: a back-trace, so no SQL; its length is checked by lcs_pair_length_whole."""
-    x = _neighbours(spark, sf, None).select("doc_id", udfs.lcs("codes", "other").alias("items"))
+    """The subsequences themselves, of whole sequences, runs collapsed: a back-trace, so no SQL; its length is checked by lcs_pair_length."""
+    x = _neighbours(spark, sf).select("doc_id", udfs.lcs("codes", "other").alias("items"))
     return x.select("doc_id", F.array_join("items", " ").alias("lcs"), F.size("items").alias("length"), F.array_join(S.collapse(F.col("items")), " ").alias("collapsed"))
 
 
-#: The same queries over whole sequences, registered as NAME_whole. They have no SQL of their own.
-WHOLE = {
-    "ngram2_total": ngram2,
-    "ngram2_partial": ngram2_partial,
-    "ngram_top_per_length": ngram_top,
-    "ngram_given_counts": ngram_given,
-    "ngram_local_global_ratio": ngram_ratio,
-    "cluster_ngram_tfidf": cluster_tfidf,
-    "subsequence_df": subsequence_df,
-    "pattern_contrast_ratio": contrast,
-    "label_by_longest_pattern": longest,
-    "label_by_rarest_pattern": rarest,
-    "permutation_merge": permutations,
-    "match_positions": positions,
-    "lcs_pair_length": lcs_length,
-}
-for _name, _query in WHOLE.items():
-    register(f"{_name}_whole")(partial(_query, first=None))
-
-
 @register("edit_distance", "SELECT a.p_partkey, levenshtein(a.p_brand || a.p_type, b.p_brand || b.p_type)::DOUBLE AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def edits(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.concat("p_brand", "p_type").alias("s"))
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("s").alias("t"))
-    return p.join(q, "p_partkey").select("p_partkey", udfs.edit_distance()("s", "t").alias("distance"))
+    return p.join(q, "p_partkey").select("p_partkey", F.levenshtein("s", "t").cast("double").alias("distance"))
 
 
 @register("vocabulary_index", f"WITH {TOK}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY 1) SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) AS INT) AS index FROM c QUALIFY index <= 500")
@@ -199,11 +175,11 @@ def relabel(spark, sf):
     return table(spark, sf, "customer").groupBy(labels.merge(x, {"MACHINERY": "AUTOMOBILE"}).alias("merged"), labels.focus(x, ["BUILDING", "AUTOMOBILE"]).alias("focused"), labels.binarize(x, ["BUILDING"]).alias("target")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("phenotype_bits", f"WITH {DX} SELECT person_id AS doc_id, CAST(sum(regexp_matches(code, '^250\\.[13]')::INT) >= 1 AS INT) AS type1, CAST(sum(regexp_matches(code, '^250\\.[02]')::INT) >= 1 AS INT) AS type2, CAST(sum(regexp_matches(code, '^648\\.')::INT) >= 1 AS INT) AS gestational, CAST((sum(regexp_matches(code, '^250\\.[13]')::INT) >= 1)::INT + 2 * (sum(regexp_matches(code, '^250\\.[02]')::INT) >= 1)::INT + 4 * (sum(regexp_matches(code, '^648\\.')::INT) >= 1)::INT AS INT) AS bits FROM dx GROUP BY 1")
+@register("phenotype_bits", f"WITH {DX} SELECT person_id AS doc_id, CAST(sum(regexp_matches(code, '^250\\.\\d[13]$')::INT) >= 1 AS INT) AS type1, CAST(sum(regexp_matches(code, '^250\\.\\d[02]$')::INT) >= 1 AS INT) AS type2, CAST(sum(regexp_matches(code, '^648\\.[08]')::INT) >= 1 AS INT) AS gestational, CAST((sum(regexp_matches(code, '^250\\.\\d[13]$')::INT) >= 1)::INT + 2 * (sum(regexp_matches(code, '^250\\.\\d[02]$')::INT) >= 1)::INT + 4 * (sum(regexp_matches(code, '^648\\.[08]')::INT) >= 1)::INT AS INT) AS bits FROM dx GROUP BY 1")
 def phenotype(spark, sf):
     c = F.col("code")
     d = diagnoses(spark, sf).withColumnRenamed("person_id", "doc_id")
-    return labels.bits(d, {"type1": c.rlike(r"^250\.[13]"), "type2": c.rlike(r"^250\.[02]"), "gestational": c.rlike(r"^648\.")})
+    return labels.bits(d, {"type1": C.is_type1(c), "type2": C.is_type2(c), "gestational": C.is_gestational(c)})
 
 
 @register("class_weights", "WITH c AS (SELECT c_mktsegment AS label, count(*) AS n_class FROM customer GROUP BY 1) SELECT label, n_class, round((SELECT sum(n_class) FROM c) / ((SELECT count(*) FROM c) * n_class), 9) AS weight FROM c")
@@ -291,9 +267,12 @@ def auc_ovr(spark, sf):
     return evaluate.auc(s, ["class"], "hit", "score").withColumn("auc", F.round("auc", 9))
 
 
-@register("rank_sum_test", f"WITH {SCORED}, r AS (SELECT lang, toxic, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS r FROM p), s AS (SELECT lang, sum(toxic) AS n1, sum(1 - toxic) AS n0, sum(r) FILTER (WHERE toxic = 1) AS r1 FROM r GROUP BY 1) SELECT lang, n1, n0, coalesce(r1, 0) - n1 * (n1 + 1) / 2 AS u, round((coalesce(r1, 0) - n1 * (n1 + 1) / 2 - n1 * n0 / 2) / nullif(sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0), 0), 6) AS z FROM s")
+RANKS = f"{SCORED}, r AS (SELECT lang, toxic, score, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS r FROM p), k AS (SELECT lang, sum(c * c * c - c)::DOUBLE AS ties FROM (SELECT lang, count(*) AS c FROM p GROUP BY lang, score) GROUP BY 1), s AS (SELECT lang, sum(toxic) AS n1, sum(1 - toxic) AS n0, sum(r) FILTER (WHERE toxic = 1) AS r1 FROM r GROUP BY 1)"
+
+
+@register("rank_sum_test", f"WITH {RANKS} SELECT lang, n1, n0, coalesce(r1, 0) - n1 * (n1 + 1) / 2 AS u, round((coalesce(r1, 0) - n1 * (n1 + 1) / 2 - n1 * n0 / 2) / nullif(sqrt(n1 * n0 / 12.0 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 0), 6) AS z FROM s JOIN k USING (lang)")
 def rank_sum(spark, sf):
-    return evaluate.rank_sum(_scored(spark, sf), ["lang"], "toxic", "score").withColumn("z", F.round("z", 6))
+    return evaluate.rank_sum(_scored(spark, sf), ["lang"], "toxic", "score").withColumn("z", F.round("z", 6)).drop("p")
 
 
 COS = "1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2])) / (sqrt(list_sum(list_transform(a.embedding, lambda z: z::DOUBLE * z))) * sqrt(list_sum(list_transform(b.embedding, lambda z: z::DOUBLE * z))))"
@@ -316,15 +295,12 @@ def min_max(spark, sf):
     return x.select("s_suppkey", F.round("s_acctbal_scaled", 9).alias("s_acctbal_scaled"))
 
 
-#: The SQL of the hierarchy queries stops at this customer, so they do too; each has a twin over all customers, see ``ALL_CUSTOMERS``.
-LAST = 300
-EDGES = "edges AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer WHERE c_custkey <= 300 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region)"
+EDGES = "edges AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region)"
 
 
-def _edges(spark, sf, last=LAST):
+def _edges(spark, sf):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    c = table(spark, sf, "customer")
-    a = (c if last is None else c.where(F.col("c_custkey") <= last)).select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
+    a = table(spark, sf, "customer").select(name("c", "c_custkey").alias("child"), name("n", "c_nationkey").alias("parent"))
     b = table(spark, sf, "nation").select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent"))
     return a.union(b).union(table(spark, sf, "region").select(name("r", "r_regionkey").alias("child"), F.lit("root").alias("parent")))
 
@@ -333,36 +309,30 @@ UP = f"WITH RECURSIVE {EDGES}, nodes AS (SELECT child AS n FROM edges UNION SELE
 
 
 @register("hierarchy_closure", UP + " SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2")
-def closure(spark, sf, last=LAST):
-    return terminology.closure(_edges(spark, sf, last))
+def closure(spark, sf):
+    return terminology.closure(_edges(spark, sf))
 
 
 @register("hierarchy_leaves", UP + " SELECT ancestor AS node, count(*) AS n_leaves FROM up WHERE node NOT IN (SELECT parent FROM edges) GROUP BY 1")
-def leaves(spark, sf, last=LAST):
-    e = _edges(spark, sf, last)
+def leaves(spark, sf):
+    e = _edges(spark, sf)
     return terminology.leaves(terminology.closure(e), e).groupBy("node").agg(F.count(F.lit(1)).alias("n_leaves"))
 
 
 @register("hierarchy_siblings", f"WITH {EDGES} SELECT child AS node, count(*) OVER (PARTITION BY parent) - 1 AS n_siblings FROM edges")
-def siblings(spark, sf, last=LAST):
-    return terminology.siblings(_edges(spark, sf, last))
+def siblings(spark, sf):
+    return terminology.siblings(_edges(spark, sf))
 
 
 @register("hierarchy_descendants", UP + " SELECT DISTINCT node FROM up WHERE ancestor IN ('r1', 'n3')")
-def descendants(spark, sf, last=LAST):
-    return terminology.descendants(terminology.closure(_edges(spark, sf, last)), spark.createDataFrame([("r1",), ("n3",)], "node string"))
+def descendants(spark, sf):
+    return terminology.descendants(terminology.closure(_edges(spark, sf)), spark.createDataFrame([("r1",), ("n3",)], "node string"))
 
 
 @register("class_propagation", f"WITH {EDGES}, s AS (SELECT 'r' || r_regionkey AS node, r_name AS class FROM region WHERE r_regionkey < 3), n1 AS (SELECT child AS node, class FROM edges JOIN s ON parent = node), n2 AS (SELECT child AS node, class FROM edges JOIN n1 ON parent = node) SELECT node, class, 0 AS level FROM s UNION ALL SELECT node, class, 1 FROM n1 UNION ALL SELECT node, class, 2 FROM n2")
-def propagate(spark, sf, last=LAST):
+def propagate(spark, sf):
     seed = table(spark, sf, "region").where("r_regionkey < 3").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("class"))
-    return terminology.propagate(seed, _edges(spark, sf, last).select(F.col("parent").alias("src"), F.col("child").alias("dst")), 2)
-
-
-#: The same queries over all customers, registered as NAME_whole. They have no SQL of their own.
-ALL_CUSTOMERS = {"hierarchy_closure": closure, "hierarchy_leaves": leaves, "hierarchy_siblings": siblings, "hierarchy_descendants": descendants, "class_propagation": propagate}
-for _name, _query in ALL_CUSTOMERS.items():
-    register(f"{_name}_whole")(partial(_query, last=None))
+    return terminology.propagate(seed, _edges(spark, sf).select(F.col("parent").alias("src"), F.col("child").alias("dst")), 2)
 
 
 @register("preferred_name", "SELECT p_size AS concept, arg_min(p_name, CASE p_brand WHEN 'Brand#11' THEN '1' WHEN 'Brand#22' THEN '2' ELSE '3' END || p_name) AS name, len(list(DISTINCT p_brand)) AS n_kinds FROM part GROUP BY 1")

@@ -23,11 +23,10 @@ def diagnoses(spark: SparkSession, sf: str) -> DataFrame:
     return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("person_id", "t", "code", "row_id")
 
 
-def codes_of(spark: SparkSession, sf: str, first: int | None = None) -> DataFrame:
-    """doc_id, codes: a user's events in order, all of them or as many as ``first``."""
+def codes_of(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, codes: a user's events in order."""
     rows = events(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "code"))).alias("e"))
-    kept = F.col("e") if first is None else F.slice("e", 1, first)
-    return rows.select("doc_id", F.transform(kept, lambda x: x["code"]).alias("codes"))
+    return rows.select("doc_id", F.transform("e", lambda x: x["code"]).alias("codes"))
 
 
 EV = "ev AS (SELECT event_id, user_id AS doc_id, CAST(ts AS DATE) AS t, event_type AS code, value FROM events)"
