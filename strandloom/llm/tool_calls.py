@@ -1,9 +1,10 @@
 """Chat formatting with tool-call linking.
 
-Calls and results are joined by identifier, ordered so that every call comes after the calls it refers to, checked
-against the argument schema of their tool, and written as canonical JSON (keys sorted, no white space).
+Calls and results are joined by conversation and identifier, ordered so that every call comes after the calls it
+refers to, checked against the argument schema of their tool, and written as canonical JSON: keys sorted at every
+depth, no white space, the fewest escapes, numbers in one spelling. Values that are no JSON are told and not pasted in.
 
-Native: only DataFrame functions, no Python on the executors.
+Native: only DataFrame functions, no Python on the executors. JSON is read and written by the JVM's variant type.
 """
 
 from __future__ import annotations
@@ -13,17 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: JSON types that a schema may ask for, and how the text of such a value looks.
-TYPES = {
-    "string": r'^"(?s:.*)"$',
-    "integer": r"^-?(0|[1-9][0-9]*)$",
-    "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$",
-    "boolean": r"^(true|false)$",
-    "object": r"^\{(?s:.*)\}$",
-    "array": r"^\[(?s:.*)\]$",
-    "null": r"^null$",
-}
-
 
 def quoted(s: Column) -> Column:
     """``s`` as a JSON string: the fewest escapes, control characters as \\uXXXX or their short form."""
@@ -37,27 +27,62 @@ def quoted(s: Column) -> Column:
     return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), s).otherwise(plain), F.lit('"'))
 
 
-def canonical(arguments: Column) -> Column:
-    """A map of names to JSON values as one JSON object with its keys sorted."""
-    entries = F.array_sort(F.map_entries(arguments))
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+def canonical(value: Column) -> Column:
+    """The canonical JSON of a value's text, whatever its depth; null if it is no JSON or repeats a name in an object.
+
+    Variants keep an object's names sorted and write no white space and the fewest escapes. Numbers lose the zeros that
+    say nothing (1.50, 2e3, -0 are 1.5, 2000, 0); beyond 38 digits or with an exponent they are doubles, and one that
+    no double holds is no value.
+    """
+    # in brackets, since a text with something after its first value would be read as that value alone
+    listed = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
+    one = F.to_json(F.try_variant_get(listed, "$[0]", "variant"))
+    # of a string literal or the ".0" of a whole double only the literal stays
+    text = F.regexp_replace(one, r'("(?:[^"\\]|\\.)*+")|(?<=[0-9])\.0(?=[,}\]E]|$)', "$1")
+    lost = text.contains('Infinity"') & ~value.contains("Infinity")
+    return F.when((F.json_array_length(F.to_json(listed)) == 1) & ~lost, text)
+
+
+def kind(value: Column) -> Column:
+    """The JSON type of a canonical value; whole numbers are integers."""
+    first = F.substring(value, 1, 1)
+    return F.when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(first.isin("t", "f"), "boolean").when(first == "n", "null").when(value.rlike("^-?[0-9]+$"), "integer").when(value.isNotNull(), "number")
+
+
+def arguments_json(values: Column) -> Column:
+    """A map of names to canonical values as one object with its names sorted; values that are no JSON are null."""
+    entries = F.array_sort(F.map_entries(values))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}"))
 
 
-def problems(arguments: Column, required: Column, types: Column) -> Column:
-    """What is wrong with ``arguments`` (map of JSON values): missing, unknown and mistyped names, sorted."""
-    names = F.map_keys(arguments)
-    missing = F.transform(F.array_except(required, names), lambda n: F.concat(F.lit("missing:"), n))
-    unknown = F.transform(F.array_except(names, F.map_keys(types)), lambda n: F.concat(F.lit("unknown:"), n))
+def has_type(value: Column, wanted: Column) -> Column:
+    found = kind(value)
+    return F.coalesce((found == wanted) | ((wanted == "number") & (found == "integer")), F.lit(False))
 
-    def mistyped(n: Column) -> Column:
-        wanted = F.try_element_at(types, n)
-        ok = F.lit(False)
-        for t, pattern in TYPES.items():
-            ok = F.when(wanted == t, F.try_element_at(arguments, n).rlike(pattern)).otherwise(ok)
-        return ~ok
 
-    wrong = F.transform(F.filter(F.array_intersect(names, F.map_keys(types)), mistyped), lambda n: F.concat(F.lit("type:"), n))
-    return F.array_sort(F.concat(missing, unknown, wrong))
+def at_path(values: Column, path: Column) -> Column:
+    """The value at a dotted path of names ("a.b.c") in a map of canonical values; null if it isn't there."""
+    first, rest = F.substring_index(path, ".", 1), F.regexp_replace(path, r"^[^.]*\.?", "")
+    value = F.try_element_at(values, first)
+    deep = F.aggregate(F.split(rest, r"\."), value, lambda v, name: F.to_json(F.try_element_at(F.try_variant_get(F.try_parse_json(v), "$", "map<string,variant>"), name)))
+    return F.when(rest == "", value).otherwise(deep)
+
+
+def problems(arguments: Column, values: Column, required: Column, types: Column) -> Column:
+    """What is wrong with ``arguments`` (map of JSON texts) and their canonical ``values``: missing, unknown, mistyped and malformed names, sorted.
+
+    Names in ``required`` and ``types`` may be paths into nested objects ("a.b"): a nested required name is missing
+    where its object is there without it, and a nested type is checked where the value is there.
+    """
+    names, known = F.map_keys(arguments), F.map_keys(types)
+    say = lambda what, xs: F.transform(xs, lambda n: F.concat(F.lit(f"{what}:"), n))
+    above = lambda n: F.regexp_replace(n, r"\.[^.]*$", "")
+    there = lambda n: at_path(values, n).isNotNull()
+    missing = F.filter(required, lambda n: F.when(F.instr(n, ".") > 0, there(above(n)) & ~there(n)).otherwise(~F.array_contains(names, n)))
+    malformed = F.filter(names, lambda n: F.try_element_at(values, n).isNull())
+    unknown = F.array_except(names, F.transform(known, lambda n: F.substring_index(n, ".", 1)))
+    wrong = F.filter(known, lambda n: there(n) & ~has_type(at_path(values, n), F.try_element_at(types, n)))
+    return F.array_sort(F.concat(say("missing", missing), say("unknown", unknown), say("type", wrong), say("json", malformed)))
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
@@ -94,39 +119,58 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     return calls.select("call_id").join(done, "call_id", "left").join(known, "call_id", "left").select("call_id", F.when(F.col("has").isNull(), F.lit(0)).otherwise(F.col("level")).alias("level"))
 
 
+KEY = ["conv_id", "call_id"]
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call: conv_id, call_id, tool, level, linked, problems, call_json, result_json.
 
     ``calls``: conv_id, call_id, tool, arguments (map of name to JSON value), needs (array of call ids it refers to).
-    ``results``: call_id, content. ``schemas``: tool, required (array of names), types (map of name to JSON type).
-
-    Calls and results are hash-joined by call_id. A call without a result has linked false and a null result_json; a
-    result without a call is left out (``orphans`` gives those). Of repeated results the smallest content counts. Of
-    repeated calls each gives a row. References to unknown calls are problems (``reference:id``); calls in or behind a
-    cycle have a null level and the problem ``cycle``. A tool without a schema has the problem ``tool``. Null arguments
-    count as none. Null call ids link to nothing. No calls give no rows.
+    ``results``: conv_id, call_id, content. ``schemas``: tool, required (array of names), types (map of name to JSON
+    type); names may be paths into nested objects.
+
+    Calls and results are joined by conversation and call_id: an id of another conversation is another call. A call
+    without a result has linked false and a null result_json; a result without a call is left out (``orphans`` gives
+    those). Of repeated results the smallest content counts. Of repeated calls each gives a row. References to unknown
+    calls are problems (``reference:id``); calls in or behind a cycle have a null level and the problem ``cycle``. A
+    tool without a schema has the problem ``tool``. A value that is no JSON has the problem ``json:name``
+    and is written as null. Null arguments count as none. Null ids of calls or conversations link to
+    nothing. No calls give no rows.
+
+    Only rows with both ids take part in the joins, so null ids meet nowhere, however many they are.
     """
     calls = calls.withColumn("arguments", F.coalesce("arguments", F.create_map().cast("map<string,string>"))).withColumn("needs", F.coalesce("needs", F.array().cast("array<string>")))
-    ids = materialise(calls.select("call_id").where("call_id is not null").distinct(), "call-ids")
-    asked = calls.select("call_id", F.explode("needs").alias("needed")).distinct()
-    needs = asked.join(ids.withColumnRenamed("call_id", "needed"), "needed", "left_semi")
-    unknown = asked.join(ids.withColumnRenamed("call_id", "needed"), "needed", "left_anti").groupBy("call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("reference:"), "needed"))).alias("dangling"))
-    level = levels(ids, needs)
-    result = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
-    found = calls.join(schemas, "tool", "left").hint("shuffle_hash").join(result, "call_id", "left").join(level, "call_id", "left").join(unknown, "call_id", "left")
+    calls = calls.withColumn("_values", F.transform_values("arguments", lambda _, v: canonical(v)))
+    whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    # one key a call: the ids are told apart by a length, so that no two pairs are alike
+    key = F.when(whole, F.concat_ws(":", F.length(F.col("conv_id").cast("string")).cast("string"), F.col("conv_id").cast("string"), "call_id"))
+    calls = materialise(calls.withColumn("_key", key), "keyed")
+    linking = calls.where("_key is not null")
+    ids = materialise(linking.select("_key").distinct(), "call-ids")
+    other = F.concat_ws(":", F.length(F.col("conv_id").cast("string")).cast("string"), F.col("conv_id").cast("string"), "needed")
+    asked = linking.select("_key", "conv_id", F.explode("needs").alias("needed")).where("needed is not null").select(F.col("_key").alias("call_id"), other.alias("needed"), F.col("needed").alias("name")).distinct()
+    known = ids.select(F.col("_key").alias("needed"))
+    unknown = asked.join(known, "needed", "left_anti").groupBy("call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("reference:"), "name"))).alias("dangling"))
+    level = levels(ids.select(F.col("_key").alias("call_id")), asked.join(known, "needed", "left_semi").select("call_id", "needed"))
+    as_key = lambda df: df.withColumnRenamed("call_id", "_key")
+    result = results.withColumn("_key", key).where("_key is not null").groupBy("_key").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
+    joined = linking.hint("shuffle_hash").join(result, "_key", "left").join(as_key(level), "_key", "left").join(as_key(unknown), "_key", "left")
+    alone = calls.where("_key is null").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema if f.name not in calls.columns])
+    found = joined.unionByName(alone).join(schemas, "tool", "left")
+    none = F.array().cast("array<string>")
     wrong = F.concat(
-        F.when(F.col("types").isNull(), F.array(F.lit("tool"))).otherwise(problems(F.col("arguments"), F.col("required"), F.col("types"))),
-        F.coalesce("dangling", F.array().cast("array<string>")),
-        F.when(F.col("level").isNull() & F.col("call_id").isNotNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("types").isNull(), F.concat(F.array(F.lit("tool")), F.transform(F.array_sort(F.filter(F.map_keys("arguments"), lambda n: F.try_element_at("_values", n).isNull())), lambda n: F.concat(F.lit("json:"), n)))).otherwise(problems(F.col("arguments"), F.col("_values"), F.col("required"), F.col("types"))),
+        F.coalesce("dangling", none),
+        F.when(F.col("level").isNull() & F.col("_key").isNotNull(), F.array(F.lit("cycle"))).otherwise(none),
     )
-    call_json = F.concat(F.lit('{"arguments":'), canonical(F.col("arguments")), F.lit(',"id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")), F.lit(',"name":'), F.coalesce(quoted(F.col("tool")), F.lit("null")), F.lit("}"))
+    call_json = F.concat(F.lit('{"arguments":'), arguments_json(F.col("_values")), F.lit(',"id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")), F.lit(',"name":'), F.coalesce(quoted(F.col("tool")), F.lit("null")), F.lit("}"))
     result_json = F.when(F.col("linked"), F.concat(F.lit('{"content":'), F.coalesce(quoted(F.col("content")), F.lit("null")), F.lit(',"tool_call_id":'), quoted(F.col("call_id")), F.lit("}")))
     return found.select("conv_id", "call_id", "tool", "level", F.coalesce("linked", F.lit(False)).alias("linked"), wrong.alias("problems"), call_json.alias("call_json"), result_json.alias("result_json"))
 
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Results whose identifier no call has."""
-    return results.join(calls.select("call_id").distinct(), "call_id", "left_anti")
+    """Results whose conversation and identifier no call has."""
+    return results.join(calls.select(*KEY).distinct(), KEY, "left_anti")
 
 
 # The plain chats of the table as calls: a turn that is not the assistant's asks the tool of its role, and the
@@ -149,7 +193,7 @@ def chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     asks = asks.join(before, ["conv_id", "turn"], "left")
     arguments = F.map_filter(F.create_map(F.lit("text"), quoted(F.col("text")), F.lit("turn"), F.col("turn").cast("string")), lambda _, v: v.isNotNull())
     calls = asks.select("conv_id", F.when(whole, name(F.col("turn"))).alias("call_id"), F.col("role").alias("tool"), arguments.alias("arguments"), F.when(F.col("had"), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
-    results = c.where((F.col("role") == "assistant") & whole).select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    results = c.where((F.col("role") == "assistant") & whole).select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
