@@ -1,9 +1,9 @@
 """Secret scans with multipart credential linking.
 
 Base patterns find assignments, access key ids and long hex strings. Linking then looks for the parts that make up a
-credential: access identifiers, secrets and endpoints. Parts belong to scopes (a paragraph, cut further so that no
-scope is longer than a fixed reach), and an interval join within the scope pairs what lies close together. Parts that
-are too weak to report alone are reported only when a complementary part is in reach.
+credential: access identifiers, secrets and endpoints. Scopes are the paragraphs of a text, and an interval join
+within the scope pairs parts that lie at most ``REACH`` code points apart. Parts that are too weak to report alone are
+reported only when a complementary part is in reach. No linked span overlaps a base span.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,13 +59,19 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     """Weak identifiers, secrets and endpoints that a complementary part completes.
 
     A secret (base assignment, base hex, or opaque string) and an access identifier complete each other; an endpoint
-    is reported next to a strong or completed secret. Lists are sorted by start, so each interval is joined with its
-    neighbours by bisection, not with every other.
+    is reported next to a strong or completed secret. Each interval is joined by bisection, not with every other.
     """
     strong_secret = [(s, e) for k, s, e in base if k in ("assign", "hex")]
     strong_id = [(s, e) for k, s, e in base if k == "access"]
     taken = sorted((s, e) for _, s, e in base)
-    free = lambda s, e: not any(a < e and s < b for a, b in taken[max(0, bisect_left(taken, (s, s)) - 1) :][:2])
+    starts = [s for s, _ in taken]
+    furthest = list(accumulate((e for _, e in taken), max))  # the end of any base span up to each
+
+    def free(s: int, e: int) -> bool:
+        """Whether no base span overlaps s..e: of those that start before e, the furthest end tells."""
+        at = bisect_left(starts, e)
+        return not at or furthest[at - 1] <= s
+
     weak_secret = [m.span() for m in OPAQUE.finditer(text) if free(*m.span()) and opaque(m[0])]
     weak_id = [m.span() for m in IDENTIFIER.finditer(text) if free(*m.span())] if ":" in text or "=" in text else []
     if not (strong_secret or weak_secret):
@@ -72,26 +79,33 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     cuts = [m.start() for m in re.finditer(r"\n\s*\n", text)]
     scope = lambda at: bisect_left(cuts, at)
 
-    def near(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-        """Whether one of ``others`` (by start) is in reach and in the same scope; longer ones than the reach are looked at by their ends too."""
-        s, e = span
-        at = bisect_left(others, (e + REACH, 0))
-        while at and others[at - 1][0] >= s - REACH - longest.get(id(others), 0):
-            a, b = others[at - 1]
-            if (a, b) != span and b >= s - REACH and scope(a) == scope(s):
-                return True
-            at -= 1
-        return False
-
-    secrets, ids = sorted(strong_secret + weak_secret), sorted(strong_id + weak_id)
-    longest = {id(x): max((b - a for a, b in x), default=0) for x in (secrets, ids)}
-    out = [("identifier", *x) for x in weak_id if near(x, secrets)]
-    completed = [x for x in weak_secret if near(x, ids)]
+    def near(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Those of ``spans`` with one of ``others`` in reach and in the same scope, itself aside.
+
+        Of the others of a scope that start up to a span's end plus the reach, the two furthest ends tell: one may be
+        the span itself. So a very long span costs no more than a short one.
+        """
+        by_scope: dict[int, tuple[list[int], list[tuple]]] = {}
+        for a, b in sorted(set(others)):
+            begin, ends = by_scope.setdefault(scope(a), ([], []))
+            far = sorted([*(ends[-1] if ends else ()), (b, a)], reverse=True)[:2]
+            begin.append(a)
+            ends.append(tuple(far))
+        found = []
+        for s, e in spans:
+            begin, ends = by_scope.get(scope(s), ([], []))
+            at = bisect_right(begin, e + REACH)
+            if at and any((a, b) != (s, e) and b >= s - REACH for b, a in ends[at - 1]):
+                found.append((s, e))
+        return found
+
+    secrets, ids = strong_secret + weak_secret, strong_id + weak_id
+    out = [("identifier", *x) for x in near(weak_id, secrets)]
+    completed = near(weak_secret, ids)
     out += [("secret", *x) for x in completed]
-    sure = sorted(strong_secret + completed)
-    longest[id(sure)] = max((b - a for a, b in sure), default=0)
+    sure = strong_secret + completed
     if sure:
-        out += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text) if free(*m.span()) and near(m.span(), sure)]
+        out += [("endpoint", *x) for x in near([m.span() for m in ENDPOINT.finditer(text) if free(*m.span())], sure)]
     return out
 
 
