@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
 
@@ -31,34 +31,63 @@ SPACES = re.compile(r"\s+")
 NAMES = re.compile(r"[A-Za-z]+")
 
 
+class Place:
+    """An open element: its tag, the words of its class, id and role, and the element around it.
+
+    The sets of tags and words on the way up are shared with the element around where nothing new is added, and where
+    ``known`` is given only what is in it is kept, so the memory of deep nesting doesn't grow with depth squared.
+    """
+
+    __slots__ = ("tag", "tags", "names", "named")
+
+    def __init__(self, tag: str = "", names: list[str] = (), around: "Place | None" = None, known: frozenset | None = None):
+        self.tag = tag
+        self.tags: frozenset = around.tags if around else frozenset()
+        self.names: frozenset = around.names if around else frozenset()
+        self.named = bool(names) or bool(around and around.named)
+        if tag and tag not in self.tags and (known is None or f"in:{tag}" in known):
+            self.tags = self.tags | {tag}
+        names = [n for n in names if known is None or f"name:{n}" in known]
+        if not self.names.issuperset(names):
+            self.names = self.names.union(names)
+
+
 @dataclass
 class Block:
     text: str
-    path: list[str] = field(default_factory=list)  # ancestors' tags, outermost first
-    names: list[str] = field(default_factory=list)  # words of their classes, ids and roles
+    place: Place
     linked: int = 0  # characters inside links
 
 
-def blocks(html: str | None) -> list[Block]:
-    """The leaf blocks of a page in order: character references decoded, each run of white space one space, trimmed."""
+def blocks(html: str | None, known: frozenset | None = None) -> list[Block]:
+    """The leaf blocks of a page in order: character references decoded, each run of white space one space, trimmed.
+
+    ``known``: names of the features that matter (those of a trained model); all where it is not given.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, list[str], bool]] = []  # tag, names, hidden
+    stack: list[tuple[str, Place, bool]] = []  # tag, place, hidden
+    opened: dict[str, list[int]] = {}  # places in the stack of each tag
+    barriers: list[int] = []  # places in the stack of block-level tags
     parts: list[tuple[str, bool]] = []
+    top = Place()
     hidden = links = 0
 
     def flush() -> None:
         if parts:
             text = SPACES.sub(" ", "".join(p for p, _ in parts)).strip()
             if text:
-                out.append(Block(text, [t for t, _, _ in stack], [n for _, ns, _ in stack for n in ns], sum(len(p.strip()) for p, a in parts if a)))
+                out.append(Block(text, stack[-1][1] if stack else top, sum(len(p.strip()) for p, a in parts if a)))
             parts.clear()
 
     def close(at: int) -> None:
         nonlocal hidden, links
-        for t, _, h in stack[at:]:
+        while len(stack) > at:
+            t, _, h = stack.pop()
             hidden -= h
             links -= t == "a"
-        del stack[at:]
+            opened[t].pop()
+            if t in BLOCK:
+                barriers.pop()
 
     def put(s: str) -> None:
         if s and not hidden:
@@ -81,10 +110,10 @@ def blocks(html: str | None) -> list[Block]:
         if m["end"]:
             if name == "br":
                 flush()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            k = opened[name][-1] if opened.get(name) else -1
             if name in BLOCK:
                 flush()
-            if k >= 0 and (name in BLOCK or not any(t in BLOCK for t, _, _ in stack[k + 1 :])):
+            if k >= 0 and (name in BLOCK or not barriers or barriers[-1] < k):
                 close(k)
             continue
         if name in BLOCK:
@@ -94,12 +123,8 @@ def blocks(html: str | None) -> list[Block]:
         if name in CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             # end tags that may be left out: a new one of the kind ends an open one of the same list, row or paragraph
             ends = {"p"} | ({name} if name in ("li", "dt", "dd", "tr", "td", "th") else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if barriers and stack[barriers[-1]][0] in ends:
+                close(barriers[-1])
         attrs = m["attrs"] or ""
         names, off = [], name in HIDDEN
         for a in ATTR.finditer(attrs) if attrs.strip(" /") else ():
@@ -114,13 +139,17 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if attrs.rstrip().endswith("/") and name in ("svg", "path"):
             continue
-        stack.append((name, names, off))
+        opened.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            barriers.append(len(stack))
+        stack.append((name, Place(name, names, stack[-1][1] if stack else top, known), off))
         hidden += off
         links += name == "a"
     flush()
     return out
 
 
+APART, INSIDE = {"nav", "footer", "header", "aside", "form", "menu"}, {"article", "main"}
 STARTS = ("©", "copyright", "all rights reserved")
 
 
@@ -128,14 +157,13 @@ def features(page: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     n, found = len(page), []
     for i, b in enumerate(page):
-        tags = set(b.path)
+        tags = b.place.tags
         size = len(b.text)
         words = b.text.count(" ") + 1
         f = ["bias"]
         f += [f"in:{t}" for t in tags]
-        f += [f"name:{x}" for x in set(b.names)]
-        own = b.path[-1] if b.path else ""
-        f.append(f"own:{own}")
+        f += [f"name:{x}" for x in b.place.names]
+        f.append(f"own:{b.place.tag}")
         f.append(f"words:{min(5, words.bit_length() - 1)}")
         share = b.linked / size
         f.append("links:" + ("none" if share == 0 else "some" if share < 0.5 else "most"))
@@ -143,10 +171,10 @@ def features(page: list[Block]) -> list[list[str]]:
         low = b.text[:40].lower()
         if low.startswith(STARTS):
             f.append("rights")
-        apart = bool(tags & {"nav", "footer", "header", "aside", "form", "menu"})
-        f.append("apart" if apart else "inside" if tags & {"article", "main"} else "loose")
-        if not b.names and not apart:
-            f.append("unnamed" + (" inside" if tags & {"article", "main"} else ""))
+        apart = bool(tags & APART)
+        f.append("apart" if apart else "inside" if tags & INSIDE else "loose")
+        if not b.place.named and not apart:
+            f.append("unnamed" + (" inside" if tags & INSIDE else ""))
         found.append(f)
     return found
 
@@ -160,6 +188,13 @@ class Crf:
     pair: np.ndarray
     first: np.ndarray
 
+    @property
+    def known(self) -> frozenset:
+        """Names of its features, and of the tags that ``features`` asks for by name."""
+        if not hasattr(self, "_known"):
+            self._known = frozenset(self.index) | {f"in:{t}" for t in APART | INSIDE}
+        return self._known
+
     def scores(self, page: list[Block]) -> np.ndarray:
         rows = [[self.index[x] for x in f if x in self.index] for f in features(page)]
         return np.array([self.weight[r].sum(axis=0) if r else np.zeros(2) for r in rows]).reshape(-1, 2)
@@ -318,7 +353,7 @@ def default_model() -> Crf:
 
 
 def main_text(html: str | None, model: Crf) -> str:
-    page = blocks(html)
+    page = blocks(html, model.known)
     return "\n".join(b.text for b, keep in zip(page, model.decode(page)) if keep)
 
 

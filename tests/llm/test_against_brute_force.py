@@ -148,6 +148,28 @@ def test_weak_parts_need_their_complement():
     assert secrets.redact("a token=abcdefgh1 b") == "a [secret] b"
 
 
+def test_linked_spans_leave_base_spans_alone():
+    """Random texts: no linked span overlaps a base span, and each has a complement that a look at all pairs finds."""
+    rng = random.Random(12)
+    opaque = lambda: "".join(rng.choice("abcdefgXYZ0123456789") for _ in range(rng.randrange(20, 40)))
+    parts = [lambda: "user: alice", lambda: "token=" + "0123456789abcdef" * 2 + "." + opaque(), opaque, lambda: "AKIA" + "Q" * 16, lambda: "https://db.example.com/x", lambda: "word " * rng.randrange(60), lambda: "\n\n", lambda: "secret: " + "z" * 300, lambda: "db_user=bob", lambda: "f" * 40]
+    for _ in range(400):
+        text = " ".join(rng.choice(parts)() for _ in range(rng.randrange(2, 14)))
+        base = secrets.base_spans(text)
+        found = secrets.linked_spans(text, base)
+        assert not any(a < e and s < b for _, s, e in found for _, a, b in base), text
+        free = lambda m: not any(a < m.end() and m.start() < b for _, a, b in base)  # noqa: B023, E731
+        weak = {"secret": [m.span() for m in secrets.OPAQUE.finditer(text) if free(m) and secrets.opaque(m[0])], "identifier": [m.span() for m in secrets.IDENTIFIER.finditer(text) if free(m)], "endpoint": [m.span() for m in secrets.ENDPOINT.finditer(text) if free(m)]}
+        strong = [(s, e) for k, s, e in base if k != "access"]
+        cuts = [m.start() for m in re.finditer(r"\n\s*\n", text)]
+        scope = lambda x: sum(c < x for c in cuts)  # noqa: B023, E731
+        near = lambda x, others: any(y != x and y[0] <= x[1] + 200 and y[1] >= x[0] - 200 and scope(x[0]) == scope(y[0]) for y in others)  # noqa: B023, E731
+        ids = weak["identifier"] + [(s, e) for k, s, e in base if k == "access"]
+        done = [x for x in weak["secret"] if near(x, ids)]
+        want = [("identifier", *x) for x in weak["identifier"] if near(x, strong + weak["secret"])] + [("secret", *x) for x in done] + [("endpoint", *x) for x in weak["endpoint"] if near(x, strong + done)]
+        assert sorted(found) == sorted(want), text
+
+
 def test_loss_by_hand():
     texts = ["a b a b c", "c c d", "A b"]
     side = [True, False, True]
@@ -260,6 +282,17 @@ def test_pages_of_held_out_layouts():
     assert right / total > 0.97
 
 
+def test_deep_pages_in_bounded_memory():
+    import tracemalloc
+
+    model = html_extract.default_model()
+    for page in ("<div>x" * 20_000, "".join(f'<div class="c{chr(97 + i % 26)}{"ab"[i % 2] * (i % 40)}">x' for i in range(20_000)), "".join(f"<x{i}>y<p>z" for i in range(20_000)), "<p>a<b>" * 20_000 + "</b>" * 20_000):
+        tracemalloc.start()
+        html_extract.main_text(page, model)
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
+
+
 def test_viterbi_is_the_best_sequence():
     from itertools import product
 
@@ -381,7 +414,7 @@ def test_calls_are_ordered_and_checked(spark):
     calls = [(1, "a", "f", {"x": "1"}, []), (1, "b", "f", {"x": '"s"', "z": "0"}, ["a"]), (1, "c", "f", {}, ["b", "a"]), (1, "d", "g", None, ["e"]), (1, "e", "f", {"x": "2"}, ["d"]), (1, "h", "f", {"x": "2"}, ["e"]), (1, "i", "f", {"x": "3"}, ["nope"])]
     calls += [(2, f"k{i}", "f", {"x": str(i)}, [f"k{i - 1}"] if i else []) for i in range(40)]
     df = spark.createDataFrame(calls, "conv_id long, call_id string, tool string, arguments map<string,string>, needs array<string>")
-    results = spark.createDataFrame([("a", "done"), ("zz", "lost")], "call_id string, content string")
+    results = spark.createDataFrame([(1, "a", "done"), (1, "zz", "lost"), (2, "b", "of another conversation")], "conv_id long, call_id string, content string")
     schemas = spark.createDataFrame([("f", ["x"], {"x": "integer"})], "tool string, required array<string>, types map<string,string>")
     got = {r.call_id: r for r in tool_calls.link(df, results, schemas).collect()}
     assert [got[c].level for c in "abcdehi"] == [0, 1, 2, None, None, None, 0]
@@ -389,4 +422,45 @@ def test_calls_are_ordered_and_checked(spark):
     assert got["b"].problems == ["unknown:z", "type:x"] or sorted(got["b"].problems) == ["type:x", "unknown:z"]
     assert got["c"].problems == ["missing:x"] and got["d"].problems == ["tool", "cycle"] and got["h"].problems == ["cycle"] and got["i"].problems == ["reference:nope"]
     assert got["b"].call_json == '{"arguments":{"x":"s","z":0},"id":"b","name":"f"}' and got["a"].linked
-    assert [r.call_id for r in tool_calls.orphans(df, results).collect()] == ["zz"]
+    assert not got["b"].linked
+    assert sorted(r.call_id for r in tool_calls.orphans(df, results).collect()) == ["b", "zz"]
+
+
+def test_equal_ids_in_two_conversations(spark):
+    calls = spark.createDataFrame([(1, "x", "f", {}, []), (2, "x", "f", {}, ["y"]), (2, "y", "f", {}, []), (None, "x", "f", {}, ["y"]), (3, None, "f", {}, [])], "conv_id long, call_id string, tool string, arguments map<string,string>, needs array<string>")
+    results = spark.createDataFrame([(1, "x", "one"), (2, "x", "two"), (None, "x", "none")], "conv_id long, call_id string, content string")
+    schemas = spark.createDataFrame([("f", [], {})], "tool string, required array<string>, types map<string,string>")
+    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(calls, results, schemas).collect()}
+    assert len(got) == 5 and [got[k].level for k in ((1, "x"), (2, "x"), (2, "y"), (None, "x"), (3, None))] == [0, 1, 0, None, None]
+    assert '"one"' in got[1, "x"].result_json and '"two"' in got[2, "x"].result_json and got[None, "x"].result_json is None
+
+
+def test_canonical_json(spark):
+    """Against json.dumps with sorted keys: nested values, escapes, numbers, malformed texts."""
+    import json
+
+    good = ['{"b": [1, 2, {"z": null, "a": "x"}],\n "a": {"y": 1.50, "x": true}}', ' "caf\\u00e9 \\/ \\t" ', "[ ]", "{}", "12", "-0", "1.0", "2e3", "0.25", "false", "null", '"a\\"b\\\\"', "[" * 40 + "1.0" + "]" * 40, '{"x": "1.0, 2.0", "y": 3.0, "z": [4.0, 5]}']
+    bad = ["{not json}", "[1,]", '"open', "01", "nul", '{"a":1,"a":2}', "", "'x'", '"a" x', "1, 2", "1 2", "1e400"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", tool_calls.canonical(F.col("t")).alias("c")).collect()}
+
+    def plain(v):
+        if isinstance(v, float) and v == int(v):
+            return int(v)
+        return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else v
+
+    for i, t in enumerate(good):
+        assert got[i] == json.dumps(plain(json.loads(t)), sort_keys=True, separators=(",", ":"), ensure_ascii=False), t
+    assert all(got[len(good) + i] is None for i in range(len(bad)))
+
+
+def test_nested_schemas(spark):
+    calls = [(1, "a", "f", {"o": '{ "n": 1, "s": {"t": "x"} }'}, []), (1, "b", "f", {"o": '{"n": "1"}'}, []), (1, "c", "f", {"o": "{not json}", "q": "1"}, []), (1, "d", "f", {"o": '{"s": {}}'}, [])]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, tool string, arguments map<string,string>, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    schemas = spark.createDataFrame([("f", ["o", "o.n", "o.s.t"], {"o": "object", "o.n": "integer", "o.s.t": "string"})], "tool string, required array<string>, types map<string,string>")
+    got = {r.call_id: r for r in tool_calls.link(df, results, schemas).collect()}
+    assert got["a"].problems == [] and got["a"].call_json == '{"arguments":{"o":{"n":1,"s":{"t":"x"}}},"id":"a","name":"f"}'
+    assert got["b"].problems == ["type:o.n"]
+    assert got["c"].problems == ["json:o", "unknown:q"]
+    assert got["d"].problems == ["missing:o.n", "missing:o.s.t"]
