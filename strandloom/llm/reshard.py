@@ -1,25 +1,27 @@
 """Resharding by minimum-cost flow: the fewest bytes move from the old layout to shards of given capacities.
 
-Old shards are cut into blocks by hash. The driver sees one row per block (a bounded number), solves the transport
-problem old shard -> new shard at cost 0 for bytes that stay and 1 for bytes that move, and lays the flows of each
-old shard end to end over its blocks. A document goes where the middle of its bytes falls. Slots are block offsets
-plus the rank inside the block's piece, so no shard is ever sorted as a whole.
+Old shards are cut into blocks by hash, as many as their bytes ask for. The driver sees one row per block, solves the
+transport problem old shard -> new shard at cost 0 for bytes that stay and 1 for bytes that move, and lays the flows of
+each old shard end to end over its blocks. A document goes where the middle of its bytes falls. Slots are block offsets
+plus the rank inside the block's piece, so no shard is ever sorted as a whole, and the rewrite moves each text through
+one shuffle, by block, from which the files of the new shards are written.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
+from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, shuffle_partitions
+from .common import fresh_path, materialise
 
-#: Blocks an old shard is cut into: parallelism is old shards x blocks, and as many rows reach the driver.
-BLOCKS = 128
+#: Bytes of a block in the mean: one task's share. The driver gets a row a block, and an old shard has ``LEAST`` blocks at least.
+BLOCK_BYTES, LEAST = 64 << 20, 8
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
@@ -75,78 +77,129 @@ def equal_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def sized(docs: DataFrame, old: Column) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, plus 16), text_crc32 and old shard."""
+ORDER = ["_id", "_size", "_crc"]
+
+
+@dataclass
+class Layout:
+    """How blocks of old shards go to new ones. All three tables have a row a block, or a cut of one."""
+
+    blocks: DataFrame  # _old, _blocks
+    cuts: DataFrame  # _old, _block, _bounds, _targets
+    first: DataFrame  # _shard, _old, _block, _first
+    changed: list[int]  # shards that something enters or leaves
+    shards: list[int]  # shards that have rows
+
+
+def keyed(docs: DataFrame, old: Column, blocks: DataFrame | None = None) -> DataFrame:
+    """``docs`` with _old, _id, _size (UTF-8 bytes of the text, plus 16), _crc and, by ``blocks``, _block."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.cast("int").alias("old_shard"))
+    rows = docs.withColumns({"_old": F.coalesce(old.cast("int"), F.lit(0)), "_id": F.col("doc_id").cast("long"), "_size": (F.octet_length(text) + 16).cast("long"), "_crc": F.crc32(text)})
+    if blocks is None:
+        return rows
+    return rows.join(F.broadcast(blocks), "_old").withColumn("_block", F.pmod(F.xxhash64("_id", "_crc"), F.col("_blocks")).cast("int")).drop("_blocks")  # a row an old shard
 
 
-def reshard(docs: DataFrame, old: Column, shards: int, capacities: list[int] | None = None, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot of every row of ``docs``.
+def ends(rows: DataFrame) -> DataFrame:
+    """Rows of a block in order, with the running sum of their bytes."""
+    w = Window.partitionBy("_old", "_block").orderBy(*ORDER)
+    return rows.withColumn("_end", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    ``old`` gives the present shard (null counts as 0); old shard i and new shard i are the same place. ``capacities``
-    (bytes, summing to all bytes) defaults to equal ones. A shard's bytes differ from its capacity by less than one
-    document at each cut. Null and empty texts are 16 bytes. Rows that repeat an id each get a slot; rows alike in id,
-    size and checksum may swap slots. No rows give no rows. Other columns are ignored.
-    """
+
+def placed(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with their new shard, and their rank in the block's piece; the order of ``ends`` and its partitions are reused."""
+    middle = F.col("_end") - F.floor(F.col("_size") / 2)
+    goes = F.element_at("_targets", F.size(F.filter("_bounds", lambda b: b < middle)) + 1)
+    moved = rows.join(F.broadcast(cuts), ["_old", "_block"]).withColumn("_shard", goes)  # one row a block
+    rank = F.row_number().over(Window.partitionBy("_old", "_block", "_shard").orderBy(*ORDER)) - 1
+    return moved.withColumn("_rank", rank).drop("_bounds", "_targets", "_end")
+
+
+def layout(docs: DataFrame, old: Column, shards: int, capacities: list[int] | None = None, block_bytes: int = BLOCK_BYTES) -> Layout:
+    """Solve the flow for ``docs``; see ``reshard``. Only ids, sizes and checksums are shuffled."""
     spark = docs.sparkSession
-    rows = sized(docs, F.coalesce(old, F.lit(0))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
-    # the moves below order the rows of a block; only these narrow columns are shuffled
-    in_block = Window.partitionBy("old_shard", "block").orderBy("doc_id", "size", "text_crc32")
-    placed = materialise(rows.withColumn("end", F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, 0))), "blocks")
-    sums = placed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).orderBy("old_shard", "block").collect()  # one row a block
-    olds = sorted({r["old_shard"] for r in sums})
-    supply = [sum(r["bytes"] for r in sums if r["old_shard"] == o) for o in olds]
-    capacities = capacities or equal_capacities(sum(supply), shards)
-    flow = min_cost_flow(supply, capacities, lambda i, j: int(olds[i] != j))
+    narrow = keyed(docs.select("doc_id", "text", old.cast("int").alias("_was")), F.col("_was")).select("_old", *ORDER)
+    weights = narrow.groupBy("_old").agg(F.sum("_size").alias("bytes")).collect()  # a row an old shard
+    blocks = spark.createDataFrame([(r["_old"], max(LEAST, -(-r["bytes"] // block_bytes))) for r in weights], "_old int, _blocks bigint")
+    rows = narrow.join(F.broadcast(blocks), "_old").withColumn("_block", F.pmod(F.xxhash64("_id", "_crc"), F.col("_blocks")).cast("int")).drop("_blocks")
+    run = materialise(ends(rows), "blocks")
+    sums = run.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes")).orderBy("_old", "_block").collect()  # one row a block
+    by_old: dict[int, list] = {}
+    for r in sums:
+        by_old.setdefault(r["_old"], []).append(r)
+    olds = sorted(by_old)
+    supply = [sum(r["bytes"] for r in by_old[o]) for o in olds]
+    flow = min_cost_flow(supply, capacities or equal_capacities(sum(supply), shards), lambda i, j: int(olds[i] != j))
     cuts = []
     for i, o in enumerate(olds):
         targets = sorted((j for a, j in flow if a == i), key=lambda j: (j != o, j))
         bounds = list(accumulate(flow[i, j] for j in targets))[:-1]
         at = 0
-        for r in (r for r in sums if r["old_shard"] == o):
+        for r in by_old[o]:
             lo, hi = bisect_right(bounds, at), bisect_right(bounds, at + r["bytes"])
-            cuts.append((o, r["block"], [b - at for b in bounds[lo:hi]], targets[lo : hi + 1]))
+            cuts.append((o, r["_block"], [b - at for b in bounds[lo:hi]], targets[lo : hi + 1]))
             at += r["bytes"]
-    plan = spark.createDataFrame(cuts, "old_shard int, block int, bounds array<bigint>, targets array<int>")
-    middle = F.col("end") - F.floor(F.col("size") / 2)
-    goes = F.element_at("targets", F.size(F.filter("bounds", lambda b: b < middle)) + 1)
-    keys = ["old_shard", "block"]
-    moved = placed.join(F.broadcast(plan), keys).withColumn("shard", goes)  # one row a block
-    # in a block the target only ever grows along the order, so the rank in a piece needs no other shuffle
-    in_piece = Window.partitionBy("old_shard", "block", "shard").orderBy("doc_id", "size", "text_crc32")
-    ranked = materialise(moved.withColumn("rank", F.row_number().over(in_piece) - 1).drop("bounds", "targets", "end"), "pieces")
-    pieces = ranked.groupBy("shard", *keys).agg(F.count(F.lit(1)).alias("n")).orderBy("shard", *keys).collect()  # blocks + cuts
-    offsets, at = [], {}
+    plan = spark.createDataFrame(cuts, "_old int, _block int, _bounds array<bigint>, _targets array<int>")
+    pieces = placed(run, plan).groupBy("_shard", "_old", "_block").agg(F.count(F.lit(1)).alias("n")).orderBy("_shard", "_old", "_block").collect()  # blocks + cuts
+    offsets, at, changed = [], {}, set()
     for p in pieces:
-        offsets.append((p["shard"], p["old_shard"], p["block"], at.get(p["shard"], 0)))
-        at[p["shard"]] = at.get(p["shard"], 0) + p["n"]
-    first = spark.createDataFrame(offsets, "shard int, old_shard int, block int, first bigint")
-    return ranked.join(F.broadcast(first), ["shard", *keys]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"))
+        offsets.append((p["_shard"], p["_old"], p["_block"], at.get(p["_shard"], 0)))
+        at[p["_shard"]] = at.get(p["_shard"], 0) + p["n"]
+        if p["_shard"] != p["_old"]:
+            changed |= {p["_shard"], p["_old"]}
+    first = spark.createDataFrame(offsets, "_shard int, _old int, _block int, _first bigint")
+    return Layout(blocks, plan, first, sorted(changed), sorted(at))
+
+
+def assigned(docs: DataFrame, old: Column, plan: Layout) -> DataFrame:
+    """``docs``, all columns, with old_shard, shard and slot by ``plan``: each row carries its own, so ids need not be distinct."""
+    rows = keyed(docs.drop("old_shard", "shard", "slot"), old, plan.blocks)
+    found = placed(ends(rows), plan.cuts).join(F.broadcast(plan.first), ["_shard", "_old", "_block"])  # a row a piece
+    named = found.withColumns({"old_shard": F.col("_old"), "shard": F.col("_shard"), "slot": F.col("_first") + F.col("_rank")})
+    return named.drop("_old", "_block", "_shard", "_rank", "_first", *ORDER)
+
+
+def reshard(docs: DataFrame, old: Column, shards: int, capacities: list[int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot of every row of ``docs``; nothing is rewritten.
+
+    ``old`` gives the present shard (null counts as 0); old shard i and new shard i are the same place. ``capacities``
+    (bytes, summing to all bytes) defaults to equal ones. A shard's bytes differ from its capacity by less than one
+    document at each cut. Null and empty texts are 16 bytes. Rows that repeat an id each get a slot, null ids too; rows
+    alike in id, size and checksum may swap slots. No rows give no rows. Other columns are ignored.
+    """
+    plan = layout(docs, old, shards, capacities, block_bytes)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", old.cast("int").alias("_was"))
+    rows = keyed(narrow, F.col("_was"), plan.blocks).select("doc_id", "_old", "_block", *ORDER)
+    found = placed(ends(rows), plan.cuts).join(F.broadcast(plan.first), ["_shard", "_old", "_block"])
+    return found.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_old").alias("old_shard"), F.col("_shard").alias("shard"), (F.col("_first") + F.col("_rank")).alias("slot"))
 
 
-def rewrite(spark: SparkSession, old_manifest: dict[int, str], placed: DataFrame, docs: DataFrame, path: str) -> dict[int, str]:
-    """Write the shards that ``placed`` (of ``reshard``) changes under ``path`` and return the new manifest, shard -> folder.
+def rewrite(docs: DataFrame, old: Column, plan: Layout, path: str, manifest: dict[int, str] | None = None) -> dict[int, str]:
+    """Write the shards that ``plan`` changes under ``path`` and return the new manifest, shard -> folder.
 
-    A shard that nothing enters or leaves keeps its old folder and is neither read nor written. Old folders are never
-    touched, so a job that is cut off can be run again; the manifest changes hands only when all files are there.
-    Ids must be distinct and not null here. Columns named shard or slot are replaced.
+    ``manifest`` has the folders of the old shards. A shard in it that nothing enters or leaves keeps its folder and is
+    not written; without a manifest all are. The files have all columns of ``docs``, old_shard and slot (columns of
+    these names, or named shard, are replaced), and each is in order of slot. Old folders are never touched, so a job
+    that is cut off can be run again; the manifest changes hands only when all files are there.
     """
-    came = {r["shard"] for r in placed.where("shard != old_shard").select("shard").distinct().collect()}
-    left = {r["old_shard"] for r in placed.where("shard != old_shard").select("old_shard").distinct().collect()}
-    changed = sorted(came | left)
-    if not changed:
-        return dict(old_manifest)
-    at = placed.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.drop("shard", "slot", "_id").join(at, F.col("doc_id") == F.col("_id")).drop("_id")
-    # slots in runs: a shard is written by many tasks, each of its files a sorted range
-    rows.repartitionByRange(shuffle_partitions(spark), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    there = {r["shard"] for r in at.select("shard").distinct().collect()}
-    return {k: v for k, v in old_manifest.items() if k not in changed} | {k: f"{path}/shard={k}" for k in sorted(there)}
+    kept = {k: v for k, v in (manifest or {}).items() if k not in plan.changed}
+    written = [k for k in plan.shards if k not in kept]
+    if written:
+        rows = assigned(docs, old, plan)
+        if kept:
+            rows = rows.where(F.col("shard").isin(written))
+        rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return kept | {k: f"{path}/shard={k}" for k in written}
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Old layout: 32 shards by hash of the source, so the hot source's shard is far over the others. Law: bytes."""
+    """Old layout: 32 shards by hash of the source, so the hot source's shard is far over the others. Law: bytes. The rows are read from the rewritten files."""
     old = F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(32))
-    found = reshard(docs, old, 40)
-    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    docs = docs.select("doc_id", "text", "source")
+    plan = layout(docs, old, 40)
+    path = fresh_path(spark, "shards")
+    rewrite(docs, old, plan, path)
+    schema = "doc_id long, text string, source string, old_shard int, slot long, shard int"
+    files = spark.read.schema(schema).parquet(path) if plan.shards else spark.createDataFrame([], schema)
+    text = F.coalesce("text", F.lit(""))
+    return files.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

@@ -230,11 +230,34 @@ def test_shards_are_near_equal_and_stay(spark, tmp_path):
     assert all(abs(s - total / 4) <= 2 * max(r.size for r in rows) for s in sizes.values())
     moved = sum(r.size for r in rows if r.shard != r.old_shard)
     assert moved <= total / 4 + 4 * max(r.size for r in rows)
-    manifest = reshard.rewrite(spark, {i: f"old/{i}" for i in range(3)}, placed, docs, str(tmp_path / "new"))
-    assert sorted(manifest) == [0, 1, 2, 3]
-    assert sum(spark.read.parquet(p).count() for p in manifest.values()) == len(rows)
-    same = reshard.reshard(docs, F.lit(0), 1)
-    assert reshard.rewrite(spark, {0: "old/0"}, same, docs, str(tmp_path / "none")) == {0: "old/0"}
+    old = F.pmod(F.col("doc_id"), F.lit(3))
+    plan = reshard.layout(docs, old, 4)
+    manifest = reshard.rewrite(docs, old, plan, str(tmp_path / "new"), {i: f"old/{i}" for i in range(3)})
+    assert sorted(manifest) == [0, 1, 2, 3] and all("new" in p for p in manifest.values())
+    files = {k: spark.read.parquet(p).collect() for k, p in manifest.items()}
+    assert {(r.doc_id, k, r.slot) for k, rs in files.items() for r in rs} == {(r.doc_id, r.shard, r.slot) for r in rows}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text == texts[r.doc_id] for rs in files.values() for r in rs)
+    one = reshard.layout(docs, F.lit(0), 1)
+    assert reshard.rewrite(docs, F.lit(0), one, str(tmp_path / "none"), {0: "old/0"}) == {0: "old/0"}
+
+
+def test_small_blocks_and_repeated_rows(spark, tmp_path):
+    """Many blocks, null and repeated ids: no row is lost or multiplied by the rewrite, slots have no gaps."""
+    rows = [(None if i % 7 == 0 else i % 50, None if i % 11 == 0 else "x" * (i % 300), f"s{i % 5 if i % 3 else 0}", i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
+    old = F.substring("source", 2, 1).cast("int")
+    plan = reshard.layout(docs, old, 6, block_bytes=2000)
+    assert plan.cuts.count() > 30
+    reshard.rewrite(docs, old, plan, str(tmp_path / "new"))
+    got = spark.read.parquet(str(tmp_path / "new")).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(r[:3] for r in rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += len(r.text or "") + 16
+    assert max(sizes.values()) - min(sizes.values()) < 4 * 316
+    for k in sizes:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
 
 
 def test_index_persists(spark, tmp_path):
