@@ -144,3 +144,88 @@ def is_gestational(c: Column) -> Column:
 
 def is_diabetes(c: Column) -> Column:
     return F.substring(c, 1, 3).isin("249", "250", "648")
+
+
+def base_number(c: Column) -> Column:
+    """The number before the dot, E and V codes shifted as in ``numerize``; null if there is none."""
+    return numerize(text_root(c))
+
+
+def same_number(a: Column, b: Column) -> Column:
+    """Equal base numbers ('042' and '42' too)."""
+    return F.coalesce(base_number(a) == base_number(b), F.lit(False))
+
+
+def same_root(a: Column, b: Column) -> Column:
+    return F.coalesce(text_root(a) == text_root(b), F.lit(False))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Equal but for case and outer white space."""
+    return F.coalesce(F.lower(F.trim(a)) == F.lower(F.trim(b)), F.lit(False))
+
+
+def greater(a: Column, b: Column) -> Column:
+    """A larger base, told only for bases of as many characters."""
+    return F.coalesce((F.length(text_root(a)) == F.length(text_root(b))) & (base_number(a) > base_number(b)), F.lit(False))
+
+
+def less(a: Column, b: Column) -> Column:
+    return greater(b, a)
+
+
+def matching(target: Column, candidates: Column, base_only: bool = True) -> Column:
+    """(position, code) of the candidates that are the target, by root or as a whole."""
+    same = (lambda c: text_root(c) == text_root(target)) if base_only else (lambda c: c == target)
+    return F.filter(F.transform(candidates, lambda c, i: F.when(same(c), F.struct(i.alias("position"), c.alias("code")))), lambda x: x.isNotNull())
+
+
+def is_source_value(c: Column) -> Column:
+    """A drug code behind a prefix, or digits alone."""
+    return is_med_code(c) | c.rlike(r"^\d+$")
+
+
+def is_description(c: Column, words: int = 2) -> Column:
+    """Several words, the first of them of letters and digits."""
+    parts = F.split(F.trim(c), r"\s+")
+    return (F.size(parts) >= words) & F.forall(F.slice(parts, 1, words), lambda w: w.rlike("^[A-Za-z0-9]+$"))
+
+
+def after_prefix(c: Column, sep: str = ":") -> Column:
+    """The part behind the prefix; a code without one is unchanged."""
+    return F.when(c.contains(sep), F.substring_index(c, sep, -1)).otherwise(c)
+
+
+def class_name(c: Column) -> Column:
+    """A drug class name without its bracketed code, in lower case, with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"\[[^\]]*\]", " ")), r"\s+", " "))
+
+
+def all_match(c: Column, patterns: list[str]) -> Column:
+    """Whether every pattern is found, whatever the case."""
+    out = F.lit(True)
+    for p in patterns:
+        out = out & c.rlike(f"(?i){p}")
+    return out
+
+
+def token_class(c: Column) -> Column:
+    """diag, drug, lab (digits alone) or other."""
+    return F.when(is_icd(c), "diag").when(is_med_code(c), "drug").when(c.rlike(r"^\d+$"), "lab").otherwise("other")
+
+
+def drug_class(c: Column) -> Column:
+    """The prefix of a drug code in lower case: med, ndc, multum; others are unknown."""
+    return F.when(is_med_code(c), F.lower(F.substring_index(c, ":", 1))).otherwise("unknown")
+
+
+#: Code books by name: the codes or prefixes of a disease.
+CODE_BOOKS = {"ckd": ["585", "584", "403", "404"], "diabetes": ["249", "250", "648"]}
+
+
+def in_code_book(c: Column, name: str) -> Column:
+    """Whether a code is in, or under, a code of the book."""
+    out = F.lit(False)
+    for root in CODE_BOOKS[name.lower()]:
+        out = out | c.startswith(root)
+    return out

@@ -79,6 +79,11 @@ def collapse(a: Column) -> Column:
     return F.filter(a, lambda x, i: (i == 0) | ~F.get(a, i - 1).eqNullSafe(x))
 
 
+def collapse_runs(a: Column) -> Column:
+    """``collapse`` for any expression: it is evaluated once."""
+    return F.aggregate(a, F.array().cast("array<string>"), lambda out, x: F.when((F.size(out) > 0) & F.get(out, F.size(out) - 1).eqNullSafe(x), out).otherwise(F.concat(out, F.array(x))))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
 

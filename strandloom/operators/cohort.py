@@ -68,3 +68,36 @@ def group_by_subset(items: DataFrame, key: str, entity: str, attributes: str) ->
     other = items.select(F.col(entity), F.col(key).alias("_leader"), F.col(attributes).alias("_wide"))
     pairs = items.join(other, entity).where(F.size(F.array_except(attributes, "_wide")) == 0)
     return pairs.groupBy(key).agg(F.min(F.struct((-F.size("_wide")).alias("n"), F.col("_leader").alias("leader")))["leader"].alias("leader"))
+
+
+def person_codes(events: DataFrame, code: Column, root: Column, person: str = "person_id") -> DataFrame:
+    """Each person's distinct codes and distinct roots, sorted."""
+    return events.groupBy(person).agg(F.array_sort(F.collect_set(code)).alias("codes"), F.array_sort(F.collect_set(root)).alias("roots"))
+
+
+def root_table(events: DataFrame, code: Column, root: Column) -> DataFrame:
+    """root, and its distinct codes."""
+    return events.groupBy(root.alias("root")).agg(F.array_sort(F.collect_set(code)).alias("codes"))
+
+
+def unused_roots(scope: DataFrame, used: DataFrame, root: str = "root") -> DataFrame:
+    """The roots of ``scope`` that no code uses."""
+    return scope.select(root).distinct().join(used.select(root).distinct(), root, "left_anti")
+
+
+def least_common(events: DataFrame, code: Column, n: int) -> DataFrame:
+    return events.groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n")).orderBy("n", "code").limit(n)
+
+
+def id_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How many ids are in both tables and in one alone: one row."""
+    side = lambda df, name: df.select(key).dropna().distinct().withColumn(name, F.lit(1))
+    both = side(left, "_a").join(side(right, "_b"), key, "full")
+    n = lambda c: F.count(F.when(c, 1))
+    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    return both.agg(n(a & b).alias("n_both"), n(a & ~b).alias("n_left_only"), n(~a & b).alias("n_right_only"))
+
+
+def concept_map(*sources: tuple[DataFrame, str, str]) -> DataFrame:
+    """Distinct (source_value, internal_code) pairs out of several tables, each with its two columns' names."""
+    return reduce(DataFrame.union, [df.select(F.col(a).cast("string").alias("source_value"), F.col(b).cast("string").alias("internal_code")) for df, a, b in sources]).distinct()

@@ -101,3 +101,79 @@ def unroll(visits: DataFrame, column: str = "visits") -> DataFrame:
     """One row per choice of a code from each visit, the codes joined by a space, over array<array<string>>; an empty visit adds nothing."""
     add = lambda done, visit: F.flatten(F.transform(done, lambda s: F.transform(F.when(F.size(visit) > 0, visit).otherwise(F.array(F.lit(""))), lambda c: F.trim(F.concat_ws(" ", s, c)))))
     return visits.withColumn("sentence", F.explode(F.aggregate(F.col(column), F.array(F.lit("")), add)))
+
+
+def codified(events: DataFrame, mapping: DataFrame, dedupe: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """``events`` with codes mapped: blank is 'empty'; several words are their mapped value or 'unknown'; others their mapped value or themselves.
+
+    ``mapping``: source_value, internal_code (of several the smallest). With ``dedupe`` (document and visit columns) a
+    code stays once a visit, the first by ``order``.
+    """
+    one = mapping.groupBy(F.col("source_value").alias("_raw")).agg(F.min("internal_code").alias("_to"))
+    raw = F.trim(F.coalesce("code", F.lit("")))
+    found = events.withColumn("_raw", raw).join(one, "_raw", "left")
+    code = F.when(F.col("_raw") == "", "empty").otherwise(F.coalesce("_to", F.when(F.col("_raw").rlike(r"\s"), "unknown").otherwise(F.col("_raw"))))
+    out = found.withColumn("code", code).drop("_raw", "_to")
+    if not dedupe:
+        return out
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy(*dedupe, "code").orderBy(*(order or ["code"])))).where("_r = 1").drop("_r")
+
+
+def visit_vectors(vectors: DataFrame, n: int, size: int, doc: str = "doc_id", t: str = "t", flat: bool = True) -> DataFrame:
+    """Each document's last ``n`` visit vectors (doc, t, vector of ``size``) in order, padded in front with zeros: one array, or an array of arrays.
+
+    Only n vectors a document reach the aggregation.
+    """
+    w = Window.partitionBy(doc).orderBy(F.desc(t))
+    last = vectors.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= n)
+    rows = last.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("o"), F.col("vector")))), lambda x: x["vector"]).alias("v"))
+    zero = F.array_repeat(F.lit(0.0), size)
+    padded = F.concat(F.array_repeat(zero, F.greatest(n - F.size("v"), F.lit(0))), F.col("v"))
+    return rows.select(doc, (F.flatten(padded) if flat else padded).alias("vectors"))
+
+
+TRANSFORMS = ("cut", "simplify", "filter")
+
+
+def transformed(documents: DataFrame, how: str, p: Predicate, column: str = "events", **options) -> DataFrame:
+    """One step by name: cut (at hits of ``p``), simplify (codes to ``p`` of them), filter (codes that meet ``p``)."""
+    from ..functions import sequences as S
+
+    if how not in TRANSFORMS:
+        raise ValueError(f"{how}: one of {TRANSFORMS}")
+    if how == "cut":
+        return documents.withColumn(column, S.cut(F.col(column), lambda x: p(x["code"]), **options))
+    if how == "simplify":
+        return documents.withColumn(column, F.transform(column, lambda x: x.withField("code", p(x["code"]))))
+    return filter_codes(documents, p, column)
+
+
+def process(events: DataFrame, order: list[str], steps: list[dict], labels: DataFrame | None = None, policy: str = "empty", at_least: int = 10, doc: str = "doc_id") -> DataFrame:
+    """Events to documents: assembled, transformed step by step (see ``transformed``), labelled ('unknown' without one), filtered by ``filter_documents``.
+
+    doc, events, label. Group by label for the strata.
+    """
+    out = build(events, order, doc)
+    for s in steps:
+        out = transformed(out, **s)
+    if labels is not None:
+        one = labels.groupBy(doc).agg(F.min("label").alias("label"))
+        out = out.join(one, doc, "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
+    return filter_documents(out, policy, at_least)
+
+
+CONTENT = {"diag": ("diag", "diagnosis", "condition"), "med": ("med", "drug", "medication"), "lab": ("lab", "measurement"), "regular": ("regular", "all", "mixed", "full")}
+
+
+def content_type(name: str) -> str:
+    """The one name of a content type, from any of its names or a beginning of it."""
+    low = name.strip().lower()
+    for kind, names in CONTENT.items():
+        if any(low.startswith(x) or x.startswith(low) for x in names if low):
+            return kind
+    raise ValueError(f"unknown content type {name!r}")
+
+
+def option(names: list[str], default=None, **given):
+    """The first of an option's names that is given."""
+    return next((given[n] for n in names if given.get(n) is not None), default)

@@ -73,3 +73,51 @@ def gap_statistic(costs: list[float], reference: list[list[float]], ks: list[int
 
     gaps = [sum(math.log(r) for r in refs) / len(refs) - math.log(c) for c, refs in zip(costs, reference)]
     return ks[max(range(len(ks)), key=gaps.__getitem__)]
+
+
+def weighted_auc(df: DataFrame, keys: list[str], truth: str, score: str, weight: str) -> DataFrame:
+    """``auc`` of rows that count ``weight`` times; null where a class is missing."""
+    by = df.groupBy(*keys, score).agg(F.sum(F.col(truth) * F.col(weight)).alias("_p"), F.sum((1 - F.col(truth)) * F.col(weight)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    won = by.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    total = won.groupBy(*keys).agg(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_u"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+    return total.select(*keys, "n_pos", "n_neg", (F.col("_u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
+
+
+def bootstrap_auc(df: DataFrame, key: str, truth: str, score: str, resamples: int, seed: int = 53) -> DataFrame:
+    """The area of each resample: draw, auc; resamples of one class are left out."""
+    from .sampling import resample_weight
+
+    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_w", resample_weight(F.col(key), F.col("draw"), seed))
+    return weighted_auc(drawn.where("_w > 0"), ["draw"], truth, score, "_w").where("auc is not null").select("draw", "auc")
+
+
+def multiclass_auc(df: DataFrame, cls: str, truth: str, score: str) -> DataFrame:
+    """One row over (class, truth 0/1, score): macro (mean of the classes), micro (all rows in one), the best and the worst class."""
+    each = auc(df, [cls], truth, score)
+    ends = each.agg(F.avg("auc").alias("macro"), F.min("auc").alias("lowest"), F.max("auc").alias("highest"), F.min_by(cls, F.struct("auc", cls)).alias("worst"))
+    micro = auc(df, [], truth, score).select(F.col("auc").alias("micro"))
+    return ends.crossJoin(F.broadcast(micro))  # one row each
+
+
+def average_precision(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
+    """Area under the precision-recall steps: at each distinct score, falling, the gain in recall times the precision."""
+    by = df.groupBy(*keys, score).agg(F.sum(truth).alias("_p"), F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.withColumn("_tp", F.sum("_p").over(w)).withColumn("_all", F.sum("_c").over(w))
+    return run.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), (F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / F.nullif(F.sum("_p"), F.lit(0))).alias("average_precision"))
+
+
+def neighbour_agreement(near: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Share of each query's neighbours (query_id, neighbour_id) that have its label."""
+    of = lambda c: labels.select(F.col(key).alias(f"{c}_id"), F.col(label).alias(f"_{c}"))
+    return near.join(of("query"), "query_id").join(of("neighbour"), "neighbour_id").groupBy("query_id").agg(F.avg(F.col("_query").eqNullSafe(F.col("_neighbour")).cast("double")).alias("agreement"))
+
+
+def silhouettes(df: DataFrame, features: list[str], ks: list[int], seed: int = 1) -> dict[int, float]:
+    """Mean silhouette (squared Euclidean, MLlib) of k-means for each k; the best k has the largest."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    judge = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster")
+    return {k: judge.evaluate(VectorAssembler(inputCols=features, outputCol="_x").transform(kmeans(df, features, k, seed))) for k in ks}

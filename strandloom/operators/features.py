@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,16 +46,26 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def nearest_to(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+#: Query vectors that are sent to every task at once; more are taken in blocks.
+QUERY_BLOCK = 2_000
+
+
+def nearest_to(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest rows of each query by cosine distance, nearest first, of equal ones the smaller key.
 
-    ``queries`` is a stated, bounded set (it is broadcast); every row is scored against it, and the first cut to k is
-    made inside each task's partial aggregation.
+    ``queries`` is a stated set. It is cut into blocks by hash, so that no more than about ``block`` vectors are
+    broadcast, however many there are; every row is scored against every block, and the first cut to k is made inside
+    each task, before the shuffle.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
-    scored = rows.join(q, F.col(key) != F.col("query_id")).select("query_id", F.col(key).alias("neighbour_id"), F.round(1 - cosine(F.col(vector), F.col("_q")), 6).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = -(-queries.count() // block)
+    found = []
+    for i in range(max(n, 1)):
+        part = queries if n < 2 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+        q = F.broadcast(part.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
+        scored = rows.join(q, F.col(key) != F.col("query_id")).select("query_id", F.col(key).alias("neighbour_id"), F.round(1 - cosine(F.col(vector), F.col("_q")), 6).alias("distance"))
+        w = Window.partitionBy("query_id").orderBy("distance", "neighbour_id")
+        found.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def average_vector(tokens: DataFrame, vectors: DataFrame, token: str, doc: str = "doc_id", weight: Column | None = None) -> DataFrame:
@@ -75,3 +87,36 @@ def density(df: DataFrame, value: str, grid: list[float], bandwidth: float) -> D
     k = lambda g: F.avg(F.exp(-0.5 * F.pow((F.col(value) - g) / bandwidth, 2.0)) / (bandwidth * 2.5066282746310002))
     wide = df.agg(*[k(g).alias(f"g{i}") for i, g in enumerate(grid)])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(float(g)).alias("x"), F.col(f"g{i}").alias("density")) for i, g in enumerate(grid)])).alias("p")).select("p.*")
+
+
+def bag_of_centroids(tokens: DataFrame, cluster_of: DataFrame, clusters: list[int], token: str = "token", doc: str = "doc_id") -> DataFrame:
+    """doc x number of its tokens in each word cluster (token, cluster), 0 where there are none."""
+    found = tokens.join(cluster_of, token).groupBy(doc)
+    return found.agg(*[F.count(F.when(F.col("cluster") == c, 1)).alias(f"c{c}") for c in clusters])
+
+
+def cluster_means(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """Each cluster's size and mean vector, summed element by element before anything is gathered."""
+    parts = rows.select(cluster, F.posexplode(vector).alias("i", "x")).groupBy(cluster, "i").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
+    return parts.groupBy(cluster).agg(F.max("n").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
+
+
+def nearest_members(rows: DataFrame, means: DataFrame, cluster: str, key: str, vector: str, k: int) -> DataFrame:
+    """The k members of each cluster next to its mean (squared Euclidean distance), of equal ones the smaller key."""
+    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+    near = rows.join(means.select(cluster, "mean"), cluster).select(cluster, key, F.round(gap(F.col(vector), F.col("mean")), 6).alias("distance"))
+    w = Window.partitionBy(cluster).orderBy("distance", key)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def standardize(df: DataFrame, column: str) -> DataFrame:
+    """(x - mean) / population deviation; 0 without spread."""
+    one = df.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))  # one row
+    scaled = F.coalesce((F.col(column) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)), F.lit(0.0))
+    return df.crossJoin(F.broadcast(one)).withColumn(f"{column}_standard", scaled).drop("_m", "_s")
+
+
+def distances(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Cosine distances of the pairs a < b of a stated, bounded set."""
+    side = lambda c: rows.select(F.col(key).alias(c), F.col(vector).alias(f"_{c}"))
+    return side("a").join(side("b"), F.col("a") < F.col("b")).select("a", "b", F.round(1 - cosine(F.col("_a"), F.col("_b")), 6).alias("distance"))

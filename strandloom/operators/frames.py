@@ -103,3 +103,13 @@ def cross_validated_auc(df: DataFrame, features: list[str], label: str, folds: i
     judge = BinaryClassificationEvaluator(labelCol=label)
     cv = CrossValidator(estimator=LogisticRegression(featuresCol="_x", labelCol=label), estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=seed)
     return float(cv.fit(x).avgMetrics[0])
+
+
+def dropped(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` without these columns, where it has them."""
+    return df.drop(*[c for c in columns if c in df.columns])
+
+
+def from_index(rows: DataFrame, vocabulary: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """Indices back to tokens; one that the vocabulary lacks is ``unknown``."""
+    return rows.join(vocabulary.select("index", F.col("token").alias("_t")), "index", "left").withColumn("token", F.coalesce("_t", F.lit(unknown))).drop("_t")

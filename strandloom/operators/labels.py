@@ -40,3 +40,30 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
     total = counts.agg(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k"))  # one row
     return counts.crossJoin(F.broadcast(total)).select(label, "n_class", (F.col("n") / (F.col("k") * F.col("n_class"))).alias("weight"))
+
+
+def index_by(rows: DataFrame, keys: list[str], doc: str) -> DataFrame:
+    """Each combination of labels and its documents, in order (strata of bounded size)."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(doc)).alias("docs"))
+
+
+def without_classes(df: DataFrame, label: str, drop: list[str] = ("Control",)) -> DataFrame:
+    """Rows of the other classes; rows without a label stay."""
+    return df.where(F.col(label).isNull() | ~F.col(label).isin(*drop))
+
+
+def training_table(df: DataFrame, features: list[str], label: str, index: str) -> DataFrame:
+    """f0, f1, ... as doubles, target and index; rows with any null go."""
+    named = [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
+    return df.select(F.col(index).alias("index"), *named, F.col(label).alias("target")).dropna(how="any")
+
+
+def prepared(df: DataFrame, label: str, merge_to: dict[str, str] | None = None, keep: list[str] | None = None, drop: list[str] | None = None, per_class: int | None = None, key: str = "doc_id", seed: int = 53) -> DataFrame:
+    """A training table's classes in one go: merged, focused, dropped, and cut to as many rows a class (by hash of the key)."""
+    from .sampling import hashed
+    from .sampling import per_class as first
+
+    out = df.withColumn(label, merge(F.col(label), merge_to or {}))
+    out = out.withColumn(label, focus(F.col(label), keep)) if keep else out
+    out = without_classes(out, label, drop) if drop else out
+    return first(out, label, per_class, [hashed(F.col(key), seed)]).drop("rank") if per_class else out

@@ -94,3 +94,37 @@ def draws(ids: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     total = ids.count()
     picks = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_i"))
     return picks.join(numbered(ids, [key], "_i"), "_i").drop("_i")
+
+
+def balanced(df: DataFrame, label: str, key: str, ratio: float = 0.8, seed: int = 53) -> DataFrame:
+    """As many rows of every class: ``ratio`` of the smallest one's, the first by hash."""
+    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.floor(F.min("n") * ratio).alias("_n"))  # one row
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(hashed(F.col(key), seed))))
+    return ranked.crossJoin(F.broadcast(least)).where(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+
+
+def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 53) -> DataFrame:
+    """``df`` with a fold from 0 to k - 1, each class dealt evenly over them."""
+    place = F.row_number().over(Window.partitionBy(label).orderBy(hashed(F.col(key), seed))) - 1
+    return df.withColumn("fold", (place % k).cast("int"))
+
+
+def combinations(df: DataFrame, key: str, r: int, group: str | None = None) -> DataFrame:
+    """The r-combinations of a bounded set's keys, in one group if given: c1 < c2 < ..."""
+    keys = [group] if group else []
+    out = df.select(*keys, F.col(key).alias("c1")).distinct()
+    for i in range(2, r + 1):
+        nxt = df.select(*keys, F.col(key).alias(f"c{i}")).distinct()
+        out = out.join(nxt, keys).where(F.col(f"c{i - 1}") < F.col(f"c{i}")) if keys else out.join(nxt, F.col(f"c{i - 1}") < F.col(f"c{i}"))
+    return out
+
+
+def resample_weight(key: Column, draw: Column, seed: int = 53) -> Column:
+    """How often a row is drawn in a bootstrap resample: Poisson of mean 1 by a portable hash, so no rows are moved."""
+    # The Poisson distribution function up to 4.
+    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), draw.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    out = F.lit(len(steps))
+    for n in range(len(steps) - 1, -1, -1):
+        out = F.when(u < steps[n], n).otherwise(out)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..state import written
+from ..state import numbered, written
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -73,3 +73,103 @@ def closest_names(names: DataFrame, text: str, wanted: str, n: int = 10) -> Data
     """Offline approximate term match: by edit distance, then name."""
     d = F.levenshtein(F.lower(F.col(text)), F.lit(wanted.lower()))
     return names.select(text, d.alias("distance")).orderBy("distance", text).limit(n)
+
+
+def parents(edges: DataFrame, nodes: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """node and each direct parent of ``nodes`` (node)."""
+    return edges.join(nodes.select(F.col("node").alias(child)).distinct(), child, "left_semi").select(F.col(child).alias("node"), F.col(parent).alias("parent"))
+
+
+def children(edges: DataFrame, nodes: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    return parents(edges, nodes, parent, child).withColumnRenamed("parent", "child")
+
+
+def within_set(edges: DataFrame, nodes: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """The edges of which both ends are among ``nodes`` (node)."""
+    inside = nodes.select("node").distinct()
+    return edges.join(inside.withColumnRenamed("node", child), child, "left_semi").join(inside.withColumnRenamed("node", parent), parent, "left_semi")
+
+
+def code_set(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """Heads and members in one set: node."""
+    return edges.select(F.col(child).alias("node")).union(edges.select(parent)).distinct()
+
+
+def related(edges: DataFrame, node: str, relation: str | None = None, to: str | None = None) -> DataFrame:
+    """Edges (source, relation, target) that leave ``node``, of one relation or to one target if given."""
+    found = edges.where(F.col("source") == node)
+    found = found if relation is None else found.where(F.col("relation") == relation)
+    return found if to is None else found.where(F.col("target") == to)
+
+
+def layers(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """node and layer: 0 without parents, else one more than the deepest parent. A cycle raises.
+
+    A round moves every node below its parents; there are as many rounds as layers.
+    """
+    e = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).dropna().distinct(), "edges")
+    level = written(e.select("node").union(e.select("up")).distinct().withColumn("layer", F.lit(0).cast("long")), "layers")
+    n, done, before = level.count(), 0, None
+    while True:
+        below = e.join(level.withColumnRenamed("node", "up"), "up").groupBy("node").agg((F.max("layer") + 1).alias("lower"))
+        level = written(level.join(below, "node", "left").select("node", F.coalesce("lower", "layer").alias("layer")), "layers")
+        total = level.agg(F.sum("layer")).first()[0]  # one row
+        if total == before:
+            return level
+        before, done = total, done + 1
+        if done > n:
+            raise ValueError("the hierarchy has a cycle")
+
+
+def linearized(layered: DataFrame, suffix: str = r"_\d+$") -> DataFrame:
+    """The nodes of ``layers`` in one order: by layer, then name; index suffixes are dropped."""
+    return numbered(layered, ["layer", "node"], "place").select("place", F.regexp_replace("node", suffix, "").alias("node"))
+
+
+def described(codes: DataFrame, code: str, tables: list[DataFrame], default: str = "unknown") -> DataFrame:
+    """``codes`` with a description: from the first of ``tables`` (code, description) that has one, else the default."""
+    out, found = codes, []
+    for i, t in enumerate(tables):
+        one = t.groupBy(F.col("code").alias(code)).agg(F.min("description").alias(f"_d{i}"))
+        out, found = out.join(one, code, "left"), [*found, f"_d{i}"]
+    return out.withColumn("description", F.coalesce(*found, F.lit(default))).drop(*found)
+
+
+def codes_described(table: DataFrame, pattern: str) -> DataFrame:
+    """Codes whose description matches a pattern, whatever the case."""
+    return table.where(F.col("description").rlike(f"(?i){pattern}")).select("code").distinct()
+
+
+def concept_for_name(names: DataFrame, wanted: str, kinds: list[str] | None = None) -> DataFrame:
+    """The concept (concept, name, kind) most often named like ``wanted``: by prefix, then anywhere, then with the last word dropped, until there is a hit.
+
+    All tries are one pass: each row gets the place of the first try it meets, and the smallest place that occurs wins.
+    """
+    rows = names if kinds is None else names.where(F.col("kind").isin(*kinds))
+    words, place, n = wanted.lower().split(), F.lit(None).cast("int"), 0
+    tries = []
+    for k in range(len(words), 0, -1):
+        text = " ".join(words[:k])
+        tries += [F.lower("name").startswith(text), F.lower("name").contains(text)]
+    for n in range(len(tries) - 1, -1, -1):
+        place = F.when(tries[n], n).otherwise(place)
+    hits = rows.withColumn("_try", place).where("_try is not null").groupBy("_try", "concept").agg(F.count(F.lit(1)).alias("n"))
+    return hits.orderBy("_try", F.desc("n"), "concept").limit(1).select("concept", "n", F.col("_try").alias("tries"))
+
+
+def distinct_values_of(rows: DataFrame, key: str, value: str, wanted: str | int) -> DataFrame:
+    """The distinct values of one concept (drug codes, classes)."""
+    return rows.where(F.col(key) == wanted).select(value).distinct()
+
+
+def split_classes(rows: DataFrame, key: str, classes: str, sep: str = "|") -> DataFrame:
+    """key and class: a concept's classes out of one text."""
+    return rows.select(key, F.explode(F.split(classes, f"[{sep}]")).alias("class")).where("class <> ''").distinct()
+
+
+def names_of(names: DataFrame, wanted: str, preferred_kinds: list[str] | None = None) -> DataFrame:
+    """Name, source and kind of a concept. '@' and what follows is cut; a leading '-' stands for its negation."""
+    negated, concept = wanted.startswith("-"), wanted.lstrip("-").split("@")[0]
+    found = names.where(F.col("concept") == concept)
+    found = found if preferred_kinds is None else found.where(F.col("kind").isin(*preferred_kinds))
+    return found.select("concept", "name", "source", "kind", F.lit(negated).alias("negated"))

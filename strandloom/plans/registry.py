@@ -24,3 +24,4 @@ from . import queries_cohort  # noqa: E402,F401
 from . import queries_patterns  # noqa: E402,F401
 from . import queries_streams  # noqa: E402,F401
 from . import queries_frames  # noqa: E402,F401
+from . import queries_more  # noqa: E402,F401

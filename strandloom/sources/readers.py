@@ -69,3 +69,13 @@ def read_code_descriptions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_training_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def sparse(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, feature, value, as ``write_sparse`` left them."""
+    return spark.read.parquet(f"{path}/values")
+
+
+def folder_tables(spark: SparkSession, folder: str, names: list[str], sep: str = ",") -> dict[str, DataFrame]:
+    """The CSV files of a terminology by name, all columns as text."""
+    return {n: spark.read.csv(f"{folder}/{n}.csv", header=True, sep=sep) for n in names}
