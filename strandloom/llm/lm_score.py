@@ -1,36 +1,45 @@
 """Cross-entropy difference between matched target and background n-gram models.
 
-Tokens are the lower-cased words between white space. Both models are interpolated bigram models over one shared
-vocabulary: a word's hash, in a fixed number of ids. Bigram counts are kept by hash as well, so the models have a
-proven size (see ``WORD_BITS`` and ``PAIR_BITS``) whatever the corpus, while the counts cover every token of every
-document. The background's counts are scaled to the target's total, so smoothing weighs equally in both.
-
-Each executor task reduces its documents to counts by id; those are summed in a shuffle.
+Tokens are the lower-cased words between white space. Both models are distributions over bigrams (each token with the
+one before it, or with the start of its text) and share one vocabulary, all bigrams of the corpus: an n-gram's
+probability is (count + A) / (total + A x vocabulary). The background's counts are scaled to the target's size, so
+smoothing weighs equally in both. Counts are exact, of every token of every document, by 64-bit hash; nothing about
+the models has a fixed size.
+
+A document's own counts are left out when it is scored, so its loss needs the counts of each of its n-grams. That is
+done where the counts are made: blocks of documents send the n-grams of a hash bucket, with the places of the documents
+that hold them, to one group, which sums the counts and sends back each document's share of its loss. So each n-gram
+of a document is moved once, in 9 to 12 bytes, and buckets are as many as the corpus' bytes ask for. N-grams that a
+large share of all documents holds (``HOT``) would make some groups large: there are few of them, so their counts are
+summed apart, known to every task, and never sent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-WORD_BITS, PAIR_BITS = 17, 20
-#: Weight of the unigram model in the bigram one, and of the uniform one in the unigram one, in counts.
-MU, ALPHA = 2.0, 0.1
-SLICE_BYTES = 2_000_000
-#: Ids whose counts travel to the driver together.
-PACK = 1 << 13
+#: Added to every count.
+A = 0.1
+#: Bytes of text in a block, most rows of one, and bytes of text whose n-grams share a bucket.
+SLICE_BYTES, SLICE_ROWS, BUCKET_BYTES = 4_000_000, 60_000, 24_000_000
+#: An n-gram in at least this share of all documents is known to every task. As a document has L n-grams in the mean, there are at most 2 L / HOT of these.
+HOT = 0.01
+#: Target ids that are broadcast, by count; with more of them the texts are sort-merged with the ids once.
+BROADCAST_ROWS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+START = np.uint64(0x5851F42D4C957F2D)
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -43,171 +52,234 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word id of each token of ``texts``, one after the other, and tokens in each text."""
-    raw = [t.lower().encode() for t in texts]
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each token of ``texts`` with the one before it, one after the other, and tokens in each text."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
     gap = SPACE[buf]
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
     up, down = powers(len(buf) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
-    h = mixed((sums[ends] - sums[starts]) * down[starts])
+    words = mixed((sums[ends] - sums[starts]) * down[starts])
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)]) + 1
-    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), np.diff(np.searchsorted(starts, bounds))
+    n = np.diff(np.searchsorted(starts, bounds))
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = START
+    return mixed(before * np.uint64(0xD1342543DE82EF95) + words), n
+
+
+def postings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (n-gram, text) pairs in order: hash, text, times; and tokens in each text."""
+    h, n = ngrams(texts)
+    text = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(h, kind="stable")  # texts stay in order inside a hash
+    h, text = h[order], text[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.empty(0, np.int64)
+    return h[new], text[new], np.diff(np.append(new, len(h))), n
+
+
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Rows in runs of about SLICE_BYTES, numbered apart over all tasks: a task that is run again numbers them alike."""
+    block = TaskContext.get().partitionId() << 32
+    held: list[pd.DataFrame] = []
+    size = rows = 0
+    for b in batches:
+        at = (b["text"].str.len().cumsum() // SLICE_BYTES).to_numpy()
+        for _, part in b.groupby(at):
+            for i in range(0, len(part), SLICE_ROWS):
+                piece = part.iloc[i : i + SLICE_ROWS]
+                length = int(piece["text"].str.len().sum())
+                if held and (size + length > SLICE_BYTES or rows + len(piece) > SLICE_ROWS):
+                    yield block, pd.concat(held)
+                    block, held, size, rows = block + 1, [], 0, 0
+                held.append(piece)
+                size, rows = size + length, rows + len(piece)
+    if held:
+        yield block, pd.concat(held)
+
+
+def starts_of(h: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+
+
+def hot_ngrams(told: DataFrame, n_docs: int, share: float) -> np.ndarray:
+    """Hashes, in order, of the n-grams that at least ``share`` of the documents hold (and of some that half as many do).
+
+    Every block tells those that this share of its own documents hold; one that is so frequent in all is so in some
+    block. Which n-grams are taken changes no result.
+    """
 
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, part in blocks(batches):
+            h, _, _, _ = postings(part["text"].tolist())
+            at = starts_of(h)
+            df = np.diff(np.append(at, len(h)))
+            often = df >= max(share * len(part), 16)
+            yield pd.DataFrame({"h": h[at][often].view(np.int64), "df": df[often]})
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
+    found = told.select("text").mapInPandas(tell, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= share / 2 * n_docs)
+    return np.sort(np.array([r["h"] for r in found.select("h").toLocalIterator()], np.int64).view(np.uint64))  # at most 2 L / share
 
 
-def pairs(words: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The id of the word before each (2**WORD_BITS at a text's start) and the bucket of the two."""
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    firsts = (np.cumsum(n_words) - n_words)[n_words > 0]
-    before[firsts] = 1 << WORD_BITS
-    both = (before.astype(np.uint64) << np.uint64(32)) | words.astype(np.uint64)
-    return before, (mixed(both + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows in runs of about SLICE_BYTES, so that memory doesn't depend on how many rows a batch has."""
-    at = batch["text"].str.len().cumsum() // SLICE_BYTES
-    for _, part in batch.groupby(at.to_numpy()):
-        yield part
-
-
-@dataclass
-class Counts:
-    word: np.ndarray  # 2**WORD_BITS + 1: the last is the start of a text, as a context
-    pair: np.ndarray
-
-
-@dataclass
-class Model:
-    """Counts of the target and of the background, the latter times ``scale`` to match the target's total."""
-
-    target: Counts
-    background: Counts
-    scale: float
-
-    def losses(self, c: Counts, tokens_: "Tokens", own: np.ndarray) -> np.ndarray:
-        """Nats of each token; ``own`` times a token's counts in its own text are taken out of the model first."""
-        t = tokens_
-        word, context, pair = (np.maximum(x - own * o, 0) for x, o in ((c.word[t.words], t.own_word), (c.word[t.before], t.own_before), (c.pair[t.bucket], t.own_pair)))
-        total = np.maximum(float(c.word[:-1].sum(dtype=np.float64)) - own * t.own_total, 0)
-        p = (word + ALPHA) / (total + ALPHA * (1 << WORD_BITS))
-        # a bucket may hold several pairs; no pair is more frequent than its parts
-        seen = np.minimum(pair, np.minimum(context, word))
-        return -np.log((seen + MU * p) / (context + MU))
-
-
-class Tokens:
-    """The tokens of some texts with their counts inside their own text."""
-
-    def __init__(self, texts: list[str]):
-        self.words, self.n = tokens(texts)
-        self.before, self.bucket = pairs(self.words, self.n)
-        text = np.repeat(np.arange(len(self.n), dtype=np.int64), self.n)
-        key = text << 20 | self.words
-        found, at, counts = np.unique(key, return_inverse=True, return_counts=True)
-        self.own_word = counts[at]
-        # as a context: the start of a text occurs once in it, any other as often as the word
-        place = np.minimum(np.searchsorted(found, text << 20 | self.before), max(0, len(found) - 1))
-        self.own_before = np.where(self.before == 1 << WORD_BITS, 1, counts[place] if len(found) else 0)
-        _, at, counts = np.unique(text << 20 | self.bucket, return_inverse=True, return_counts=True)
-        self.own_pair = counts[at]
-        self.own_total = np.repeat(self.n, self.n)
-
-
-def train(told: DataFrame) -> Model:
-    """Count all of ``told`` (text, target): documents of the target, and all others as the background."""
-    told = told.select(F.coalesce("text", F.lit("")).alias("text"), "target")
-    n_word = (1 << WORD_BITS) + 1
+def places(hot: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``h`` are hot, and where."""
+    if not len(hot):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return hot[at] == h, at
+
+
+def hot_counts(told: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """Times that target and background (rows) hold each hot n-gram."""
+    sums = np.zeros((2, len(hot)))
+    if not len(hot):
+        return sums
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, n_word + (1 << PAIR_BITS)), np.int64)
-        for b in batches:
-            for part in slices(b):
-                for target, rows in part.groupby("target"):
-                    words, n = tokens(rows["text"].tolist())
-                    _, bucket = pairs(words, n)
-                    at = sums[int(target)]
-                    at[: n_word - 1] += np.bincount(words, minlength=n_word - 1)
-                    at[n_word - 1] += (n > 0).sum()
-                    at[n_word:] += np.bincount(bucket, minlength=1 << PAIR_BITS)
-        at = np.flatnonzero(sums.any(axis=0))
-        for i in range(0, len(at), 100_000):
-            k = at[i : i + 100_000]
-            yield pd.DataFrame({"id": k.astype(np.int32), "background": sums[0, k], "target": sums[1, k]})
-
-    # blocks of ids are packed on the executors: the driver gets a few hundred byte strings, 9 MB at most
-    packed_schema = "block int, background binary, target binary"
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = np.zeros((2, PACK))
-        sums[:, rows["id"].to_numpy() % PACK] = rows[["background", "target"]].to_numpy(float).T
-        return pd.DataFrame({"block": [rows["id"].iloc[0] // PACK], "background": [sums[0].tobytes()], "target": [sums[1].tobytes()]})
-
-    summed = told.mapInPandas(count, "id int, background long, target long").groupBy("id").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    sums = np.zeros((2, -(-(n_word + (1 << PAIR_BITS)) // PACK) * PACK), np.float32)
-    for r in summed.groupBy((F.col("id") / PACK).cast("int").alias("block")).applyInPandas(pack, packed_schema).toLocalIterator():
-        at = slice(r["block"] * PACK, (r["block"] + 1) * PACK)
-        sums[0, at], sums[1, at] = np.frombuffer(r["background"]), np.frombuffer(r["target"])
-    totals = sums[:, : n_word - 1].sum(axis=1, dtype=np.float64)
-    scale = float(totals[1] / totals[0]) if totals.all() else 1.0
-    sums[0] *= scale
-    return Model(*(Counts(s[:n_word].copy(), s[n_word:].copy()) for s in (sums[1], sums[0])), scale)
+        got = np.zeros((2, len(hot)), np.int64)
+        for _, part in blocks(batches):
+            h, n = ngrams(part["text"].tolist())
+            is_hot, at = places(hot, h)
+            side = np.repeat(~part["target"].to_numpy(bool), n).astype(np.int64)[is_hot]
+            np.add.at(got, (side, at[is_hot]), 1)
+        some = np.flatnonzero(got.any(axis=0))
+        yield pd.DataFrame({"at": some, "target": got[0, some], "background": got[1, some]})
 
+    for r in told.select("text", "target").mapInPandas(count, "at long, target long, background long").groupBy("at").agg(F.sum("target").alias("t"), F.sum("background").alias("b")).toLocalIterator():
+        sums[:, r["at"]] = r["t"], r["b"]
+    return sums
 
-def told_apart(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """doc_id, text and whether the document is of the target.
 
-    The one join that carries texts; it is a sort-merge join at every size and is written once, since both passes read it.
-    """
-    chosen = target_ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("target")).distinct()
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = texts.hint("merge").join(chosen.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    return materialise(found.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target")), "told")
+def gains(times: np.ndarray, target: np.ndarray, counts: tuple[np.ndarray, np.ndarray], scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Times the log of each n-gram's smoothed count in the target and in the scaled background, a document's own left out."""
+    n_target, n_background = counts
+    return times * np.log(n_target - times * target + A), times * np.log(scale * (n_background - times * ~target) + A)
 
 
-def score(told: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background (nats a token) and score, their difference: low is like the target.
+HEAD = "block long, idx int, doc_id {0}, n long, target boolean, gain_target double, gain_background double"
 
-    ``told`` has doc_id, text and target: a document's own counts are taken out of the model it was counted in, so
-    that none is scored on itself. Whole texts. Null, empty and blank texts have no tokens and null losses. If there is
-    no target, or no background, that side's model is uniform. Rows that repeat an id each give a row; other columns
-    are ignored.
-    """
-    shared = told.sparkSession.sparkContext.broadcast(model)  # (2**17 + 2**20) counts, twice: 9 MB
+
+def send(told: DataFrame, hot: np.ndarray, counts: np.ndarray, scale: float, buckets: int, kind: str) -> DataFrame:
+    """For each document a row with its gains from hot n-grams, and for each block and bucket a row with the other n-grams packed."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            for part in slices(b):
-                t = Tokens(part["text"].tolist())
-                there = t.n > 0
-                starts = (np.cumsum(t.n) - t.n)[there]
-                mine = np.repeat(part["target"].to_numpy(bool), t.n)
-                out = {"doc_id": part["doc_id"].to_numpy(), "n_tokens": t.n}
-                for name, c, own in (("loss_target", m.target, mine * 1.0), ("loss_background", m.background, ~mine * m.scale)):
-                    mean = np.full(len(t.n), np.nan)
-                    if len(starts):
-                        mean[there] = np.add.reduceat(m.losses(c, t, own), starts, dtype=np.float64) / t.n[there]
-                    out[name] = mean
-                yield pd.DataFrame(out)
-
-    kind = told.schema["doc_id"].dataType.simpleString()
-    found = told.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "target").mapInPandas(each, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double")
-    found = found.select("doc_id", "n_tokens", *(F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")))
+        for block, part in blocks(batches):
+            h, text, times, n = postings(part["text"].tolist())
+            target = part["target"].to_numpy(bool)
+            is_hot, at = places(hot, h)
+            at, who, m = at[is_hot], text[is_hot], times[is_hot]
+            got = gains(m, target[who], (counts[0, at], counts[1, at]), scale)
+            sums = [np.bincount(who, x, len(part)) for x in got]
+            yield pd.DataFrame({"bucket": -1 - block % buckets, "block": block, "idx": np.arange(len(part), dtype=np.int32), "doc_id": part["doc_id"].to_numpy(), "n": n, "target": target, "gain_target": sums[0], "gain_background": sums[1], "packed": None})
+            h, text, times = h[~is_hot], text[~is_hot], times[~is_hot]
+            # the bucket is taken from the top bits, so that a bucket's n-grams lie together; of the rest 6 bytes are sent
+            bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = [(b, pack(h[i:j], text[i:j], times[i:j], target)) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+            none = [None] * len(rows)
+            yield pd.DataFrame({"bucket": [b for b, _ in rows], "block": block, "idx": none, "doc_id": none, "n": none, "target": none, "gain_target": none, "gain_background": none, "packed": [p for _, p in rows]})
+
+    return told.mapInPandas(each, f"bucket long, {HEAD.format(kind)}, packed binary")
+
+
+def pack(h: np.ndarray, text: np.ndarray, times: np.ndarray, target: np.ndarray) -> bytes:
+    """Sizes, distinct hashes (6 bytes each), documents of each (1 byte, 0 and 4 more if over 255), their places (2 bytes), times (as documents) and sides (a bit)."""
+    at = starts_of(h)
+    df = np.diff(np.append(at, len(h)))
+    low = np.ascontiguousarray(h[at].view(np.uint8).reshape(-1, 8)[:, :6])
+    parts = [low, *small(df), text.astype(np.uint16), *small(times), np.packbits(target[text])]
+    raw = [p.tobytes() for p in parts]
+    return np.array([len(at), len(h), *map(len, raw)], np.uint32).tobytes() + b"".join(raw)
+
+
+def small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    large = x > 255
+    return np.where(large, 0, x).astype(np.uint8), x[large].astype(np.uint32)
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, text, times and side of each n-gram of a text that ``pack`` put away."""
+    head = np.frombuffer(raw, np.uint32, 9)
+    n_hash, n = int(head[0]), int(head[1])
+    ends = np.cumsum(head[2:].astype(np.int64)) + 36
+    part = lambda i, t: np.frombuffer(raw[ends[i] - int(head[2 + i]) : ends[i]], t)
+
+    def large(i: int) -> np.ndarray:
+        x = part(i, np.uint8).astype(np.int64)
+        x[x == 0] = part(i + 1, np.uint32)
+        return x
+
+    low = np.zeros((n_hash, 8), np.uint8)
+    low[:, :6] = part(0, np.uint8).reshape(-1, 6)
+    side = np.unpackbits(part(6, np.uint8))[:n].astype(bool)
+    return np.repeat(low.view(np.uint64).ravel(), large(1)), part(3, np.uint16).astype(np.int64), large(4), side
+
+
+def score(told: DataFrame, hot_share: float = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background (nats a token) and score, their difference: low is like the target.
+
+    ``told`` has doc_id, text and target (whether a document trains the target model; all others train the
+    background). A row's own counts are taken out of the model it was counted in. Whole texts. Null, empty and blank
+    texts have no tokens and null losses. If there is no target, or no background, that side's model is uniform. Each
+    row gives a row, whether its id is null or repeats. Other columns are ignored. ``hot_share`` and ``bucket_bytes``
+    change no result.
+    """
+    spark, kind = told.sparkSession, told.schema["doc_id"].dataType.simpleString()
+    told = told.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
+    size = F.octet_length("text").cast("long")
+    n_docs, bytes_target, bytes_background = told.agg(F.count(F.lit(1)), F.sum(F.when(F.col("target"), size)), F.sum(F.when(~F.col("target"), size))).first()  # one row
+    scale = bytes_target / bytes_background if bytes_target and bytes_background else 1.0
+    buckets = max(1, -(-((bytes_target or 0) + (bytes_background or 0)) // bucket_bytes))
+    hot = hot_ngrams(told, n_docs, hot_share)
+    counts = hot_counts(told, hot)
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["bucket"].iloc[0] < 0:
+            return rows.drop(columns=["bucket", "packed"]).assign(distinct=0)
+        parts = [unpack(p) for p in rows["packed"]]
+        h, text, times, target = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        sizes = [len(p[0]) for p in parts]
+        del parts
+        found, at = np.unique(h, return_inverse=True)
+        sums = [np.bincount(at, times * side, len(found)) for side in (target, ~target)]
+        got = gains(times, target, (sums[0][at], sums[1][at]), scale)
+        # a document's n-grams in this bucket become one row
+        doc = np.repeat(np.arange(len(sizes)), sizes) << 16 | text
+        docs, place = np.unique(doc, return_inverse=True)
+        out = {"block": rows["block"].to_numpy()[docs >> 16], "idx": (docs & 0xFFFF).astype(np.int32), "doc_id": None, "n": None, "target": None}
+        out |= {c: np.bincount(place, x, len(docs)) for c, x in zip(("gain_target", "gain_background"), got)}
+        return pd.DataFrame(out | {"distinct": np.where(np.arange(len(docs)) == 0, len(found), 0)})
+
+    sent = send(told, hot, counts, scale, buckets, kind)
+    shares = materialise(sent.groupBy("bucket").applyInPandas(group, f"{HEAD.format(kind)}, distinct long"), "gains")
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    distinct, n_target, n_background = shares.agg(F.coalesce(F.sum("distinct"), F.lit(0)), side(F.col("target")), side(~F.col("target"))).first()  # one row
+    vocabulary = A * max(distinct + len(hot), 1)
+    docs = shares.groupBy("block", "idx").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.max("target").alias("target"), F.sum("gain_target").alias("t"), F.sum("gain_background").alias("b"))
+    n, own = F.col("n_tokens"), lambda c: F.when(c, F.col("n_tokens")).otherwise(0)
+    loss = lambda gain, total: F.when(n > 0, F.log(total + vocabulary) - F.col(gain) / n)
+    found = docs.select("doc_id", "n_tokens", loss("t", n_target - own(F.col("target"))).alias("loss_target"), loss("b", (n_background - own(~F.col("target"))) * F.lit(float(scale))).alias("loss_background"))
     return found.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
+def told_apart(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text and whether the document is of the target (``target_ids``: doc_id)."""
+    chosen = materialise(target_ids.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().withColumn("target", F.lit(True)), "target")
+    few = chosen.count() <= BROADCAST_ROWS
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    found = found.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    return found if few else materialise(found, "told")  # read in each pass
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as of good quality."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    told = told_apart(table(spark, sf_dir, "documents"), good)
-    return score(told, train(told))
+    return score(told_apart(table(spark, sf_dir, "documents"), good))

@@ -110,6 +110,35 @@ def test_language_on_held_out_documents(spark):
     assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
 
 
+def test_mixtures_by_plain_em():
+    """Proportions and the language set of the query's model against EM written out word by word, for every nested set."""
+    rng = random.Random(7)
+    words = {"xx": ["kako", "kuki", "kikoku"], "yy": ["sentor", "malvin", "tormal"], "zz": ["ooiu", "euaoi"]}
+    texts = {lang: [" ".join(rng.choice(words[lang]) + rng.choice("aeiou") for _ in range(200)) for _ in range(3)] for lang in words}
+    counts = np.stack([np.bincount(langid.trigrams(texts[x])[0], minlength=langid.BUCKETS) for x in words]) + 0.1
+    model = langid.Model(list(words), np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    cases = [" ".join([rng.choice(words[rng.choice(langs)]) for _ in range(n)]) for langs in ("xx", "xx yy", "xx yy zz", "zz yy") for langs in [langs.split()] for n in (3, 40, 120)]
+    lang, score, share = langid.predict_batch(model, cases)
+
+    def plain(like, use):
+        p = [1 / len(use) if j in use else 0.0 for j in range(3)]
+        for _ in range(2000):
+            r = [[p[j] * w[j] for j in range(3)] for w in like]
+            p = [sum(x[j] / sum(x) for x in r) / len(like) for j in range(3)]
+        return p, sum(math.log(sum(p[j] * w[j] for j in range(3))) for w in like)
+
+    for i, text in enumerate(cases):
+        like = []
+        for w in text.split():
+            logs = [float(sum(model.log_p[j][langid.trigrams([w])[0]].astype(float))) for j in range(3)]
+            like.append([math.exp(max(x - max(logs), -50)) for x in logs])
+        full, _ = plain(like, {0, 1, 2})
+        rank = sorted(range(3), key=lambda j: -full[j])
+        best = min((plain(like, set(rank[:k])) for k in (1, 2, 3)), key=lambda found: -2 * found[1] + (sum(x > 0 for x in found[0]) - 1) * math.log(len(like)))
+        assert lang[i] == model.languages[max(range(3), key=lambda j: best[0][j])], text
+        assert max(abs(a - b) for a, b in zip(share[i], best[0])) < 0.02 and abs(score[i] - max(best[0])) < 0.02
+
+
 def test_mixture_proportions():
     rng = random.Random(2)
     syllables = {"xx": ["ka", "ko", "ki", "ku"], "yy": ["sen", "tor", "mal", "vin"]}
@@ -170,36 +199,63 @@ def test_linked_spans_leave_base_spans_alone():
         assert sorted(found) == sorted(want), text
 
 
-def test_loss_by_hand():
-    texts = ["a b a b c", "c c d", "A b"]
-    side = [True, False, True]
-    tokens = [lm_score.Tokens([t]) for t in texts]
-    word, pair = [Counter(), Counter()], [Counter(), Counter()]
-    for t, target in zip(tokens, side):
-        word[target].update(t.words.tolist() + [1 << lm_score.WORD_BITS])
-        pair[target].update(t.bucket.tolist())
-    n = [sum(v for k, v in w.items() if k < 1 << lm_score.WORD_BITS) for w in word]
-    scale = n[1] / n[0]
-
-    def arrays(c, size, by):
-        out = np.zeros(size, np.float32)
-        for k, v in c.items():
-            out[k] = v * by
-        return out
-
-    models = [lm_score.Counts(arrays(word[s], (1 << lm_score.WORD_BITS) + 1, by), arrays(pair[s], 1 << lm_score.PAIR_BITS, by)) for s, by in ((1, 1), (0, scale))]
-    model = lm_score.Model(*models, scale)
-    t = tokens[0]
-    own_w, own_p = Counter(t.words.tolist()), Counter(t.bucket.tolist())
-    want = []
-    for w, b, k in zip(t.words.tolist(), t.before.tolist(), t.bucket.tolist()):
-        left = lambda c, x, own: max(0, c[x] - own)
-        cw = left(word[1], w, own_w[w])
-        cb = left(word[1], b, 1 if b == 1 << lm_score.WORD_BITS else own_w[b])
-        cp = left(pair[1], k, own_p[k])
-        p = (cw + lm_score.ALPHA) / (n[1] - len(t.words) + lm_score.ALPHA * (1 << lm_score.WORD_BITS))
-        want.append(-math.log((min(cp, cb, cw) + lm_score.MU * p) / (cb + lm_score.MU)))
-    assert np.allclose(model.losses(model.target, t, np.ones(5)), want, rtol=1e-5)
+def plain_scores(rows, target):
+    """Losses by plain counting: rows (id, text), the places that are of the target."""
+    grams = []
+    for _, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
+        grams.append(Counter(zip([None, *w], w)))
+    size = lambda k: len((rows[k][1] or "").encode())
+    here, there = (sum(size(k) for k in range(len(rows)) if (k in target) == side) for side in (True, False))
+    scale = here / there if here and there else 1.0
+    counts = [Counter(), Counter()]
+    for k, g in enumerate(grams):
+        counts[k not in target].update(g)
+    totals = [sum(c.values()) for c in counts]
+    vocabulary = len(set(counts[0]) | set(counts[1]))
+    out = []
+    for k, g in enumerate(grams):
+        n = sum(g.values())
+        loss = []
+        for side, by in ((0, 1.0), (1, scale)):
+            own = (k in target) == (side == 0)
+            total = by * (totals[side] - n * own) + 0.1 * max(vocabulary, 1)
+            loss.append(-sum(m * math.log((by * (counts[side][x] - m * own) + 0.1) / total) for x, m in g.items()) / n if n else None)
+        out.append((rows[k][0], n, *loss))
+    return out
+
+
+def same_scores(found, want):
+    by = lambda r: (str(r[0]), r[1], *[round(x, 6) if x is not None else -1 for x in r[2:4]])
+    assert sorted(by((r.doc_id, r.n_tokens, r.loss_target, r.loss_background)) for r in found) == sorted(map(by, want))
+
+
+def test_losses_by_plain_counting(spark):
+    docs = documents(spark).select("doc_id", "text").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    rows = [(r.doc_id, r.text) for r in docs]
+    want = plain_scores(rows, {k for k, r in enumerate(rows) if r[0] in good})
+    same_scores(lm_score.query(spark, SF).collect(), want)
+    # whatever is hot, however many buckets
+    told = lm_score.told_apart(documents(spark), spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    same_scores(lm_score.score(told, hot_share=0.3, bucket_bytes=20_000).collect(), want)
+
+
+def test_losses_of_repeated_and_empty_rows(spark):
+    rows = [(1, "a b a b c"), (1, "a b a b c"), (None, "c c d"), (None, None), (2, " \t"), (3, "x " * 70_000 + "a b"), (4, "a b")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, target int").drop("target")
+    for ids in ([1], [], [1, 2, 3, 4]):
+        target = {k for k, r in enumerate(rows) if r[0] in ids}
+        told = lm_score.told_apart(df, spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+        same_scores(lm_score.score(told).collect(), plain_scores(rows, target))
+
+
+def test_packed_ngrams():
+    rng = np.random.default_rng(2)
+    h = np.sort(rng.integers(0, 1 << 44, 3000).astype(np.uint64).repeat(rng.integers(1, 4, 3000)))
+    text, times, target = rng.integers(0, 60_000, len(h)), rng.integers(1, 1000, len(h)), rng.random(60_000) < 0.5
+    got = lm_score.unpack(lm_score.pack(h, text, times, target))
+    assert all((a == b).all() for a, b in zip(got, (h, text, times, target[text])))
 
 
 def test_losses_tell_quality_apart(spark):

@@ -78,14 +78,11 @@ def test_secrets(spark, docs, none):
 
 def test_scores(spark, docs, none):
     good = spark.createDataFrame([(3,), (3,), (None,)], "doc_id long")
-    told = lm_score.told_apart(docs, good)
-    got = {r.doc_id: r for r in lm_score.score(told, lm_score.train(told)).collect()}
+    got = {r.doc_id: r for r in lm_score.score(lm_score.told_apart(docs, good)).collect()}
     assert got[1].n_tokens == got[2].n_tokens == got[7].n_tokens == 0 and got[1].score is None
     assert got[5].n_tokens == 30_000
-    empty = lm_score.told_apart(none, good)
-    assert lm_score.score(empty, lm_score.train(empty)).count() == 0
-    alone = lm_score.told_apart(docs, good.where("false"))
-    assert lm_score.score(alone, lm_score.train(alone)).count() == len(ROWS)
+    assert lm_score.score(lm_score.told_apart(none, good)).count() == 0
+    assert lm_score.score(lm_score.told_apart(docs, good.where("false"))).count() == len(ROWS)
 
 
 def test_shards(spark, docs, none):
