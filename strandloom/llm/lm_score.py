@@ -8,7 +8,7 @@ the models has a fixed size.
 
 A document's own counts are left out when it is scored, so its loss needs the counts of each of its n-grams. That is
 done where the counts are made: blocks of documents send the n-grams of a hash bucket, with the places of the documents
-that hold them, to one group, which sums the counts and sends back each document's share of its loss. So each n-gram
+that hold them, to one group, which sums the counts and sends back each document's share of its loss, a packed row a block. So each n-gram
 of a document is moved once, in 9 to 12 bytes, and buckets are as many as the corpus' bytes ask for. N-grams that a
 large share of all documents holds (``HOT``) would make some groups large: there are few of them, so their counts are
 summed apart, known to every task, and never sent.
@@ -29,7 +29,7 @@ from .common import materialise, table
 #: Added to every count.
 A = 0.1
 #: Bytes of text in a block, most rows of one, and bytes of text whose n-grams share a bucket.
-SLICE_BYTES, SLICE_ROWS, BUCKET_BYTES = 4_000_000, 60_000, 24_000_000
+SLICE_BYTES, SLICE_ROWS, BUCKET_BYTES = 4_000_000, 60_000, 16_000_000
 #: An n-gram in at least this share of all documents is known to every task. As a document has L n-grams in the mean, there are at most 2 L / HOT of these.
 HOT = 0.01
 #: Target ids that are broadcast, by count; with more of them the texts are sort-merged with the ids once.
@@ -178,7 +178,7 @@ def send(told: DataFrame, hot: np.ndarray, counts: np.ndarray, scale: float, buc
             at, who, m = at[is_hot], text[is_hot], times[is_hot]
             got = gains(m, target[who], (counts[0, at], counts[1, at]), scale)
             sums = [np.bincount(who, x, len(part)) for x in got]
-            yield pd.DataFrame({"bucket": -1 - block % buckets, "block": block, "idx": np.arange(len(part), dtype=np.int32), "doc_id": part["doc_id"].to_numpy(), "n": n, "target": target, "gain_target": sums[0], "gain_background": sums[1], "packed": None})
+            yield pd.DataFrame({"bucket": -1 - block, "block": block, "idx": np.arange(len(part), dtype=np.int32), "doc_id": part["doc_id"].to_numpy(), "n": n, "target": target, "gain_target": sums[0], "gain_background": sums[1], "packed": None})
             h, text, times = h[~is_hot], text[~is_hot], times[~is_hot]
             # the bucket is taken from the top bits, so that a bucket's n-grams lie together; of the rest 6 bytes are sent
             bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -232,8 +232,8 @@ def score(told: DataFrame, hot_share: float = HOT, bucket_bytes: int = BUCKET_BY
     row gives a row, whether its id is null or repeats. Other columns are ignored. ``hot_share`` and ``bucket_bytes``
     change no result.
     """
-    spark, kind = told.sparkSession, told.schema["doc_id"].dataType.simpleString()
-    told = told.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
+    own_kind, kind = told.schema["doc_id"].dataType, "string"  # as text, ids pass through the groups unchanged, null or not
+    told = told.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
     size = F.octet_length("text").cast("long")
     n_docs, bytes_target, bytes_background = told.agg(F.count(F.lit(1)), F.sum(F.when(F.col("target"), size)), F.sum(F.when(~F.col("target"), size))).first()  # one row
     scale = bytes_target / bytes_background if bytes_target and bytes_background else 1.0
@@ -243,30 +243,57 @@ def score(told: DataFrame, hot_share: float = HOT, bucket_bytes: int = BUCKET_BY
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["bucket"].iloc[0] < 0:
-            return rows.drop(columns=["bucket", "packed"]).assign(distinct=0)
-        parts = [unpack(p) for p in rows["packed"]]
-        h, text, times, target = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        sizes = [len(p[0]) for p in parts]
-        del parts
-        found, at = np.unique(h, return_inverse=True)
-        sums = [np.bincount(at, times * side, len(found)) for side in (target, ~target)]
-        got = gains(times, target, (sums[0][at], sums[1][at]), scale)
-        # a document's n-grams in this bucket become one row
-        doc = np.repeat(np.arange(len(sizes)), sizes) << 16 | text
-        docs, place = np.unique(doc, return_inverse=True)
-        out = {"block": rows["block"].to_numpy()[docs >> 16], "idx": (docs & 0xFFFF).astype(np.int32), "doc_id": None, "n": None, "target": None}
-        out |= {c: np.bincount(place, x, len(docs)) for c, x in zip(("gain_target", "gain_background"), got)}
-        return pd.DataFrame(out | {"distinct": np.where(np.arange(len(docs)) == 0, len(found), 0)})
+            return rows.drop(columns="bucket").assign(distinct=0)
+        hashes, times, sides, place, docs = [], [], [], [], []
+        n = 0
+        for b, raw in zip(rows["block"], rows["packed"]):
+            h, text, m, side = unpack(raw)
+            who, at = np.unique(text, return_inverse=True)  # a document's n-grams in this bucket become one row
+            hashes.append(h)
+            times.append(m.astype(np.int32))
+            sides.append(side)
+            place.append((n + at).astype(np.int32))
+            docs.append((b, n, who.astype(np.uint16)))
+            n += len(who)
+        times, sides, place = np.concatenate(times), np.concatenate(sides), np.concatenate(place)
+        h = np.concatenate(hashes)
+        hashes.clear()
+        order = np.argsort(h).astype(np.int32)
+        h = h[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        del h
+        distinct = int(new.sum())
+        at = np.empty(len(order), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
+        sums = [np.bincount(at, times * side, distinct) for side in (sides, ~sides)]
+        got = np.zeros((2, n))
+        for i in range(0, len(at), 500_000):  # a piece at a time: only the narrow columns are held whole
+            k = slice(i, i + 500_000)
+            for j, x in enumerate(gains(times[k], sides[k], (sums[0][at[k]], sums[1][at[k]]), scale)):
+                got[j] += np.bincount(place[k], x, n)
+        packed = [who.tobytes() + got[:, i : i + len(who)].tobytes() for _, i, who in docs]
+        none = [None] * len(docs)
+        return pd.DataFrame({"block": [x[0] for x in docs], "idx": none, "doc_id": none, "n": none, "target": none, "gain_target": none, "gain_background": none, "packed": packed, "distinct": [distinct] + [0] * (len(docs) - 1)})
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        """A block's documents with their gains from all buckets added up."""
+        docs = rows[rows["packed"].isna()].sort_values("idx")
+        sums = docs[["gain_target", "gain_background"]].to_numpy(float).T.copy()
+        for raw in rows["packed"].dropna():
+            k = len(raw) // 18  # a place of 2 bytes and two gains of 8
+            sums[:, np.frombuffer(raw, np.uint16, k)] += np.frombuffer(raw[2 * k :]).reshape(2, k)
+        return pd.DataFrame({"doc_id": docs["doc_id"], "n_tokens": docs["n"], "target": docs["target"], "t": sums[0], "b": sums[1]})
 
     sent = send(told, hot, counts, scale, buckets, kind)
-    shares = materialise(sent.groupBy("bucket").applyInPandas(group, f"{HEAD.format(kind)}, distinct long"), "gains")
+    shares = materialise(sent.groupBy("bucket").applyInPandas(group, f"{HEAD.format(kind)}, packed binary, distinct long"), "gains")
     side = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     distinct, n_target, n_background = shares.agg(F.coalesce(F.sum("distinct"), F.lit(0)), side(F.col("target")), side(~F.col("target"))).first()  # one row
     vocabulary = A * max(distinct + len(hot), 1)
-    docs = shares.groupBy("block", "idx").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.max("target").alias("target"), F.sum("gain_target").alias("t"), F.sum("gain_background").alias("b"))
+    docs = shares.drop("distinct").groupBy("block").applyInPandas(total, f"doc_id {kind}, n_tokens long, target boolean, t double, b double")
     n, own = F.col("n_tokens"), lambda c: F.when(c, F.col("n_tokens")).otherwise(0)
     loss = lambda gain, total: F.when(n > 0, F.log(total + vocabulary) - F.col(gain) / n)
-    found = docs.select("doc_id", "n_tokens", loss("t", n_target - own(F.col("target"))).alias("loss_target"), loss("b", (n_background - own(~F.col("target"))) * F.lit(float(scale))).alias("loss_background"))
+    found = docs.select(F.col("doc_id").cast(own_kind).alias("doc_id"), "n_tokens", loss("t", n_target - own(F.col("target"))).alias("loss_target"), loss("b", (n_background - own(~F.col("target"))) * F.lit(float(scale))).alias("loss_background"))
     return found.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 

@@ -242,7 +242,7 @@ def test_losses_by_plain_counting(spark):
 
 
 def test_losses_of_repeated_and_empty_rows(spark):
-    rows = [(1, "a b a b c"), (1, "a b a b c"), (None, "c c d"), (None, None), (2, " \t"), (3, "x " * 70_000 + "a b"), (4, "a b")]
+    rows = [(1, "a b a b c"), (1, "a b a b c"), (None, "c c d"), (None, None), (2, " \t"), (3, "x " * 70_000 + "a b"), (4, "a b"), ((1 << 60) + 1, "c d e")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, target int").drop("target")
     for ids in ([1], [], [1, 2, 3, 4]):
         target = {k for k, r in enumerate(rows) if r[0] in ids}
