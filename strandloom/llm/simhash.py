@@ -63,7 +63,9 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             found = np.array([fingerprint(shingle_hashes(t, width)) for t in b["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": found.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(each, "doc_id long, fp long")
+    # ids pass through pandas as text: beside nulls it would make them doubles
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(each, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def covering_masks(radius: int, seed: int = 1) -> list[int]:
@@ -180,11 +182,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     fps.append(fingerprint(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))))
                     bands.append(band_keys(h))
             if keys:
-                yield pd.DataFrame({"key": keys, "doc_id": pd.array(ids, dtype="Int64"), "fp": np.array(fps, np.uint64).view(np.int64), "bands": bands})
+                yield pd.DataFrame({"key": keys, "doc_id": ids, "fp": np.array(fps, np.uint64).view(np.int64), "bands": bands})
 
-    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInPandas(each, "key binary, doc_id long, fp long, bands array<long>")
-    one = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    texts = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.mapInPandas(each, "key binary, doc_id string, fp long, bands array<long>")  # ids as text, as above
+    one = found.groupBy("key").agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     return materialise(one.select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")  # the numbers are fixed by being written
 
 

@@ -46,6 +46,9 @@ def test_ids_that_are_null_or_repeat(spark):
     assert rows(langid.identified(df)) == [0, 1, 2, 3, 4, 5]
     items = spark.createDataFrame([(1, "here again and again"), (1, "here again and again"), (2, "words in another text altogether"), (None, "other words in another")], "item_id long, text string")
     assert rows(decontaminate.clean(df, items)) == [0, 1, 4, 6, 7]
+    big = (1 << 60) + 1
+    far = spark.createDataFrame([(None, "a text without an id"), (big, "another text with a very large id")], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.query(spark, far).collect()} == {None, big}
     near = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(100)), "en", 0), (7, " ".join(f"w{i}" for i in range(99)), "en", 1), (7, " ".join(f"w{i}" for i in range(98)), "en", 2)], "doc_id long, text string, lang string, n long")
     assert len(rows(simhash.deduplicate(near))) == 1
 
