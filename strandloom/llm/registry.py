@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, sentence_pieces, simhash, tool_calls
+from . import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, sentence_pieces, simhash, token_files, tool_calls
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op1_language_mixture": lambda spark, sf: langid.query(spark, table(spark, sf, "documents")),
     "op4_simhash_near_dedup": lambda spark, sf: simhash.query(spark, table(spark, sf, "documents")),
     "op5_exact_dedup": lambda spark, sf: exact_dedup.query(spark, table(spark, sf, "documents")),
+    "op13_zstd_token_files": lambda spark, sf: token_files.query(spark, table(spark, sf, "documents")),
 }
 
 ORACLES = {
