@@ -184,6 +184,8 @@ def send(told: DataFrame, hot: np.ndarray, counts: np.ndarray, scale: float, buc
             bucket = ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             rows = [(b, pack(h[i:j], text[i:j], times[i:j], target)) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+            if not rows:  # a frame without rows has columns of other types
+                continue
             none = [None] * len(rows)
             yield pd.DataFrame({"bucket": [b for b, _ in rows], "block": block, "idx": none, "doc_id": none, "n": none, "target": none, "gain_target": none, "gain_background": none, "packed": [p for _, p in rows]})
 
