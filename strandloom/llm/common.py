@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What this Python worker keeps between tasks, by operator: how to let it go.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called as a task of ``owner`` begins: a worker is used again by other operators, whose caches would stay in its memory."""
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name)()
+    if clear:
+        _kept[owner] = clear
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``). Only a local session, as in tests, gets a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

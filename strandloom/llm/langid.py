@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_texts, text_key
+from .common import drop_texts, keep_only, text_key
 
 BUCKETS = 1 << 15
 #: At most this many documents of a language are learned from: those of the smallest xxhash64 of their id and text.
@@ -157,7 +157,7 @@ def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.
     return out, scores, share
 
 
-def predict(docs: DataFrame, model: Model, slice_chars: int = 2_000_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, slice_chars: int = 500_000) -> DataFrame:
     """doc_id, lang_pred, score and proportions (language to share, the kept set only) of each row of ``docs``.
 
     Whole texts; null texts and texts without a letter are ``und`` with score 0, as all are if nothing could be
@@ -165,6 +165,7 @@ def predict(docs: DataFrame, model: Model, slice_chars: int = 2_000_000) -> Data
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("language")
         for b in batches:
             sizes = b["text"].str.len().fillna(0).cumsum() // slice_chars
             for _, part in b.groupby(sizes.to_numpy()):

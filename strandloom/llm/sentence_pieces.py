@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import keep_only
+
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+(?![^{SPACE}])|{SPACE}+(?=\n)|\n")
 SAMPLES, THETA, SEED = 3, 1.0, 1
@@ -235,6 +237,13 @@ def vocabulary(path: str, theta: float = THETA) -> Vocabulary:
     return Vocabulary(path, theta)
 
 
+def forget() -> None:
+    """Let go of all that a worker keeps."""
+    vocabulary.cache_clear()
+    for i, x in enumerate(_powers):
+        _powers[i] = x[:1]
+
+
 def uniform(seed: np.ndarray) -> np.ndarray:
     h = seed + np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -437,6 +446,7 @@ def encode(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, s
     kind = docs.schema[key].dataType
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("pieces", forget)
         v = vocabulary(path, theta)
         for b in batches:
             texts, ids, keys = b.column(1).to_pylist(), b.column(0), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_texts, materialise, one_of_each, shuffle_partitions, text_key
+from .common import drop_texts, keep_only, materialise, one_of_each, shuffle_partitions, text_key
 from .components import components
 from .decontaminate import shingles, words
 
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("simhash")
         for b in batches:
             found = np.array([fingerprint(shingle_hashes(t, width)) for t in b["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": found.view(np.int64)})
@@ -170,6 +171,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("simhash")
         for b in batches:
             keys, ids, fps, bands = [], [], [], []
             for key, k, text in zip(b["key"], b["doc_id"], b["text"]):
@@ -278,9 +280,11 @@ def linked(docs: DataFrame, unique: DataFrame, width: int, threshold: float, rad
 
     ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     wanted = materialise(unique.join(ids, "row", "left_semi").select("row", F.col("key").alias("_key")), "pair-texts")
-    few = docs.select(text_key(F.col("text")).alias("key"), words(F.col("text").cast("string")).alias("w")).join(wanted, F.col("key") == F.col("_key")).select("row", "w")
+    # texts are shuffled and split into words after it: their words as arrays are twice as large
+    few = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(wanted, F.col("key") == F.col("_key")).select("row", "text")
     if unique.where("n > 1").take(1):
         few = few.dropDuplicates(["row"])
+    few = few.select("row", words(F.col("text")).alias("w"))
     # the filter is on the words: one on the shingles would be pushed below and evaluate them for every word
     sets = materialise(few.where("size(w) > 0").select("row", F.array_distinct(shingles(F.col("w"), width)).alias("s")), "shingle-sets")
     return settled(member, materialise(verified(pairs, sets, threshold), "links"), sets, threshold)
