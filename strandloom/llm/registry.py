@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, lexical_search, lm_score, reshard, secrets, sentence_pieces, simhash, token_files, tool_calls
+from . import collocations, decontaminate, exact_dedup, html_extract, langid, lexical_search, lm_score, reshard, secrets, sentence_pieces, simhash, token_files, tool_calls
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op1_language_mixture": lambda spark, sf: langid.query(spark, table(spark, sf, "documents")),
     "op4_simhash_near_dedup": lambda spark, sf: simhash.query(spark, table(spark, sf, "documents")),
     "op5_exact_dedup": lambda spark, sf: exact_dedup.query(spark, table(spark, sf, "documents")),
+    "op11_suffix_automaton_phrases": lambda spark, sf: collocations.query(spark, table(spark, sf, "documents")),
     "op12_bit_sliced_search": lexical_search.query,
     "op13_zstd_token_files": lambda spark, sf: token_files.query(spark, table(spark, sf, "documents")),
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op2_tool_call_links": tool_calls.ORACLE,
     "op7_minhash_containment": decontaminate.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op11_suffix_automaton_phrases": collocations.ORACLE,
     "op12_bit_sliced_search": lexical_search.ORACLE,
 }
