@@ -19,6 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, materialise, shuffle_partitions
+from .common import fresh_path, keep_only, materialise, shuffle_partitions
 
 #: Bytes of ids in a file (a larger document has a file of its own), level of compression.
 FILE_BYTES, LEVEL = 16_000_000, 3
-#: Texts encoded together; distinct words whose ids a task remembers (forgetting them changes no result).
-BLOCK_BYTES, WORDS = 4_000_000, 400_000
+#: Texts encoded together; distinct words of a kind whose ids a worker remembers (forgetting them changes no result).
+BLOCK_BYTES, WORDS = 4_000_000, 1_200_000
 #: Fixed values of the seekable zstandard layout: magic numbers of the index, the seek table and the end of a file.
 INDEX, SEEK, END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Appended to each document by the query.
@@ -46,24 +47,39 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 class _Words(dict):
     """Ids of words after ``before``, as bytes; a word that it lacks counts as empty and is noted.
 
-    If ``strict``, words that are empty or begin or end with white space have no ids (None).
+    If ``strict``, words that are empty or begin or end with white space have no ids (None). Words that were not asked
+    for since the last ``turn`` but one are forgotten.
     """
 
     def __init__(self, before: str, strict: bool):
         super().__init__()
-        self.before, self.strict, self.missing = before, strict, []
+        self.before, self.strict, self.missing, self.old = before, strict, [], {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes | None:
+        if word in self.old:
+            ids = self[word] = self.old[word]
+            return ids
         self.missing.append(word)
         return b""
 
+    def turn(self) -> None:
+        if len(self) > WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+
     def learn(self, encode: Callable[[list[str]], list[bytes]]) -> None:
         new = list(dict.fromkeys(self.missing))
         self.missing.clear()
         if self.strict:
             self.update((w, None) for w in new if not w or w[0].isspace() or w[-1].isspace())
             new = [w for w in new if w not in self]
-        self.update(zip(new, encode([self.before + w for w in new])))
+        # words without line ends are encoded many at a time
+        apart = [w for w in new if "\n" in w or not self.strict]
+        self.update(zip(apart, encode([self.before + w for w in apart])))
+        plain = [w for w in new if "\n" not in w] if self.strict else []
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            self.update(zip(part, encode(["".join(f"{self.before}{w}\n" for w in part)], len(part))))
 
 
 class Encoder:
@@ -82,10 +98,20 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
         self.first, self.plain, self.loose = _Words("", False), _Words(" ", True), _Words(" ", False)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], lines: int = 0) -> list[bytes]:
+        """Ids of each text, or of each of the ``lines`` of one text: a line end is a piece of its own between words."""
+        ids = [np.array(x.ids, self.kind) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        if lines:
+            (all_,) = ids
+            ends = np.flatnonzero(all_ == self.line_end)
+            if len(ends) != lines:
+                raise ValueError("the vocabulary merges line ends with words")
+            starts = np.append(0, ends[:-1] + 1)
+            ids = [all_[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+        return [x.tobytes() for x in ids]
 
     def _joined(self, parts: list[list[str]], later: _Words) -> list[bytes | None]:
         """Ids of texts from their parts; None if a part has none."""
@@ -110,8 +136,7 @@ class Encoder:
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
         for words in (self.first, self.plain, self.loose):
-            if len(words) > WORDS:
-                words.clear()
+            words.turn()
         found = self._joined([t.split(" ") for t in texts], self.plain)
         # texts with white space beside a space are cut at other spaces only
         odd = [i for i, x in enumerate(found) if x is None]
@@ -120,6 +145,12 @@ class Encoder:
         return found
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """This worker's, with the words it knows."""
+    return Encoder(path, end_id)
+
+
 def skippable(magic: int, body: bytes) -> bytes:
     return struct.pack("<II", magic, len(body)) + body
 
@@ -174,24 +205,25 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, squeeze = Encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+        keep_only("tokens", encoder.cache_clear)
+        own, squeeze = encoder(tokenizer, end_id), zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         part, file, size, frames, ids = TaskContext.get().partitionId(), 0, 0, [], []
-        for doc_id, text in _rows(batches, encoder):
+        for doc_id, text in _rows(batches, own):
             if frames and size + len(text) > file_bytes:
-                yield pd.DataFrame({"value": [packed(frames, ids, (part, file), encoder.kind.itemsize)]})
+                yield pd.DataFrame({"value": [packed(frames, ids, (part, file), own.kind.itemsize)]})
                 file, size, frames, ids = file + 1, 0, [], []
             frames.append((squeeze.compress(text), len(text), xxhash.xxh64_intdigest(text) & 0xFFFFFFFF))
             ids.append(doc_id)
             size += len(text)
         if frames:
-            yield pd.DataFrame({"value": [packed(frames, ids, (part, file), encoder.kind.itemsize)]})
+            yield pd.DataFrame({"value": [packed(frames, ids, (part, file), own.kind.itemsize)]})
 
     found = rows.mapInPandas(files, "value binary").select(F.col("value").cast("string"))
     end = struct.pack("<I", END).decode("latin-1")
     found.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
 
 
-def _rows(batches: Iterator[pd.DataFrame], encoder: Encoder) -> Iterator[tuple[int | None, bytes]]:
+def _rows(batches: Iterator[pd.DataFrame], own: Encoder) -> Iterator[tuple[int | None, bytes]]:
     """doc_id and encoded text of each row, a few megabytes of text at a time."""
     for b in batches:
         ids, texts = b["doc_id"].array, b["text"].tolist()
@@ -201,7 +233,7 @@ def _rows(batches: Iterator[pd.DataFrame], encoder: Encoder) -> Iterator[tuple[i
             while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK_BYTES):
                 size += len(texts[j])
                 j += 1
-            for k, text in enumerate(encoder.texts(texts[i:j]), i):
+            for k, text in enumerate(own.texts(texts[i:j]), i):
                 yield (None if pd.isna(ids[k]) else int(ids[k])), text
             i = j
 
