@@ -204,24 +204,42 @@ def plain_scores(rows, target):
     grams = []
     for _, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
-        grams.append(Counter(zip([None, *w], w)))
+        grams.append(Counter(zip(["<s>", *w], [*w, "</s>"])) if w else Counter())
     size = lambda k: len((rows[k][1] or "").encode())
     here, there = (sum(size(k) for k in range(len(rows)) if (k in target) == side) for side in (True, False))
     scale = here / there if here and there else 1.0
-    counts = [Counter(), Counter()]
+    pairs, contexts, share = [Counter(), Counter()], [Counter(), Counter()], Counter()
     for k, g in enumerate(grams):
-        counts[k not in target].update(g)
-    totals = [sum(c.values()) for c in counts]
-    vocabulary = len(set(counts[0]) | set(counts[1]))
+        for (v, w), m in g.items():
+            pairs[k not in target][v, w] += m
+            contexts[k not in target][v] += m
+            share[w] += m
+    n_all = sum(share.values())
+
+    words = [Counter(), Counter()]
+    for side in (0, 1):
+        for (_, w), m in pairs[side].items():
+            words[side][w] += m
+    totals = [sum(x.values()) for x in words]
+
+    def given(side, by, v, w, pair=0, context=0, word=0, n=0):
+        p = (by * (words[side][w] - word) + lm_score.NU * share[w] / n_all) / (by * (totals[side] - n) + lm_score.NU)
+        return (by * (pairs[side][v, w] - pair) + lm_score.MU * p) / (by * (contexts[side][v] - context) + lm_score.MU)
+
+    for side, by in ((0, 1.0), (1, scale)):  # the probabilities after any context sum to one
+        for v in [*contexts[side]][:20]:
+            assert abs(sum(given(side, by, v, w) for w in share) - 1) < 1e-9
     out = []
     for k, g in enumerate(grams):
-        n = sum(g.values())
+        n, own, ends = sum(g.values()), Counter(), Counter()
+        for (v, w), m in g.items():
+            own[v] += m
+            ends[w] += m
         loss = []
         for side, by in ((0, 1.0), (1, scale)):
-            own = (k in target) == (side == 0)
-            total = by * (totals[side] - n * own) + 0.1 * max(vocabulary, 1)
-            loss.append(-sum(m * math.log((by * (counts[side][x] - m * own) + 0.1) / total) for x, m in g.items()) / n if n else None)
-        out.append((rows[k][0], n, *loss))
+            mine = (k in target) == (side == 0)
+            loss.append(-sum(m * math.log(given(side, by, v, w, m * mine, own[v] * mine, ends[w] * mine, n * mine)) for (v, w), m in g.items()) / n if n else None)
+        out.append((rows[k][0], max(n - 1, 0), *loss))
     return out
 
 
@@ -252,10 +270,21 @@ def test_losses_of_repeated_and_empty_rows(spark):
 
 def test_packed_ngrams():
     rng = np.random.default_rng(2)
-    h = np.sort(rng.integers(0, 1 << 44, 3000).astype(np.uint64).repeat(rng.integers(1, 4, 3000)))
-    text, times, target = rng.integers(0, 60_000, len(h)), rng.integers(1, 1000, len(h)), rng.random(60_000) < 0.5
-    got = lm_score.unpack(lm_score.pack(h, text, times, target))
-    assert all((a == b).all() for a, b in zip(got, (h, text, times, target[text])))
+
+    def drawn(n, last=None):
+        h = np.sort(rng.integers(0, 1 << 44, n).astype(np.uint64).repeat(rng.integers(1, 4, n)))
+        x = lm_score.Postings(h, h, np.arange(len(h)))
+        x.text, x.times = rng.integers(0, 60_000, len(h)), rng.integers(1, 1000, len(h))
+        x.last, x.own = (h >> np.uint64(9), rng.integers(1, 500, len(h))) if last else (None, None)
+        return x
+
+    target, tokens = rng.random(60_000) < 0.5, rng.integers(1, 1 << 30, 60_000)
+    for n in (3000, 0):
+        words, pairs = drawn(n), drawn(n, True)
+        *got, who, sizes = lm_score.unpack(lm_score.pack(words, pairs, target, tokens))
+        assert (who == sorted({*words.text.tolist(), *pairs.text.tolist()})).all() and (sizes == tokens[who]).all()
+        for x, found in zip((words, pairs), got):
+            assert all((a == b).all() for a, b in zip(found, (x.h, x.text, x.times, target[x.text], x.last, x.own)))
 
 
 def test_losses_tell_quality_apart(spark):
