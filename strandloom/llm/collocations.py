@@ -5,7 +5,7 @@ positions by what stands before them: the classes of substrings that end at the
 number of these positions is a state's count, and the state of the longest shorter suffix with more positions is its
 suffix link. Enumerating the states gives every phrase of the shard with its count, once.
 
-Counts are summed over shards by phrase. Only phrases that may be frequent in all are sent: words are counted first;
+Counts are summed over shards, phrase by phrase. Only phrases that may be frequent in all are sent: words are counted first;
 then pairs of frequent words, by hash into a table with a bit for each place whose sum is large enough. Every phrase of
 a frequent phrase is frequent, so what either table turns away can't be part of a candidate; what they wrongly let
 through is counted exactly and found to be rare. The tables change what is sent, not what is found.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import materialise, shuffle_partitions, table
 
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language at most.
 LONGEST, LEAST, TOP = 5, 100, 2000
@@ -34,6 +34,8 @@ SHARD_WORDS, TEXT_BYTES = 4_000_000, 4_000_000
 BITS, MOST_BITS = 1 << 22, 1 << 29
 #: Places of the pair table that are summed together.
 CHUNK = 1 << 16
+#: Words of text whose phrases are summed in one group.
+RANGE_WORDS = 2_000_000
 UNKNOWN = "und"
 
 #: UTF-8 bytes: A-Z in lower case, tabs as spaces, what ends a piece as full stops.
@@ -266,8 +268,12 @@ def pair_table(docs: DataFrame, frequent: Broadcast, bits: int, pair_bits: int,
     return out
 
 
-def count_phrases(docs: DataFrame, frequent: Broadcast, bits: int, pairs: Broadcast, pair_bits: int, longest: int, least: int) -> DataFrame:
-    """lang, phrase (words joined by spaces), a: phrases of 2 to ``longest`` words that occur at least ``least`` times."""
+def count_phrases(docs: DataFrame, frequent: Broadcast, bits: int, pairs: Broadcast, pair_bits: int, longest: int, least: int, ranges: int) -> DataFrame:
+    """lang, phrase (words joined by spaces), a: phrases of 2 to ``longest`` words that occur at least ``least`` times.
+
+    A shard sends its phrases in ``ranges`` of their hashes, each a row; a range is summed by one group. A phrase is once
+    in a shard, so no phrase makes a range large.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, shard in shards(batches):
@@ -282,15 +288,32 @@ def count_phrases(docs: DataFrame, frequent: Broadcast, bits: int, pairs: Broadc
                 run[1:] = np.where(joined[1:], np.minimum(run[:-1] + 1, longest - 1), 0)
             del shard, joined
             found = automaton(x, np.where(run > 0, run + 1, 0), longest)
+            phrases, counts, to = [], [], []
             for d in range(2, longest + 1):
-                has_d = np.flatnonzero((found["short"] <= d) & (found["long"] >= d))
-                for i in range(0, len(has_d), 50_000):
-                    s = has_d[i : i + 50_000]
-                    rows = x[found["end"][s][:, None] + np.arange(1 - d, 1)].tolist()
-                    yield pd.DataFrame({"lang": lang, "phrase": [b" ".join([names[w] for w in r]).decode("utf-8", "surrogatepass") for r in rows], "a": found["count"][s]})
-
-    found = _docs(docs).mapInPandas(each, "lang string, phrase string, a long")
-    return materialise(found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
+                s = np.flatnonzero((found["short"] <= d) & (found["long"] >= d))
+                parts = [x[found["end"][s] - i] for i in range(d - 1, -1, -1)]
+                to.append((reduce(pair_hashes, [h[p] for p in parts]) % np.uint64(ranges)).astype(np.int64))
+                phrases += [b" ".join(p) for p in zip(*([names[w] for w in p.tolist()] for p in parts))]
+                counts.append(found["count"][s])
+            to, counts = np.concatenate(to), np.concatenate(counts)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(cut))
+            for i in range(0, len(some), 100):
+                own = [order[cut[k] : cut[k + 1]] for k in some[i : i + 100].tolist()]
+                yield pd.DataFrame({"lang": lang, "to": some[i : i + 100], "phrases": [b"\n".join([phrases[j] for j in o.tolist()]) for o in own], "counts": [counts[o].tobytes() for o in own]})
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        phrases = [p for raw in rows["phrases"] for p in raw.split(b"\n")]
+        code, names = pd.factorize(np.array(phrases, object))
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, code, np.concatenate([np.frombuffer(c, np.int64) for c in rows["counts"]]))
+        often = np.flatnonzero(total >= least)
+        text = np.array([names[i].decode("utf-8", "surrogatepass") for i in often.tolist()], object)  # an object column, if empty too
+        return pd.DataFrame({"lang": np.full(len(often), rows["lang"].iloc[0], object), "phrase": text, "a": total[often]})
+
+    found = _docs(docs).mapInPandas(each, "lang string, to long, phrases binary, counts binary")
+    return materialise(found.groupBy("lang", "to").applyInPandas(summed, "lang string, phrase string, a long"), "phrases")
 
 
 def scored(phrases: DataFrame, part: DataFrame, totals: DataFrame) -> DataFrame:
@@ -336,7 +359,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     bits, pair_bits = table_bits(n_frequent), table_bits(n_words // 64)
     known = spark.sparkContext.broadcast(word_table(frequent, bits))
     pairs = spark.sparkContext.broadcast(pair_table(docs, known, bits, pair_bits, least))
-    phrases = count_phrases(docs, known, bits, pairs, pair_bits, longest, least)
+    phrases = count_phrases(docs, known, bits, pairs, pair_bits, longest, least, max(shuffle_partitions(spark), n_words // RANGE_WORDS))
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     # both sides of a candidate's cut are at least as frequent as it is
     part = materialise(phrases.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f")).union(frequent), "parts")
