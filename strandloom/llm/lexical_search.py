@@ -46,11 +46,11 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list[s
     """Ids and texts of each block; a task that is run again numbers them alike."""
     block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
     for b in batches:
-        for i, text in zip(b["doc_id"].array, b["text"]):
+        for i, text in zip(b["doc_id"], b["text"]):
             if texts and (len(texts) >= BLOCK_ROWS or size + len(text or "") > BLOCK_BYTES):
                 yield block, ids, texts
                 block, ids, texts, size = block + 1, [], [], 0
-            ids.append(None if pd.isna(i) else int(i))
+            ids.append(None if i is None else int(i))
             texts.append(text)
             size += len(text or "")
     if texts:
@@ -58,7 +58,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, list[s
 
 
 def index(docs: DataFrame, only: frozenset[bytes] | None = None) -> DataFrame:
-    """A row a block of ``docs`` (doc_id, text): block, ids, n (terms with repeats), and by term: terms, df, places (in the block, 4 bytes each), tf (4 bytes each).
+    """A row a block of ``docs`` (doc_id, text): block, ids (0 where null), none (whether null), n (terms with repeats), and by term: terms, df, places (in the block, 4 bytes each), tf (4 bytes each).
 
     All terms, or those in ``only``. Documents of a block stand in ascending order of id, null ids last.
     """
@@ -76,10 +76,11 @@ def index(docs: DataFrame, only: frozenset[bytes] | None = None) -> DataFrame:
                     at[1].append(times)
             names = sorted(found)
             whole = lambda k: np.array([x for t in names for x in found[t][k]], "<u4").tobytes()  # noqa: B023, E731
-            yield pd.DataFrame({"block": [block], "ids": [[ids[i] for i in order]], "n": [n], "terms": [[t.decode("utf-8", "surrogatepass") for t in names]], "df": [[len(found[t][0]) for t in names]], "places": [whole(0)], "tf": [whole(1)]})
+            yield pd.DataFrame({"block": [block], "ids": [[ids[i] or 0 for i in order]], "none": [[ids[i] is None for i in order]], "n": [n], "terms": [[t.decode("utf-8", "surrogatepass") for t in names]], "df": [[len(found[t][0]) for t in names]], "places": [whole(0)], "tf": [whole(1)]})
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInPandas(each, "block long, ids array<long>, n array<long>, terms array<string>, df array<long>, places binary, tf binary")
+    # ids pass through pandas as text: beside nulls it would make them doubles
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInPandas(each, "block long, ids array<long>, none array<boolean>, n array<long>, terms array<string>, df array<long>, places binary, tf binary")
 
 
 def slices_of(values: np.ndarray, places: np.ndarray, words: int) -> np.ndarray:
@@ -215,9 +216,7 @@ def _search_pass(spark: SparkSession, blocks: DataFrame, df: DataFrame, run: lis
                 ends = np.cumsum(df)
                 places, tf = np.frombuffer(r.places, "<u4"), np.frombuffer(r.tf, "<u4")
                 postings = {i: (places[e - d : e], tf[e - d : e]) for t, d, e in zip(r.terms, df.tolist(), ends.tolist()) if (i := place.get(t.encode("utf-8", "surrogatepass"))) is not None}
-                ids = pd.array(r.ids, "Int64")
-                none = ids.isna()
-                ids = ids.fillna(0).to_numpy(np.int64)
+                ids, none = np.array(r.ids, np.int64), np.array(r.none, bool)
                 for i, at, score in block_scores(np.array(r.n, np.int64), postings, wanted, weight, n_docs, length, k):
                     new = (score, ids[at], none[at])
                     if i in kept:

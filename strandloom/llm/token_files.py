@@ -35,17 +35,20 @@ from .common import fresh_path, keep_only, materialise, shuffle_partitions
 #: Bytes of ids in a file (a larger document has a file of its own), level of compression.
 FILE_BYTES, LEVEL = 16_000_000, 3
 #: Texts encoded together; distinct words of a kind whose ids a worker remembers (forgetting them changes no result).
-BLOCK_BYTES, WORDS = 4_000_000, 1_200_000
+BLOCK_BYTES, WORDS = 4_000_000, 1_600_000
 #: Fixed values of the seekable zstandard layout: magic numbers of the index, the seek table and the end of a file.
 INDEX, SEEK, END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Appended to each document by the query.
 END_ID = 0
 #: A single space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Line ends between two such characters.
+LINES = re.compile(r"(?<=\S)(\n+)(?=\S)")
+MARKS = ".,;:!?"
 
 
 class _Words(dict):
-    """Ids of words after ``before``, as bytes; a word that it lacks counts as empty and is noted.
+    """Ids of words after ``before``, as bytes; ``...`` stands for those of a word that it lacks, which is noted.
 
     If ``strict``, words that are empty or begin or end with white space have no ids (None). Words that were not asked
     for since the last ``turn`` but one are forgotten.
@@ -53,41 +56,50 @@ class _Words(dict):
 
     def __init__(self, before: str, strict: bool):
         super().__init__()
-        self.before, self.strict, self.missing, self.old = before, strict, [], {}
+        self.before, self.strict, self.missing, self.old, self.marks = before, strict, [], {}, {}
 
-    def __missing__(self, word: str) -> bytes | None:
+    def __missing__(self, word: str):
         if word in self.old:
             ids = self[word] = self.old[word]
             return ids
         self.missing.append(word)
-        return b""
+        return ...
 
     def turn(self) -> None:
         if len(self) > WORDS // 2:
             self.old = dict(self)
             self.clear()
 
-    def learn(self, encode: Callable[[list[str]], list[bytes]]) -> None:
+    def learn(self, encode: Callable[..., list[bytes]]) -> None:
         new = list(dict.fromkeys(self.missing))
         self.missing.clear()
-        if self.strict:
-            self.update((w, None) for w in new if not w or w[0].isspace() or w[-1].isspace())
-            new = [w for w in new if w not in self]
-        # words without line ends are encoded many at a time
-        apart = [w for w in new if "\n" in w or not self.strict]
+        if not self.strict:
+            self.update(zip(new, encode([self.before + w for w in new])))
+            return
+        self.update((w, None) for w in new if not w or w[0].isspace() or w[-1].isspace())
+        new = [w for w in new if w not in self]
+        # a mark after a letter is a piece of its own, so words are encoded without it
+        bare = {w: w[:-1] if w[-1] in MARKS and len(w) > 1 and w[-2].isascii() and w[-2].isalpha() else w for w in new}
+        wanted = [w for w in dict.fromkeys(bare.values()) if w not in self and w not in self.old]
+        apart = [w for w in wanted if "\n" in w]
         self.update(zip(apart, encode([self.before + w for w in apart])))
-        plain = [w for w in new if "\n" not in w] if self.strict else []
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
+        lines = [w for w in wanted if "\n" not in w]  # many at a time
+        for i in range(0, len(lines), 2000):
+            part = lines[i : i + 2000]
             self.update(zip(part, encode(["".join(f"{self.before}{w}\n" for w in part)], len(part))))
+        if not self.marks:
+            self.marks = dict(zip(MARKS, encode(list(MARKS))))
+        for w, short in bare.items():
+            if w != short:
+                self[w] = self[short] + self.marks[w[-1]]
 
 
 class Encoder:
     """Encodes texts by a byte-level BPE file of the tokenizers library, each distinct word once.
 
-    The pre-tokeniser always starts a new piece at a single space between two characters that are no white space, and
-    merges never cross pieces. So a text may be cut there, the parts encoded by the library, and their ids joined: the
-    result is that of the whole text. Strings of special tokens in a text are ordinary text.
+    The pre-tokeniser always starts a new piece at a single space between two characters that are no white space, and at
+    line ends between such; merges never cross pieces. So a text may be cut there, the parts encoded by the library,
+    and their ids joined: the result is that of the whole text. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, end_id: int | None = None):
@@ -99,7 +111,9 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.first, self.plain, self.loose = _Words("", False), _Words(" ", True), _Words(" ", False)
+        (self.letter,) = self.library.encode("a", add_special_tokens=False).ids
+        self.first, self.plain = _Words("", True), _Words(" ", True)
+        self.loose_first, self.loose, self.runs = _Words("", False), _Words(" ", False), {}
 
     def _encode(self, texts: list[str], lines: int = 0) -> list[bytes]:
         """Ids of each text, or of each of the ``lines`` of one text: a line end is a piece of its own between words."""
@@ -113,36 +127,56 @@ class Encoder:
             ids = [all_[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
         return [x.tobytes() for x in ids]
 
-    def _joined(self, parts: list[list[str]], later: _Words) -> list[bytes | None]:
-        """Ids of texts from their parts; None if a part has none."""
-        found: list[bytes | None] = [None] * len(parts)
-        left = list(range(len(parts)))
-        for _ in range(2):
-            again = []
-            for i in left:
-                known = len(self.first.missing) + len(later.missing)
-                try:
-                    found[i] = self.first[parts[i][0]] + b"".join(map(later.__getitem__, parts[i][1:])) + self.end
-                except TypeError:  # a part without ids
-                    found[i] = None
-                    continue
-                if len(self.first.missing) + len(later.missing) > known:
-                    again.append(i)
-            self.first.learn(self._encode)
-            later.learn(self._encode)
-            left = again
+    def _run(self, ends: str) -> bytes:
+        """Ids of line ends between two characters that are no white space."""
+        if ends not in self.runs:
+            ids = self.library.encode(ends + "a", add_special_tokens=False).ids
+            if ids[-1] != self.letter:
+                raise ValueError("the vocabulary merges line ends with words")
+            self.runs[ends] = np.array(ids[:-1], self.kind).tobytes()
+        return self.runs[ends]
+
+    def _joined(self, segments: list[tuple[list[str], bytes]], first: _Words, later: _Words) -> list[bytes | None]:
+        """Ids of segments from their parts, and what follows; None if a part has none."""
+        found: list = [None] * len(segments)
+        again = []
+        for i, (parts, end) in enumerate(segments):
+            known = len(first.missing) + len(later.missing)
+            got = [first[parts[0]], *map(later.__getitem__, parts[1:]), end]
+            if len(first.missing) + len(later.missing) > known:
+                again.append(i)
+                found[i] = got
+            elif None not in got:
+                found[i] = b"".join(got)
+        first.learn(self._encode)
+        later.learn(self._encode)
+        for i in again:
+            got, parts, at = found[i], segments[i][0], -1
+            for _ in range(got.count(...)):
+                at = got.index(..., at + 1)
+                got[at] = later[parts[at]] if at else first[parts[0]]
+            found[i] = None if None in got else b"".join(got)
         return found
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
-        for words in (self.first, self.plain, self.loose):
+        for words in (self.first, self.plain, self.loose_first, self.loose):
             words.turn()
-        found = self._joined([t.split(" ") for t in texts], self.plain)
+        segments, owner = [], []
+        for i, t in enumerate(texts):
+            lines = LINES.split(t)
+            for k in range(0, len(lines), 2):
+                segments.append((lines[k].split(" "), self._run(lines[k + 1]) if k + 1 < len(lines) else self.end))
+                owner.append(i)
+        found = self._joined(segments, self.first, self.plain)
         # texts with white space beside a space are cut at other spaces only
-        odd = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(odd, self._joined([CUT.split(texts[i]) for i in odd], self.loose)):
-            found[i] = x
-        return found
+        odd = sorted({owner[k] for k, x in enumerate(found) if x is None})
+        loose = dict(zip(odd, self._joined([(CUT.split(texts[i]), self.end) for i in odd], self.loose_first, self.loose)))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for k, i in enumerate(owner):
+            if i not in loose:
+                out[i].append(found[k])
+        return [loose[i] if i in loose else b"".join(x) for i, x in enumerate(out)]
 
 
 @lru_cache(maxsize=1)
@@ -203,6 +237,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would make ids beside nulls doubles
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep_only("tokens", encoder.cache_clear)
@@ -226,7 +261,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 def _rows(batches: Iterator[pd.DataFrame], own: Encoder) -> Iterator[tuple[int | None, bytes]]:
     """doc_id and encoded text of each row, a few megabytes of text at a time."""
     for b in batches:
-        ids, texts = b["doc_id"].array, b["text"].tolist()
+        ids, texts = b["doc_id"].tolist(), b["text"].tolist()
         i = 0
         while i < len(texts):
             j, size = i, 0
@@ -234,7 +269,7 @@ def _rows(batches: Iterator[pd.DataFrame], own: Encoder) -> Iterator[tuple[int |
                 size += len(texts[j])
                 j += 1
             for k, text in enumerate(own.texts(texts[i:j]), i):
-                yield (None if pd.isna(ids[k]) else int(ids[k])), text
+                yield (None if ids[k] is None else int(ids[k])), text
             i = j
 
 
