@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,7 @@ class Vocabulary:
         for at in starts:
             h = np.array(sorted(at), np.uint64)
             self.known.append((h, np.array([at[x][0] for x in h.tolist()], np.int64), np.array([at[x][1] for x in h.tolist()])))
+        self.most = CACHE
         self.clear()
         # decoding: the bytes of each id; a piece's space sign is a space
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -111,7 +113,7 @@ class Vocabulary:
 
     def trim(self) -> None:
         """Keep the half of the lattices that was used most; what they were used counts half from now on."""
-        keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 2])
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
         ends = np.append(self.node0[1:], len(self.count))
         sizes = (ends - self.node0)[keep]
         nodes = ranges(self.node0[keep], sizes)
@@ -195,7 +197,7 @@ class Vocabulary:
 
     def lattices(self, parts: list[list[str]]) -> np.ndarray:
         """Places of the chunks of ``parts``, one after the other."""
-        if len(self.place) > CACHE:
+        if len(self.place) > self.most:
             self.trim()
         kind = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
         if self.place.new:
@@ -434,29 +436,31 @@ def sample_batch(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed
     return got
 
 
-def encode(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, key: str = "doc_id", lattices: int = CACHE) -> DataFrame:
     """key, sample (0 is the best perturbed), ids, log_prob, perturbed value and inclusion score; up to k rows a row of ``docs``.
 
     Samples of a row are distinct segmentations of its whole text; a text with fewer segmentations has fewer rows.
     ``inclusion`` is the probability that the segmentation is among the samples given the best value left out, and 1
     when nothing was left out. Null and empty texts give one sample without ids. A row's samples depend on its key,
     its text and ``seed`` only: rows that repeat a key and text repeat the samples. Other columns are ignored.
-    ``path`` names a vocabulary file that every executor has.
+    ``path`` names a vocabulary file that every executor has. ``lattices`` bounds a worker's memory and changes no result.
     """
     kind = docs.schema[key].dataType
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("pieces", forget)
         v = vocabulary(path, theta)
+        v.most = lattices
         for b in batches:
-            texts, ids, keys = b.column(1).to_pylist(), b.column(0), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            texts, ids, keys = b.column(1), b.column(0), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = pc.utf8_length(texts).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_CHARS):
-                    size += len(texts[end])
+                while end < len(sizes) and (end == at or size + sizes[end] <= SLICE_CHARS):
+                    size += sizes[end]
                     end += 1
-                got = sample_batch(v, texts[at:end], keys[at:end], k, seed)
+                got = sample_batch(v, texts.slice(at, end - at).to_pylist(), keys[at:end], k, seed)
                 offsets = np.concatenate([[0], np.cumsum(got["size"])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got["ids"].astype(np.int32)))
                 rows = ids.slice(at, end - at).take(pa.array(got["row"].astype(np.int64)))
