@@ -1,7 +1,13 @@
 """Corpus pipeline: language ID, exact and near deduplication, decontamination, then sampled SentencePiece encodings.
 
 Each stage works on all that the one before kept, written as Parquet and read again. All but the last return the
-columns of documents.
+columns of documents, and any more columns that these had, under whatever names.
+
+Rows are told apart by their text. A null text counts as empty: it is in no language, so the first stage drops it,
+whatever its id; so go blank texts and those without a letter. Of rows that repeat a text one stays, the smallest
+doc_id, of equal ones the first by its other columns; null ids come last. Rows that repeat a doc_id with different
+texts are different documents, and so are rows without one. The last stage names samples by doc_id alone: rows that
+share one, or have none, can't be told apart there. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -11,30 +17,33 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm import decontaminate, exact_dedup, langid, sentence_pieces, simhash
 from strandloom.llm.common import materialise, table
 
+#: Lattices that a worker keeps: fewer than ``encode`` would by itself, as a worker's memory also holds what earlier stages left.
+LATTICES = 80_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language go."""
+    """Documents in no language go, null and blank texts among them."""
     return langid.identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts (white space aside) the smallest doc_id stays, null ids last."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays, null ids last, of equal ids the first text."""
     return simhash.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item (0.8 or more of its five-word shingles) go."""
+    """Documents that contain a benchmark item (0.8 or more of its five-word shingles) go, whatever their id."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document that stayed."""
-    return sentence_pieces.encode(docs, sentence_pieces.default_path())
+    return sentence_pieces.encode(docs, sentence_pieces.default_path(), lattices=LATTICES)
 
 
 STAGES = [
