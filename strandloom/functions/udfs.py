@@ -12,19 +12,33 @@ STRINGS = T.ArrayType(T.StringType())
 
 
 def lcs_items(a: list, b: list) -> list:
-    """A longest common subsequence; where two exist the one that skips in ``a`` first."""
+    """A longest common subsequence; where two exist the one that skips in ``a`` first.
+
+    The table of lengths of what is left is kept as one integer a row, a bit for each place of ``b`` where it steps.
+    """
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << (m - 1 - j)  # from the end
+    full = (1 << m) - 1
+    rows = [full]  # rows[k]: of the last k items of ``a``; a 0 is a step
+    for x in reversed(a):
+        row = rows[-1]
+        same = row & at.get(x, 0)
+        rows.append((row + same | row - same) & full)
+
+    def best(i: int, j: int) -> int:
+        """Length for a[i:] and b[j:]."""
+        low = (1 << (m - j)) - 1
+        return m - j - (rows[n - i] & low).bit_count()
+
     i = j = 0
     out = []
     while i < n and j < m:
         if a[i] == b[j]:
             out.append(a[i])
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best(i + 1, j) >= best(i, j + 1):
             i += 1
         else:
             j += 1

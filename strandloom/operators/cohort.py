@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..state import written
+
 
 def rows_of_matching(events: DataFrame, condition: Column, person: str = "person_id") -> DataFrame:
     """All rows of everyone who has at least one matching row."""
@@ -63,11 +65,19 @@ def in_ranges(events: DataFrame, key: str, low: int, high: int, parts: int) -> D
 def group_by_subset(items: DataFrame, key: str, entity: str, attributes: str) -> DataFrame:
     """Each item's leader: of the items of the same entity whose attribute set contains the item's, the one of the largest set, then the smallest key.
 
-    An equi-join on the entity; only the subset test is left to the join's filter.
+    Equal sets of an entity are one, with its smallest key; a set meets others at its rarest attribute in the entity
+    only, which every set that contains it has. Empty sets are contained in the entity's largest.
     """
-    other = items.select(F.col(entity), F.col(key).alias("_leader"), F.col(attributes).alias("_wide"))
-    pairs = items.join(other, entity).where(F.size(F.array_except(attributes, "_wide")) == 0)
-    return pairs.groupBy(key).agg(F.min(F.struct((-F.size("_wide")).alias("n"), F.col("_leader").alias("leader")))["leader"].alias("leader"))
+    as_set = F.array_sort(F.array_distinct(attributes))
+    kinds = written(items.select(entity, as_set.alias("_s"), F.col(key).alias("_k")).groupBy(entity, "_s").agg(F.min("_k").alias("_k")), "sets")
+    each = kinds.select(entity, "_s", "_k", F.explode("_s").alias("_x"))
+    n = each.groupBy(entity, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    rarest = each.join(n, [entity, "_x"]).groupBy(entity, "_s").agg(F.min(F.struct("_c", "_x"))["_x"].alias("_x"))
+    wide = each.select(entity, "_x", F.col("_s").alias("_wide"), F.col("_k").alias("_leader"))
+    best = lambda s, k: F.min(F.struct((-F.size(s)).alias("n"), F.col(k).alias("leader")))["leader"].alias("leader")
+    found = rarest.join(wide, [entity, "_x"]).where((F.size("_wide") >= F.size("_s")) & (F.size(F.array_except("_s", "_wide")) == 0)).groupBy(entity, "_s").agg(best("_wide", "_leader"))
+    none = kinds.where("size(_s) = 0").select(entity, "_s").join(kinds.groupBy(entity).agg(best("_s", "_k")), entity)
+    return items.withColumn("_s", as_set).join(found.unionByName(none), [entity, "_s"]).select(key, "leader")
 
 
 def person_codes(events: DataFrame, code: Column, root: Column, person: str = "person_id") -> DataFrame:

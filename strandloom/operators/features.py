@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -91,8 +92,9 @@ def density(df: DataFrame, value: str, grid: list[float], bandwidth: float) -> D
 
 def bag_of_centroids(tokens: DataFrame, cluster_of: DataFrame, clusters: list[int], token: str = "token", doc: str = "doc_id") -> DataFrame:
     """doc x number of its tokens in each word cluster (token, cluster), 0 where there are none."""
-    found = tokens.join(cluster_of, token).groupBy(doc)
-    return found.agg(*[F.count(F.when(F.col("cluster") == c, 1)).alias(f"c{c}") for c in clusters])
+    counts = tokens.groupBy(doc, token).agg(F.count(F.lit(1)).alias("_n"))  # before the join: a row a document and word
+    found = counts.join(cluster_of, token).groupBy(doc)
+    return found.agg(*[F.coalesce(F.sum(F.when(F.col("cluster") == c, F.col("_n"))), F.lit(0)).alias(f"c{c}") for c in clusters])
 
 
 def cluster_means(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -101,9 +103,20 @@ def cluster_means(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
     return parts.groupBy(cluster).agg(F.max("n").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
 
 
+def gap(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def nearest_mean(rows: DataFrame, means: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """``rows`` with the cluster of the nearest of ``means`` (cluster, mean; a row a cluster), of equal ones the smaller."""
+    all_ = F.broadcast(means.agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("mean").alias("m")))).alias("_means")))  # one row
+    near = F.array_min(F.transform("_means", lambda m: F.struct(F.round(gap(F.col(vector), m["m"]), 6).alias("d"), m["c"].alias("c"))))
+    return rows.crossJoin(all_).withColumn(cluster, near["c"]).drop("_means")
+
+
 def nearest_members(rows: DataFrame, means: DataFrame, cluster: str, key: str, vector: str, k: int) -> DataFrame:
     """The k members of each cluster next to its mean (squared Euclidean distance), of equal ones the smaller key."""
-    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
     near = rows.join(means.select(cluster, "mean"), cluster).select(cluster, key, F.round(gap(F.col(vector), F.col("mean")), 6).alias("distance"))
     w = Window.partitionBy(cluster).orderBy("distance", key)
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -116,7 +129,13 @@ def standardize(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(one)).withColumn(f"{column}_standard", scaled).drop("_m", "_s")
 
 
-def distances(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Cosine distances of the pairs a < b of a stated, bounded set."""
-    side = lambda c: rows.select(F.col(key).alias(c), F.col(vector).alias(f"_{c}"))
-    return side("a").join(side("b"), F.col("a") < F.col("b")).select("a", "b", F.round(1 - cosine(F.col("_a"), F.col("_b")), 6).alias("distance"))
+def distances(rows: DataFrame, queries: DataFrame, key: str, vector: str, measure: Callable[[Column, Column], Column] | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """a (of ``queries``, a stated set), b (any other row) and their distance: cosine, or by ``measure``. Queries are taken in blocks, as in ``nearest_to``."""
+    n = -(-queries.count() // block)
+    measure = measure or (lambda a, b: 1 - cosine(a, b))
+    found = []
+    for i in range(max(n, 1)):
+        part = queries if n < 2 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+        q = F.broadcast(part.select(F.col(key).alias("a"), F.col(vector).alias("_q")))
+        found.append(rows.join(q, F.col(key) != F.col("a")).select("a", F.col(key).alias("b"), F.round(measure(F.col("_q"), F.col(vector)), 6).alias("distance")))
+    return reduce(DataFrame.unionByName, found)

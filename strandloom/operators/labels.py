@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..state import placed
+
 
 def merge(label: Column, groups: dict[str, str]) -> Column:
     """Equivalent labels to their representative."""
@@ -43,8 +45,8 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def index_by(rows: DataFrame, keys: list[str], doc: str) -> DataFrame:
-    """Each combination of labels and its documents, in order (strata of bounded size)."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(doc)).alias("docs"))
+    """The documents of each combination of labels: keys, doc, place (from 1, in the order of doc) and n, a row each."""
+    return placed(rows.select(*keys, doc), keys, [doc]).withColumnsRenamed({"_upto": "place", "_n": "n"})
 
 
 def without_classes(df: DataFrame, label: str, drop: list[str] = ("Control",)) -> DataFrame:

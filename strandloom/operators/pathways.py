@@ -8,33 +8,43 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..functions import udfs
 from . import patterns
+from ..state import placed, written
 from .sampling import hashed
 
 
 def pairs(docs: DataFrame, n: int | None = None, policy: str = "random", doc: str = "doc_id", label: str | None = None, seed: int = 53) -> DataFrame:
-    """Pairs a < b of documents (doc, codes) of a stated sample, of one label if given: a, b, codes_a, codes_b.
+    """Pairs a < b of documents (doc, codes), of one label if given: [label,] a, b, codes_a, codes_b.
 
-    ``docs`` is the sample (see ``sampling.per_class``): all its pairs are made, so it is chosen before. With ``n`` that
-    many pairs stay, by hash of the two keys or the longest together first.
+    Documents stand in an order, of a hash or the longest first, and each is paired with the ``n`` that come next. So
+    every document is in some pair, there are about n pairs a document however many there are, and no others are made.
+    Without ``n`` all pairs, for a stated, bounded sample.
     """
     keys = [label] if label else []
-    side = lambda c: docs.select(*keys, F.col(doc).alias(c), F.col("codes").alias(f"codes_{c}"))
-    both = side("a").join(side("b"), [*keys]).where("a < b") if keys else side("a").join(side("b"), F.col("a") < F.col("b"))
+    side = lambda df, c, *more: df.select(*keys, F.col(doc).alias(c), F.col("codes").alias(f"codes_{c}"), *more)
     if n is None:
-        return both
-    order = [F.desc(F.size("codes_a") + F.size("codes_b")), "a", "b"] if policy.startswith("long") else [hashed(F.concat_ws("-", "a", "b"), seed), "a", "b"]
-    return both.orderBy(*order).limit(n)
-
-
-def derive(docs: DataFrame, sample: DataFrame, n_pairs: int | None = None, at_least: int = 2, min_df: int = 1, doc: str = "doc_id", label: str | None = None) -> DataFrame:
-    """Common subsequences of the sample's pairs: [label,] lcs, items, length, n_uniq, n (pairs that gave it) and df over all of ``docs``.
-
-    Runs of one code count once; shorter ones than ``at_least`` go. df is counted over every document, by containment.
+        a, b = side(docs, "a"), side(docs, "b")
+        return a.join(b, [*keys]).where("a < b") if keys else a.join(b, F.col("a") < F.col("b"))
+    order = [F.desc(F.size("codes")), F.col(doc)] if policy.startswith("long") else [hashed(F.col(doc), seed), F.col(doc)]
+    dealt = written(placed(docs.select(*keys, doc, "codes"), keys, order), "order")
+    first = side(dealt, "a", F.explode(F.sequence(F.col("_upto") + 1, F.col("_upto") + n)).alias("_at"))
+    both = first.join(side(dealt, "b", F.col("_upto").alias("_at")), [*keys, "_at"])
+    swap = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x)
+    return both.select(*keys, swap("a", "b"), swap("b", "a"), swap("codes_a", "codes_b"), swap("codes_b", "codes_a"))
+
+
+def derive(docs: DataFrame, sample: DataFrame, n_pairs: int | None = None, at_least: int = 2, at_most: int = 20, min_df: int = 1, min_uniq: int = 1, doc: str = "doc_id", label: str | None = None, permutations: bool = True) -> DataFrame:
+    """Common subsequences of the sample's ``pairs``: [label,] lcs, items, length, n_uniq, n (pairs that gave it) and df over all of ``docs``.
+
+    Runs of one code count once; those shorter than ``at_least``, longer than ``at_most`` or of fewer than ``min_uniq``
+    codes go. Without ``permutations`` those of the same codes in another order are one, of all their pairs, named by
+    the first. df is counted over every document, by containment; those below ``min_df`` go.
     """
     keys = [label] if label else []
     found = pairs(sample, n_pairs, doc=doc, label=label).select(*keys, S.collapse_runs(udfs.lcs("codes_a", "codes_b")).alias("items"))
-    table = found.where(F.size("items") >= at_least).groupBy(*keys, "items").agg(F.count(F.lit(1)).alias("n"))
-    table = table.withColumn("lcs", F.array_join("items", " ")).withColumn("length", F.size("items")).withColumn("n_uniq", F.size(F.array_distinct("items")))
+    table = found.where(F.size("items").between(at_least, at_most) & (F.size(F.array_distinct("items")) >= min_uniq)).groupBy(*keys, "items").agg(F.count(F.lit(1)).alias("n"))
+    if not permutations:
+        table = table.groupBy(*keys, F.array_sort("items").alias("_same")).agg(F.min("items").alias("items"), F.sum("n").alias("n")).drop("_same")
+    table = written(table, "subsequences").withColumn("lcs", F.array_join("items", " ")).withColumn("length", F.size("items")).withColumn("n_uniq", F.size(F.array_distinct("items")))
     kinds = table.select(F.col("lcs").alias("pattern_id"), F.col("items").alias("pattern")).distinct()
     df = patterns.containing(docs.select(F.col(doc).alias("doc_id"), "codes"), kinds).groupBy(F.col("pattern_id").alias("lcs")).agg(F.countDistinct("doc_id").alias("df"))
     return table.join(df, "lcs").where(F.col("df") >= min_df).select(*keys, "lcs", "items", "length", "n_uniq", "n", "df")

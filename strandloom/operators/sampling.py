@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..state import numbered, written
+from ..state import numbered, placed, written
 from . import stats
 
 
@@ -24,13 +24,13 @@ def near_equal(df: DataFrame, label: str, total: int, classes: int, order: list[
     """About ``total`` rows spread evenly over the classes: the first (by label) take the remainder."""
     quota = F.lit(total // classes) + (F.dense_rank().over(Window.orderBy("_label")) <= total % classes).cast("int")
     quotas = df.select(F.col(label).alias("_label")).distinct().withColumn("_quota", quota)  # a row a class
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    ranked = placed(df, [label], order).withColumnRenamed("_upto", "rank").drop("_n")
     return ranked.join(F.broadcast(quotas), F.col(label) == F.col("_label")).where(F.col("rank") <= F.col("_quota")).drop("_label", "_quota")
 
 
 def round_robin(df: DataFrame, group: str, n: int, order: list[Column]) -> DataFrame:
     """Row 1 of every group, then row 2, ..., until there are n."""
-    ranked = df.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranked = placed(df, [group], order).withColumnRenamed("_upto", "round").drop("_n")
     return ranked.orderBy("round", group).limit(n)
 
 
@@ -47,9 +47,7 @@ def one_per_interval(df: DataFrame, value: str, intervals: int, key: str, seed:
 
 def split(df: DataFrame, label: str, ratios: list[float], key: str, seed: int = 53) -> DataFrame:
     """An exact split of each class by ratios: ``part`` is 0, 1, ...; the last takes the remainder."""
-    w = Window.partitionBy(label).orderBy(hashed(F.col(key), seed))
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    share = (F.row_number().over(w) - 1) / n
+    share = (F.col("_upto") - 1) / F.col("_n")
     part, upto = F.lit(len(ratios) - 1), 0.0
     bounds = []
     for r in ratios[:-1]:
@@ -57,7 +55,7 @@ def split(df: DataFrame, label: str, ratios: list[float], key: str, seed: int =
         bounds.append(upto)
     for i in range(len(bounds) - 1, -1, -1):
         part = F.when(F.col("_share") < bounds[i], i).otherwise(part)
-    return df.withColumn("_share", share).withColumn("part", part).drop("_share")
+    return placed(df, [label], [hashed(F.col(key), seed)]).withColumn("_share", share).withColumn("part", part).drop("_share", "_upto", "_n")
 
 
 def interval(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -99,14 +97,13 @@ def draws(ids: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
 def balanced(df: DataFrame, label: str, key: str, ratio: float = 0.8, seed: int = 53) -> DataFrame:
     """As many rows of every class: ``ratio`` of the smallest one's, the first by hash."""
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.floor(F.min("n") * ratio).alias("_n"))  # one row
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(hashed(F.col(key), seed))))
-    return ranked.crossJoin(F.broadcast(least)).where(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+    ranked = placed(df, [label], [hashed(F.col(key), seed)]).drop("_n")
+    return ranked.crossJoin(F.broadcast(least)).where(F.col("_upto") <= F.col("_n")).drop("_upto", "_n")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 53) -> DataFrame:
     """``df`` with a fold from 0 to k - 1, each class dealt evenly over them."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(hashed(F.col(key), seed))) - 1
-    return df.withColumn("fold", (place % k).cast("int"))
+    return placed(df, [label], [hashed(F.col(key), seed)]).withColumn("fold", ((F.col("_upto") - 1) % k).cast("int")).drop("_upto", "_n")
 
 
 def combinations(df: DataFrame, key: str, r: int, group: str | None = None) -> DataFrame:

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..state import placed
 
 
 def quantiles(df: DataFrame, keys: list[str], value: Column, shares: dict[str, float], interpolate: bool = True) -> DataFrame:
     """Per group the exact quantiles of ``value`` (nulls left out) by name, and n_values.
 
-    Rows are counted by value before anything is ordered, so a group's window sees its distinct values alone. Between
-    two places a quantile is interpolated; without ``interpolate`` it is the value at index int(share * n).
+    Rows are counted by value, and a group's values are spread over tasks by ranges (``state.placed``). Between two places a
+    quantile is interpolated; without ``interpolate`` it is the value at index int(share * n).
     """
     counts = df.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*(keys or [F.lit(1)]))
-    run = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    run = placed(counts, keys, ["_v"], F.col("_c"))
     first_past = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_v")))
     out = []
     for name, p in shares.items():

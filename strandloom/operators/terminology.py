@@ -56,11 +56,11 @@ def preferred(names: DataFrame, key: str, kind: str, text: str, priority: list[s
 
 def propagate(seed: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """Classes (node, class, level) handed on along edges (src, dst): a node without a class takes its neighbours' of the round before."""
-    known = seed.select("node", "class", F.lit(0).alias("level"))
+    known = written(seed.select("node", "class", F.lit(0).alias("level")), "known")
     for r in range(1, rounds + 1):
         new = known.join(edges, known["node"] == edges["src"]).select(F.col("dst").alias("node"), "class").distinct()
         new = new.join(known.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(r))
-        known = known.unionByName(new)
+        known = written(known.unionByName(new), "known")  # it is read three times in the next round
     return known
 
 
@@ -105,20 +105,38 @@ def related(edges: DataFrame, node: str, relation: str | None = None, to: str |
 def layers(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """node and layer: 0 without parents, else one more than the deepest parent. A cycle raises.
 
-    A round moves every node below its parents; there are as many rounds as layers.
+    Runs of nodes with one parent each are jumped by doubling: a chain of n nodes takes log2(n) rounds, and a run that
+    is still going on after these is a ring. What is left are nodes with several parents; a round settles those whose
+    parents are all settled, and if none is the rest holds a cycle.
     """
     e = written(edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).dropna().distinct(), "edges")
-    level = written(e.select("node").union(e.select("up")).distinct().withColumn("layer", F.lit(0).cast("long")), "layers")
-    n, done, before = level.count(), 0, None
+    n_up = written(e.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "parents")
+    jump = written(e.join(n_up.where("n = 1"), "node").select("node", "up", F.lit(1).cast("long").alias("length")), "jumps")
+    rounds = jump.count().bit_length() + 1
     while True:
-        below = e.join(level.withColumnRenamed("node", "up"), "up").groupBy("node").agg((F.max("layer") + 1).alias("lower"))
-        level = written(level.join(below, "node", "left").select("node", F.coalesce("lower", "layer").alias("layer")), "layers")
-        total = level.agg(F.sum("layer")).first()[0]  # one row
-        if total == before:
-            return level
-        before, done = total, done + 1
-        if done > n:
+        on = jump.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("length").alias("more"))
+        longer = jump.join(on, "up", "left").select("node", F.coalesce("far", "up").alias("up"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.col("far").isNotNull().alias("moved"))
+        longer = written(longer, "jumps")
+        if not longer.where("moved").take(1):
+            break
+        jump, rounds = longer.drop("moved"), rounds - 1
+        if rounds < 0:
+            raise ValueError("the hierarchy has a cycle")
+    nodes = e.select("node").union(e.select("up")).distinct()
+    known = written(nodes.join(n_up, "node", "left_anti").select("node", F.lit(0).cast("long").alias("layer")), "layers")
+    far = jump.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("length").alias("more"))
+    several = e.join(n_up.where("n > 1"), "node", "left_semi").join(far, "up", "left")
+    left = written(several.select("node", F.coalesce("far", "up").alias("up"), (1 + F.coalesce("more", F.lit(0))).alias("length")), "several")
+    while left.take(1):
+        there = left.join(known.select(F.col("node").alias("up"), "layer"), "up", "left")
+        ready = there.groupBy("node").agg(F.max(F.col("layer") + F.col("length")).alias("layer"), F.count_if(F.col("layer").isNull()).alias("open")).where("open = 0").drop("open")
+        ready = written(ready, "ready")
+        if not ready.take(1):
             raise ValueError("the hierarchy has a cycle")
+        known = written(known.unionByName(ready), "layers")
+        left = written(left.join(ready, "node", "left_anti"), "several")
+    below = jump.join(known.select(F.col("node").alias("up"), "layer"), "up").select("node", (F.col("layer") + F.col("length")).alias("layer"))
+    return known.unionByName(below)
 
 
 def linearized(layered: DataFrame, suffix: str = r"_\d+$") -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import predicates as P
 from ..functions import sequences as S
 from ..operators import cohort, documents, stats
 from .registry import register
-from .tables import DX, DX_POS, EV, EV_POS, diagnoses, events, table
+from .tables import CODED, DX, DX_POS, EV, EV_POS, coded_parts, diagnoses, events, table
 
 ROOTS = ["105", "210", "315"]
 IN_ROOTS = "split_part(code, '.', 1) IN ('105', '210', '315')"
@@ -244,27 +244,27 @@ def nontrivial(spark, sf):
     return stats.nontrivial(table(spark, sf, "lineitem"), ["l_discount", "l_tax"]).select(F.round("mean_nontrivial", 9).alias("mean_nontrivial"))
 
 
-SAMPLES = ["25015", "250.15", "4.5", "E849.8", "V10.5", "585.", "S53.", "042", "C83.7", "78", "NDC:00074", "med:123", "abc", "140.9", "239", "240"]
 
-
-@register("code_strings", "WITH c(code) AS (VALUES " + ", ".join(f"('{s}')" for s in SAMPLES) + r""") SELECT code, CASE WHEN regexp_extract(code, '(?i)^([ve]?\d+)', 1) <> '' THEN regexp_extract(code, '(?i)^([ve]?\d+)', 1) ELSE code END AS root,
+@register("code_strings", f"WITH {CODED}" + r""" SELECT code, CASE WHEN regexp_extract(code, '(?i)^([ve]?\d+)', 1) <> '' THEN regexp_extract(code, '(?i)^([ve]?\d+)', 1) ELSE code END AS root,
   split_part(code, '.', 1) AS text_root, regexp_matches(code, '^(V\d{2}(\.\d{1,2})?|\d{3}(\.\d{1,2})?|E\d{3}(\.\d)?)$') AS icd9, regexp_matches(code, '(?i)^[A-TV-Z][0-9][A-Z0-9](\.\w{1,4}\b)?') AS icd10,
   regexp_matches(upper(code), '^(MULTUM|NDC|MED):\d{2,12}') AS med, regexp_matches(lower(code), '^[ev]') AS supplementary,
   CASE WHEN lower(code) LIKE 'e%' THEN TRY_CAST(regexp_replace(code, '^[evEV]', '') AS DOUBLE) + 5000 WHEN lower(code) LIKE 'v%' THEN TRY_CAST(regexp_replace(code, '^[evEV]', '') AS DOUBLE) + 22000 ELSE TRY_CAST(code AS DOUBLE) END AS number,
   coalesce(regexp_matches(code, '^\d{3}(\.|$)') AND TRY_CAST(code AS DOUBLE) BETWEEN 140 AND 239, false) AS neoplasm FROM c""")
 def code_strings(spark, sf):
-    c = spark.createDataFrame([(s,) for s in SAMPLES], "code string")
     x = F.col("code")
-    return c.select("code", C.root_code(x).alias("root"), C.text_root(x).alias("text_root"), C.is_icd9(x).alias("icd9"), C.is_icd10(x).alias("icd10"), C.is_med_code(x).alias("med"), C.is_supplementary(x).alias("supplementary"), C.numerize(x).alias("number"), C.within(x, "140", "239").alias("neoplasm"))
+    return coded_parts(spark, sf).select("code", C.root_code(x).alias("root"), C.text_root(x).alias("text_root"), C.is_icd9(x).alias("icd9"), C.is_icd10(x).alias("icd10"), C.is_med_code(x).alias("med"), C.is_supplementary(x).alias("supplementary"), C.numerize(x).alias("number"), C.within(x, "140", "239").alias("neoplasm"))
 
 
-# The formats of drug codes, one case each (labeler-product-package digits, '*' for a digit left out, no dashes, and what is no code).
-NDC = {"000912-0345-67": "00912034567", "01234-567-8": "01234056708", "1234-5678-90": "01234567890", "12345-*67": "12345006700", "04321-9876": "04321987600", "54321-0012-*9": "54321001209", "10203040506": "10203040506", "010203040506": "10203040506", "210203040506": None, "102030405": None, "12a45-678-90": None, "a-b": None, "1-2-3-4": None, "": None}
+# How each spelling of a drug code is made of its labeler (a), product (b) and package (c), '*' for digits left out, and the eleven digits it stands for (None: no code).
+NDC = {"concat('0', a, '-', b, '-', c)": "concat(a, b, c)", "concat(a, '-', substr(b, 2), '-', substr(c, 2))": "concat(a, '0', substr(b, 2), '0', substr(c, 2))", "concat(substr(a, 2), '-', b, '-', c)": "concat('0', substr(a, 2), b, c)", "concat(a, '-', b)": "concat(a, b, '00')", "concat(a, '-', b, '-*', substr(c, 2))": "concat(a, b, '0', substr(c, 2))", "concat(a, b, c)": "concat(a, b, c)", "concat('0', a, b, c)": "concat(a, b, c)", "concat('2', a, b, c)": None, "concat(a, b)": None, "concat(a, 'x-', b, '-', c)": None, "concat(a, '-', b, '-', c, '-1')": None}
+PARTS = "SELECT lpad(CAST(p_partkey * 37 % 100000 AS STRING), 5, '0') AS a, lpad(CAST(p_partkey * 53 % 10000 AS STRING), 4, '0') AS b, lpad(CAST(p_partkey % 100 AS STRING), 2, '0') AS c, p_partkey AS k FROM part"
+_of = lambda values: f"CASE k % {len(NDC)} " + " ".join(f"WHEN {i} THEN {v or 'NULL'}" for i, v in enumerate(values)) + " END"
 
 
-@register("ndc_normalize_vectors", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {repr(v) if v else 'NULL'})" for k, v in NDC.items()) + ") AS v(code, ndc)")
+@register("ndc_normalize_vectors", f"SELECT k, {_of(NDC)} AS code, {_of(NDC.values())} AS ndc FROM ({PARTS})")
 def ndc(spark, sf):
-    return spark.createDataFrame([(k,) for k in NDC], "code string").select("code", C.ndc_normalize(F.col("code")).alias("ndc"))
+    p = table(spark, sf, "part").select(F.expr("lpad(CAST(p_partkey * 37 % 100000 AS STRING), 5, '0')").alias("a"), F.expr("lpad(CAST(p_partkey * 53 % 10000 AS STRING), 4, '0')").alias("b"), F.expr("lpad(CAST(p_partkey % 100 AS STRING), 2, '0')").alias("c"), F.col("p_partkey").alias("k"))
+    return p.select("k", F.expr(_of(NDC)).alias("code")).withColumn("ndc", C.ndc_normalize(F.col("code")))
 
 
 @register("null_and_number_tests", "WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN ' NaN ' WHEN 2 THEN 'x' || CAST(value AS VARCHAR) WHEN 3 THEN '2020-02-30' ELSE '2020-02-28' END AS s FROM events) SELECT sum((lower(trim(s)) IN ('', 'nan', 'null', 'none', 'n/a', 'na'))::INT) AS n_null, sum((TRY_CAST(s AS DATE) IS NOT NULL)::INT) AS n_date, sum((TRY_CAST(s AS DOUBLE) IS NOT NULL)::INT) AS n_number FROM v")

@@ -54,9 +54,9 @@ def members(spark, sf):
     return m.select(F.col("n_regionkey").alias("cluster"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@register("codes_polarized", f"WITH {DX} SELECT DISTINCT code, split_part(code, '.', 1) = '105' AS positive FROM dx WHERE code LIKE '1%'")
+@register("codes_polarized", f"WITH {DX} SELECT DISTINCT code, split_part(code, '.', 1) = '105' AS positive FROM dx")
 def polarized(spark, sf):
-    return frames.polarized(diagnoses(spark, sf).where(F.col("code").startswith("1")), "code", C.text_root(F.col("code")), "105.1")
+    return frames.polarized(diagnoses(spark, sf), "code", C.text_root(F.col("code")), "105.1")
 
 
 @register("merged_tables", "SELECT o_custkey AS k, n, c, a FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN (SELECT c_custkey, c_nationkey AS c FROM customer) ON c_custkey = o_custkey JOIN (SELECT user_id, count(*) AS a FROM events GROUP BY 1) ON user_id = o_custkey")

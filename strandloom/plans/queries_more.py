@@ -8,9 +8,10 @@ from ..functions import codes as C
 from ..functions import predicates as P
 from ..functions import sequences as S
 from ..operators import cohort, documents, evaluate, features, frames, labels, pathways, patterns, sampling, terminology
+from ..state import written
 from .queries_patterns import MD5, SCORED, _edges, _scored
 from .registry import register
-from .tables import DX, EV_POS, TOK, codes_of, diagnoses, events, table
+from .tables import CODED, DX, EV_POS, TOK, coded_parts, codes_of, diagnoses, events, table
 
 # Codes.
 
@@ -27,37 +28,31 @@ def comparisons(spark, sf):
     return a.join(b, "k").select("k", C.same_number(x, y).alias("same_number"), C.same_root(x, y).alias("same_root"), C.same_text(x, y).alias("same_text"), C.greater(x, y).alias("greater"), C.less(x, y).alias("less"))
 
 
-SAMPLES = ["25015", "250.15", "250.11", "250.10", "648.0", "648.83", "249", "E849.8", "E849", "V10", "V10.5", "585.", "042", "C83.7", "C83", "78", "NDC:00074", "abc", "I9:250.1", "I10:C83", "acute  renal-failure", "Fever of unknown origin", "med:123", "12345", "mult:77", "x:y:z"]
-VALUES = "c(code) AS (VALUES " + ", ".join(f"('{s}')" for s in SAMPLES) + ")"
 IS9, IS10 = r"regexp_matches(code, '^(V\d{2}(\.\d{1,2})?|\d{3}(\.\d{1,2})?|E\d{3}(\.\d)?)$')", r"regexp_matches(code, '(?i)^[A-TV-Z][0-9][A-Z0-9](\.\w{1,4}\b)?')"
 ISMED = r"regexp_matches(upper(code), '^(MULTUM|NDC|MED):\d{2,12}')"
 
 
-def _samples(spark):
-    return spark.createDataFrame([(s,) for s in SAMPLES], "code string")
-
-
-@register("code_kinds", rf"""WITH {VALUES} SELECT code, {IS9} OR {IS10} AS icd, NOT contains(code, '.') AND regexp_matches(code, '^(V\d{{2}}|\d{{3}}|E\d{{3}})$') AS icd9_base, NOT contains(code, '.') AND {IS10} AS icd10_base,
+@register("code_kinds", rf"""WITH {CODED} SELECT code, {IS9} OR {IS10} AS icd, NOT contains(code, '.') AND regexp_matches(code, '^(V\d{{2}}|\d{{3}}|E\d{{3}})$') AS icd9_base, NOT contains(code, '.') AND {IS10} AS icd10_base,
   {ISMED} OR regexp_matches(code, '^\d+$') AS source_value, regexp_matches(code, '^250\.\d[13]$') AS type1, regexp_matches(code, '^250\.\d[02]$') AS type2, regexp_matches(code, '^648\.[08]') AS gestational, left(code, 3) IN ('249', '250', '648') AS diabetes,
   CASE WHEN {IS9} OR {IS10} THEN 'diag' WHEN {ISMED} THEN 'drug' WHEN regexp_matches(code, '^\d+$') THEN 'lab' ELSE 'other' END AS token_class, CASE WHEN {ISMED} THEN lower(split_part(code, ':', 1)) ELSE 'unknown' END AS drug_class FROM c""")
 def kinds(spark, sf):
     x = F.col("code")
-    return _samples(spark).select("code", C.is_icd(x).alias("icd"), C.is_icd9_base(x).alias("icd9_base"), C.is_icd10_base(x).alias("icd10_base"), C.is_source_value(x).alias("source_value"), C.is_type1(x).alias("type1"), C.is_type2(x).alias("type2"), C.is_gestational(x).alias("gestational"), C.is_diabetes(x).alias("diabetes"), C.token_class(x).alias("token_class"), C.drug_class(x).alias("drug_class"))
+    return coded_parts(spark, sf).select("code", C.is_icd(x).alias("icd"), C.is_icd9_base(x).alias("icd9_base"), C.is_icd10_base(x).alias("icd10_base"), C.is_source_value(x).alias("source_value"), C.is_type1(x).alias("type1"), C.is_type2(x).alias("type2"), C.is_gestational(x).alias("gestational"), C.is_diabetes(x).alias("diabetes"), C.token_class(x).alias("token_class"), C.drug_class(x).alias("drug_class"))
 
 
-@register("code_spellings", r"""WITH """ + VALUES + r""" SELECT code, CASE WHEN contains(code, '.') OR len(code) <= 3 THEN code ELSE left(code, 3) || '.' || substr(code, 4) END AS dotted, regexp_replace(code, '^I(10|9):', '') AS bare, regexp_replace(code, '\.$', '') AS no_dot,
+@register("code_spellings", r"""WITH """ + CODED + r""" SELECT code, CASE WHEN contains(code, '.') OR len(code) <= 3 THEN code ELSE left(code, 3) || '.' || substr(code, 4) END AS dotted, regexp_replace(code, '^I(10|9):', '') AS bare, regexp_replace(code, '\.$', '') AS no_dot,
   CASE WHEN contains(code, ':') THEN regexp_extract(code, '([^:]*)$', 1) ELSE code END AS after_prefix,
   array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(code, '[^A-Za-z0-9 ]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '_') AS condensed,
   regexp_matches(code, '^[A-Za-z0-9]+\s+[A-Za-z0-9]+(\s.*)?$') AS description, regexp_matches(code, '(?i)re') AND regexp_matches(code, '(?i)f') AS soft FROM c""")
 def spellings(spark, sf):
     x = F.col("code")
-    return _samples(spark).select("code", C.dotted(x).alias("dotted"), C.strip_diagnosis_prefix(x).alias("bare"), C.drop_trailing_dot(x).alias("no_dot"), C.after_prefix(x).alias("after_prefix"), C.condense(x).alias("condensed"), C.is_description(x).alias("description"), C.all_match(x, ["re", "f"]).alias("soft"))
+    return coded_parts(spark, sf).select("code", C.dotted(x).alias("dotted"), C.strip_diagnosis_prefix(x).alias("bare"), C.drop_trailing_dot(x).alias("no_dot"), C.after_prefix(x).alias("after_prefix"), C.condense(x).alias("condensed"), C.is_description(x).alias("description"), C.all_match(x, ["re", "f"]).alias("soft"))
 
 
-@register("code_is_a", f"WITH {DX}, x AS (SELECT DISTINCT code FROM dx WHERE code LIKE '1%') SELECT code, split_part(code, '.', 1) = '105' AS loose, starts_with(code, '105.1') AS strict, starts_with(code, '10') AND starts_with(code, '10') AS prefixed, CAST(len(list_filter(['105.1', '105.9', '210.1'], lambda c: split_part(c, '.', 1) = split_part(code, '.', 1))) AS INT) AS n_matching FROM x")
+@register("code_is_a", f"WITH {DX}, x AS (SELECT DISTINCT code FROM dx) SELECT code, split_part(code, '.', 1) = '105' AS loose, starts_with(code, '105.1') AS strict, starts_with(code, '10') AND starts_with(code, '10') AS prefixed, CAST(len(list_filter(['105.1', '105.9', '210.1'], lambda c: split_part(c, '.', 1) = split_part(code, '.', 1))) AS INT) AS n_matching FROM x")
 def is_a(spark, sf):
     x = F.col("code")
-    d = diagnoses(spark, sf).where(x.startswith("1")).select("code").distinct()
+    d = diagnoses(spark, sf).select("code").distinct()
     candidates = F.array(*[F.lit(c) for c in ("105.1", "105.9", "210.1")])
     return d.select("code", C.is_a(x, F.lit("105.1")).alias("loose"), C.is_a(x, F.lit("105.1"), strict=True).alias("strict"), P.starts_with_any(x, ["10", "10"]).alias("prefixed"), F.size(C.matching(x, candidates)).alias("n_matching"))
 
@@ -91,10 +86,10 @@ def root_tables(spark, sf):
     return cohort.root_table(diagnoses(spark, sf), F.col("code"), C.text_root(F.col("code"))).select("root", F.array_join("codes", ",").alias("codes"))
 
 
-@register("unused_roots", f"WITH {DX} SELECT DISTINCT lpad(CAST((p_partkey * 7) % 900 AS VARCHAR), 3, '0') AS root FROM part EXCEPT SELECT split_part(code, '.', 1) FROM dx WHERE code LIKE '%.1'")
+@register("unused_roots", f"WITH {DX} SELECT DISTINCT lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS root FROM part EXCEPT SELECT split_part(code, '.', 1) FROM dx")
 def unused(spark, sf):
-    scope = table(spark, sf, "part").select(F.lpad(((F.col("p_partkey") * 7) % 900).cast("string"), 3, "0").alias("root"))
-    used = diagnoses(spark, sf).where(F.col("code").endswith(".1")).select(C.text_root(F.col("code")).alias("root"))
+    scope = table(spark, sf, "part").select(F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0").alias("root"))
+    used = diagnoses(spark, sf).select(C.text_root(F.col("code")).alias("root"))
     return cohort.unused_roots(scope, used)
 
 
@@ -120,10 +115,9 @@ def lab_descriptions(spark, sf):
     return terminology.described(counts, "code", [names]).select("code", "n", "description")
 
 
-@register("stratum_lists", "SELECT c_mktsegment, c_nationkey % 3 AS area, count(*) AS n, md5(array_to_string(list_sort(list(c_custkey)), ',')) AS docs_md5 FROM customer GROUP BY 1, 2")
+@register("stratum_lists", "SELECT c_mktsegment, c_nationkey % 3 AS area, c_custkey, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey % 3 ORDER BY c_custkey) AS place, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey % 3) AS n FROM customer")
 def strata(spark, sf):
-    x = labels.index_by(table(spark, sf, "customer").withColumn("area", F.col("c_nationkey") % 3), ["c_mktsegment", "area"], "c_custkey")
-    return x.select("c_mktsegment", "area", F.size("docs").cast("long").alias("n"), F.md5(F.array_join(F.transform("docs", lambda d: d.cast("string")), ",")).alias("docs_md5"))
+    return labels.index_by(table(spark, sf, "customer").withColumn("area", F.col("c_nationkey") % 3), ["c_mktsegment", "area"], "c_custkey")
 
 
 # Terminologies.
@@ -266,24 +260,26 @@ def set_keys(spark, sf):
     return _triples(spark, sf).groupBy(pathways.set_key(F.split("lcs", " ")).alias("key")).agg(F.count(F.lit(1)).alias("n_patterns"), F.sum("n").alias("n"))
 
 
-PAIRS = f"{EV_POS}, s AS (SELECT doc_id, list(code ORDER BY pos) AS c FROM pos GROUP BY 1), o AS (SELECT doc_id, c, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':53')) AS r FROM s QUALIFY r <= 12)"
+PAIRS = f"{EV_POS}, s AS (SELECT doc_id, count(*) AS n FROM pos GROUP BY 1), o AS (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM s)"
 
 
-def _sample(spark, sf, n=12):
-    docs = codes_of(spark, sf)
-    return docs, docs.orderBy(sampling.hashed(F.col("doc_id"))).limit(n)
+@register("pathway_pairs", f"WITH {PAIRS} SELECT least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b, CAST(a.n + b.n AS INT) AS size FROM o a JOIN o b ON b.r BETWEEN a.r + 1 AND a.r + 3")
+def pair_sample(spark, sf):
+    return pathways.pairs(codes_of(spark, sf), 3, "longest").select("a", "b", (F.size("codes_a") + F.size("codes_b")).alias("size"))
 
 
-@register("pathway_pairs", f"WITH {PAIRS} SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(a.c) + len(b.c) AS INT) AS size FROM o a JOIN o b ON a.doc_id < b.doc_id ORDER BY size DESC, a, b LIMIT 30")
-def pair_sample(spark, sf):
-    return pathways.pairs(_sample(spark, sf)[1], 30, "longest").select("a", "b", (F.size("codes_a") + F.size("codes_b")).alias("size"))
+def segment_sequences(spark, sf):
+    """doc_id, codes (roots in order) and label of every customer."""
+    rows = diagnoses(spark, sf).groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("t", "row_id", "code"))).alias("e"))
+    of = table(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_mktsegment").alias("label"))
+    return rows.join(of, "person_id").select(F.col("person_id").alias("doc_id"), F.transform("e", lambda x: C.text_root(x["code"])).alias("codes"), "label")
 
 
 @register("pathway_derivation")
 def derivation(spark, sf):
-    """Common subsequences of the pairs of a sample, with their frequencies over all documents: a back-trace, so no SQL; the tests check it against plain Python."""
-    docs, sample = _sample(spark, sf, 8)
-    return pathways.derive(docs, sample, at_least=2, min_df=1).drop("items")
+    """Common subsequences of each customer with the next two of the same segment, with their frequencies over all customers: a back-trace, so no SQL; the tests check it against plain Python."""
+    docs = written(segment_sequences(spark, sf), "sequences")
+    return pathways.derive(docs, docs, 2, at_least=2, min_df=1, label="label", permutations=False).drop("items")
 
 
 GRAMS2 = f"{EV_POS}, g AS (SELECT doc_id, doc_id % 4 AS cluster, code || ' ' || lead(code) OVER (PARTITION BY doc_id ORDER BY pos) AS ngram FROM pos), c AS (SELECT cluster, ngram, count(*) AS n FROM g WHERE ngram IS NOT NULL GROUP BY 1, 2), top AS (SELECT cluster, ngram FROM c QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, ngram) <= 3)"
@@ -382,10 +378,10 @@ def unfinished(spark, sf):
     return patterns.incremental(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id")
 
 
-@register("maximal_item_sets", "WITH s AS (SELECT l_suppkey % 50 AS k, list_sort(list_distinct(list(l_returnflag || l_linestatus || (l_quantity % 3)::INT))) AS x FROM lineitem WHERE l_linenumber >= 6 GROUP BY 1) SELECT k FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE list_has_all(b.x, a.x) AND len(b.x) > len(a.x))")
+@register("maximal_item_sets", "WITH s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_returnflag || l_linestatus || l_linenumber % 4))) AS x FROM lineitem GROUP BY 1), d AS (SELECT DISTINCT x FROM s) SELECT k FROM s WHERE x IN (SELECT x FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE list_has_all(b.x, a.x) AND len(b.x) > len(a.x)))")
 def maximal(spark, sf):
-    item = F.concat("l_returnflag", "l_linestatus", (F.col("l_quantity") % 3).cast("int").cast("string"))
-    rows = table(spark, sf, "lineitem").where("l_linenumber >= 6").groupBy((F.col("l_suppkey") % 50).alias("k")).agg(F.collect_set(item).alias("x"))
+    item = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).cast("string"))
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(item).alias("x"))
     return patterns.maximal_sets(rows, "k", "x").select("k")
 
 
@@ -485,10 +481,11 @@ def representatives(spark, sf):
 COS = "1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2])) / (sqrt(list_sum(list_transform(a.embedding, lambda z: z::DOUBLE * z))) * sqrt(list_sum(list_transform(b.embedding, lambda z: z::DOUBLE * z))))"
 
 
-@register("embedding_distances", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 = 0")
+@register("embedding_distances", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0")
 def distances(spark, sf):
-    """Of the stated query set, the vectors whose id is divisible by 50."""
-    return features.distances(table(spark, sf, "embeddings").where("vec_id % 50 = 0"), "vec_id", "embedding")
+    """The stated query set, the vectors whose id is divisible by 50, against all."""
+    e = table(spark, sf, "embeddings")
+    return features.distances(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
 @register("neighbour_agreement", f"WITH d AS (SELECT b.vec_id AS query_id, a.label = b.label AS same, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({COS}, 6), a.vec_id) AS rank FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, round(avg(same::INT), 9) AS agreement FROM d WHERE rank <= 10 GROUP BY 1")
@@ -513,6 +510,6 @@ def average_vectors(spark, sf):
 
 @register("silhouette_by_k")
 def silhouettes(spark, sf):
-    """Mean silhouette of k-means over three coordinates (MLlib): iterative, so no SQL."""
-    e = table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(3)])
-    return spark.createDataFrame(list(evaluate.silhouettes(e, ["x0", "x1", "x2"], [2, 3]).items()), "k int, silhouette double")
+    """Mean silhouette of k-means over whole vectors (MLlib): iterative, so no SQL."""
+    e = table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)])
+    return spark.createDataFrame(list(evaluate.silhouettes(e, e.columns, [2, 4, 6, 8, 10]).items()), "k int, silhouette double")

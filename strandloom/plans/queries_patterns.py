@@ -232,11 +232,12 @@ def intervals(spark, sf):
     return sampling.one_per_interval(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", 10, "s_suppkey").select("s_suppkey", "interval")
 
 
-@register("cluster_purity", "WITH e AS (SELECT label, CAST(embedding[1] > 0 AS INT) + 2 * CAST(embedding[2] > 0 AS INT) + 4 * CAST(embedding[3] > 0 AS INT) AS cluster FROM embeddings), n AS (SELECT cluster, label, count(*) AS n FROM e GROUP BY 1, 2) SELECT cluster, CAST(sum(n) AS BIGINT) AS size, arg_min(label, -n * 1000 + label) AS majority, max(n) AS n_majority, round(max(n) / sum(n), 9) AS purity FROM n GROUP BY 1")
+@register("cluster_purity", "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings), m AS (SELECT label % 4 AS cluster, i, avg(x) AS m FROM x GROUP BY 1, 2), d AS (SELECT vec_id, label, cluster, round(sum((x - m) * (x - m)), 6) AS d FROM x JOIN m USING (i) GROUP BY ALL), e AS (SELECT label, cluster FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1), n AS (SELECT cluster, label, count(*) AS n FROM e GROUP BY 1, 2) SELECT cluster, CAST(sum(n) AS BIGINT) AS size, arg_min(label, -n * 1000 + label) AS majority, max(n) AS n_majority, round(max(n) / sum(n), 9) AS purity FROM n GROUP BY 1")
 def purity(spark, sf):
-    b = lambda i: (F.get("embedding", F.lit(i)) > 0).cast("int") * (1 << i)
-    e = table(spark, sf, "embeddings").select("label", (b(0) + b(1) + b(2)).alias("cluster"))
-    return evaluate.purity(e, "cluster", "label").withColumn("purity", F.round("purity", 9))
+    """Clusters: every vector with the nearest of four means, by all its coordinates."""
+    e = table(spark, sf, "embeddings")
+    means = features.cluster_means(e.withColumn("cluster", F.col("label") % 4), "cluster", "embedding")
+    return evaluate.purity(features.nearest_mean(e, means, "cluster", "embedding"), "cluster", "label").withColumn("purity", F.round("purity", 9))
 
 
 SCORED = "p AS (SELECT doc_id, quality, toxic, n_chars % 101 AS score, CAST(n_chars % 101 >= 50 AS INT) AS guess, lang FROM labels JOIN documents USING (doc_id))"

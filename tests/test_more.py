@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
 from strandloom.functions import udfs
-from strandloom.operators import documents, evaluate, frames, pathways, sampling, terminology
+from strandloom.operators import cohort, documents, evaluate, frames, pathways, patterns, sampling, stats, terminology
 from strandloom.sources import readers, writers
-from strandloom.state import numbered
+from strandloom.state import numbered, placed
 
 
 def test_deep_and_wide_hierarchies(spark):
@@ -117,3 +117,75 @@ def test_rank_sum_with_ties(spark):
     import math
 
     assert abs(r.p - math.erfc(abs(r.z) / 2**0.5)) < 1e-6
+
+
+def test_rows_placed_in_groups(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(10**9), rng.randrange(5)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v long, w long")
+    got = {(r.g, r.v): (r["_upto"], r["_n"]) for r in placed(df, ["g"], ["v"], F.col("w")).collect()}
+    for g in ("a", "b", None):
+        total, all_ = 0, sorted((v, w) for k, v, w in rows if k == g)
+        for v, w in all_:
+            total += w
+            assert got[g, v] == (total, sum(w for _, w in all_))
+    assert sorted(r["_upto"] for r in placed(df, [], ["v", "g"]).collect()) == list(range(1, 3001))
+    assert placed(df.where("false"), ["g"], ["v"]).count() == 0
+
+
+def test_quantiles_of_skewed_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=4000), "b": rng.integers(0, 3, 500).astype(float), "c": np.array([2.5])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("d", None)], "k string, x double")
+    got = {r.k: r for r in stats.quantiles(df, ["k"], F.col("x"), {"low": 0.1, "mid": 0.5}).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert abs(got[k].low - np.quantile(v, 0.1)) < 1e-12 and abs(got[k].mid - np.quantile(v, 0.5)) < 1e-12 and got[k].n_values == len(v)
+    assert abs(stats.quantiles(df, [], F.col("x"), {"q": 0.3}).first().q - np.quantile(np.concatenate([*values.values()]), 0.3)) < 1e-12
+
+
+def test_layers_of_chains_and_rings(spark):
+    chain = spark.range(30_000).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    found = terminology.layers(chain)
+    assert found.where("layer + node <> 30000").count() == 0 and found.count() == 30_001
+    ring = spark.range(30_000).select(F.col("id").alias("child"), F.pmod(F.col("id") + 1, F.lit(30_000)).alias("parent"))
+    knot = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 3), (3, 4)], "child long, parent long")
+    for bad in (ring, knot):
+        with pytest.raises(ValueError):
+            terminology.layers(bad)
+    rng = random.Random(2)
+    edges = [(i, rng.randrange(i)) for i in range(1, 300) for _ in range(rng.choice([1, 1, 2]))]
+    depth = {0: 0}
+    for i in range(1, 300):
+        depth[i] = 1 + max(depth[p] for c, p in edges if c == i)
+    assert {r.node: r.layer for r in terminology.layers(spark.createDataFrame(edges, "child long, parent long")).collect()} == depth
+
+
+def test_maximal_sets_and_leaders(spark):
+    rng = random.Random(6)
+    sets = {i: sorted({rng.choice("abcdefg") for _ in range(rng.randrange(6))}) for i in range(80)}
+    df = spark.createDataFrame([(i, x, i % 3) for i, x in sets.items()], "k long, x array<string>, e long")
+    want = sorted(i for i, x in sets.items() if not any(set(x) < set(y) for y in sets.values()))
+    assert sorted(r.k for r in patterns.maximal_sets(df, "k", "x").collect()) == want
+    got = {r.k: r.leader for r in cohort.group_by_subset(df, "k", "e", "x").collect()}
+    for i, x in sets.items():
+        assert got[i] == min((-len(y), j) for j, y in sets.items() if j % 3 == i % 3 and set(x) <= set(y))[1]
+
+
+def test_pairs_of_neighbours_in_an_order(spark):
+    df = spark.createDataFrame([(i, ["a"] * (i % 7 + 1)) for i in range(20)], "doc_id long, codes array<string>")
+    order = sorted(range(20), key=lambda i: (-(i % 7 + 1), i))
+    want = sorted((min(a, b), max(a, b)) for i, a in enumerate(order) for b in order[i + 1 : i + 3])
+    got = pathways.pairs(df, 2, "longest").collect()
+    assert sorted((r.a, r.b) for r in got) == want and all(len(r.codes_a) == r.a % 7 + 1 and len(r.codes_b) == r.b % 7 + 1 for r in got)
+
+
+def test_derivation_in_one_run(spark):
+    docs = [(1, ["a", "b", "c"], "x"), (2, ["a", "q", "b"], "x"), (3, ["b", "a", "a"], "x"), (4, ["b", "a", "z"], "x"), (5, ["a", "b"], "y")]
+    df = spark.createDataFrame(docs, "doc_id long, codes array<string>, label string")
+    got = {r.lcs: r for r in pathways.derive(df, df, None, label="label", permutations=False).collect()}
+    assert set(got) == {"a b"} and got["a b"].n == 2 and got["a b"].df == 3  # (1, 2) gives a b, (3, 4) b a: one, counted as a b
+    assert pathways.derive(df, df, None, label="label", min_df=4).count() == 0
+    assert {r.lcs for r in pathways.derive(df, df, None, at_least=1, at_most=1).collect()} == {"a", "b"}
