@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,42 +67,104 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else lcs_size(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
 
 
-#: Cells that the table of ``lcs_many`` may have.
-CELLS = 500_000
+#: Common subsequences that are grown side by side for a first bound.
+BEAM = 200
 
 
 def lcs_of_all(rows: list[list]) -> list:
-    """A longest sequence that is a subsequence of every one of ``rows``: the table over all of them at once.
+    """A longest sequence that is a subsequence of every one of ``rows``, of any number and length.
 
-    It has a cell for each combination of positions, so it is for a few short sequences; more cells than ``CELLS`` raise.
+    Only places where all rows have the same item are looked at. From such a place the next ones are the first
+    occurrences of each item in all rows; level by level these are the ends of all common subsequences that take every
+    item as early as they can. A place stays only if it may still beat what a narrow search has found: by the length so
+    far and the shortest of the common subsequences of what is left of any two rows. Exact: nothing else is cut.
     """
     if not rows or not all(rows):
         return []
-    cells = 1
+    items = sorted(set.intersection(*map(set, rows)), key=str)
+    if not items:
+        return []
+    if len(rows) == 1:
+        return list(rows[0])
+    k = len(rows)
+    where = {x: c for c, x in enumerate(items)}
+    # next_[r][i, c]: one past the first place of item c in row r from i on; 0 if there is none
+    next_ = []
     for r in rows:
-        cells *= len(r) + 1
-    if cells > CELLS:
-        raise ValueError(f"{cells} cells")
-    best: dict[tuple, int] = {}
-    places = list(product(*[range(len(r) - 1, -1, -1) for r in rows]))
-    for at in places:
-        if len({r[i] for r, i in zip(rows, at)}) == 1:
-            best[at] = best.get(tuple(i + 1 for i in at), 0) + 1
-        else:
-            best[at] = max(best.get((*at[:k], at[k] + 1, *at[k + 1 :]), 0) for k in range(len(at)))
-    at, out = (0,) * len(rows), []
-    while best.get(at, 0):
-        if len({r[i] for r, i in zip(rows, at)}) == 1:
-            out.append(rows[0][at[0]])
-            at = tuple(i + 1 for i in at)
-        else:
-            at = next(b for k in range(len(at)) if best.get(b := (*at[:k], at[k] + 1, *at[k + 1 :]), 0) == best[at])
-    return out
+        t = np.zeros((len(r) + 1, len(items)), np.int64)
+        for i in range(len(r) - 1, -1, -1):
+            t[i] = t[i + 1]
+            if r[i] in where:
+                t[i, where[r[i]]] = i + 1
+        next_.append(t)
+    left = {(x, y): _lengths_left(rows[x], rows[y]) for x in range(k) for y in range(x + 1, k)}
+
+    def room(p: np.ndarray) -> np.ndarray:
+        out = None
+        for (x, y), t in left.items():
+            v = t[p[:, x], p[:, y]]
+            out = v if out is None else np.minimum(out, v)
+        return out
+
+    def grown(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next places, without repeats; each with the place it comes from and its item."""
+        q = np.stack([t[p[:, r]] for r, t in enumerate(next_)], axis=2).reshape(-1, k)
+        own = np.flatnonzero((q > 0).all(axis=1))
+        q, first = np.unique(q[own], axis=0, return_index=True)
+        return q, own[first] // len(items), own[first] % len(items)
+
+    def search(width: int | None, bound: int) -> list:
+        p, steps = np.zeros((1, k), np.int64), []
+        while True:
+            q, parent, item = grown(p)
+            r = room(q) if len(q) else np.empty(0, np.int64)
+            keep = np.flatnonzero(len(steps) + 1 + r > bound)
+            if width and len(keep) > width:
+                keep = keep[np.lexsort((q[keep].sum(axis=1), -r[keep]))[:width]]
+            elif not width and len(keep):
+                keep = keep[_leading(q[keep])]
+            if not len(keep):
+                break
+            steps.append((parent[keep], item[keep]))
+            p = q[keep]
+        if len(steps) <= bound:
+            return []
+        out, at = [], 0
+        for parent, item in reversed(steps):
+            out.append(items[item[at]])
+            at = parent[at]
+        return out[::-1]
+
+    found = search(BEAM, -1)
+    return search(None, len(found)) or found
+
+
+def _leading(p: np.ndarray) -> np.ndarray:
+    """Rows of ``p`` without those that some leading row doesn't exceed in any column: these can't do better."""
+    order = np.argsort(p.sum(axis=1), kind="stable")
+    keep = np.ones(len(p), bool)
+    for i in order[:64]:
+        if keep[i]:
+            worse = (p >= p[i]).all(axis=1)
+            worse[i] = False
+            keep &= ~worse
+    return np.flatnonzero(keep)
+
+
+def _lengths_left(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of a[i:] and b[j:], for all i and j."""
+    t = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    code = {x: n for n, x in enumerate(dict.fromkeys([*a, *b]))}
+    there = np.array([code[y] for y in b])
+    for i in range(len(a) - 1, -1, -1):
+        hit = np.where(there == code[a[i]], t[i + 1, 1:] + 1, t[i + 1, :-1])
+        t[i, :-1] = np.maximum.accumulate(hit[::-1])[::-1]
+    return t
 
 
 @F.pandas_udf(STRINGS)
 def lcs_many(sequences: pd.Series) -> pd.Series:
-    """Longest common subsequence of several sequences (a few short ones, see ``lcs_of_all``)."""
+    """Longest common subsequence of several sequences (see ``lcs_of_all``)."""
     return pd.Series([None if s is None else lcs_of_all([list(r) for r in s]) for s in sequences])
 
 

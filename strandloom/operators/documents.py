@@ -177,3 +177,14 @@ def content_type(name: str) -> str:
 def option(names: list[str], default=None, **given):
     """The first of an option's names that is given."""
     return next((given[n] for n in names if given.get(n) is not None), default)
+
+
+def filled_visits(visits: DataFrame, at_least: int, doc: str = "doc_id", visit: str = "visit", codes: str = "codes", seed: int = 53) -> DataFrame:
+    """Visits of fewer codes than ``at_least`` with draws with replacement from their own codes after them, up to that length.
+
+    A draw is a function of document, visit, its number and seed, so a run repeats. Empty visits stay empty.
+    """
+    n = F.size(codes)
+    u = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(doc).cast("string"), F.col(visit).cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    more = F.when((n > 0) & (n < at_least), F.transform(F.sequence(F.lit(1), at_least - n), lambda i: F.get(codes, F.pmod(u(i), n).cast("int")))).otherwise(F.array().cast(visits.schema[codes].dataType))
+    return visits.withColumn(codes, F.concat(codes, more))

@@ -67,14 +67,6 @@ def kmeans(df: DataFrame, features: list[str], k: int, seed: int = 1) -> DataFra
     return KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(x).transform(x).drop("_features")
 
 
-def gap_statistic(costs: list[float], reference: list[list[float]], ks: list[int]) -> int:
-    """The k with the largest gap between the mean log reference cost and the log cost."""
-    import math
-
-    gaps = [sum(math.log(r) for r in refs) / len(refs) - math.log(c) for c, refs in zip(costs, reference)]
-    return ks[max(range(len(ks)), key=gaps.__getitem__)]
-
-
 def weighted_auc(df: DataFrame, keys: list[str], truth: str, score: str, weight: str) -> DataFrame:
     """``auc`` of rows that count ``weight`` times; null where a class is missing."""
     by = df.groupBy(*keys, score).agg(F.sum(F.col(truth) * F.col(weight)).alias("_p"), F.sum((1 - F.col(truth)) * F.col(weight)).alias("_n"))

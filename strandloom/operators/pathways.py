@@ -40,7 +40,36 @@ def derive(docs: DataFrame, sample: DataFrame, n_pairs: int | None = None, at_le
     the first. df is counted over every document, by containment; those below ``min_df`` go.
     """
     keys = [label] if label else []
-    found = pairs(sample, n_pairs, doc=doc, label=label).select(*keys, S.collapse_runs(udfs.lcs("codes_a", "codes_b")).alias("items"))
+    found = pairs(sample, n_pairs, doc=doc, label=label).select(*keys, udfs.lcs("codes_a", "codes_b").alias("items"))
+    return table_of(found, docs, at_least, at_most, min_df, min_uniq, doc, label, permutations)
+
+
+def subsets(docs: DataFrame, k: int, rounds: int, doc: str = "doc_id", label: str | None = None, seed: int = 53) -> DataFrame:
+    """Sets of ``k`` documents, of one label if given: [label,] round, subset, sequences. In a round every document is in one set; those left over in no set.
+
+    A round stands the documents in an order of its own, by hash, and cuts it, so sets are random and repeatable.
+    """
+    keys = [label] if label else []
+    found = None
+    for r in range(rounds):
+        dealt = placed(docs.select(*keys, doc, "codes"), keys, [hashed(F.col(doc), seed + r), F.col(doc)])
+        cut = dealt.withColumn("subset", F.floor((F.col("_upto") - 1) / k)).where((F.col("subset") + 1) * k <= F.col("_n"))
+        part = cut.groupBy(*keys, F.lit(r).alias("round"), "subset").agg(F.transform(F.array_sort(F.collect_list(F.struct("_upto", "codes"))), lambda x: x["codes"]).alias("sequences"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def derive_many(docs: DataFrame, k: int, rounds: int = 1, at_least: int = 2, at_most: int = 20, min_df: int = 1, min_uniq: int = 1, doc: str = "doc_id", label: str | None = None, permutations: bool = True, seed: int = 53) -> DataFrame:
+    """``derive`` with the common subsequences of random sets of ``k`` documents in place of pairs; n counts sets."""
+    keys = [label] if label else []
+    found = subsets(docs, k, rounds, doc, label, seed).select(*keys, udfs.lcs_many("sequences").alias("items"))
+    return table_of(found, docs, at_least, at_most, min_df, min_uniq, doc, label, permutations)
+
+
+def table_of(found: DataFrame, docs: DataFrame, at_least: int, at_most: int, min_df: int, min_uniq: int, doc: str, label: str | None, permutations: bool) -> DataFrame:
+    """The table of ``derive`` from common subsequences ([label,] items), one a row."""
+    keys = [label] if label else []
+    found = found.select(*keys, S.collapse_runs(F.col("items")).alias("items"))
     table = found.where(F.size("items").between(at_least, at_most) & (F.size(F.array_distinct("items")) >= min_uniq)).groupBy(*keys, "items").agg(F.count(F.lit(1)).alias("n"))
     if not permutations:
         table = table.groupBy(*keys, F.array_sort("items").alias("_same")).agg(F.min("items").alias("items"), F.sum("n").alias("n")).drop("_same")

@@ -191,3 +191,41 @@ def names_of(names: DataFrame, wanted: str, preferred_kinds: list[str] | None =
     found = names.where(F.col("concept") == concept)
     found = found if preferred_kinds is None else found.where(F.col("kind").isin(*preferred_kinds))
     return found.select("concept", "name", "source", "kind", F.lit(negated).alias("negated"))
+
+
+def json_tree_edges(trees: DataFrame, json: str, name: str = "name", children: str = "children") -> DataFrame:
+    """child and parent of all nodes of nested JSON texts of any depth: {name: ..., children: [...]}. Malformed texts and nodes without a name give none.
+
+    Texts become variants once; a round takes the children out of a level, until there are none.
+    """
+    child = lambda c: F.col(c).cast("string")
+    level = trees.select(F.try_parse_json(json).alias("v")).select(F.try_variant_get("v", f"$.{name}", "string").alias("parent"), F.try_variant_get("v", f"$.{children}", "array<variant>").alias("below"))
+    level, found = written(level.where("below is not null"), "level"), None
+    while level.take(1):
+        nodes = level.select("parent", F.explode("below").alias("v"))
+        nodes = nodes.select("parent", F.try_variant_get("v", f"$.{name}", "string").alias("child"), F.try_variant_get("v", f"$.{children}", "array<variant>").alias("below"))
+        nodes = written(nodes, "level")
+        edges = nodes.where("child is not null and parent is not null").select(child("child").alias("child"), child("parent").alias("parent"))
+        found = edges if found is None else found.unionByName(edges)
+        level = nodes.where("below is not null").select(F.col("child").alias("parent"), "below")
+    return found.distinct() if found is not None else trees.sparkSession.createDataFrame([], "child string, parent string")
+
+
+def siblings_of(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """node and sibling: the other children of each of its parents, a row each."""
+    other = edges.select(parent, F.col(child).alias("sibling"))
+    return edges.join(other, parent).where(F.col(child) != F.col("sibling")).select(F.col(child).alias("node"), "sibling").distinct()
+
+
+def keyword_groups(rows: DataFrame, key: str, text: str, at_most: int, shortest: int = 4) -> DataFrame:
+    """key and group (its smallest key): descriptions that share a keyword, directly or over others.
+
+    Keywords are the words of ``shortest`` letters or more that at most ``at_most`` descriptions have: commoner ones tell
+    nothing. A keyword links its descriptions to the first of them, so a keyword of n rows costs n.
+    """
+    from .graphs import components
+
+    words = rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+)"), 1))).alias("w")).where(F.length("w") >= shortest)
+    heads = words.groupBy("w").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, at_most))
+    found = components(words.join(heads, "w").select(F.col("first").alias("a"), F.col("k").alias("b")))
+    return rows.select(F.col(key).alias("k")).distinct().join(found.withColumnRenamed("node", "k"), "k", "left").select(F.col("k").alias(key), F.coalesce("component", "k").alias("group"))
