@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import keep_only, materialise, table
 
 #: Weights, in tokens, of the words' distribution beside pairs and of the corpus beside words.
 MU, NU = 50.0, 1000.0
 #: Bytes of text in a block, most rows of one, and bytes of text whose n-grams share a bucket.
-SLICE_BYTES, SLICE_ROWS, BUCKET_BYTES = 4_000_000, 60_000, 8_000_000
+SLICE_BYTES, SLICE_ROWS, BUCKET_BYTES = 2_500_000, 60_000, 6_000_000
 #: An n-gram in at least this share of all documents is known to every task. As a document has L n-grams in the mean, there are at most 2 L / HOT of these.
 HOT = 0.01
 #: Target ids that are broadcast, by count; with more of them the texts are sort-merged with the ids once.
@@ -178,6 +178,7 @@ def hot_ngrams(told: DataFrame, n_docs: int, share: float) -> tuple[Hot, np.ndar
     """
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("scores")
         for _, part in blocks(batches):
             *both, n = postings(part["text"].tolist())
             for kind, x in enumerate(both):
@@ -268,22 +269,38 @@ def send(told: DataFrame, hot: Hot, totals: np.ndarray, scale: float, buckets: i
     return told.mapInPandas(each, f"bucket long, {HEAD.format(kind)}, packed binary")
 
 
-def six(h: np.ndarray) -> np.ndarray:
+def low(h: np.ndarray) -> np.ndarray:
     """The low 6 bytes of each hash."""
-    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6])
+    return h & LOW
+
+
+def planes(h: np.ndarray) -> np.ndarray:
+    """The steps between 6-byte hashes in order, byte by byte: the high bytes of small steps are all 0, and compress."""
+    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :6].T)
+
+
+def unplaned(raw: np.ndarray) -> np.ndarray:
+    steps = np.zeros((len(raw) // 6, 8), np.uint8)
+    steps[:, :6] = raw.reshape(6, -1).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def pack(contexts: Postings, pairs: Postings, target: np.ndarray, n: np.ndarray) -> bytes:
-    """Of contexts, then of pairs: distinct hashes (6 bytes each), documents of each (1 byte, 0 and 4 more if over 255), their places (2 bytes), times (as documents), sides (a bit); of pairs also the last words in runs (6 bytes, and pairs of each as documents) and how often a document has them (as documents); tokens of each document (4 bytes)."""
-    parts = []
+    """One cell: the words' hashes; of contexts the documents of each word (and 1), of pairs the hashes, the place of the last word, and the documents of each; of both the documents' places, times and sides; of pairs how often a document has the last word; the documents, and the tokens of each.
+
+    Hashes are 6 bytes, in order; counts 1 byte, 0 and 4 more if over 255; documents 2 bytes; sides a bit.
+    """
+    words = np.unique(np.concatenate([low(contexts.h), low(pairs.last)]))
+    at = np.searchsorted(words, low(contexts.h))
+    contexts = contexts.where(np.argsort(at, kind="stable"))
+    pairs = pairs.where(np.argsort(low(pairs.h), kind="stable"))
+    first = starts_of(low(pairs.h))
+    wide = np.uint16 if len(words) <= 1 << 16 else np.uint32
+    parts = [planes(words), *small(np.bincount(at, minlength=len(words)) + 1), planes(low(pairs.h)[first]), np.searchsorted(words, low(pairs.last[first])).astype(wide), *small(np.diff(np.append(first, len(pairs.h))))]
     for x in (contexts, pairs):
-        at = starts_of(x.h)
-        parts += [six(x.h[at]), *small(np.diff(np.append(at, len(x.h)))), x.text.astype(np.uint16), *small(x.times), np.packbits(target[x.text])]
-    last = pairs.last[at]
-    run = starts_of(last)
-    parts += [six(last[run]), *small(np.diff(np.append(run, len(last)))), *small(pairs.own)]
+        parts += [x.text.astype(np.uint16), *small(x.times), np.packbits(target[x.text])]
     who = np.unique(np.concatenate([contexts.text, pairs.text]))
-    parts += [who.astype(np.uint16), n[who].astype(np.uint32)]
+    parts += [*small(pairs.own), who.astype(np.uint16), n[who].astype(np.uint32)]
     raw = [p.tobytes() for p in parts]
     return np.array([len(raw), *map(len, raw)], np.uint32).tobytes() + b"".join(raw)
 
@@ -305,17 +322,14 @@ def unpack(raw: bytes) -> tuple[tuple, tuple, np.ndarray, np.ndarray]:
         x[x == 0] = part(i + 1, np.uint32)
         return x
 
-    def hashes(i: int) -> np.ndarray:
-        low = np.zeros((int(sizes[i]) // 6, 8), np.uint8)
-        low[:, :6] = part(i, np.uint8).reshape(-1, 6)
-        return low.view(np.uint64).ravel()
-
+    words, pairs = unplaned(part(0, np.uint8)), unplaned(part(3, np.uint8))
+    last = words[part(4, np.uint16 if len(words) <= 1 << 16 else np.uint32)]
+    df = (large(1) - 1, large(5))
     out = []
-    for i in (0, 7):
-        df, text = large(i + 1), part(i + 3, np.uint16).astype(np.int64)
-        out.append([np.repeat(hashes(i), df), text, large(i + 4), np.unpackbits(part(i + 6, np.uint8))[: len(text)].astype(bool)])
-    out[1] += [np.repeat(np.repeat(hashes(14), large(15)), df), large(17)]
-    return tuple(out[0]), tuple(out[1]), part(19, np.uint16).astype(np.int64), part(20, np.uint32)
+    for i, h, d in ((7, words, df[0]), (11, pairs, df[1])):
+        text = part(i, np.uint16).astype(np.int64)
+        out.append((np.repeat(h, d), text, large(i + 1), np.unpackbits(part(i + 3, np.uint8))[: len(text)].astype(bool)))
+    return out[0], (*out[1], np.repeat(last, df[1]), large(15)), part(17, np.uint16).astype(np.int64), part(18, np.uint32)
 
 
 class Gathered:

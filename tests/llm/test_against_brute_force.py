@@ -272,14 +272,14 @@ def test_packed_ngrams():
     rng = np.random.default_rng(2)
 
     def drawn(n, last=None):
-        h = np.sort(rng.integers(0, 1 << 44, n).astype(np.uint64).repeat(rng.integers(1, 4, n)))
+        h = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64).repeat(rng.integers(1, 4, n)))
         x = lm_score.Postings(h, h, np.arange(len(h)))
         x.text, x.times = rng.integers(0, 60_000, len(h)), rng.integers(1, 1000, len(h))
         x.last, x.own = (h >> np.uint64(9), rng.integers(1, 500, len(h))) if last else (None, None)
         return x
 
     target, tokens = rng.random(60_000) < 0.5, rng.integers(1, 1 << 30, 60_000)
-    for n in (3000, 0):
+    for n in (3000, 0, 50_000):
         words, pairs = drawn(n), drawn(n, True)
         *got, who, sizes = lm_score.unpack(lm_score.pack(words, pairs, target, tokens))
         assert (who == sorted({*words.text.tolist(), *pairs.text.tolist()})).all() and (sizes == tokens[who]).all()
