@@ -1,7 +1,9 @@
 """Every operator over nulls, empty and long texts, ties, repeated rows, clashing extra columns, and no rows."""
 
 import pytest
+from pyspark.sql import functions as F
 from strandloom.llm import decontaminate, exact_dedup, html_extract, langid, lm_score, reshard, secrets, sentence_pieces, simhash, tool_calls
+from strandloom.llm.common import fresh_path
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 ROWS = [
@@ -134,3 +136,14 @@ def test_chats(spark):
     assert by["1:2"][0].problems == ["missing:text"] and by["1:2"][0].level == 1 and not by["1:2"][0].linked
     assert by[None][0].level is None and by["2:0"][0].problems == ["tool"]
     assert tool_calls.query(spark, got.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_shards_with_merged_plans(spark, docs, monkeypatch):
+    """Beyond the bound of a broadcast the same rows come out; rewritten files keep every column."""
+    want = sorted((str(r.doc_id), r.shard, r.slot) for r in reshard.query(spark, docs).collect())
+    monkeypatch.setattr(reshard, "BROADCAST_ROWS", 0)
+    assert sorted((str(r.doc_id), r.shard, r.slot) for r in reshard.query(spark, docs).collect()) == want
+    old = F.pmod(F.col("doc_id"), F.lit(3))
+    plan = reshard.layout(docs, old, 4)
+    folders = reshard.rewrite(docs, old, plan, fresh_path(spark, "files"))
+    assert set(spark.read.parquet(*folders.values()).columns) >= {c for c in docs.columns if c != "shard"}
