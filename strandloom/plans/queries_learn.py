@@ -201,7 +201,7 @@ def macro(spark, sf):
 # Documents, codes and terminologies.
 
 
-@register("filled_visits", f"WITH {DX}, v AS (SELECT person_id, t, list(code ORDER BY row_id) AS c FROM dx GROUP BY 1, 2), f AS (SELECT person_id, t, CASE WHEN len(c) < 5 THEN c || list_transform(range(1, 6 - len(c)), lambda i: c[1 + CAST(CAST('0x' || substr(md5(person_id || ':' || t || ':' || i || ':53'), 1, 8) AS UBIGINT) % len(c) AS BIGINT)]) ELSE c END AS c FROM v) SELECT person_id, t, array_to_string(c, ',') AS codes FROM f")
+@register("filled_visits", f"WITH {DX}, v AS (SELECT person_id, t, list(code ORDER BY row_id, code) AS c FROM dx GROUP BY 1, 2), f AS (SELECT person_id, t, CASE WHEN len(c) < 5 THEN c || list_transform(range(1, 6 - len(c)), lambda i: c[1 + CAST(CAST('0x' || substr(md5(person_id || ':' || t || ':' || i || ':53'), 1, 8) AS UBIGINT) % len(c) AS BIGINT)]) ELSE c END AS c FROM v) SELECT person_id, t, array_to_string(c, ',') AS codes FROM f")
 def filled(spark, sf):
     v = diagnoses(spark, sf).groupBy("person_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "code"))), lambda x: x["code"]).alias("codes"))
     return documents.filled_visits(v, 5, "person_id", "t").select("person_id", "t", F.array_join("codes", ",").alias("codes"))

@@ -26,3 +26,4 @@ from . import queries_streams  # noqa: E402,F401
 from . import queries_frames  # noqa: E402,F401
 from . import queries_more  # noqa: E402,F401
 from . import queries_learn  # noqa: E402,F401
+from . import queries_io  # noqa: E402,F401
