@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +22,19 @@ def keep_only(owner: str, clear: Callable[[], None] | None = None) -> None:
     """Called as a task of ``owner`` begins: a worker is used again by other operators, whose caches would stay in its memory."""
     for name in [n for n in _kept if n != owner]:
         _kept.pop(name)()
+    give_back()
     if clear:
         _kept[owner] = clear
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: an allocator keeps what earlier tasks of a worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``). Only a local session, as in tests, gets a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

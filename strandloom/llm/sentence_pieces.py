@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only
+from .common import give_back, keep_only
 
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+(?![^{SPACE}])|{SPACE}+(?=\n)|\n")
@@ -436,14 +436,15 @@ def sample_batch(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed
     return got
 
 
-def encode(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, key: str = "doc_id", lattices: int = CACHE) -> DataFrame:
+def encode(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, key: str = "doc_id", lattices: int = CACHE, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """key, sample (0 is the best perturbed), ids, log_prob, perturbed value and inclusion score; up to k rows a row of ``docs``.
 
     Samples of a row are distinct segmentations of its whole text; a text with fewer segmentations has fewer rows.
     ``inclusion`` is the probability that the segmentation is among the samples given the best value left out, and 1
     when nothing was left out. Null and empty texts give one sample without ids. A row's samples depend on its key,
     its text and ``seed`` only: rows that repeat a key and text repeat the samples. Other columns are ignored.
-    ``path`` names a vocabulary file that every executor has. ``lattices`` bounds a worker's memory and changes no result.
+    ``path`` names a vocabulary file that every executor has. ``lattices`` and
+    ``slice_chars`` (of texts sampled together) bound a worker's memory and change no result.
     """
     kind = docs.schema[key].dataType
 
@@ -457,7 +458,7 @@ def encode(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, s
             at = 0
             while at < len(sizes):
                 end, size = at, 0
-                while end < len(sizes) and (end == at or size + sizes[end] <= SLICE_CHARS):
+                while end < len(sizes) and (end == at or size + sizes[end] <= slice_chars):
                     size += sizes[end]
                     end += 1
                 got = sample_batch(v, texts.slice(at, end - at).to_pylist(), keys[at:end], k, seed)
@@ -466,6 +467,7 @@ def encode(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA, s
                 rows = ids.slice(at, end - at).take(pa.array(got["row"].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows, pa.array(got["sample"].astype(np.int32)), lists, pa.array(got["log_prob"]), pa.array(got["perturbed"]), pa.array(got["inclusion"])], names=[key, "sample", "ids", "log_prob", "perturbed", "inclusion"])
                 at = end
+        give_back()
 
     texts = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("seed"))
     return texts.mapInArrow(each, f"{key} {kind.simpleString()}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
