@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm import decontaminate, exact_dedup, langid, sentence_pieces, simhash
 from strandloom.llm.common import materialise, table
 
-#: Lattices that a worker keeps: fewer than ``encode`` would by itself, as a worker's memory also holds what earlier stages left.
-LATTICES = 80_000
+#: Lattices that a worker keeps and characters sampled together: fewer than ``encode`` takes by itself, as a worker's memory also holds what earlier stages left.
+LATTICES, SLICE_CHARS = 60_000, 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document that stayed."""
-    return sentence_pieces.encode(docs, sentence_pieces.default_path(), lattices=LATTICES)
+    return sentence_pieces.encode(docs, sentence_pieces.default_path(), lattices=LATTICES, slice_chars=SLICE_CHARS)
 
 
 STAGES = [
