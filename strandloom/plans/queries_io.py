@@ -10,10 +10,14 @@ from ..functions import codes as C
 from ..operators import documents
 from ..sources import readers, writers
 from ..state import shared_dir
+from .queries_more import IS9, IS10, ISMED
 from .registry import register
 from .tables import CODE, DX, EV, TOK, diagnoses, events, table
 
 
+IS_DIAGNOSIS, IS_DRUG = f"({IS9} OR {IS10})", ISMED
+
+
 def fresh(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/strandloom/{name}-{uuid.uuid4().hex}"
 
@@ -140,3 +144,16 @@ def pattern_file(spark, sf):
     path = fresh(spark, "patterns")
     writers.write_patterns(patterns.count_ngrams(codes_of(spark, sf), 2, 2).select("ngram", "n"), path)
     return spark.read.schema("ngram string, n long").csv(path, sep="|", header=True)
+
+
+@register("timed_document_kinds", f"WITH p AS (SELECT p_partkey, {CODE} AS code, p_partkey % 9 AS part FROM part), k AS (SELECT *, CASE WHEN {IS_DIAGNOSIS} THEN 'diag' WHEN {IS_DRUG} THEN 'drug' WHEN regexp_matches(code, '^\\d+$') THEN 'lab' ELSE 'other' END AS kind FROM p WHERE NOT contains(code, ' ')) SELECT code, count(*) AS n FROM k WHERE kind IN ('diag', 'drug') GROUP BY 1")
+def timed_kinds(spark, sf):
+    """Codes of two content types, out of two folders of timed documents read together."""
+    p = table(spark, sf, "part").select("p_partkey", F.expr(CODE).alias("code")).where("not contains(code, ' ')")
+    paths = []
+    for half in (0, 1):
+        own = p.where(F.col("p_partkey") % 2 == half).groupBy((F.col("p_partkey") % 9).alias("part")).agg(F.collect_list(F.struct(F.to_date(F.lit("2020-01-02")).alias("t"), "code")).alias("v"))
+        paths.append(fresh(spark, "kinds"))
+        writers.write_timed_documents(own.select(F.array("v").alias("visits")), paths[-1])
+    back = readers.read_timed_documents(spark, paths, ["diag", "drug"])
+    return readers.per_patient(back).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import getters
-from ..operators import clustering, documents, evaluate, factors, pathways, selection, terminology
+from ..operators import clustering, documents, evaluate, factors, pathways, selection, terminology, training
 from ..state import written
 from .queries_more import HITS, _hits, segment_sequences
 from .queries_patterns import SCORED, _edges, _scored
 from .registry import register
-from .tables import CODE, DX, diagnoses, table
+from .tables import CODE, DX, TOK, diagnoses, table
 
 # Clusters of the parts by size and price: all coordinates, all rows.
 
@@ -32,7 +32,7 @@ def density(spark, sf):
     return clustering.dbscan(points(spark, sf), "k", "x", RADIUS, LEAST, [0, 1])
 
 
-NEIGHBOURS, REACH, HEIGHT = 5, 1.5, 0.25
+NEIGHBOURS, REACH, HEIGHT = 5, 1.1, 0.25
 GRAPH = NEAR.format(r=REACH) + f", g AS (SELECT a, b, d FROM near WHERE a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= {NEIGHBOURS}), s AS (SELECT a, b, d FROM g UNION SELECT b, a, d FROM g)"
 JOINED = GRAPH + """, r(q, node, h) USING KEY (q, node) AS (SELECT k, k, 0.0::DOUBLE FROM p WHERE k % 50 = 0 UNION
   SELECT r.q, s.b, min(greatest(r.h, s.d)) FROM r JOIN s ON s.a = r.node LEFT JOIN recurring.r old ON old.q = r.q AND old.node = s.b WHERE old.h IS NULL OR greatest(r.h, s.d) < old.h GROUP BY 1, 2)"""
@@ -78,7 +78,7 @@ def merges(spark, sf):
 def gaps(spark, sf):
     """Gap statistic of k-means over all coordinates: iterative, so no SQL; the tests check it against plain Lloyd steps."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    found = clustering.gap_statistic(e, "vec_id", "embedding", [1, 2, 3, 4], references=3, steps=8)
+    found = clustering.gap_statistic(e, "vec_id", "embedding", [1, 2, 3], references=2, steps=6)
     best = clustering.best_k(found)
     return spark.createDataFrame([(r["k"], r["log_w"], r["expected"], r["gap"], r["s"], r["k"] == best) for r in found], "k int, log_w double, expected double, gap double, s double, best boolean")
 
@@ -241,3 +241,37 @@ def derivation_many(spark, sf):
     """Common subsequences of sets of three customers of a segment, with their frequencies over all: a back-trace, so no SQL; the tests check it against brute force."""
     docs = written(segment_sequences(spark, sf), "sequences")
     return pathways.derive_many(docs, 3, rounds=2, at_least=1, label="label", permutations=False).drop("items")
+
+
+# Documents to vectors to training tables.
+
+BAG = f"{TOK}, c AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY 1, 2), t AS (SELECT count(*) AS d FROM documents), v AS (SELECT token, count(*) AS df, row_number() OVER (ORDER BY sum(n) DESC, token) AS i FROM c GROUP BY 1 HAVING count(*) >= 3 AND count(*) <= 0.5 * (SELECT d FROM t) QUALIFY i <= 40), r AS (SELECT doc_id, CAST(i AS INT) AS feature, n * (ln((t.d + 1) / (df + 1)) + 1) AS x FROM c JOIN v USING (token), t), b AS (SELECT doc_id, feature, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS value FROM r)"
+
+
+def weighted(spark, sf):
+    docs = table(spark, sf, "documents")
+    counts = training.token_counts(docs.select("doc_id", F.explode(C.words(F.col("text"))).alias("token")))
+    return counts, docs.count()
+
+
+@register("weighted_bag_of_words", f"WITH {BAG} SELECT doc_id, feature, round(value, 9) AS value FROM b")
+def weighted_bag(spark, sf):
+    counts, n = weighted(spark, sf)
+    return training.weighted_bag(counts, n, 3, 0.5, 40)[0].select("doc_id", "feature", F.round("value", 9).alias("value"))
+
+
+@register("document_training_set", f"WITH {BAG} SELECT doc_id AS index, " + ", ".join(f"round(coalesce(max(value) FILTER (WHERE feature = {i + 1}), 0), 9) AS f{i}" for i in range(40)) + ", quality AS target FROM b JOIN labels USING (doc_id) GROUP BY doc_id, quality")
+def document_set(spark, sf):
+    """Documents, counted, weighted, made vectors and joined with their labels in one run."""
+    counts, n = weighted(spark, sf)
+    bag, _ = training.weighted_bag(counts, n, 3, 0.5, 40)
+    x = training.training_set(training.dense(bag, 40), table(spark, sf, "labels"), "quality", 40)
+    return x.select("index", *[F.round(f"f{i}", 9).alias(f"f{i}") for i in range(40)], "target")
+
+
+@register("mean_word_vectors", f"WITH {TOK}, c AS (SELECT doc_id, token, count(*) AS n FROM tok GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM c GROUP BY 1), t AS (SELECT count(*) AS d FROM documents), w AS (SELECT doc_id, n * (ln((t.d + 1) / (df + 1)) + 1) AS w, len(token)::DOUBLE AS a, ascii(token)::DOUBLE AS b FROM c JOIN d USING (token), t) SELECT doc_id, round(sum(w * a) / sum(w), 6) AS a, round(sum(w * b) / sum(w), 6) AS b FROM w GROUP BY 1")
+def mean_vectors(spark, sf):
+    counts, n = weighted(spark, sf)
+    vectors = counts.select("token").distinct().select("token", F.array(F.length("token").cast("double"), F.ascii("token").cast("double")).alias("vector"))
+    x = training.mean_word_vectors(counts, vectors, n)
+    return x.select("doc_id", F.round(F.get("vector", F.lit(0)), 6).alias("a"), F.round(F.get("vector", F.lit(1)), 6).alias("b"))

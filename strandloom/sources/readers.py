@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions.codes import token_class
 
 # Schemas of the exchange tables, and the separator each is written with.
 SCHEMAS = {
@@ -35,10 +36,18 @@ def lookup(concepts: DataFrame, codes: list[str]) -> DataFrame:
     return concepts.where(F.col("concept_code").isin(*codes)).select("concept_code", "concept_name").distinct()
 
 
-def read_timed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, visits (array<array<struct<t, code>>>), file of a text file with a document a line; the id is a hash of the line's text and file."""
+def read_timed_documents(spark: SparkSession, path: str | list[str], kinds: list[str] | None = None) -> DataFrame:
+    """doc_id, visits (array<array<struct<t, code>>>), file of text files with a document a line; the id is a hash of the line's text and file.
+
+    ``path`` is a file, a folder or several. ``kinds`` keeps the codes of some content types only (``codes.token_class``:
+    diag, drug, lab, other); visits that are left without codes go.
+    """
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file")).where(F.trim("line") != "")
-    return lines.select(F.xxhash64("file", "line").alias("doc_id"), S.parse(F.trim("line")).alias("visits"), "file")
+    found = lines.select(F.xxhash64("file", "line").alias("doc_id"), S.parse(F.trim("line")).alias("visits"), "file")
+    if kinds is None:
+        return found
+    own = lambda v: F.filter(v, lambda e: token_class(e["code"]).isin(*kinds))
+    return found.withColumn("visits", F.filter(F.transform("visits", own), lambda v: F.size(v) > 0))
 
 
 def per_visit(documents: DataFrame) -> DataFrame:
