@@ -23,7 +23,7 @@ from .common import drop_texts, keep_only, text_key
 BUCKETS = 1 << 15
 #: At most this many documents of a language are learned from: those of the smallest xxhash64 of their id and text.
 TRAIN_DOCS = 1000
-#: EM ends for a document when a step moves no proportion by more than TOLERANCE, or after STEPS.
+#: EM ends for a document when a step moves no proportion by more than TOLERANCE, or after STEPS at the latest.
 TOLERANCE, STEPS = 1e-3, 200
 UNKNOWN = "und"
 
@@ -35,7 +35,10 @@ def letters() -> np.ndarray:
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the words of ``texts``, one after the other: bucket of each trigram, where each word's trigrams begin, text of each word."""
+    """For the words of ``texts``, one after the other: bucket of each trigram, where each word's trigrams begin, text of each word.
+
+    A word is a run of letters (``str.isalpha``): a combining mark ends one, so decomposed accents split words.
+    """
     joined = "\n".join((t or "").lower() for t in texts)
     code = np.frombuffer(f"\n{joined}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(letters()[code], code, 0)
@@ -66,15 +69,15 @@ def held_out(doc_id):
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     """Counts trigrams of a bounded sample of labelled documents (whole texts) on the executors; the driver gets at most BUCKETS counts a language."""
     labelled = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    u = F.xxhash64("doc_id", "text")
+    # rows alike in id and text count once, however many there are
+    sizes = {r["lang"]: max(r["n"], 1) for r in labelled.groupBy("lang").agg(F.approx_count_distinct(u, 0.02).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32))
-    # a share by hash that holds the bound in the mean with room, then the exact bound on the few rows left
+    # a share by hash that holds the bound in the mean with room for chance and the estimate, then the exact bound on the few rows left
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * per_language / n)).otherwise(share)
-    u = F.xxhash64("doc_id", "text")
-    # rows alike in id and text count once, however many there are: the share bounds the others
+        share = F.when(F.col("lang") == lang, min(1.0, 1.6 * per_language / n)).otherwise(share)
     few = labelled.where(F.pmod(u, F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text", u.alias("u")).dropDuplicates(["lang", "u"])
     edge = few.groupBy("lang").agg(F.array_sort(F.collect_list("u")).alias("all")).select("lang", F.col("all")[F.least(F.size("all"), F.lit(per_language)) - 1].alias("last"))
     few = few.join(F.broadcast(edge), "lang").where(F.col("u") <= F.col("last"))  # one row a language

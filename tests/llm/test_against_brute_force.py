@@ -572,3 +572,31 @@ def test_nested_schemas(spark):
     assert got["b"].problems == ["type:o.n"]
     assert got["c"].problems == ["json:o", "unknown:q"]
     assert got["d"].problems == ["missing:o.n", "missing:o.s.t"]
+
+
+def test_language_model_by_plain_counts(spark):
+    import zlib
+
+    docs = documents(spark)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    got = {r.doc_id: r.h for r in docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    low = 0xFFFFFFFF
+    counts = {}
+    for i, text, lang in rows:
+        if text is None or lang is None or got[i]:
+            continue
+        c = counts.setdefault(lang, Counter())
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = [0, *map(ord, word), 0]
+            for a, b, d in zip(padded, padded[1:], padded[2:]):
+                h = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ d * 0xC2B2AE35) & low
+                c[((h ^ h >> 15) * 0x2C1B3C6D & low) >> 17] += 1
+    repeated = docs.where("lang = 'es'").limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n")
+    for source in (docs, docs.unionByName(repeated)):  # rows that repeat count once, and crowd no others out
+        model = langid.train(langid.learnable(source), 10_000)
+        assert model.languages == sorted(counts)
+        for lang, log_p in zip(model.languages, model.log_p):
+            total = sum(counts[lang].values()) + 0.1 * langid.BUCKETS
+            want = np.log([(counts[lang][b] + 0.1) / total for b in range(langid.BUCKETS)])
+            assert np.abs(log_p - want).max() < 1e-5

@@ -1,5 +1,8 @@
 """Credentials written NAME=value, and names behind a prefix."""
 
+import random
+import re
+
 import pytest
 
 from strandloom.llm import secrets
@@ -23,3 +26,46 @@ def test_prefixed_names(name):
     text = f"{name}=alice\nKEY={VALUE}"
     assert {k for k, _ in found(text)} == {"identifier", "secret"}
     assert found("superuser=alice\nKEY=" + VALUE) == set()
+
+
+def every_pair(text):
+    """Linked spans by comparing all parts with all parts."""
+    base = secrets.base_spans(text)
+    free = lambda s, e: all(e <= a or s >= b for _, a, b in base)
+    scope = lambda at: len([m for m in re.finditer(r"\n\s*\n", text) if m.start() < at])
+    near = lambda x, others: any(y != x and scope(y[0]) == scope(x[0]) and y[0] <= x[1] + secrets.REACH and y[1] >= x[0] - secrets.REACH for y in others)
+    strong = [(s, e) for k, s, e in base if k in ("assign", "hex")]
+    ids = [(s, e) for k, s, e in base if k == "access"]
+    parts = lambda pattern: [m.span() for m in pattern.finditer(text) if free(*m.span())]
+    opaque = [x for x in parts(secrets.OPAQUE) if secrets.opaque(text[slice(*x)])]
+    names = parts(secrets.IDENTIFIER)
+    told = [("identifier", *x) for x in names if near(x, strong + opaque)]
+    whole = [x for x in opaque if near(x, ids + names)]
+    told += [("secret", *x) for x in whole]
+    return told + [("endpoint", *x) for x in parts(secrets.ENDPOINT) if near(x, strong + whole)]
+
+
+def test_linked_spans_by_all_pairs():
+    """Random texts of parts, fillers of every length up to the reach, ties, repeats, paragraphs and very long runs."""
+    rng = random.Random(3)
+    opaque = lambda: "".join(rng.choice("ABCDEFGHabcdefgh01234567") for _ in range(rng.choice([19, 20, 28, 40])))
+    parts = [lambda: f"user={rng.choice(['root', 'me', 'al'])}", lambda: "client_id: web-01", opaque, lambda: "password=hunter2hunter2", lambda: "AKIA" + "A1B2" * 3, lambda: "0123456789abcdef" * 2, lambda: "https://db.example.org:5432/x", lambda: "10.0.0.1:8080", lambda: "É" * rng.randrange(260), lambda: "\n\n", lambda: "\n \n", lambda: "word " * rng.randrange(60), lambda: "token=" + opaque() + "==", lambda: "ab" * rng.choice([1, 400])]
+    linked = 0
+    for _ in range(400):
+        text = "".join(rng.choice(parts)() + rng.choice([" ", " ", "\n", ""]) for _ in range(rng.randrange(1, 14)))
+        got = secrets.linked_spans(text, secrets.base_spans(text))
+        assert sorted(got) == sorted(every_pair(text)), text
+        linked += len(got)
+    assert linked > 200
+
+
+def test_scan_of_odd_rows(spark):
+    long = "x " * 50_000 + "user=admin " + "aB3dE6gH9jK2mN5pQ8sT1vW4" + " y" * 50_000
+    rows = [(1, None), (2, ""), (3, long), (3, long), (None, "secret: abcdefgh12"), (4, "passwd=abcdefgh12passwd=abcdefgh12")]
+    got = secrets.query(spark, spark.createDataFrame([(*r, "b", "s") for r in rows], "doc_id long, text string, base string, spans string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert len(got) == 6 and [r.spans for r in by[1] + by[2]] == ["", ""] and by[3][0] == by[3][1]
+    assert by[3][0].spans == "identifier:100000:100010,secret:100011:100035" and by[3][0].base_sha256 == secrets.digest("")
+    assert (by[None][0].n_assign, by[4][0].n_assign) == (1, 1) and by[4][0].spans == "assign:0:34"
