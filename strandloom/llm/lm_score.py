@@ -34,7 +34,7 @@ from .common import keep_only, materialise, table
 #: Weights, in tokens, of the words' distribution beside pairs and of the corpus beside words.
 MU, NU = 50.0, 1000.0
 #: Bytes of text in a block, most rows of one, and bytes of text whose n-grams share a bucket.
-SLICE_BYTES, SLICE_ROWS, BUCKET_BYTES = 2_500_000, 60_000, 6_000_000
+SLICE_BYTES, SLICE_ROWS, BUCKET_BYTES = 3_000_000, 60_000, 16_000_000
 #: An n-gram in at least this share of all documents is known to every task. As a document has L n-grams in the mean, there are at most 2 L / HOT of these.
 HOT = 0.01
 #: Target ids that are broadcast, by count; with more of them the texts are sort-merged with the ids once.
@@ -285,10 +285,18 @@ def unplaned(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def bits_of(places: np.ndarray) -> np.ndarray:
+    """Places in order, as bits."""
+    there = np.zeros(int(places[-1]) + 1 if len(places) else 0, bool)
+    there[places] = True
+    return np.packbits(there)
+
+
 def pack(contexts: Postings, pairs: Postings, target: np.ndarray, n: np.ndarray) -> bytes:
     """One cell: the words' hashes; of contexts the documents of each word (and 1), of pairs the hashes, the place of the last word, and the documents of each; of both the documents' places, times and sides; of pairs how often a document has the last word; the documents, and the tokens of each.
 
-    Hashes are 6 bytes, in order; counts 1 byte, 0 and 4 more if over 255; documents 2 bytes; sides a bit.
+    Hashes are 6 bytes, in order; counts 1 byte, 0 and 4 more if over 255; documents 2 bytes, or a bit in their list; tokens
+    2 bytes, 0 and 4 more if they need them; sides a bit.
     """
     words = np.unique(np.concatenate([low(contexts.h), low(pairs.last)]))
     at = np.searchsorted(words, low(contexts.h))
@@ -300,7 +308,8 @@ def pack(contexts: Postings, pairs: Postings, target: np.ndarray, n: np.ndarray)
     for x in (contexts, pairs):
         parts += [x.text.astype(np.uint16), *small(x.times), np.packbits(target[x.text])]
     who = np.unique(np.concatenate([contexts.text, pairs.text]))
-    parts += [*small(pairs.own), who.astype(np.uint16), n[who].astype(np.uint32)]
+    wide = n[who] >= 1 << 16
+    parts += [*small(pairs.own), bits_of(who), np.where(wide, 0, n[who]).astype(np.uint16), n[who][wide].astype(np.uint32)]
     raw = [p.tobytes() for p in parts]
     return np.array([len(raw), *map(len, raw)], np.uint32).tobytes() + b"".join(raw)
 
@@ -329,7 +338,9 @@ def unpack(raw: bytes) -> tuple[tuple, tuple, np.ndarray, np.ndarray]:
     for i, h, d in ((7, words, df[0]), (11, pairs, df[1])):
         text = part(i, np.uint16).astype(np.int64)
         out.append((np.repeat(h, d), text, large(i + 1), np.unpackbits(part(i + 3, np.uint8))[: len(text)].astype(bool)))
-    return out[0], (*out[1], np.repeat(last, df[1]), large(15)), part(17, np.uint16).astype(np.int64), part(18, np.uint32)
+    tokens_of = part(18, np.uint16).astype(np.int64)
+    tokens_of[tokens_of == 0] = part(19, np.uint32)
+    return out[0], (*out[1], np.repeat(last, df[1]), large(15)), np.flatnonzero(np.unpackbits(part(17, np.uint8))), tokens_of
 
 
 class Gathered:
@@ -387,7 +398,7 @@ def score(told: DataFrame, hot_share: float = HOT, bucket_bytes: int = BUCKET_BY
             for to, x in zip((contexts, pairs), both):  # a document's n-grams in this bucket become one row
                 to.take(x[0], n + np.searchsorted(who, x[1]), *x[2:])
             sizes.append(tokens_of)
-            docs.append((b, n, who.astype(np.uint16)))
+            docs.append((b, n, len(who), bits_of(who).tobytes()))
             n += len(who)
         got = np.zeros((2, n))
 
@@ -416,7 +427,7 @@ def score(told: DataFrame, hot_share: float = HOT, bucket_bytes: int = BUCKET_BY
             return base(tuple(counts), totals, scale, sides[k], own[k], sizes[place[k]])
 
         gain(1, *counted(h, times, sides), place, times, sides, more)
-        packed = [who.tobytes() + got[:, i : i + len(who)].tobytes() for _, i, who in docs]
+        packed = [np.uint32(len(bits)).tobytes() + bits + got[:, i : i + k].tobytes() for _, i, k, bits in docs]
         none = [None] * len(docs)
         return pd.DataFrame({"block": [x[0] for x in docs], "idx": none, "doc_id": none, "n": none, "target": none, "gain_target": none, "gain_background": none, "packed": packed})
 
@@ -425,8 +436,9 @@ def score(told: DataFrame, hot_share: float = HOT, bucket_bytes: int = BUCKET_BY
         docs = rows[rows["packed"].isna()].sort_values("idx")
         sums = docs[["gain_target", "gain_background"]].to_numpy(float).T.copy()
         for raw in rows["packed"].dropna():
-            k = len(raw) // 18  # a place of 2 bytes and two gains of 8
-            sums[:, np.frombuffer(raw, np.uint16, k)] += np.frombuffer(raw[2 * k :]).reshape(2, k)
+            end = 4 + int(np.frombuffer(raw, np.uint32, 1)[0])
+            places_in = np.flatnonzero(np.unpackbits(np.frombuffer(raw[4:end], np.uint8)))
+            sums[:, places_in] += np.frombuffer(raw[end:]).reshape(2, -1)
         return pd.DataFrame({"doc_id": docs["doc_id"], "n": docs["n"], "t": sums[0], "b": sums[1]})
 
     sent = send(told, hot, totals, scale, buckets, kind)
