@@ -88,9 +88,9 @@ def running_counts(events: DataFrame, order: list[str], doc: str = "doc_id") ->
     return events.withColumn("n_so_far", F.count(F.lit(1)).over(w))
 
 
-def vocabulary(tokens: DataFrame, token: str, size: int | None = None) -> DataFrame:
-    """token, n and index from 1: the most frequent first, of equal ones by token. With ``size`` only the first so many, found by a distributed top-n."""
-    counts = tokens.groupBy(F.col(token).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+def vocabulary(tokens: DataFrame, token: str, size: int | None = None, weight: str | None = None) -> DataFrame:
+    """token, n and index from 1: the most frequent first, of equal ones by token. With ``size`` only the first so many, found by a distributed top-n. Rows count once, or ``weight`` times."""
+    counts = tokens.groupBy(F.col(token).alias("token")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     order = [F.desc("n"), F.col("token")]
     if size:
         return counts.orderBy(*order).limit(size).withColumn("index", F.row_number().over(Window.orderBy(*order)))  # ``size`` rows

@@ -23,7 +23,8 @@ def idf_plain(n: Column, df: Column) -> Column:
 
 
 def document_frequencies(tokens: DataFrame, doc: str = "doc_id", token: str = "token") -> DataFrame:
-    return tokens.groupBy(token).agg(F.countDistinct(doc).alias("df"), F.count(F.lit(1)).alias("tf"))
+    counts = tokens.groupBy(doc, token).agg(F.count(F.lit(1)).alias("_n"))  # a row a document and word, before the second sum
+    return counts.groupBy(token).agg(F.count(F.lit(1)).alias("df"), F.sum("_n").alias("tf"))
 
 
 def tfidf_l2(counts: DataFrame, group: str, term: str, n: str) -> DataFrame:

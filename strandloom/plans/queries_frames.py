@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..operators import documents, frames
+from ..state import written
 from .registry import register
 from .tables import DX, EV, TOK, diagnoses, events, table
 
@@ -44,8 +45,9 @@ def segments(spark, sf):
 
 @register("tokens_indexed", f"WITH {TOK}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY 1), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS i FROM c QUALIFY i <= 300) SELECT CASE WHEN i IS NULL THEN 'unknown' ELSE token END AS token, CAST(coalesce(i, 301) AS INT) AS index, count(*) AS n FROM tok LEFT JOIN v USING (token) GROUP BY 1, 2")
 def indexed(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(C.words(F.col("text"))).alias("token"))
-    return frames.apply_vocabulary(t, documents.vocabulary(t, "token", 300)).groupBy("token", "index").agg(F.count(F.lit(1)).alias("n"))
+    t = table(spark, sf, "documents").select(F.explode(C.words(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    t = written(t, "times")  # texts are split once
+    return frames.apply_vocabulary(t, documents.vocabulary(t, "token", 300, "times")).groupBy("token", "index").agg(F.sum("times").alias("n"))
 
 
 @register("cluster_members", "SELECT n_regionkey AS cluster, array_to_string(list_sort(list(n_nationkey)), ',') AS members FROM nation GROUP BY 1")
@@ -72,4 +74,5 @@ def cross_validated(spark, sf):
     """Logistic regression on simple text features, five folds: iterative, so no SQL."""
     d = table(spark, sf, "documents").select("doc_id", F.length("text").cast("double").alias("length"), F.size(C.words(F.col("text"))).cast("double").alias("words"))
     x = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")).join(d, "doc_id")
+    x = written(x, "features")  # each fold and fit reads these few numbers, not the texts
     return spark.createDataFrame([(frames.cross_validated_auc(x, ["length", "words"], "label", 3),)], "auc double")

@@ -368,9 +368,10 @@ def visit_matrix(spark, sf):
 
 @register("tokens_from_index", f"WITH {TOK}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY 1), v AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS i FROM c QUALIFY i <= 50) SELECT token, n FROM v UNION ALL SELECT 'unknown', sum(n)::BIGINT FROM c WHERE token NOT IN (SELECT token FROM v)")
 def from_index(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(C.words(F.col("text"))).alias("token"))
-    v = documents.vocabulary(t, "token", 50)
-    return frames.from_index(frames.apply_vocabulary(t, v).drop("token"), v).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    t = table(spark, sf, "documents").select(F.explode(C.words(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    t = written(t, "times")  # texts are split once
+    v = documents.vocabulary(t, "token", 50, "times")
+    return frames.from_index(frames.apply_vocabulary(t, v).drop("token"), v).groupBy("token").agg(F.sum("times").alias("n"))
 
 
 @register("incremental_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

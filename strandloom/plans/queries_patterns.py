@@ -8,6 +8,7 @@ from ..functions import codes as C
 from ..functions import sequences as S
 from ..functions import udfs
 from ..operators import documents, evaluate, features, labels, patterns, sampling, terminology
+from ..state import written
 from .registry import register
 from .tables import DX, EV, EV_POS, TOK, codes_of, diagnoses, events, table
 
@@ -158,9 +159,9 @@ def vocabulary(spark, sf):
 
 @register("bag_of_words", f"WITH {TOK}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY 1), v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS i FROM c QUALIFY i <= 100) SELECT doc_id, CAST(i AS INT) AS index, count(*) AS n FROM tok JOIN v USING (token) GROUP BY ALL")
 def bag(spark, sf):
-    t = _tokens(spark, sf)
-    v = documents.vocabulary(t, "token", 100).select("token", "index")
-    return t.join(F.broadcast(v), "token").groupBy("doc_id", "index").agg(F.count(F.lit(1)).alias("n"))  # 100 rows
+    t = written(_tokens(spark, sf).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")), "counts")  # texts are split once
+    v = documents.vocabulary(t, "token", 100, "n").select("token", "index")
+    return t.join(F.broadcast(v), "token").select("doc_id", "index", "n")  # 100 rows
 
 
 @register("label_by_top_code", f"WITH {DX}, c AS (SELECT person_id AS doc_id, split_part(code, '.', 1) AS r, count(*) AS n FROM dx WHERE code LIKE '1%' GROUP BY ALL), t AS (SELECT doc_id, r AS label FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, r) = 1) SELECT DISTINCT dx.person_id AS doc_id, coalesce(label, '-1') AS label FROM dx LEFT JOIN t ON t.doc_id = dx.person_id")
