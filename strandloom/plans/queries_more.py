@@ -379,9 +379,9 @@ def unfinished(spark, sf):
     return patterns.incremental(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id")
 
 
-@register("maximal_item_sets", "WITH s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_returnflag || l_linestatus || l_linenumber % 4))) AS x FROM lineitem GROUP BY 1), d AS (SELECT DISTINCT x FROM s) SELECT k FROM s WHERE x IN (SELECT x FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE list_has_all(b.x, a.x) AND len(b.x) > len(a.x)))")
+@register("maximal_item_sets", "WITH s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_returnflag || l_linestatus || l_linenumber % 2))) AS x FROM lineitem GROUP BY 1), d AS (SELECT DISTINCT x FROM s) SELECT k FROM s WHERE x IN (SELECT x FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE list_has_all(b.x, a.x) AND len(b.x) > len(a.x)))")
 def maximal(spark, sf):
-    item = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).cast("string"))
+    item = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 2).cast("string"))
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(item).alias("x"))
     return patterns.maximal_sets(rows, "k", "x").select("k")
 
