@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round every node moves to the neighbour (or itself) that comes first in an order drawn anew for the round,
     and the edges between the images remain. A round drops a constant share of the nodes on average whatever the
     shape (chains too), so rounds grow with the logarithm of the component size. State is written to the shared
-    folder each round; only a row count and a flag reach the driver.
+    folder each round; only a row count and a flag reach the driver. All joins are sort-merged: planned by size, the
+    labels of all rounds would be broadcast in one plan, and their tables stand in the driver together.
     """
     left = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "edges")
     steps: list[DataFrame] = []
@@ -25,14 +26,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         best = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
         move = materialise(best.select(F.col("a").alias("node"), F.least(F.col("m"), order(F.col("a")))["to"].alias("to")), "moves")
         steps.append(move)
-        after = left.join(move, left["a"] == move["node"]).select(F.col("to").alias("x"), "b")
-        after = after.join(move, after["b"] == move["node"]).select("x", F.col("to").alias("y")).where("x != y")
+        after = left.join(move.hint("merge"), left["a"] == move["node"]).select(F.col("to").alias("x"), "b")
+        after = after.join(move.hint("merge"), after["b"] == move["node"]).select("x", F.col("to").alias("y")).where("x != y")
         left = materialise(after.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         rounds += 1
     if not steps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps[-1].withColumnRenamed("to", "root")
     for move in reversed(steps[:-1]):
-        step = move.join(found.withColumnRenamed("node", "to"), "to", "left")
+        step = move.join(found.withColumnRenamed("node", "to").hint("merge"), "to", "left")
         found = step.select("node", F.coalesce("root", "to").alias("root"))
     return materialise(found, "roots")

@@ -140,11 +140,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     unique = materialise(seen.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "unique")
     one = unique.select(F.lit(0).alias("family"), "fp", F.lit(1).cast("long").alias("weight"))
     root = components(links(one, radius), "a", "b")
-    joined = unique.join(root, unique["fp"] == root["node"])
+    # tables of a row a fingerprint: sort-merged, so that no driver holds them
+    joined = unique.join(root.hint("merge"), unique["fp"] == root["node"])
     lowest = joined.groupBy("root").agg(F.min("first_id").alias("low_id"))
-    moved = joined.join(lowest, "root").select("fp", F.col("low_id").alias("component_id"))
-    whole = materialise(unique.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "labels")
-    return seen.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = joined.join(lowest.hint("merge"), "root").select("fp", F.col("low_id").alias("component_id"))
+    whole = materialise(unique.join(moved.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "labels")
+    return seen.join(whole.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: MinHash buckets: a pair of similarity J shares one with probability 1 - (1 - J^ROWS)^BANDS, 0.9999 at 0.8, wherever its texts differ.

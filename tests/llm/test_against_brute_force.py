@@ -79,6 +79,16 @@ def test_large_buckets_lose_no_link(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, other.values()))
 
 
+def test_components_send_nothing_through_the_driver(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    edges = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.n for r in components(edges, "a", "b").groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect()} == {3001}
+    new = store.executionsList(before, 1000)
+    plans = [new.apply(i).physicalPlanDescription() for i in range(new.size())]
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     root = components(edges, "a", "b")
