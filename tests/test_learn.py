@@ -87,6 +87,34 @@ def test_single_linkage_and_cophenetic_heights(spark):
     assert apart > 0
 
 
+def test_nearest_rows_are_found_without_all_near_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(np.concatenate([rng.normal(size=(150, 2)) * 0.05, rng.normal(size=(60, 2)) * 3]), 2)  # a dense place, copies, lone rows
+    x = np.concatenate([x, np.repeat(x[:3], 9, axis=0)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "k long, x array<double>")
+    old = clustering.nearest_graph(clustering.near_pairs(rows, "k", "x", 1.0, [0, 1]), 4)
+    want = sorted((r.a, r.b, r.distance, r["rank"]) for r in old.collect())
+    monkeypatch.setattr(clustering, "near_pairs", None)  # all pairs inside the radius: quadratic in a dense place
+    got = sorted((r.a, r.b, r.distance, r["rank"]) for r in clustering.nearest_within(rows, "k", "x", 1.0, 4, [0, 1]).collect())
+    assert got == want and len(want) > 700
+    forest, ways = clustering.single_linkage(rows, "k", "x", 1.0, 4, [0, 1])
+    asked = rows.where("k % 10 = 0")
+    pairs = rows.select(F.col("k").alias("b")).join(asked.select(F.col("k").alias("a")), F.col("a") != F.col("b"))
+    height = {(r.a, r.b): r.height for r in clustering.cophenetic(pairs, ways).collect()}
+    made = clustering.cophenetic_of(rows, asked, "k", "x", ways, block=7)
+    assert {(r.a, r.b): r.height for r in made.collect()} == height and None in height.values()
+    few = clustering.cophenetic_of(rows, asked, "k", "x", ways, joined=True, block=7).collect()
+    assert {(r.a, r.b): r.height for r in few} == {p: h for p, h in height.items() if h is not None}
+    assert all(abs(r.distance - np.linalg.norm(x[r.a] - x[r.b])) < 1e-12 for r in few)
+
+
+def test_correlation_of_equal_heights(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5, 0.0), (2, 3, 0.7, 0.0)], "a long, b long, distance double, height double")
+    one = clustering.cophenetic_correlation(pairs).first()
+    assert math.isnan(one.correlation) and one.n_pairs == 2
+    assert clustering.cophenetic_correlation(pairs.where("false")).first().correlation is None
+
+
 def _tree_weight(d):
     inside, total = {0}, 0.0
     best = d[0].copy()
