@@ -40,6 +40,28 @@ def test_numbered_rows(spark):
     assert numbered(df.where("false"), ["h"], "i").count() == 0
 
 
+def test_documents_are_counted_without_meeting_every_pattern(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+    from strandloom.operators import patterns
+
+    draw = random.Random(5)
+    docs = [(i, [draw.choice("abcdef") for _ in range(draw.randint(0, 9))]) for i in range(60)] + [(3, list("abcabc")), (70, None)]
+    kinds = sorted({tuple(draw.choice("abcdefg") for _ in range(draw.randint(1, 4))) for _ in range(150)})
+    df = spark.createDataFrame(docs, "doc_id long, codes array<string>")
+    given = spark.createDataFrame([(i, list(p)) for i, p in enumerate(kinds)], "pattern_id int, pattern array<string>")
+    old = patterns.containing(df, given).groupBy("pattern_id").agg(F.countDistinct("doc_id").alias("df"))
+    want = {r.pattern_id: r.df for r in old.collect()}
+    monkeypatch.setattr(patterns, "FEW", 0)
+    for rows in (df, df.where("doc_id <> 3")):  # ids that repeat, and none
+        found = patterns.document_counts(rows, given).collect()
+        got = {r.pattern_id: r.df for r in found}
+        assert len(found) == len(got) and (got == want if rows is df else got.keys() <= want.keys())
+    monkeypatch.setattr(patterns, "containing", None)  # documents times patterns
+    assert pathways.derive(df, df.where("doc_id < 6"), at_least=2).count() > 0
+
+
 def test_derived_subsequences(spark):
     rng = random.Random(3)
     docs = {i: [rng.choice("abcd") for _ in range(rng.randrange(3, 12))] for i in range(12)}
