@@ -62,6 +62,26 @@ def test_documents_are_counted_without_meeting_every_pattern(spark, monkeypatch)
     assert pathways.derive(df, df.where("doc_id < 6"), at_least=2).count() > 0
 
 
+def test_vectors_are_scored_by_products_of_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from strandloom.operators import features
+
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(90)] + [(90, None), (91, [0.0] * 4), (92, [1.0, 2.0])]  # ties, null, zero, short
+    df = spark.createDataFrame(rows, "k int, x array<float>")
+    asked = df.where("k % 7 = 0 or k > 88")
+    exact = df.select(F.col("k").alias("b"), F.col("x").alias("y")).join(asked.select(F.col("k").alias("a"), "x"), F.col("a") != F.col("b"))
+    exact = exact.select("a", "b", F.round(1 - features.cosine(F.col("y"), F.col("x")), 6).alias("d")).collect()
+    monkeypatch.setattr(features, "cosine", None)  # a row at a time
+    monkeypatch.setattr(features, "ROW_BLOCK", 20)
+    got = features.distances(df, asked, "k", "x", block=5)
+    assert got.schema["a"].dataType == df.schema["k"].dataType
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, (tuple(r) for r in exact)))
+    want = {a: [r.b for r in sorted((r for r in exact if r.a == a), key=lambda r: (r.d is not None, r.d or 0.0, r.b))[:6]] for a in {r.a for r in exact}}
+    near = features.nearest_to(df, asked, "k", "x", 6, block=5).collect()
+    assert {a: [r.neighbour_id for r in sorted((r for r in near if r.query_id == a), key=lambda r: r["rank"])] for a in want} == want
+
+
 def test_derived_subsequences(spark):
     rng = random.Random(3)
     docs = {i: [rng.choice("abcd") for _ in range(rng.randrange(3, 12))] for i in range(12)}
