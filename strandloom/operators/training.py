@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..state import written
-from .features import idf_smooth
+from .features import idf_smooth, with_words
 
 
 def token_counts(tokens: DataFrame, doc: str = "doc_id", token: str = "token") -> DataFrame:
@@ -32,8 +32,8 @@ def weighted_bag(counts: DataFrame, n_docs: int, min_df: int = 1, max_share: flo
     words = written(words, "vocabulary")
     raw = counts.join(words.select(F.col("token").alias(token), "index", "df"), token)
     raw = raw.select(doc, F.col("index").alias("feature"), (F.col("n") * idf_smooth(F.lit(n_docs), F.col("df"))).alias("_v"))
-    length = written(raw, "weights").groupBy(doc).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_l"))
-    return raw.join(length, doc).select(doc, "feature", (F.col("_v") / F.col("_l")).alias("value")), words.drop("df")
+    held = raw.groupBy(doc).agg(F.collect_list(F.struct("feature", "_v")).alias("_f"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_l"))  # a document's words
+    return held.select(doc, "_l", F.explode("_f").alias("_p")).select(doc, "_p.feature", (F.col("_p._v") / F.col("_l")).alias("value")), words.drop("df")
 
 
 def vocabulary_of(df: DataFrame, token: str) -> DataFrame:
@@ -47,9 +47,10 @@ def mean_word_vectors(counts: DataFrame, vectors: DataFrame, n_docs: int | None
     """doc and vector: the mean of its words' vectors, weighted by their counts, or by tf-idf if ``n_docs`` is given. Documents without a known word go."""
     weight: Column = F.col("n").cast("double")
     if n_docs is not None:
-        df = counts.groupBy(token).agg(F.count(F.lit(1)).alias("df"))
-        counts, weight = counts.join(df, token), weight * idf_smooth(F.lit(n_docs), F.col("df"))
-    rows = counts.select(doc, token, weight.alias("_w")).join(vectors.select(F.col("token").alias(token), "vector"), token)
+        weight = weight * idf_smooth(F.lit(n_docs), F.col("df"))
+    df = counts.groupBy(token).agg(F.count(F.lit(1)).alias("df"))
+    known = written(df.join(vectors.select(F.col("token").alias(token), "vector"), token), "known")  # a row a word
+    rows = with_words(counts, known, "df", token).withColumn("_w", weight)
     parts = rows.select(doc, "_w", F.posexplode("vector").alias("i", "x")).groupBy(doc, "i").agg((F.sum(F.col("x") * F.col("_w")) / F.sum("_w")).alias("x"))
     return parts.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))  # a row a coordinate
 
