@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..operators import documents
+from ..operators import documents, features
 from ..sources import readers, writers
 from ..state import shared_dir
 from .queries_more import IS9, IS10, ISMED
@@ -100,10 +100,10 @@ def edge_file(spark, sf):
 @register("sparse_matrix_files", f"WITH {TOK} SELECT doc_id, token AS feature, count(*)::DOUBLE AS value FROM tok GROUP BY 1, 2")
 def sparse_files(spark, sf):
     """Document x token counts in long form, with the vocabulary beside it."""
-    t = table(spark, sf, "documents").select("doc_id", F.explode(C.words(F.col("text"))).alias("feature")).groupBy("doc_id", "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    t = features.word_counts(table(spark, sf, "documents"), C.words(F.col("text")), token="feature").withColumn("value", F.col("n").cast("double"))
     path = fresh(spark, "sparse")
     writers.write_sparse(t, path)
-    return readers.sparse(spark, path).join(spark.read.parquet(f"{path}/vocabulary"), "feature").select("doc_id", "feature", "value")
+    return features.with_words(readers.sparse(spark, path), spark.read.parquet(f"{path}/vocabulary"), "df", "feature").select("doc_id", "feature", "value")
 
 
 @register("training_set_files", "SELECT l_orderkey * 10 + l_linenumber AS index, l_quantity::DOUBLE AS f0, l_discount::DOUBLE AS f1, l_returnflag AS target FROM lineitem WHERE l_returnflag <> 'N'")

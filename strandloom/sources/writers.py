@@ -27,9 +27,10 @@ def write_training_set(df: DataFrame, path: str, partition_by: list[str] | None
 
 
 def write_sparse(df: DataFrame, path: str) -> None:
-    """Long form doc_id, feature, value, and the vocabulary beside it."""
+    """Long form doc_id, feature, value, and beside it the vocabulary, with the number of each feature's entries (df), made from the values that were written."""
     df.select("doc_id", "feature", "value").write.mode("overwrite").parquet(f"{path}/values")
-    df.select("feature").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
+    written = df.sparkSession.read.schema(df.select("feature").schema).parquet(f"{path}/values")
+    written.groupBy("feature").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
 def write_patterns(df: DataFrame, path: str) -> None:
