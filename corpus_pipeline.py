@@ -18,7 +18,7 @@ from strandloom.llm import decontaminate, exact_dedup, langid, sentence_pieces,
 from strandloom.llm.common import materialise, table
 
 #: Lattices that a worker keeps and characters sampled together: fewer than ``encode`` takes by itself, as a worker's memory also holds what earlier stages left.
-LATTICES, SLICE_CHARS = 60_000, 250_000
+LATTICES, SLICE_CHARS = 30_000, 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,20 @@ def test_registry():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "decontaminate", "sentence_pieces"]
     assert langid.UNKNOWN == "und"
+
+
+def test_a_worker_holds_few_lattices():
+    import numpy as np
+
+    from strandloom.llm import sentence_pieces as S
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(2_000)) for _ in range(40)]  # 80,000 words, hardly one twice
+    v = S.Vocabulary(S.default_path())
+    v.most = corpus_pipeline.LATTICES
+    most = 0
+    for n, t in enumerate(texts):
+        S.sample_batch(v, [t], np.array([n], np.uint64), 1)
+        most = max(most, sum(x.nbytes for x in v.room.values()))
+    assert most < 30e6, most  # of each of an executor's workers
+    assert corpus_pipeline.SLICE_CHARS <= 100_000
