@@ -70,13 +70,39 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+#: Bits a key in the table that ``split`` sends to tasks, and its bits at most (16 MB).
+KEY_BITS, MOST_BITS = 32, 1 << 27
+
+
+def split(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: the rows whose ``key`` may be among ``keys`` (one column, written, not empty), and others whose key is surely not.
+
+    The hashes of ``keys`` go to the tasks as bitmaps, so rows of the second part need no shuffle to be told from those
+    of a join. Few keys let few others through; how many doesn't depend on the planner's limits. Exact once the first
+    part has been joined.
+    """
+    bits = min(MOST_BITS, max(1 << 15, KEY_BITS * keys.count()))
+    at = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
+    place = keys.select(at(F.col(keys.columns[0])).alias("_at"))
+    maps = place.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_map"))
+    maps = materialise(maps, "bitmaps")
+    marked = docs.join(F.broadcast(maps), F.bitmap_bucket_number(at(key)) == maps["_bucket"], "left")
+    bit = F.bitmap_bit_position(at(key))
+    byte = F.conv(F.hex(F.substring(maps["_map"], (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return marked.where(may).select(docs["*"]), marked.where(~may).select(docs["*"])
+
+
 def drop_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text has its key in ``gone`` (key); columns unchanged, whatever the ids.
 
-    ``gone`` is written first, so the planner broadcasts it only while its measured size is below the session's threshold and sort-merges beyond it.
+    Only rows that ``split`` can't tell apart are shuffled and compared with ``gone``.
     """
     gone = materialise(gone.select(F.col("key").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, text_key(docs["text"]) == gone["_gone"], "left_anti")
+    if not gone.take(1):
+        return docs
+    may, others = split(docs, text_key(docs["text"]), gone)
+    return others.union(may.join(gone.hint("merge"), text_key(may["text"]) == gone["_gone"], "left_anti"))
 
 
 def one_of_each(docs: DataFrame, key: Column, doubles: DataFrame) -> DataFrame:
@@ -88,8 +114,9 @@ def one_of_each(docs: DataFrame, key: Column, doubles: DataFrame) -> DataFrame:
     doubles = materialise(doubles.select(F.col("key").alias("_double")).distinct(), "doubles")
     if not doubles.take(1):
         return docs
-    marked = docs.withColumn("_key", key)
+    may, others = split(docs, key, doubles)
+    marked = may.withColumn("_key", key)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     first = F.min_by(row, F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.to_json(row)))
     several = marked.join(doubles, marked["_key"] == doubles["_double"], "left_semi").groupBy("_key").agg(first.alias("_row")).select("_row.*")
-    return marked.join(doubles, marked["_key"] == doubles["_double"], "left_anti").drop("_key").unionByName(several)
+    return others.union(marked.join(doubles, marked["_key"] == doubles["_double"], "left_anti").drop("_key")).unionByName(several)

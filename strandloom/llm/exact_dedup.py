@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, one_of_each, shuffle_partitions
+from .common import fresh_path, materialise, one_of_each, shuffle_partitions, split
 
 
 def normalised(text: Column) -> Column:
@@ -96,11 +96,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     index = index or DigestIndex(docs.sparkSession, fresh_path(docs.sparkSession, "digest-index"))
     seen, shared = resolve(docs, index)
-    rows = docs.withColumn("_digest", digest(F.col("text")))
-    known = seen.join(shared.select("digest", "keep_id", "was"), "digest")
-    gone = materialise(known.where(F.col("was") | ~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_gone")).distinct(), "gone")
-    left = rows.join(gone, (rows["_digest"] == gone["_gone"]) & rows["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti").drop("_digest")
-    again = known.where(~F.col("was") & F.col("keep_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("digest").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = seen.join(shared.select("digest", "keep_id", "was").hint("merge"), "digest")
+    known = materialise(known.select("doc_id", "digest", (F.col("was") | ~F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("goes")), "known")
+    gone = known.where("goes").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_gone"))
+    again = known.where("not goes").groupBy(F.col("digest").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = docs
+    if gone.take(1):
+        # by their ids most rows are told to stay, without a digest and without a shuffle
+        may, others = split(docs, docs["doc_id"].cast("long"), gone.select("_id"))
+        same = (digest(may["text"]) == gone["_gone"]) & may["doc_id"].cast("long").eqNullSafe(gone["_id"])
+        left = others.union(may.join(gone.hint("merge"), same, "left_anti"))
     return one_of_each(left, digest(F.col("text")), again)
 
 

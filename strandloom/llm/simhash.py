@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_texts, keep_only, materialise, one_of_each, shuffle_partitions, text_key
+from .common import drop_texts, keep_only, materialise, one_of_each, shuffle_partitions, split, text_key
 from .components import components
 from .decontaminate import shingles, words
 
@@ -203,13 +203,13 @@ def covered(fps: DataFrame, radius: int) -> DataFrame:
     rows = dealt.select(F.explode(F.array(*keys)).alias("bucket"), "fp")
     first = materialise(rows.groupBy("bucket").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "covers")
     near = (F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= radius)
-    return rows.join(first, "bucket").where(near).select("a", F.col("fp").alias("b")).distinct()
+    return rows.join(first.hint("merge"), "bucket").where(near).select("a", F.col("fp").alias("b")).distinct()
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """Those of ``rows`` (bucket, row) whose bucket has other rows too, with their number ``n``."""
     many = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-    return materialise(rows.join(many, "bucket"), "bucket-members")
+    return materialise(rows.join(many.hint("merge"), "bucket"), "bucket-members")
 
 
 #: Words of 64 bits in the parity sketch of a set.
@@ -266,7 +266,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The ``pairs`` (a, b) whose ``sets`` (row, s) have Jaccard similarity ``threshold`` or over."""
     of = lambda c: sets.select(F.col("row").alias(c), F.col("s").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def linked(docs: DataFrame, unique: DataFrame, width: int, threshold: float, radius: int) -> DataFrame:
@@ -282,7 +282,10 @@ def linked(docs: DataFrame, unique: DataFrame, width: int, threshold: float, rad
     ids = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     wanted = materialise(unique.join(ids, "row", "left_semi").select("row", F.col("key").alias("_key")), "pair-texts")
     # texts are shuffled and split into words after it: their words as arrays are twice as large
-    few = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(wanted, F.col("key") == F.col("_key")).select("row", "text")
+    few = docs.select(F.col("text").cast("string").alias("text"))
+    if wanted.take(1):
+        few, _ = split(few, text_key(few["text"]), wanted.select("_key"))  # others aren't shuffled
+    few = few.select(text_key(F.col("text")).alias("key"), "text").join(wanted.hint("merge"), F.col("key") == F.col("_key")).select("row", "text")
     if unique.where("n > 1").take(1):
         few = few.dropDuplicates(["row"])
     few = few.select("row", words(F.col("text")).alias("w"))
