@@ -231,3 +231,27 @@ def test_derivation_in_one_run(spark):
     assert set(got) == {"a b"} and got["a b"].n == 2 and got["a b"].df == 3  # (1, 2) gives a b, (3, 4) b a: one, counted as a b
     assert pathways.derive(df, df, None, label="label", min_df=4).count() == 0
     assert {r.lcs for r in pathways.derive(df, df, None, at_least=1, at_most=1).collect()} == {"a", "b"}
+
+
+def test_short_patterns_are_counted_without_meeting_documents(spark, monkeypatch):
+    """Items and pairs are counted in the tasks, in a square table or by runs; no document is joined with a pattern."""
+    import random
+
+    rnd = random.Random(8)
+    docs = [(i, None if i == 3 else [rnd.choice("abcdefgh") for _ in range(rnd.randrange(9))]) for i in range(60)]
+    kinds = [[a] for a in "abcdefghz"] + [[a, b] for a in "abcdefgh" for b in "abcdefgh"]
+
+    def held(p, codes):
+        it = iter(codes or [])
+        return all(x in it for x in p)
+
+    want = {" ".join(p): n for p in kinds if (n := sum(held(p, c) for _, c in docs))}
+    rows = spark.createDataFrame(docs, "doc_id int, codes array<string>").repartition(3)
+    given = spark.createDataFrame([(" ".join(p), p) for p in kinds], "pattern_id string, pattern array<string>")
+    monkeypatch.setattr(patterns, "containing", None)
+    assert {r.pattern_id: r.df for r in patterns.document_counts(rows, given).collect()} == want
+    for side, at_once in ((4, 1 << 20), (2048, 10), (0, 10)):
+        monkeypatch.setattr(patterns, "SIDE", side)
+        monkeypatch.setattr(patterns, "PAIRS_AT_ONCE", at_once)
+        got = {" ".join(x for x in (r.x, r.y) if x): r.df for r in patterns.item_pair_counts(rows).collect()}
+        assert got == want
