@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,33 +49,53 @@ def _margins(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", F.element_at(vector_to_array("rawPrediction"), 2))
 
 
+#: Fits that run side by side: a fit is a chain of small jobs, which leaves most of a cluster idle.
+FITS_AT_ONCE = 6
+
+
 def nested_cv(df: DataFrame, features: list[str], label: str, key: str, grid: list[tuple[str, float]], outer: int = 3, inner: int = 3, seed: int = 53) -> DataFrame:
     """Out-of-fold predictions, a row for each of ``df``: key, fold, label, score (margin), predicted, kind and strength.
 
     For each outer fold the member of ``grid`` (kind, strength) with the best mean area under the curve over the inner
     folds of the other rows is fitted to these and scores the fold. Folds are dealt by class and hash, so every row is
     predicted once, by a model that has not seen it.
+
+    The inner fits of all folds run ``FITS_AT_ONCE`` at a time and their areas come from one query, a window a model.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.feature import VectorAssembler
 
     from .evaluate import auc
 
-    x = VectorAssembler(inputCols=features, outputCol="_x").transform(df).select(key, F.col(label).cast("double").alias("_y"), "_x")
+    spark = df.sparkSession
+    x = written(df.select(key, F.col(label).cast("double").alias("_y"), *features), "numbers")  # dealing folds reads the rows twice
+    x = VectorAssembler(inputCols=features, outputCol="_x").transform(x).select(key, "_y", "_x")
     x = written(folds(folds(x, "_y", key, outer, seed).withColumnRenamed("fold", "outer"), "_y", key, inner, seed + 1).withColumnRenamed("fold", "inner"), "folds")
+    apart = lambda o: (x.where(F.col("outer") != o), x.where(F.col("outer") == o))
+
+    def inner_fit(task: tuple[int, int, int]):
+        o, g, i = task
+        return classifier(*grid[g]).fit(apart(o)[0].where(F.col("inner") != i))
+
+    def outer_fit(task: tuple[int, int]):
+        o, g = task
+        return classifier(*grid[g]).fit(apart(o)[0])
+
+    tasks = [(o, g, i) for o in range(outer) for g in range(len(grid)) for i in range(inner)]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        models = pool.map(inheritable_thread_target(spark)(inner_fit), tasks, chunksize=1)
+        scores = [_margins(m, apart(o)[0].where(F.col("inner") == i)).select(F.lit(n).alias("_model"), "_y", "score") for n, (m, (o, _, i)) in enumerate(zip(models, tasks))]
+        areas = {r["_model"]: r["auc"] for r in auc(reduce(DataFrame.unionAll, scores), ["_model"], "_y", "score").collect()}  # a row a model
+        area = dict.fromkeys(((o, g) for o, g, _ in tasks), 0.0)
+        for n, (o, g, _) in enumerate(tasks):
+            area[o, g] += 0.5 if areas.get(n) is None else areas[n]
+        best = [(o, max(range(len(grid)), key=lambda g: area[o, g])) for o in range(outer)]  # noqa: B023
+        finals = pool.map(inheritable_thread_target(spark)(outer_fit), best, chunksize=1)
     found = None
-    for o in range(outer):
-        rest, held = x.where(F.col("outer") != o), x.where(F.col("outer") == o)
-
-        def area(kind: str, strength: float) -> float:
-            total = 0.0
-            for i in range(inner):  # noqa: B023
-                model = classifier(kind, strength).fit(rest.where(F.col("inner") != i))  # noqa: B023
-                row = auc(_margins(model, rest.where(F.col("inner") == i)), [], "_y", "score").first()  # noqa: B023
-                total += row["auc"] if row and row["auc"] is not None else 0.5
-            return total
-
-        kind, strength = max(grid, key=lambda g: area(*g))
-        scored = _margins(classifier(kind, strength).fit(rest), held)
+    for (o, g), model in zip(best, finals):
+        (kind, strength), scored = grid[g], _margins(model, apart(o)[1])
         part = scored.select(key, F.lit(o).alias("fold"), F.col("_y").cast("int").alias("label"), "score", (F.col("score") > 0).cast("int").alias("predicted"), F.lit(kind).alias("kind"), F.lit(float(strength)).alias("strength"))
         found = part if found is None else found.unionByName(part)
     return written(found, "predictions")
