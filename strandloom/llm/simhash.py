@@ -92,7 +92,8 @@ def links(fps: DataFrame, radius: int, small: int = SMALL_BUCKET) -> DataFrame:
     """Edges (family, a, b) over distinct fingerprints ``fps`` (family, fp, weight): a graph whose components in a family are those of "differ in at most radius bits".
 
     Members of small buckets are compared; those of large ones meet at midpoints, and each midpoint links all that
-    reach it to the weightiest of them (of equal ones the first). Nothing is capped.
+    reach it to the weightiest of them (of equal ones the first). Nothing is capped. All joins are sort-merged: a table
+    of buckets or members that is small as a file is several times as large where a driver builds its broadcast.
     """
     if radius % 2:
         raise ValueError("midpoints need an even radius")
@@ -101,14 +102,14 @@ def links(fps: DataFrame, radius: int, small: int = SMALL_BUCKET) -> DataFrame:
     fps = fps.repartition(shuffle_partitions(fps.sparkSession), "fp")  # a row becomes 31: dealt evenly before
     keys = fps.select("family", "fp", "weight", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("v", "key"))
     many = materialise(keys.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    member = materialise(keys.join(many, bucket), "members")
+    member = materialise(keys.join(many.hint("merge"), bucket), "members")
 
     near = member.where(F.col("n") <= small)
     left, right = (near.select(*bucket, F.col("fp").alias(c)) for c in ("a", "b"))
     # a pair that meets in several tables is linked in the first of them alone (if that bucket is large, by midpoints)
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    direct = left.join(right, bucket).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & (first == F.col("v"))).select("family", "a", "b")
+    direct = left.join(right.hint("merge"), bucket).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & (first == F.col("v"))).select("family", "a", "b")
 
     near_words = ball(radius // 2)
 
@@ -122,7 +123,7 @@ def links(fps: DataFrame, radius: int, small: int = SMALL_BUCKET) -> DataFrame:
     hot = member.where(F.col("n") > small).select("family", "fp", "weight").distinct().mapInPandas(probes, "family int, a long, weight long, mid long")
     # a midpoint that one fingerprint alone reaches links nothing
     shared = hot.groupBy("family", "mid").agg(F.max(F.struct("weight", F.bitwise_not("a").alias("low"), "a"))["a"].alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    through = hot.join(shared, ["family", "mid"]).where("a != first").select("family", F.col("first").alias("a"), F.col("a").alias("b"))
+    through = hot.join(shared.hint("merge"), ["family", "mid"]).where("a != first").select("family", F.col("first").alias("a"), F.col("a").alias("b"))
     return direct.unionByName(through).distinct()
 
 

@@ -89,6 +89,17 @@ def test_components_send_nothing_through_the_driver(spark):
     assert len(plans) > 5 and not [p for p in plans if "BroadcastExchange" in p]
 
 
+def test_near_duplicates_send_nothing_through_the_driver(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    texts = [(i, " ".join(f"w{(i // 2 * 31 + k * k) % 997}" for k in range(60)) + " end" * (i % 2)) for i in range(300)]
+    near = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 4, 4)
+    assert near.count() == 300
+    new = store.executionsList(before, 1000)
+    plans = [new.apply(i).physicalPlanDescription() for i in range(new.size())]
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     root = components(edges, "a", "b")
