@@ -62,6 +62,29 @@ def test_documents_are_counted_without_meeting_every_pattern(spark, monkeypatch)
     assert pathways.derive(df, df.where("doc_id < 6"), at_least=2).count() > 0
 
 
+def test_long_patterns_are_counted_where_documents_are(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from strandloom.operators import patterns
+
+    draw = random.Random(6)
+    docs = [(i, [draw.choice("abcdefgh") for _ in range(draw.randint(0, 14))]) for i in range(200)] + [(300, None), (301, ["a", None, "b", "c", "b"])]
+    kinds = sorted({tuple(draw.choice("abcdefghz") for _ in range(draw.randint(3, 6))) for _ in range(400)})
+    inside = lambda p, t: all(c in it for it in [iter(t)] for c in p)
+    want = {i: n for i, p in enumerate(kinds) if (n := sum(inside(p, t) for _, t in docs if t))}
+    df = spark.createDataFrame(docs, "doc_id long, codes array<string>")
+    given = spark.createDataFrame([(i, list(p)) for i, p in enumerate(kinds)], "pattern_id int, pattern array<string>")
+    monkeypatch.setattr(patterns, "FEW", 0)
+    for side, at_once, pairs in ((patterns.SIDE, patterns.PATTERNS_AT_ONCE, patterns.PAIRS_AT_ONCE), (patterns.SIDE, 90, 50), (4, 150, 1000)):
+        for name, value in (("SIDE", side), ("PATTERNS_AT_ONCE", at_once), ("PAIRS_AT_ONCE", pairs)):
+            monkeypatch.setattr(patterns, name, value)
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsCount()
+        found = patterns.document_counts(df, given).collect()
+        assert {r.pattern_id: r.df for r in found} == want and len(found) == len(want) > 100
+        new = store.executionsList(before, 1000)
+        assert not [i for i in range(new.size()) if "Generate" in new.apply(i).physicalPlanDescription()]  # documents times pairs of items
+
+
 def test_vectors_are_scored_by_products_of_blocks(spark, monkeypatch):
     from pyspark.sql import functions as F
     from strandloom.operators import features
