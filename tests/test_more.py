@@ -105,6 +105,25 @@ def test_vectors_are_scored_by_products_of_blocks(spark, monkeypatch):
     assert {a: [r.neighbour_id for r in sorted((r for r in near if r.query_id == a), key=lambda r: r["rank"])] for a in want} == want
 
 
+def test_scored_vectors_are_not_shuffled(spark):
+    from strandloom.operators import features
+
+    df = spark.range(400).select("id", F.array(*[F.cos(F.col("id") * i) for i in range(1, 9)]).alias("x"))
+    asked = df.where("id % 50 = 0")
+    made = features.distances(df, asked, "id", "x", block=3)
+    assert made.count() == 8 * 399
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert len(made.collect()) == 8 * 399
+    plans = [store.executionsList(before, 1000).apply(0).physicalPlanDescription()]
+    assert "MapInArrow" in plans[0] and "Exchange" not in plans[0]
+    near = features.nearest_to(df, asked, "id", "x", 5, block=3)
+    want = {}
+    for r in sorted(made.collect(), key=lambda r: (r.distance, r.b)):
+        want.setdefault(r.a, []).append(r.b)
+    assert sorted((r.query_id, r["rank"], r.neighbour_id) for r in near.collect()) == sorted((a, i + 1, b) for a, bs in want.items() for i, b in enumerate(bs[:5]))
+
+
 def test_derived_subsequences(spark):
     rng = random.Random(3)
     docs = {i: [rng.choice("abcd") for _ in range(rng.randrange(3, 12))] for i in range(12)}
